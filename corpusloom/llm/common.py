@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Ite
     Whole rows only: it bounds the memory of vectorised steps, never the text.
     """
     arr = batch.column(column)
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(arr), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(arr), 0))
     ends = np.cumsum(lengths, dtype=np.int64)
     at, n = 0, batch.num_rows
     while at < n:
@@ -92,7 +93,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Ite
 
 def flat_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, null as empty: (bytes, offsets[n+1])."""
-    arr = pa.compute.fill_null(arr, "").cast(pa.large_binary())
+    arr = pc.fill_null(arr, "").cast(pa.large_binary())
     offsets = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset : arr.offset + len(arr) + 1]
     data = arr.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
