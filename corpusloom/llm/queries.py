@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, multi_index, packing, simhash, toxicity
+from . import bpe, chat, langid, multi_index, packing, simhash, toxicity, webp
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_features(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -43,7 +47,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_bpe_round_trip, op5_language_id, op6_power_of_two_packing, op7_toxicity, op8_simhash_near_dedup, op9_inverted_multi_index, op10_chat_rotation)
+    found = (op2_lossless_webp, op4_bpe_round_trip, op5_language_id, op6_power_of_two_packing, op7_toxicity, op8_simhash_near_dedup, op9_inverted_multi_index, op10_chat_rotation)
     return {f.__name__: f for f in found}
 
 
