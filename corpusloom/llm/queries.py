@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, multi_index, packing, simhash, toxicity, webp
+from . import bpe, chat, htmltext, langid, multi_index, packing, simhash, toxicity, webp
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,10 @@ def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_features(table(spark, sf_dir, "documents"))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -47,7 +51,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_lossless_webp, op4_bpe_round_trip, op5_language_id, op6_power_of_two_packing, op7_toxicity, op8_simhash_near_dedup, op9_inverted_multi_index, op10_chat_rotation)
+    found = (op2_lossless_webp, op3_html_main_text, op4_bpe_round_trip, op5_language_id, op6_power_of_two_packing, op7_toxicity, op8_simhash_near_dedup, op9_inverted_multi_index, op10_chat_rotation)
     return {f.__name__: f for f in found}
 
 
