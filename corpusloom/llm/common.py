@@ -75,7 +75,20 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def keep_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows whose text ``make()(texts)`` marks, with all their columns and without a shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(test(part.column(at).cast(pa.string()))))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no piece but a single row's holds over ``most_bytes`` of text.
 
     Whole rows only: it bounds the memory of vectorised steps, never the text.

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices
+from .common import keep_rows, map_batches, slices
 from .textarrays import bucket_of, code_points, letters, mixed, stratified
 
 BUCKETS = 1 << 15
 DIMS = 16
-PER_LANGUAGE = 1_500
-EPOCHS = 6
+PER_LANGUAGE = 1_000
+EPOCHS = 3
 RATE = 2.0
 UNKNOWN = "und"
 #: Share of rightly labelled calibration texts that rejection may lose.
@@ -85,7 +85,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model
     w, b = rng.normal(0, 1 / DIMS, (DIMS, len(languages))), np.zeros(len(languages))
     steps = EPOCHS * max(1, -(-len(train) // 16))
     if len(train) < 2_000:
-        steps = max(steps, 750)
+        steps = max(steps, 300)
     left = np.array([], np.int64)
     for step in range(steps):
         if len(left) < 16:
@@ -126,21 +126,37 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 share = n / np.maximum(total, 1)[key // BUCKETS]
                 yield pa.record_batch(
                     [
+                        part.column("doc_id"),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array((key % BUCKETS).astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(share.astype(np.float32))),
                         part.column("lang"),
                     ],
-                    names=["bucket", "share", "lang"],
+                    names=["doc_id", "bucket", "share", "lang"],
                 )
 
         return step
 
-    got = map_batches(stratified(rows, "lang", "doc_id", per_language), make, "bucket array<int>, share array<float>, lang string").toArrow()
-    table = [(np.array(b, np.int64), np.array(s, np.float64), lang) for b, s, lang in zip(*(got.column(c).to_pylist() for c in range(3))) if b]
-    table.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
+    picked = stratified(rows, "lang", "doc_id", per_language)
+    got = map_batches(picked, make, "doc_id long, bucket array<int>, share array<float>, lang string").toArrow().combine_chunks().sort_by("doc_id")
+    bucket, share = (got.column(c).combine_chunks() for c in ("bucket", "share"))
+    ends = np.asarray(bucket.offsets)
+    bucket, share = np.asarray(bucket.values), np.asarray(share.values)
+    table = [(bucket[a:b], share[a:b], lang) for a, b, lang in zip(ends[:-1].tolist(), ends[1:].tolist(), got.column("lang").to_pylist()) if b > a]
     return fit(table)
 
 
+def judged(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and acceptance of each text."""
+    n = len(texts)
+    if model is None:
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
+    p, seen = model.scores(texts)
+    best = p.argmax(1)
+    score = np.where(seen > 0, p[np.arange(n), best], 0.0)
+    label = [model.languages[k] if s else UNKNOWN for k, s in zip(best.tolist(), seen.tolist())]
+    return label, score, (seen > 0) & (score >= model.reject_below)
+
+
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 5) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted): ``accepted`` is false for ``und`` and below the calibrated score."""
     rows = docs.select(
@@ -152,15 +168,7 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
     def make():
         def step(batch: pa.RecordBatch):
             for part in slices(batch, "text"):
-                n = part.num_rows
-                if model is None:
-                    label, score, ok = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
-                else:
-                    p, seen = model.scores(part.column("text"))
-                    best = p.argmax(1)
-                    score = np.where(seen > 0, p[np.arange(n), best], 0.0)
-                    label = [model.languages[k] if s else UNKNOWN for k, s in zip(best.tolist(), seen.tolist())]
-                    ok = (seen > 0) & (score >= model.reject_below)
+                label, score, ok = judged(model, part.column("text"))
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(label, pa.string()), pa.array(score), pa.array(ok)], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
         return step
@@ -171,3 +179,9 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
 def identify(docs: DataFrame, **options) -> DataFrame:
     """Train on the labelled rows of ``docs`` and predict all of them."""
     return predict(docs, train(docs, **options))
+
+
+def identified_only(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose language is accepted, with all their columns; all rows if there is none to learn."""
+    model = train(docs, text_col=text_col, **options)
+    return docs if model is None else keep_rows(docs, text_col, lambda: lambda texts: judged(model, texts)[2])
