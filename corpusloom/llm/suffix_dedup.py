@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, flat_bytes, shuffle_partitions
+from .common import flat_bytes, shuffle_partitions
 from .textarrays import mixed
 
 WINDOW = 50
@@ -136,6 +136,7 @@ class Chunk:
         table = table.combine_chunks()
         ids = np.asarray(pc.fill_null(table.column("doc_id"), NO_ID).combine_chunks()) if table.num_rows else np.zeros(0, np.int64)
         order = np.argsort(ids, kind="stable")
+        self.order = order
         self.ids = ids[order]
         self.null_id = np.asarray(table.column("doc_id").is_null())[order] if table.num_rows else np.zeros(0, bool)
         text = table.column("text").take(pa.array(order)).combine_chunks() if table.num_rows else pa.array([], pa.string())
@@ -232,8 +233,8 @@ def splitters(docs: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.array(found if found and parts else [], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept_text]): one row for each row of ``docs``.
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept_text] [, carried columns]): one row for each row of ``docs``.
 
     ``kept_text`` leaves out bytes of characters that the removal has cut.
     """
@@ -241,11 +242,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         raise ValueError("gram must lie between 1 and window, and windows under 200 bytes")
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    docs = documents_of(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     split_at = splitters(docs, n)
     route = routes(spark, n)
     slot = F.pmod(F.hash("doc_id"), F.lit(n))
-    chunks = docs.select(F.element_at(F.array(*map(F.lit, route)), slot + 1).alias("chunk"), "doc_id", "text").repartition(n, "chunk")
+    chunks = docs.select(F.element_at(F.array(*map(F.lit, route)), slot + 1).alias("chunk"), "doc_id", "text", *carry).repartition(n, "chunk")
 
     def ask(batches):
         """Step 2: a chunk's distinct anchor hashes by range, and which of them two of its documents share."""
@@ -449,11 +450,22 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         cols = [ids, pa.array(np.diff(whole.offsets)), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
         if with_text:
             cols.append(pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string()))
-        return pa.Table.from_arrays(cols, names=[f[0] for f in fields])
+        cols += [left.column(c).take(pa.array(whole.order)) for c in carry]
+        return pa.Table.from_arrays(cols, names=[f[0] for f in fields] + list(carry))
 
     asked = chunks.mapInArrow(ask, "bucket int, chunk int, hashes binary, many binary")
     told = asked.repartitionById(n, F.col("bucket")).mapInArrow(shared, "chunk int, hashes binary")
     sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, size binary, left binary, least binary, most binary, mark binary, bytes binary")
     answered = sent.repartitionById(n, F.col("bucket")).mapInArrow(compare, "chunk int, mark binary, offset binary, found binary")
     kinds = {pa.int64(): "long", pa.string(): "string"}
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(remove, ", ".join(f"{name} {kinds[kind]}" for name, kind in fields))
+    schema = [f"{name} {kinds[kind]}" for name, kind in fields] + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(remove, ", ".join(schema))
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with repeated strings taken out of their texts; other columns stay, and ``n_chars`` is counted anew."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = remove_repeats(docs, with_text=True, carry=rest, **options)
+    text = F.col("kept_text").alias("text")
+    counted = lambda c: F.char_length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
+    return kept.select(*(F.col("doc_id").cast(docs.schema["doc_id"].dataType) if c == "doc_id" else text if c == "text" else counted(c) for c in docs.columns))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices
+from .common import keep_rows, map_batches, slices
 from .textarrays import bucket_of, code_points, letters, mixed, stratified
 
 #: Names of groups, in sets whose members are swapped for each other.
@@ -299,3 +299,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Train on the labels and score every row of ``docs``."""
     return score(docs, train(docs, labels, **options))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    model = train(docs, labels, text_col=text_col, **options)
+    return keep_rows(docs, text_col, lambda: lambda texts: model.scores(texts) < threshold)
