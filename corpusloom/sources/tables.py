@@ -13,15 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tolerant_json(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad files) of one JSON document a file; a bad file isn't fatal."""
-    full = StructType(schema.fields).add("_corrupt", "string")
-    rows = (
-        spark.read.schema(full)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-        .withColumn("slug", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))
+    full = StructType(list(schema.fields)).add("_corrupt", "string")
+    text = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("slug"),
+        F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("doc"),
     )
+    rows = text.select("slug", "doc.*")
     return rows.where(F.col("_corrupt").isNull()).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull()).select("slug", "_corrupt")
 
 
