@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import aggregations, filters, joins, ordered, scans, sets, streams, strings, vectors  # noqa: F401
+from corpusloom.plans import (  # noqa: F401
+    aggregations,
+    curation,
+    filters,
+    joins,
+    ordered,
+    reports,
+    scans,
+    sets,
+    store,
+    streams,
+    strings,
+    vectors,
+)
 from corpusloom.plans.registry import ORACLES, QUERIES, Query
 
 
