@@ -39,15 +39,25 @@ def text_search_phrase(spark: SparkSession, d: str) -> DataFrame:
 SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id
 """)
 def benchmark_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Which documents hold a benchmark passage: equi-join on every passage-length string's hash, then an exact test."""
-    items = table(spark, d, "benchmark").where("length(text) > 0")
+    """Which documents hold a benchmark passage.
+
+    A passage's first 24 characters behind white space must stand behind white
+    space in the document too: an equi-join on these, then an exact test.
+    Passages without such a place are looked for by their beginning, everywhere.
+    """
     key = 24
-    needles = items.select("item_id", F.col("text").alias("passage"), F.substring("text", 1, key).alias("head"))
+    behind_blank = F.regexp_extract_all("text", F.lit(rf"(?s)(?<=[ \n])(?=(.{{{key}}}))"), F.lit(1))
+    items = table(spark, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("passage"), F.get(behind_blank, F.lit(0)).alias("head"))
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    # passages start where a line or a sentence does, or anywhere: all places of the text are tried
-    heads = docs.select("doc_id", F.explode(F.expr(f"array_distinct(transform(sequence(1, greatest(1, length(text) - {key - 1})), i -> substring(text, i, {key})))")).alias("head"))
-    found = heads.join(F.broadcast(needles.select("item_id", "head")), "head").select("doc_id", "item_id").distinct()
-    hits = found.join(docs, "doc_id").join(F.broadcast(needles.select("item_id", "passage")), "item_id").where(F.contains("text", "passage"))
+    heads = docs.select("doc_id", F.explode(F.array_distinct(behind_blank)).alias("head"))
+    found = heads.join(items.where("head is not null").select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
+    rest = items.where("head is null").select("item_id", F.substring("passage", 1, key).alias("head"), F.least(F.lit(key), F.length("passage")).alias("n"))
+    if rest.limit(1).count():
+        sizes = [r["n"] for r in rest.select("n").distinct().collect()]  # at most 24
+        all_heads = F.concat(*(F.expr(f"transform(sequence(1, greatest(1, length(text) - {n - 1})), i -> substring(text, i, {n}))") for n in sizes))
+        slow = docs.select("doc_id", F.explode(F.array_distinct(all_heads)).alias("head")).join(rest.select("item_id", "head"), "head")
+        found = found.union(slow.select("doc_id", "item_id")).distinct()
+    hits = found.join(docs, "doc_id").join(items.select("item_id", "passage"), "item_id").where(F.contains("text", "passage"))
     return hits.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
