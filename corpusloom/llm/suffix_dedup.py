@@ -48,7 +48,7 @@ from .textarrays import mixed
 
 WINDOW = 50
 GRAM = 20
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 SLAB = 150_000
 PLACE_BITS = np.uint64(20)
 HASH_BITS = 40
@@ -415,7 +415,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
     def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Step 5: remove what the answers say, and describe what is left."""
         whole = Chunk(left)
-        gone = np.zeros(len(whole.buf) + 1, np.int32)
+        gone = np.zeros(len(whole.buf) + 1, np.int16)  # at most one run starts or ends at a place, and under 200 overlap
         if right.num_rows:
             get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in right.column(name).to_pylist()])
             mark, offset, found = get("mark", "<u8"), get("offset", np.uint8).astype(np.int64), get("found", "<i8")
@@ -425,6 +425,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 own = blocks.fingerprints()
                 a, b = np.searchsorted(mark, own), np.searchsorted(mark, own, side="right")
                 hit = np.flatnonzero(b > a)
+                if not len(hit):
+                    continue
                 runs = b[hit] - a[hit]
                 idx = np.repeat(a[hit] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
                 which = np.repeat(hit, runs)
@@ -436,13 +438,16 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 smaller = found[idx] < whole.ids[of[which]]
                 np.add.at(gone, base + first[smaller], 1)
                 np.add.at(gone, base + ends[smaller] + window - 1, -1)
-        removed = np.cumsum(gone[:-1]) > 0
-        rise = removed.copy()
-        rise[1:] &= ~removed[:-1]
-        opens = whole.offsets[:-1][whole.offsets[:-1] < len(removed)]
-        rise[opens] = removed[opens]
-        sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[whole.offsets])
-        n_removed, n_spans = sums(removed), sums(rise)
+        removed = np.cumsum(gone[:-1], dtype=np.int16) > 0
+        rise = np.flatnonzero(removed & ~np.concatenate(([False], removed[:-1])) if len(removed) else removed)
+        starts, sizes = whole.offsets[:-1], np.diff(whole.offsets)
+        inner = starts[(starts > 0) & (sizes > 0)]
+        rise = np.union1d(rise, inner[removed[inner]])  # a document's first byte opens a run of its own
+        n_spans = np.bincount(np.searchsorted(whole.offsets, rise, side="right") - 1, minlength=len(sizes))
+        n_removed = np.zeros(len(sizes), np.int64)
+        full = np.flatnonzero(sizes > 0)
+        if len(full):
+            n_removed[full] = np.add.reduceat(removed, starts[full], dtype=np.int64)
         kept = whole.buf[~removed]
         at = whole.offsets - np.concatenate(([0], np.cumsum(n_removed)))
         texts = [kept[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
