@@ -24,6 +24,11 @@ windows with one anchor form a block, which about fifteen positions share.
 
 What a chunk sends is distinct within it, so a passage in a third of all
 documents costs a range one entry a chunk; nothing is ever sent for each copy.
+Where such a passage ends, every document goes on in its own way, so the blocks
+there are as many as the documents.  Anchors that over ``hot_chunks`` chunks share
+are therefore sent window by window, dealt by a hash of the whole window instead
+of by range: equal windows still meet, the others spread over all tasks.  A large
+group of one range is compared one anchor place at a time.
 Steps 2 to 5 read the chunks from one shuffle of the documents.
 
 Defined cases: null text is empty; a document of fewer than ``window`` bytes
@@ -50,6 +55,7 @@ WINDOW = 50
 GRAM = 20
 SEGMENT = 1 << 18
 SLAB = 150_000
+HOT_CHUNKS = 256
 PLACE_BITS = np.uint64(20)
 HASH_BITS = 40
 BASE = 0x9E3779B97F4A7C15
@@ -109,14 +115,18 @@ class Blocks:
         self.left = self.anchor - self.start
         self.gram_hash = h[self.anchor] >> np.uint64(64 - HASH_BITS)
         self.length = self.size + window - 1
-        self.buf = buf
+        self.buf, self.total = buf, None
+
+    def digests(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """64 bits of the bytes from ``start`` on, ``length`` each."""
+        power, inverse = powers(SEGMENT + 4096)
+        if self.total is None:
+            self.total = np.concatenate(([np.uint64(0)], np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[: len(self.buf)])))
+        return mixed((self.total[start + length] - self.total[start]) * inverse[start])
 
     def fingerprints(self) -> np.ndarray:
         """64 bits of each block's bytes and its anchor's place."""
-        power, inverse = powers(SEGMENT + 4096)
-        total = np.concatenate(([np.uint64(0)], np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[: len(self.buf)])))
-        body = (total[self.start + self.length] - total[self.start]) * inverse[self.start]
-        return mixed(mixed(body) + self.left.astype(np.uint64) * np.uint64(256) + self.size.astype(np.uint64))
+        return mixed(self.digests(self.start, self.length) + self.left.astype(np.uint64) * np.uint64(256) + self.size.astype(np.uint64))
 
     def leading(self) -> np.ndarray:
         """The first 8 bytes at each anchor as a number that sorts like them."""
@@ -233,7 +243,7 @@ def splitters(docs: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.array(found if found and parts else [], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = (), hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept_text] [, carried columns]): one row for each row of ``docs``.
 
     ``kept_text`` leaves out bytes of characters that the removal has cut.
@@ -289,21 +299,27 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
             h = every[order]
             first = np.concatenate(([True], h[1:] != h[:-1]))
             group = np.cumsum(first) - 1
-            hit = (np.bincount(group) > 1) | (np.bincount(group, many[order]) > 0)
-            open_ = np.empty(len(every), bool)
-            open_[order] = hit[group]
+            holders = np.bincount(group)
+            hit = (holders > 1) | (np.bincount(group, many[order]) > 0)
+            open_, hot = np.empty(len(every), bool), np.empty(len(every), bool)
+            open_[order], hot[order] = hit[group], (holders > hot_chunks)[group]
             at = 0
             for (chunk, own, _), k in zip(rows, sizes):
-                mine = own[open_[at : at + k]]
+                pick = open_[at : at + k]
+                mine, heat = own[pick], hot[at : at + k][pick]
                 at += k
                 if len(mine):
-                    yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([to_planes(mine)], pa.binary())], names=["chunk", "hashes"])
+                    yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([to_planes(mine)], pa.binary()), pa.array([np.packbits(heat).tobytes()], pa.binary())], names=["chunk", "hashes", "hot"])
 
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Step 3: a chunk's distinct blocks at shared anchors, by range."""
-        out = {k: [] for k in ("bucket", "chunk", "size", "left", "least", "most", "mark", "bytes")}
+        out = {k: [] for k in ("bucket", "chunk", "size", "left", "shift", "least", "most", "mark", "bytes")}
         if right.num_rows and left.num_rows:
-            wanted = np.sort(np.concatenate([from_planes(h) for h in right.column("hashes").to_pylist()]))
+            told_ = [from_planes(h) for h in right.column("hashes").to_pylist()]
+            heat = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(right.column("hot").to_pylist(), told_)]).astype(bool)
+            wanted = np.concatenate(told_)
+            order = np.argsort(wanted)
+            wanted, heat = wanted[order], heat[order]
             whole = Chunk(left)
             held = []
             for _, blocks, of in whole.pieces(window, gram):
@@ -311,31 +327,43 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 pick = np.flatnonzero(wanted[at] == blocks.gram_hash)
                 if not len(pick):
                     continue
-                mark = blocks.fingerprints()[pick]
-                ids = whole.ids[of[pick]]
-                order = np.lexsort((ids, mark))
-                m = mark[order]
-                first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+                mark, place = blocks.fingerprints()[pick], np.searchsorted(split_at, blocks.leading()[pick], side="right")
+                start, size, lefts, shift, ids = blocks.start[pick], blocks.size[pick], blocks.left[pick], np.zeros(len(pick), np.int64), whole.ids[of[pick]]
+                hot = heat[at[pick]]
+                if hot.any():  # windows instead of blocks, to all tasks
+                    k = np.flatnonzero(hot)
+                    w = np.repeat(k, size[k])
+                    j = np.arange(len(w)) - np.repeat(np.cumsum(size[k]) - size[k], size[k])
+                    alone = blocks.digests(start[w] + j, np.full(len(w), window))
+                    cold = np.flatnonzero(~hot)
+                    join = lambda x, y: np.concatenate((x[cold], y))  # noqa: E731,B023
+                    mark, place = join(mark, mark[w]), join(place, (alone % np.uint64(n)).astype(np.int64))
+                    start, lefts, shift, ids = join(start, start[w] + j), join(lefts, lefts[w] - j), join(shift, j), join(ids, ids[w])
+                    size = join(size, np.ones(len(w), np.int64))
+                order = np.lexsort((ids, shift, mark))
+                m, sh = mark[order], shift[order]
+                first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (sh[1:] != sh[:-1]))))
                 last = np.append(first[1:], len(m)) - 1
-                k = pick[order[first]]
-                length = blocks.length[k]
-                idx = np.repeat(blocks.start[k] - np.cumsum(length) + length, length) + np.arange(length.sum())
-                held.append((np.searchsorted(split_at, blocks.leading()[k], side="right"), m[first], ids[order[first]], ids[order[last]], blocks.size[k], blocks.left[k], blocks.buf[idx]))
+                k = order[first]
+                length = size[k] + window - 1
+                idx = np.repeat(start[k] - np.cumsum(length) + length, length) + np.arange(length.sum())
+                held.append((place[k], m[first], sh[first], ids[k], ids[order[last]], size[k], lefts[k], blocks.buf[idx]))
             if held:
-                bucket, mark, least, most, size, lefts, raw = (np.concatenate(x) for x in zip(*held))
+                bucket, mark, shift, least, most, size, lefts, raw = (np.concatenate(x) for x in zip(*held))
                 length = size + window - 1
                 begin = np.cumsum(length) - length
                 for b, rows in _split(bucket):
                     # the same block may come from several pieces of the chunk
-                    order = rows[np.argsort(mark[rows], kind="stable")]
-                    m = mark[order]
-                    first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+                    order = rows[np.lexsort((shift[rows], mark[rows]))]
+                    m, sh = mark[order], shift[order]
+                    first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (sh[1:] != sh[:-1]))))
                     k = order[first]
                     text = raw[np.repeat(begin[k] - np.cumsum(length[k]) + length[k], length[k]) + np.arange(length[k].sum())]
                     out["bucket"].append(b)
                     out["chunk"].append(key[0].as_py())
                     out["size"].append(size[k].astype(np.uint8).tobytes())
                     out["left"].append(lefts[k].astype(np.uint8).tobytes())
+                    out["shift"].append(sh[first].astype(np.uint8).tobytes())
                     out["least"].append(np.minimum.reduceat(least[order], first).astype("<i8").tobytes())
                     out["most"].append(np.maximum.reduceat(most[order], first).astype("<i8").tobytes())
                     out["mark"].append(m[first].astype("<u8").tobytes())
@@ -351,7 +379,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 by.setdefault(row["bucket"], []).append(row)
         for rows in by.values():
             get = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])  # noqa: E731,B023
-            size, left = get("size", np.uint8).astype(np.int64), get("left", np.uint8).astype(np.int64)
+            size, left, shift = (get(x, np.uint8).astype(np.int64) for x in ("size", "left", "shift"))
             least, most, mark = get("least", "<i8"), get("most", "<i8"), get("mark", "<u8")
             chunk = np.repeat([r["chunk"] for r in rows], [len(r["size"]) for r in rows])
             raw = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
@@ -375,39 +403,49 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
             group = group[(lo < hi)[group]]
             n_windows = np.cumsum(size[order])
             answers: dict[int, list] = {}
-            at = 0
-            while at < len(order):
-                to = max(at + 1, int(np.searchsorted(n_windows, (n_windows[at - 1] if at else 0) + SLAB, side="right")))
-                to = int(np.searchsorted(group, group[to - 1], side="right"))  # whole groups of one suffix head
-                rec = order[at:to]
-                at = to
-                k = size[rec]
+
+            def weigh(rec, first, last):
+                """Windows ``first`` to ``last`` of blocks ``rec``: the smallest document of each."""
+                k = last - first
                 of = np.repeat(np.arange(len(rec)), k)
-                place = begin[rec][of] + np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+                place = (begin[rec] + first)[of] + np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)  # noqa: B023
                 steps_w = sorted({*range(0, window - 7, 8), max(0, window - 8)})
-                words = np.stack([word(place + s) for s in steps_w], 1)
+                words = np.stack([word(place + s) for s in steps_w], 1)  # noqa: B023
                 if window < 8:
                     words >>= np.uint64(64 - 8 * window)
                 w_order, w_same = multikey_sort(words)
                 run = np.flatnonzero(~w_same)
-                smallest = np.minimum.reduceat(least[rec][of[w_order]], run)
+                smallest = np.minimum.reduceat(least[rec][of[w_order]], run)  # noqa: B023
                 found = np.empty(len(of), np.int64)
                 found[w_order] = np.repeat(smallest, np.diff(np.append(run, len(of))))
-                useful = np.bincount(of, found < most[rec][of], len(rec)) > 0
                 edge = np.ones(len(of), bool)
                 edge[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
-                edge &= useful[of]
                 starts = np.flatnonzero(edge)
-                whose = of[starts]
-                offset = place[starts] - begin[rec][whose]
-                for c, part in _split(chunk[rec][whose]):
-                    answers.setdefault(c, []).append((mark[rec][whose][part], offset[part], found[starts][part]))
+                runs = np.diff(np.append(starts, len(of)))
+                useful = found[starts] < most[rec][of[starts]]  # noqa: B023
+                starts, runs = starts[useful], runs[useful]
+                whose = rec[of[starts]]
+                offset = place[starts] - begin[whose] + shift[whose]  # noqa: B023
+                for c, part in _split(chunk[whose]):  # noqa: B023
+                    answers.setdefault(c, []).append((mark[whose][part], offset[part], runs[part], found[starts][part]))  # noqa: B023
+
+            at = 0
+            while at < len(order):
+                to = max(at + 1, int(np.searchsorted(n_windows, (n_windows[at - 1] if at else 0) + SLAB, side="right")))
+                to = int(np.searchsorted(group, group[to - 1], side="right"))  # whole groups of one suffix head
+                rec = order[at:to]
+                at = to
+                if size[rec].sum() <= 4 * SLAB:
+                    weigh(rec, np.zeros(len(rec), np.int64), size[rec])
+                    continue
+                for back in range(window - gram + 1):  # equal windows have their anchor at the same place
+                    here = rec[(left[rec] >= back) & (left[rec] - back < size[rec])]
+                    if len(here):
+                        weigh(here, left[here] - back, left[here] - back + 1)
             for c, parts in answers.items():
-                m, o, f = (np.concatenate(x) for x in zip(*parts))
-                yield pa.record_batch(
-                    [pa.array([c], pa.int32()), *(pa.array([x], pa.binary()) for x in (m.astype("<u8").tobytes(), o.astype(np.uint8).tobytes(), f.astype("<i8").tobytes()))],
-                    names=["chunk", "mark", "offset", "found"],
-                )
+                m, o, k, f = (np.concatenate(x) for x in zip(*parts))
+                cols = (m.astype("<u8").tobytes(), o.astype(np.uint8).tobytes(), k.astype(np.uint8).tobytes(), f.astype("<i8").tobytes())
+                yield pa.record_batch([pa.array([c], pa.int32()), *(pa.array([x], pa.binary()) for x in cols)], names=["chunk", "mark", "offset", "run", "found"])
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("kept_text", pa.string())] * with_text
@@ -418,9 +456,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         gone = np.zeros(len(whole.buf) + 1, np.int16)  # at most one run starts or ends at a place, and under 200 overlap
         if right.num_rows:
             get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in right.column(name).to_pylist()])
-            mark, offset, found = get("mark", "<u8"), get("offset", np.uint8).astype(np.int64), get("found", "<i8")
-            order = np.lexsort((offset, mark))
-            mark, offset, found = mark[order], offset[order], found[order]
+            mark, offset, run, found = get("mark", "<u8"), get("offset", np.uint8), get("run", np.uint8), get("found", "<i8")
+            order = np.argsort(mark, kind="stable")
+            mark, offset, run, found = mark[order], offset[order], run[order], found[order]
             for base, blocks, of in whole.pieces(window, gram):
                 own = blocks.fingerprints()
                 a, b = np.searchsorted(mark, own), np.searchsorted(mark, own, side="right")
@@ -431,10 +469,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 idx = np.repeat(a[hit] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
                 which = np.repeat(hit, runs)
                 first = blocks.start[which] + offset[idx]
-                # a run ends where the block's next run starts, or with the block
-                ends = np.append(first[1:], 0)
-                close = np.append(which[1:] != which[:-1], True)
-                ends[close] = (blocks.start + blocks.size)[which[close]]
+                ends = first + run[idx]
                 smaller = found[idx] < whole.ids[of[which]]
                 np.add.at(gone, base + first[smaller], 1)
                 np.add.at(gone, base + ends[smaller] + window - 1, -1)
@@ -459,9 +494,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         return pa.Table.from_arrays(cols, names=[f[0] for f in fields] + list(carry))
 
     asked = chunks.mapInArrow(ask, "bucket int, chunk int, hashes binary, many binary")
-    told = asked.repartitionById(n, F.col("bucket")).mapInArrow(shared, "chunk int, hashes binary")
-    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, size binary, left binary, least binary, most binary, mark binary, bytes binary")
-    answered = sent.repartitionById(n, F.col("bucket")).mapInArrow(compare, "chunk int, mark binary, offset binary, found binary")
+    told = asked.repartitionById(n, F.col("bucket")).mapInArrow(shared, "chunk int, hashes binary, hot binary")
+    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, size binary, left binary, shift binary, least binary, most binary, mark binary, bytes binary")
+    answered = sent.repartitionById(n, F.col("bucket")).mapInArrow(compare, "chunk int, mark binary, offset binary, run binary, found binary")
     kinds = {pa.int64(): "long", pa.string(): "string"}
     schema = [f"{name} {kinds[kind]}" for name, kind in fields] + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
     return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(remove, ", ".join(schema))

@@ -66,6 +66,16 @@ def test_any_gram_gives_the_same(spark, gram):
     assert sorted(removed(spark, rows, gram=gram)) == sorted(repeats(rows))
 
 
+@pytest.mark.parametrize("hot_chunks, slab", [(0, 150_000), (2, 150_000), (256, 20)])
+def test_hot_anchors_and_large_groups(spark, monkeypatch, hot_chunks, slab):
+    monkeypatch.setattr(suffix_dedup, "SLAB", slab)
+    rnd = random.Random(9)
+    passage = "".join(rnd.choice("abcdefg ") for _ in range(130))
+    tail = lambda: "".join(rnd.choice("xyz ") for _ in range(rnd.randint(0, 60)))
+    rows = [(k, tail() + passage[rnd.randint(0, 20) : rnd.randint(70, 130)] + tail()) for k in range(150)] + [(k + 500, t) for k, t in mosaic(8, 60)]
+    assert sorted(removed(spark, rows, hot_chunks=hot_chunks)) == sorted(repeats(rows))
+
+
 def test_small_pieces_and_long_texts(spark, monkeypatch):
     rnd = random.Random(4)
     text = "".join(rnd.choice("abcdefgh ") for _ in range(30_000))
