@@ -9,7 +9,8 @@ that holds the selected text: its article or main element if it has one, else
 the deepest element with most of that text.  All lines of a region are kept in
 page order, so short paragraphs aren't lost, except those inside elements whose
 tag, role, class or id says menu, header, footer, sidebar, notice, advert, form
-or reader comment.
+or reader comment, and, where there is no article or main element, unselected
+lines of nothing but links.
 
 Defined cases: null, empty and text-free pages have empty text; broken markup is
 read as far as the parser goes and never fails; equal pages give equal text;
@@ -75,20 +76,22 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, element number, apart, silent
+        self.stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, element number, apart, silent, in a link
         self.parent: list[int] = []
         self.kind: list[str] = []
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, int, bool]] = []  # text, tags, element, apart
+        self.linked = 0
+        self.lines: list[tuple[str, int, int, bool, bool]] = []  # text, tags, element, apart, links only
 
     def _flush(self) -> None:
         line = " ".join("".join(self.text).split())
         self.text = []
         if line:
-            of = next((e for t, e, _, _ in reversed(self.stack) if t in BLOCKS), -1)
-            self.lines.append((line, self.tags, of, bool(self.stack) and self.stack[-1][2]))
+            of = next((x[1] for x in reversed(self.stack) if x[0] in BLOCKS), -1)
+            self.lines.append((line, self.tags, of, bool(self.stack) and self.stack[-1][2], self.linked >= 0.9 * len(line)))
             self.tags = 0
+        self.linked = 0
 
     def _pop(self, at: int) -> None:
         if any(t in BLOCKS for t, *_ in self.stack[at:]):
@@ -116,11 +119,11 @@ class Lines(HTMLParser):
                     break
         if tag in ("td", "th"):
             self.text.append(" ")
-        apart, silent = self.stack[-1][2:] if self.stack else (False, False)
+        apart, silent, link = self.stack[-1][2:] if self.stack else (False, False, False)
         number = len(self.parent)
         self.parent.append(self.stack[-1][1] if self.stack else -1)
         self.kind.append(tag)
-        self.stack.append((tag, number, apart or marked(tag, attrs), silent or tag in SILENT))
+        self.stack.append((tag, number, apart or marked(tag, attrs), silent or tag in SILENT, link or tag == "a"))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -144,6 +147,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][3]):
             self.text.append(data)
+            if self.stack and self.stack[-1][4]:
+                self.linked += len(data.strip())
 
 
 def lines_of(html: str) -> Lines:
@@ -183,10 +188,10 @@ def main_text(html: str | None) -> str:
         return ""
     lines = [page.lines[k] for k in own]
     size = np.array([len(t) for t, *_ in lines], float)
-    ratios = size / np.maximum(1, np.array([n for _, n, _, _ in lines]))
+    ratios = size / np.maximum(1, np.array([n for _, n, *_ in lines]))
     content = selected(ratios)
     paths = []
-    for _, _, element, _ in lines:
+    for _, _, element, *_ in lines:
         path = []
         while element >= 0:
             path.append(element)
@@ -207,7 +212,10 @@ def main_text(html: str | None) -> str:
         wide = [e for e, n in held.items() if n >= MOST_OF_TEXT * whole and page.kind[e] in FENCES]
         depth = {e: len(p[: p.index(e)]) for p in paths for e in p}
         regions = {max(wide, key=lambda e: (depth[e], e))} if wide else None
-    return "\n\n".join(t for (t, *_), p in zip(lines, paths) if regions is None or not regions.isdisjoint(p))
+    # outside an article, lines of links alone that weren't selected are menus
+    plain = regions is None or not any(page.kind[e] in ("article", "main") for e in regions)
+    kept = [k for k, p in enumerate(paths) if (regions is None or not regions.isdisjoint(p)) and not (plain and lines[k][4] and not content[k])]
+    return "\n\n".join(lines[k][0] for k in kept)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

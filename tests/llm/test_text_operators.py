@@ -193,6 +193,7 @@ PAGES = [
     ("<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a>x</a></nav><article><h1>Head</h1><p>One &amp; two\n three</p><p>Short.<p>More</article><footer>f</footer></body></html>", "Head\n\nOne & two three\n\nShort.\n\nMore"),
     ("<body><div id=menu><a>x</a><a>y</a></div><div class=content><p>A long paragraph of text that is the content here.</p><p>Short.</p></div><div class='side-bar sidebar'>hello there</div></body>", "A long paragraph of text that is the content here.\n\nShort."),
     ("<article><p>Body text is here.</p><div class='ad'>Buy</div><form>q</form><section class=comments><p>I disagree with this long text entirely, dear author.</p></section></article>", "Body text is here."),
+    ("<body><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>All</a></ul><p>" + "Long text of the page. " * 9 + "</p><p>See <a href=4>more of it</a> here.</p></body>", ("Long text of the page. " * 9).strip() + "\n\nSee more of it here."),
     ("just text", "just text"), ("<![foo x]><p>a b", "a b"), ("", ""), (None, ""), ("<article><p>x</article><footer>f", "x"), ("<p>a<br>b</p>", "a b"),
 ]
 
