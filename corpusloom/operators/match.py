@@ -68,11 +68,16 @@ def top_k(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def link_mentions(texts: DataFrame, lexicon: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_limit: int = 100_000) -> DataFrame:
+# Capitalised words that don't make a name longer.
+NOT_NAMES = frozenset("The A An In On Of For And But Or To By At From With As This That These Those His Her Its He She It They When While After Before".split())
+
+
+def link_mentions(texts: DataFrame, lexicon: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", guard: bool = True) -> DataFrame:
     """(id, target, surface, position): surfaces of a lexicon found in texts.
 
-    Longer surfaces win over shorter ones they hold, a found span is masked, and a
-    target counts once a text.  Candidates come from an equi-join on the first
+    Longer surfaces win over shorter ones they hold, found spans are masked, and a
+    target counts once a text.  With ``guard`` a surface of one word whose first
+    hit touches a capitalised word is part of a longer name and no link.  Candidates come from an equi-join on the first
     word, so a text meets only surfaces it may hold.
     """
     import re
@@ -90,9 +95,13 @@ def link_mentions(texts: DataFrame, lexicon: DataFrame, *, id_col: str = "doc_id
             for i, text, found in frame.itertuples(index=False, name=None):
                 masked, seen = text, set()
                 for row in sorted(found, key=lambda r: (-len(r["surface"]), r["surface"], r["target"])):
-                    hit = re.search(r"(?<![A-Za-z0-9_])" + re.escape(row["surface"]) + r"(?![A-Za-z0-9_])", masked, re.IGNORECASE)
+                    pattern = re.compile(r"(?<![A-Za-z0-9_])" + re.escape(row["surface"]) + r"(?![A-Za-z0-9_])", re.IGNORECASE)
+                    hit = pattern.search(masked)
+                    if hit and guard and " " not in row["surface"]:
+                        near = [*re.findall(r"([A-Z][\w'-]*) $", masked[: hit.start()][-40:]), *re.findall(r"^ ([A-Z][\w'-]*)", masked[hit.end() :][:40])]
+                        hit = None if any(w not in NOT_NAMES for w in near) else hit
                     if hit:
-                        masked = masked[: hit.start()] + "\0" * (hit.end() - hit.start()) + masked[hit.end() :]
+                        masked = pattern.sub(lambda m: "\0" * len(m[0]), masked)
                         if row["target"] not in seen:
                             seen.add(row["target"])
                             out.append((i, row["target"], row["surface"], hit.start()))
@@ -134,3 +143,13 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, most: int, key: str = "key")
     hit = l.join(r, (F.col("q.size") == F.col("size")) & (F.col("q.k") == F.col("p.k")) & (F.col("q.piece") == F.col("p.piece")))
     dist = F.levenshtein(F.col(key), F.col("near"))
     return hit.select(key, "near").distinct().where(F.col(key) != F.col("near")).withColumn("distance", dist).where(F.col("distance") <= most)
+
+
+def with_ratio(pairs: DataFrame, a: str, b: str, least: float = 0.82) -> DataFrame:
+    """Pairs whose matching-block ratio is at least ``least``, with the ratio."""
+    from difflib import SequenceMatcher
+
+    from pyspark.sql.types import DoubleType
+
+    ratio = F.pandas_udf(lambda x, y: x.combine(y, lambda p, q: SequenceMatcher(None, p, q).ratio()), DoubleType())
+    return pairs.withColumn("ratio", ratio(a, b)).where(F.col("ratio") >= least)

@@ -149,6 +149,13 @@ def fuzzy_near_miss(spark: SparkSession, d: str) -> DataFrame:
     return M.fuzzy_pairs(keys, keys, 4)
 
 
+@query(None)
+def fuzzy_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest names of each by ratio, among those within four edits."""
+    keys = table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
+    return M.top_k(M.with_ratio(M.fuzzy_pairs(keys, keys, 4), "key", "near"), "key", [F.desc("ratio"), F.asc("near")], 3)
+
+
 @query("""
 WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R')
 SELECT coalesce(o.node, i.node) AS node, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in

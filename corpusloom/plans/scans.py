@@ -173,3 +173,19 @@ SELECT p_partkey, replace(replace(replace(p_name, chr(9), ' '), chr(10), ' '), c
 def tsv_export(spark: SparkSession, d: str) -> DataFrame:
     flat = lambda c: F.regexp_replace(c, r"[\t\n\r]", " ")
     return table(spark, d, "part").select("p_partkey", F.concat_ws("\t", flat("p_name"), flat("p_brand"), F.lower(F.replace("p_type", F.lit(" "), F.lit("_")))).alias("line"))
+
+
+@query("""
+SELECT p_brand AS unit, p_partkey AS pos, split_part(p_type, ' ', 1) AS section, trim(p_name) AS answerline, 'x' || CAST(p_size AS VARCHAR) AS variant, p_type AS topic, CAST(p_retailprice > 1500 AS VARCHAR) AS note,
+ CASE WHEN row_number() OVER (PARTITION BY p_brand, split_part(p_type, ' ', 1), lower(trim(p_name)) ORDER BY p_partkey) > 1 THEN 'duplicate' END AS error FROM part
+""")
+def dsl_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines made of parts, a section line before each entry, parsed again."""
+    from corpusloom.sources.dsl import entries
+
+    part = table(spark, d, "part")
+    entry = F.concat("p_name", F.lit(" = x"), F.col("p_size").cast("string"), F.lit(" -> "), "p_type", F.lit(" | "), (F.col("p_retailprice") > 1500).cast("string"))
+    head = F.concat(F.lit("# "), F.substring_index("p_type", " ", 1))
+    lines = part.select(F.col("p_brand").alias("unit"), "p_partkey", F.posexplode(F.array(head, F.lit("> blurb"), entry)).alias("k", "line")).withColumn("pos", F.col("p_partkey") * 3 + F.col("k"))
+    out = entries(lines.select("unit", "pos", "line"), key="unit", pos="pos", text="line")
+    return out.select("unit", ((F.col("pos") - 2) / 3).cast("long").alias("pos"), "section", "answerline", F.get("variants", F.lit(0)).alias("variant"), "topic", "note", "error")

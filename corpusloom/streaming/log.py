@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LATE = "1 hour"
 
@@ -35,6 +37,34 @@ def sessions(log: DataFrame, gap: str, late: str = LATE) -> DataFrame:
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def review_step(state: list, right: bool, clock: int) -> list:
+    """One review of [stability, difficulty, reps, lapses, last], as the batch replay does it."""
+    stab, diff, reps, lapses, _ = state
+    diff = min(10.0, max(1.0, diff + (-0.3 if right else 0.6)))
+    stab = stab * (1 + (11 - diff) / 10) if right else max(0.5, stab * 0.4)
+    return [stab, diff, reps + 1, lapses + (not right), clock]
+
+
+def replayed(log: DataFrame) -> DataFrame:
+    """Review state of every (uid, k) that a batch of new attempts touched; the state outlives the batches."""
+    import pandas as pd
+
+    def run(key, frames, state):
+        clock, held = json.loads(state.get[0]) if state.exists else (0, {})
+        touched = set()
+        for row in pd.concat(frames).sort_values(["at", "event_id"]).itertuples():
+            clock += 1
+            k = str(int(row.k))
+            held[k] = review_step(held.get(k, [1.0, 5.0, 0, 0, 0]), row.res == "C", clock)
+            touched.add(k)
+        state.update((json.dumps([clock, held]),))
+        yield pd.DataFrame([(key[0], int(k), *held[k]) for k in sorted(touched)], columns=["uid", "k", "stab", "diff", "reps", "lapses", "last"])
+
+    return log.groupBy("uid").applyInPandasWithState(
+        run, "uid long, k long, stab double, diff double, reps long, lapses long, last long", "held string", "update", "NoTimeout"
+    )
+
+
 def drained(df: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, to the shared folder, and read the result as a table."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
@@ -42,6 +72,9 @@ def drained(df: DataFrame, spark: SparkSession, mode: str = "append") -> DataFra
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
+    elif mode == "update":  # later batches hold newer states
+        writer.foreachBatch(lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{at}/out")).start().awaitTermination()
+        return spark.read.schema(StructType(list(df.schema.fields)).add("_batch", "long")).parquet(f"{at}/out")
     else:
         writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")

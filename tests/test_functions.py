@@ -135,3 +135,32 @@ def test_write_changed_writes_only_what_differs(spark, tmp_path):
     old = spark.createDataFrame([(1, "x"), (2, "q")], "id long, v string").withColumn("digest", tables.content_hash(F.col("v")))
     tables.write_changed(new, old, "id", str(tmp_path / "out"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2, 3]
+
+
+def test_a_word_of_a_longer_name_is_no_link(spark):
+    texts = spark.createDataFrame([(1, "Mozart met Haydn Variations fans"), (2, "The Haydn of it")], "doc_id long, text string")
+    lex = spark.createDataFrame([("Haydn", "h")], "surface string, target string")
+    assert {r["doc_id"] for r in match.link_mentions(texts, lex).collect()} == {2}
+    assert {r["doc_id"] for r in match.link_mentions(texts, lex, guard=False).collect()} == {1, 2}
+
+
+def test_outline_errors(spark):
+    from corpusloom.sources.dsl import entries
+
+    lines = ["a = b", "# One", "> blurb", "Cat = Kitty = Tom -> Felis | seen", "- cat", "= x", ""]
+    df = spark.createDataFrame([("u", k, t) for k, t in enumerate(lines)], "unit string, pos int, line string")
+    got = {r["pos"]: r for r in entries(df, key="unit", pos="pos", text="line").collect()}
+    assert {p: r["error"] for p, r in got.items()} == {0: "orphan", 3: None, 4: "duplicate", 5: "missing"}
+    assert got[3]["variants"] == ["Kitty", "Tom"] and got[3]["topic"] == "Felis" and got[3]["note"] == "seen" and got[4]["nested"]
+
+
+def test_review_step_is_the_batch_step(spark):
+    from corpusloom.streaming.log import review_step
+
+    state = [1.0, 5.0, 0, 0, 0]
+    reviews = [True, False, True, True, False]
+    for clock, right in enumerate(reviews, 1):
+        state = review_step(state, right, clock)
+    log = spark.createDataFrame([("u", 1, c, "C" if r else "W") for c, r in enumerate(reviews, 1)], "uid string, k long, clock long, res string")
+    row = ordered.replay(log).first()
+    assert [row["reps"], row["lapses"], row["last"]] == state[2:] and abs(row["stab"] - state[0]) < 1e-9 and abs(row["diff"] - state[1]) < 1e-9
