@@ -30,6 +30,8 @@ from .common import documents_of, flat_bytes, map_batches, slices
 
 NONE = np.int64(1) << 40
 LONG_WORD = 48
+#: Longer words are merged exactly at once: one alone would be matched token by token.
+SPECULATE_MOST = 1024
 CACHE_BITS = 19
 STORE_MOST = 4_000_000
 
@@ -290,9 +292,9 @@ class Vocabulary:
 
     def encode_words(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact tokens of words: speculate, verify, and merge those that fail."""
-        flat, counts = self.longest(buf, starts, lengths)
+        fails = lengths > SPECULATE_MOST
+        flat, counts = self.longest(buf, starts, np.where(fails, 0, lengths))
         of = np.repeat(np.arange(len(starts)), counts)
-        fails = np.zeros(len(starts), bool)
         fails[of[~self.stable[flat]]] = True
         seam = np.flatnonzero(of[1:] == of[:-1])
         seam = seam[~fails[of[seam]]]

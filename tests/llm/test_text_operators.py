@@ -16,7 +16,7 @@ from corpusloom.llm.common import flat_bytes
 BPE = path("byte_bpe_50k.json")
 ODD = [
     None, "", " ", "  ", "\n", "\n\n a", "it's 'tis  we'll they've x're's", "''s", "a'S", "\n's", "a<|endoftext|>b  <|endoftext|>", "<|endoftext|>" * 2, "x" * 3000,
-    "日本語 テキスト" * 50, "é" * 70, "1²½ⅷ٣", "a\x00b\x1c", "🙂👍🏽 ok", "l'lle", " 'veb", "a've", "word " * 20000,
+    "日本語 テキスト" * 50, "é" * 70, "1²½ⅷ٣", "a\x00b\x1c", "🙂👍🏽 ok", "l'lle", " 'veb", "a've", "word " * 20000, "thequick" * 4000,
 ]
 
 
