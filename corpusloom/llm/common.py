@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -111,3 +113,10 @@ def flat_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = arr.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def release() -> None:
+    """Give freed memory back, as a Python worker is used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

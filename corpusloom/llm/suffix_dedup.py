@@ -48,7 +48,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, shuffle_partitions
+from .common import flat_bytes, release, shuffle_partitions
 from .textarrays import mixed
 
 WINDOW = 50
@@ -143,8 +143,7 @@ class Chunk:
     """The documents of one chunk, sorted by id, as one byte string."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        ids = np.asarray(pc.fill_null(table.column("doc_id"), NO_ID).combine_chunks()) if table.num_rows else np.zeros(0, np.int64)
+        ids = np.asarray(pc.fill_null(table.column("doc_id"), NO_ID).combine_chunks()) if table.num_rows else np.zeros(0, np.int64)  # one small column
         order = np.argsort(ids, kind="stable")
         self.order = order
         self.ids = ids[order]
@@ -274,6 +273,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         if not hashes:
             return
         hashes, docs_, buckets = map(np.concatenate, (hashes, docs_, buckets))
+        del whole, table, tables
+        release()
         for bucket, rows in _split(buckets):
             order = rows[np.lexsort((docs_[rows], hashes[rows]))]
             h, d = hashes[order], docs_[order]
@@ -369,6 +370,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                     out["mark"].append(m[first].astype("<u8").tobytes())
                     out["bytes"].append(text.tobytes())
         kinds = {"bucket": pa.int32(), "chunk": pa.int32()}
+        release()
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
     def compare(batches):
@@ -446,6 +448,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 m, o, k, f = (np.concatenate(x) for x in zip(*parts))
                 cols = (m.astype("<u8").tobytes(), o.astype(np.uint8).tobytes(), k.astype(np.uint8).tobytes(), f.astype("<i8").tobytes())
                 yield pa.record_batch([pa.array([c], pa.int32()), *(pa.array([x], pa.binary()) for x in cols)], names=["chunk", "mark", "offset", "run", "found"])
+            release()
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     fields += [("kept_text", pa.string())] * with_text
@@ -473,7 +476,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 smaller = found[idx] < whole.ids[of[which]]
                 np.add.at(gone, base + first[smaller], 1)
                 np.add.at(gone, base + ends[smaller] + window - 1, -1)
-        removed = np.cumsum(gone[:-1], dtype=np.int16) > 0
+        np.cumsum(gone, out=gone)
+        removed = gone[:-1] > 0
+        del gone
         rise = np.flatnonzero(removed & ~np.concatenate(([False], removed[:-1])) if len(removed) else removed)
         starts, sizes = whole.offsets[:-1], np.diff(whole.offsets)
         inner = starts[(starts > 0) & (sizes > 0)]
@@ -490,7 +495,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         cols = [ids, pa.array(np.diff(whole.offsets)), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
         if with_text:
             cols.append(pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string()))
+        del texts, kept, removed
         cols += [left.column(c).take(pa.array(whole.order)) for c in carry]
+        release()
         return pa.Table.from_arrays(cols, names=[f[0] for f in fields] + list(carry))
 
     asked = chunks.mapInArrow(ask, "bucket int, chunk int, hashes binary, many binary")
