@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import langid, packing, simhash, suffix_dedup, toxicity
+from corpusloom.llm import langid, packing, shingle_join, suffix_dedup, toxicity
 from corpusloom.llm.common import table, written
 from corpusloom.llm.queries import TOKENIZER
 
@@ -23,7 +23,7 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return shingle_join.keep_one(docs)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

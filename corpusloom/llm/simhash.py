@@ -271,11 +271,16 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 4, seed: int =
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that with the smallest doc_id.
+    """``docs`` with one document of each near-duplicate group: that with the smallest doc_id."""
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is its component_id in ``found``.
 
     Rows without a doc_id stay; of rows that repeat a kept doc_id one stays.
     """
-    found = near_duplicates(docs, **options).where("doc_id is not null and doc_id = component_id")
+    found = found.where("doc_id is not null and doc_id = component_id")
     kept = cut(found.groupBy("doc_id").agg(F.count("*").alias("__copies")))
     rows = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
     twice = kept.where("__copies > 1")

@@ -176,6 +176,45 @@ def test_near_duplicates_against_all_pairs(spark, sf):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 == simhash.keep_one(df.limit(0)).count()
 
 
+def five_word_sets(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_stage_against_all_pairs(spark, sf):
+    import corpus_pipeline as p
+
+    rnd = random.Random(6)
+    word = lambda: rnd.choice("abcdefghijklmnop") + rnd.choice("aeiou") + str(rnd.randint(0, 40))
+    line = [word() for _ in range(60)]
+    texts = [None, "", " ", "one two", "ONE  two", "one two three four five"]
+    for k in range(25):
+        base = [word() for _ in range(rnd.randint(10, 250))] + (line if k % 3 == 0 else [])
+        for _ in range(5):
+            copy = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 40))):
+                copy[rnd.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    hub = [word() for _ in range(80)]
+    texts += [" ".join([*hub, word(), word()]) for _ in range(60)]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    rnd.shuffle(texts)
+    sets = [five_word_sets(t) for t in texts]
+    comp = list(range(len(texts)))
+    changed = True
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in links:
+            if comp[i] != comp[j]:
+                comp[i] = comp[j] = min(comp[i], comp[j])
+                changed = True
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = dict(p.STAGES)["near_duplicates"](spark, docs, sf)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp))
+    assert dict(p.STAGES)["near_duplicates"](spark, docs.limit(0), sf).count() == 0
+
+
 def test_long_chains_become_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(200, 201)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
