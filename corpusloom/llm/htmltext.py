@@ -5,8 +5,8 @@ block of text, and counts for each the characters and the tags around them.  The
 ratios are smoothed with a Gaussian over neighbouring lines, and lines above the
 threshold (their standard deviation, as in content extraction via tag ratios) form
 the clusters that select the content regions.  A region is the page's element
-that holds the selected text: its article or main element if it has one, else
-the deepest element with most of that text.  All lines of a region are kept in
+that holds the selected text: its article or main elements if they hold over half
+of it, else the deepest element with most of that text.  All lines of a region are kept in
 page order, so short paragraphs aren't lost, except those inside elements whose
 tag, role, class or id says menu, header, footer, sidebar, notice, advert, form
 or reader comment, and, where there is no article or main element, unselected
@@ -199,8 +199,8 @@ def main_text(html: str | None) -> str:
         paths.append(path[::-1])
     for kind in ("article", "main"):
         regions = {e for p, c in zip(paths, content) if c for e in p if page.kind[e] == kind}
-        regions = regions or {e for p in paths for e in p if page.kind[e] == kind}
-        if regions:
+        inside = np.array([not regions.isdisjoint(p) for p in paths])
+        if size[content & inside].sum() > 0.5 * size[content].sum():
             break
     else:
         held: dict[int, float] = {}

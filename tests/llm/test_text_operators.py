@@ -208,5 +208,13 @@ def test_main_text(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_teaser_articles_are_not_the_main_text():
+    story = [f"Paragraph {k} of the story, " + "with many more words to read " * 8 for k in range(6)]
+    story = [" ".join(x.split()) for x in story]
+    cards = "".join(f"<article><a href='#'>Card {k}</a></article>" for k in range(4))
+    page = f"<html><body><div>{''.join(f'<p>{x}</p>' for x in story)}</div><section>{cards}</section></body></html>"
+    assert htmltext.main_text(page) == "\n\n".join(story)
+
+
 def test_smoothing_keeps_levels():
     assert np.allclose(htmltext.smoothed(np.full(7, 3.0)), 3.0) and len(htmltext.smoothed(np.ones(1))) == 1
