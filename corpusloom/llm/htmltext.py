@@ -8,7 +8,7 @@ the clusters that select the content regions.  A region is the page's element
 that holds the selected text: its article or main elements if they hold over half
 of it, else the deepest element with most of that text.  All lines of a region are kept in
 page order, so short paragraphs aren't lost, except those inside elements whose
-tag, role, class or id says menu, header, footer, sidebar, notice, advert, form
+tag, role or a whole class or id says menu, header, footer, sidebar, notice, advert, form
 or reader comment, and, where there is no article or main element, unselected
 lines of nothing but links.
 
@@ -55,6 +55,11 @@ CLOSES_P = BLOCKS - {"option", "optgroup", "caption", "tbody", "thead", "tfoot",
 FENCES = frozenset("article main section div aside nav header footer form table td th ul ol dl blockquote body".split())
 
 
+def named_apart(names: str) -> bool:
+    """Whether one of the class or id tokens is made of marks alone, as ``ad`` or ``cookie-banner``."""
+    return any((words := WORD.findall(name)) and all(w.lower() in MARKS for w in words) for name in names.split())
+
+
 def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     """Whether an element is apart from the main text by its tag, role, class or id."""
     if tag in APART:
@@ -62,7 +67,7 @@ def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in ("html", "body", "main", "article"):
         return any(k in ("class", "id") and tag == "article" and {"comment", "comments", "reply"} & {w.lower() for w in WORD.findall(v or "")} for k, v in attrs)
     for k, v in attrs:
-        if k in ("class", "id") and v and not MARKS.isdisjoint(w.lower() for w in WORD.findall(v)):
+        if k in ("class", "id") and v and named_apart(v):
             return True
         if k == "role" and v and v.lower() in ROLES:
             return True

@@ -216,5 +216,12 @@ def test_teaser_articles_are_not_the_main_text():
     assert htmltext.main_text(page) == "\n\n".join(story)
 
 
+@pytest.mark.parametrize("names", ["class='content has-sidebar'", "id='header-and-body'", "class='ad-free'"])
+def test_marks_within_longer_names_keep_the_text(names):
+    text = "Some words of the article. " * 10
+    page = f"<body><div class='cookie-banner'>Cookies</div><div {names}><article><div class='section-header'>Head</div><p>{text}</p></article></div></body>"
+    assert htmltext.main_text(page) == "Head\n\n" + text.strip()
+
+
 def test_smoothing_keeps_levels():
     assert np.allclose(htmltext.smoothed(np.full(7, 3.0)), 3.0) and len(htmltext.smoothed(np.ones(1))) == 1
