@@ -1,22 +1,32 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash candidates and the exact Jaccard similarity of word shingles.
 
-All pairs of texts whose sets of shingles have at least ``LEAST`` in common are
-linked, and none else.  Shingles have one order for all texts, those that a sample
-holds often last; the smallest common shingle of two similar texts lies among the
-first n - ceil(0.8 n) + 1 of each (prefix filter), so only texts that share such a
-shingle are compared, all their shingles against each other.  The sample decides the
-order alone, which any order would serve.
+All pairs of texts whose sets of five-word shingles have a similarity of at least
+``LEAST`` are linked, and none else.  The candidates come in three steps, each
+checked against the texts' whole sets:
+
+1. The binary-trie self-join of ``simhash`` over fingerprints of the same shingles.
+   Most near copies are linked here, but fingerprints of texts at a similarity of 0.8
+   differ by about ten of 64 bits, which no trie walk can reach, so
+2. texts that share a rare shingle follow.  Shingles have one order for all texts,
+   those that a sample holds often last; the smallest common shingle of two similar
+   texts lies among the first n - ceil(0.8 n) + 1 of each (prefix filter).  Under
+   every shingle a text is compared with its neighbour by size and with the smallest
+   text, if they lie in different components yet.
+3. Texts of different components that still share such a shingle are compared.
+
+The sample decides the order alone, which any order would serve.  A shingle that
+the sample holds often is split over several tasks in step 2.
 
 Each set also has 1,024 parity bits, one for each class of hashes.  At least as many
 shingles differ as parity bits do, so pairs over the limit are dropped before their
 shingles are moved.
 
-Large groups aren't compared pair by pair: first each text is compared with its
-neighbour and the smallest text under every shingle, then only texts of different
-components are.
-
 Defined cases: a text of fewer words than a shingle is one shingle; null and blank
-texts are equal to each other and to no other; equal sets are linked.
+texts are equal to each other and to no other; equal sets are linked; a text of any
+length counts whole; rows without a doc_id take no part, and ``keep_one`` keeps them;
+repeated rows are repeated in ``near_duplicates``, and of rows that repeat a kept
+doc_id ``keep_one`` keeps one; an empty table gives an empty result; other columns,
+whatever their names, are carried by ``keep_one`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -28,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, documents_of, map_batches, release, slices, written
-from .simhash import components, keep_first
+from .simhash import components, keep_first, links, majority, shingle_hashes, with_class
 
 WORDS = 5
 #: Least similarity, as a fraction.
@@ -37,21 +47,15 @@ LEAST = (4, 5)
 PARITY = 16
 SAMPLE_ROWS = 20_000
 MOST_HEAVY = 200_000
-#: Ids of compared sets that are sent to all tasks rather than the sets be shuffled.
+#: Texts that share a shingle and are compared in one task, about.
+SHARE_ROWS = 20_000
+#: Ids of compared texts that are sent to all tasks rather than the texts be shuffled.
 MOST_SENT = 500_000
 
 
 def shingles(text: str | None, words_per_shingle: int = WORDS, seed: int = 42) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; words are those of the fingerprint."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(words) - words_per_shingle + 1)].tolist()
-    ends = ends[min(words_per_shingle, len(words)) - 1 :].tolist()
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends)], np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(text, words_per_shingle, seed).view(np.int64))
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -60,8 +64,13 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def lists_of(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+
+
 def heavy_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least four texts of a sample of bounded size hold, sorted, and how many hold them."""
+    """Shingles that at least four texts of a sample of bounded size hold, sorted, and about how many texts hold them."""
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -71,98 +80,167 @@ def heavy_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
         return step
 
     every = max(1, docs.count() // SAMPLE_ROWS)
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
     found = map_batches(sample, make, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n >= 4")
     rows = found.orderBy(F.desc("n"), "s").limit(MOST_HEAVY).toArrow().sort_by("s")
-    return np.asarray(rows.column("s")), np.asarray(rows.column("n"))
+    return np.asarray(rows.column("s")), np.asarray(rows.column("n")) * every
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, n, shingles, bits): every text's shingles in the common order; equal sets have equal ``fp``."""
-    heavy, often = heavy_shingles(docs, words)
+def text_facts(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key, n, fp, bits, prefix, parts) of every text.
+
+    ``key`` stands for the set of shingles, ``fp`` is the SimHash, ``prefix`` holds the
+    first shingles in the common order and ``parts`` over how many tasks each is split.
+    """
+    heavy, holders = heavy_shingles(docs, words)
+    over, under = LEAST
 
     def make():
-        def ordered(s: np.ndarray) -> np.ndarray:
+        def prefix(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            k = len(s) + (len(s) > 0) - -(-len(s) * over // under)
             if not len(heavy) or not len(s):
-                return s
+                return s[:k], np.ones(k, np.int64)
             at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-            return s[np.argsort(np.where(heavy[at] == s, often[at], 0), kind="stable")]
+            often = np.where(heavy[at] == s, holders[at], 0)
+            first = np.argsort(often, kind="stable")[:k]
+            return s[first], 1 + often[first] // SHARE_ROWS
 
         def step(batch: pa.RecordBatch):
             for part in slices(batch, 1):
-                sets = [shingles(t.as_py(), words) for t in part.column(1)]
-                fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-                size = np.fromiter(map(len, sets), np.int32, len(sets))
-                flat = np.concatenate([ordered(s) for s in sets])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(flat))
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PARITY, pa.int32()), pa.array(np.concatenate([parity(x) for x in sets])))
-                yield pa.record_batch([part.column(0), pa.array(fps), pa.array(size), lists, bits], names=["doc_id", "fp", "n", "shingles", "bits"])
+                hashes = [shingle_hashes(t.as_py(), words) for t in part.column(1)]
+                sets = [np.unique(h.view(np.int64)) for h in hashes]
+                firsts = [prefix(s) for s in sets]
+                cols = [
+                    pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)),
+                    pa.array(np.fromiter(map(len, sets), np.int32, len(sets))),
+                    pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64)),
+                    lists_of([parity(s) for s in sets]),
+                    lists_of([f for f, _ in firsts]),
+                    lists_of([p for _, p in firsts]),
+                ]
+                yield pa.record_batch([part.column(0), *cols], names=["doc_id", "key", "n", "fp", "bits", "prefix", "parts"])
             release()
 
         return step
 
-    return map_batches(docs, make, "doc_id long, fp long, n int, shingles array<long>, bits array<long>")
+    return map_batches(docs, make, "doc_id long, key long, n int, fp long, bits array<long>, prefix array<long>, parts array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar, first by their parity bits, then by all their shingles."""
-    over, under = LEAST
+class Verifier:
+    """Checks candidate pairs of keys, first by their parity bits, then by all their shingles."""
+
+    def __init__(self, docs: DataFrame, distinct: DataFrame, words: int):
+        self.docs, self.distinct, self.words = docs, distinct, words
+
+    def wanted(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        return rows.join(F.broadcast(keys) if keys.count() < MOST_SENT else keys, "key", "left_semi")
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(key, n, held): the whole sets of the texts of ``pairs``, made from the texts once more."""
+        ids = cut(self.wanted(pairs, self.distinct.select("key", "n", "doc_id")))
+        words = self.words
 
-    def held(pairs: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-        wanted = F.broadcast(wanted) if wanted.count() < MOST_SENT else wanted
-        rows = written(sets.select("fp", "n", column).join(wanted, "fp", "left_semi").groupBy("fp", "n").agg(F.first(column).alias("held")), column)
-        return tuple(rows.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("held").alias(f"held_{k}")) for k in "ab")
+        def make():
+            def step(batch: pa.RecordBatch):
+                for part in slices(batch, 2):
+                    yield pa.record_batch([part.column(0), part.column(1), lists_of([shingles(t.as_py(), words) for t in part.column(2)])], names=["key", "n", "held"])
 
-    a, b = held(pairs, "bits")
-    differ = F.aggregate(F.zip_with("held_a", "held_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # of n_a + n_b shingles, counted in each set, at most this share can be in one set alone
-    near = differ * (over + under) <= (under - over) * (F.col("n_a") + F.col("n_b"))
-    pairs = cut(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"))
-    a, b = held(pairs, "shingles")
-    similar = F.size(F.array_intersect("held_a", "held_b")) * (over + under) >= over * (F.col("n_a") + F.col("n_b"))
-    return cut(pairs.join(a, "a").join(b, "b").where(similar).select("a", "b"))
+            return step
 
+        few = F.broadcast(ids) if ids.count() < MOST_SENT else ids
+        texts = self.docs.join(few, "doc_id").select("key", "n", "text")
+        rows = map_batches(texts, make, "key long, n int, held array<long>")
+        # a repeated doc_id may bring another text
+        return written(rows.where(F.size("held") == F.col("n")).groupBy("key", "n").agg(F.first("held").alias("held")), "sets")
 
-def similar_links(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) of distinct sets whose components are those of all similar pairs."""
+    def both(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        for k in "ab":
+            pairs = pairs.join(rows.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("held").alias(f"held_{k}")), k)
+        return pairs
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        over, under = LEAST
+        both = F.col("n_a") + F.col("n_b")
+        bits = self.wanted(pairs, self.distinct.select("key", "n", F.col("bits").alias("held")))
+        differ = F.aggregate(F.zip_with("held_a", "held_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        # of n_a + n_b shingles, counted in each set, at most this share can be in one set alone
+        pairs = cut(self.both(pairs, bits).where(differ * (over + under) <= (under - over) * both).select("a", "b"))
+        if not pairs.limit(1).count():
+            return pairs
+        similar = F.size(F.array_intersect("held_a", "held_b")) * (over + under) >= over * both
+        return cut(self.both(pairs, self.sets(pairs)).where(similar).select("a", "b"))
+
+
+def ordered(x, y):
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def trie_pairs(distinct: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of keys: fingerprints that the trie links, and keys of one fingerprint."""
+    of_fp = cut(distinct.groupBy("fp").agg(F.min("key").alias("least")))
+    twins = distinct.join(of_fp, "fp").where("key <> least").select(*ordered("key", "least"))
+    near = links(of_fp.select("fp"))
+    for k in "ab":
+        near = near.join(of_fp.select(F.col("fp").alias(k), F.col("least").alias(f"key_{k}")), k)
+    return cut(twins.unionByName(near.select(*ordered("key_a", "key_b"))).distinct())
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame:
+    """Edges (a, b) of keys whose components are those of all similar pairs of ``distinct``."""
     over, under = LEAST
-    prefix = F.slice("shingles", 1, F.col("n") - F.ceil(F.col("n") * over / under).cast("int") + 1)
-    distinct = sets.where("n > 0").groupBy("fp", "n").agg(F.first(prefix).alias("prefix"))
-    tokens = distinct.select("fp", "n", F.posexplode("prefix").alias("place", "token"))
-    by = Window.partitionBy("token").orderBy("n", "fp")
-    me = F.struct("fp", "n", "place")
-    near = tokens.select("*", F.lag(me).over(by).alias("before"), F.lead("fp").over(by).alias("after"), F.first(me).over(by).alias("first"))
-    shared = written(near.where("before is not null or after is not null").drop("after"), "shared")
+    verified = Verifier(docs, distinct, words)
+    edges = verified(trie_pairs(distinct))
+
+    def placed(rows: DataFrame, on: str) -> DataFrame:
+        """``rows`` with the component so far of the key ``on``."""
+        return rows.join(roots.withColumnRenamed("key", on), on, "left").withColumn(f"root_{on}", F.coalesce("root", on)).drop("root")
 
     def pairs_of(rows: DataFrame, x: str, y: str) -> DataFrame:
         """Pairs that can be similar: from the first common shingle on they can have no more in common than is left of each."""
         n_x, n_y = F.col(f"{x}.n"), F.col(f"{y}.n")
         reach = F.least(n_x - F.col(f"{x}.place"), n_y - F.col(f"{y}.place"))
-        possible = rows.where((F.col(f"{x}.fp") != F.col(f"{y}.fp")) & (reach * (over + under) >= over * (n_x + n_y)))
-        return possible.select(F.least(f"{x}.fp", f"{y}.fp").alias("a"), F.greatest(f"{x}.fp", f"{y}.fp").alias("b"))
-
-    one = shared.where("before is not null").withColumn("me", me)
-    seen = cut(pairs_of(one, "me", "before").unionByName(pairs_of(one, "me", "first")).distinct())
-    edges = verified(seen, sets)
-
-    roots = cut(components(edges)).withColumnRenamed("node", "fp")
-    placed = shared.join(roots, "fp", "left").select("token", F.coalesce("root", "fp").alias("root"), me.alias("me"))
-    groups = placed.select("token", "root").distinct()
+        possible = rows.where((F.col(f"{x}.key") != F.col(f"{y}.key")) & (reach * (over + under) >= over * (n_x + n_y)))
+        return possible.select(*ordered(f"{x}.key", f"{y}.key"))
+
+    me = F.struct("n", "key", "place")
+    tokens = distinct.select("key", "n", "parts", F.posexplode("prefix").alias("place", "token"))
+    tokens = tokens.select("token", F.pmod("key", F.element_at("parts", F.col("place") + 1)).cast("int").alias("part"), (F.element_at("parts", F.col("place") + 1) > 1).alias("split"), me.alias("me"))
+    by = Window.partitionBy("token", "part").orderBy("me")
+    near = tokens.select("*", F.lag("me").over(by).alias("before"), F.lead("token").over(by).isNotNull().alias("more"), F.first("me").over(by).alias("first"))
+    shared = written(near.where("before is not null or more or split").drop("more"), "shared")
+    firsts = shared.where("split and before is null").select("token", "me", F.first("me").over(Window.partitionBy("token").orderBy("me")).alias("first"))
+
+    roots = cut(components(edges)).withColumnRenamed("node", "key")
+    later = shared.where("before is not null")
+    seen = pairs_of(later, "me", "before").unionByName(pairs_of(later, "me", "first")).unionByName(pairs_of(firsts, "me", "first")).distinct()
+    seen = cut(placed(placed(seen, "a"), "b").where("root_a <> root_b").select("a", "b"))
+    edges = edges.unionByName(verified(seen))
+
+    roots = cut(components(edges)).withColumnRenamed("node", "key")
+    held = shared.select("token", "me", F.col("me.key").alias("key"))
+    mine = held.join(roots, "key", "left").select("token", F.coalesce("root", "key").alias("root"), "me")
+    torn = mine.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    mine = cut(mine.join(torn, "token", "left_semi"))
+    groups = mine.select("token", "root").distinct()
     cross = groups.withColumnRenamed("root", "root_x").join(groups.withColumnRenamed("root", "root_y"), "token").where("root_x < root_y")
-    x, y = (placed.select("token", F.col("root").alias(f"root_{k}"), F.col("me").alias(k)) for k in "xy")
+    x, y = (mine.select("token", F.col("root").alias(f"root_{k}"), F.col("me").alias(k)) for k in "xy")
     other = pairs_of(cross.join(x, ["token", "root_x"]).join(y, ["token", "root_y"]), "x", "y").distinct()
-    return edges.unionByName(verified(cut(other.join(seen, ["a", "b"], "left_anti")), sets))
+    return edges.unionByName(verified(cut(other.join(seen, ["a", "b"], "left_anti"))))
 
 
 def near_duplicates(docs: DataFrame, *, words_per_shingle: int = WORDS) -> DataFrame:
-    """(doc_id, component_id) of each row: the smallest doc_id that links reach, itself included."""
-    sets = written(shingle_sets(documents_of(docs), words_per_shingle), "shingles")
-    classes = cut(sets.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    member = cut(components(similar_links(sets)).withColumnRenamed("node", "fp"))
-    least = member.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("least"))
-    placed = classes.join(member.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return sets.select("doc_id", "fp").join(placed, "fp").select("doc_id", "component_id")
+    """(doc_id, component_id) of each row with a doc_id: the smallest doc_id that links reach, itself included."""
+    docs = documents_of(docs).where("doc_id is not null")
+    facts = written(text_facts(docs, words_per_shingle), "facts")
+    classes = cut(facts.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
+    own = classes.select("key", F.col("rep").alias("doc_id"))
+    distinct = written(facts.where("n > 0").join(own, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]), "distinct")
+    member = cut(components(similar_links(docs, distinct, words_per_shingle)).withColumnRenamed("node", "key"))
+    least = member.join(classes, "key").groupBy("root").agg(F.min("rep").alias("least"))
+    placed = classes.join(member.join(least, "root").select("key", "least"), "key", "left")
+    placed = cut(placed.select("key", F.coalesce("least", "rep").alias("component_id"), "class_size"))
+    return with_class(facts.select("doc_id", "key"), placed, "key").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -8,9 +8,10 @@ has both in one bucket (equal leading segments).  In a bucket the fingerprints,
 bits permuted so that the equal segments lead, form a sorted array that is read
 as a binary trie; pairs of nodes are walked together, differing bits add up, and
 a pair is dropped once it exceeds the error budget or when both nodes already
-lie in one component.  A bucket returns a spanning forest, not its pairs.
+lie in one component.  A bucket returns a spanning forest, not its pairs; one
+with too many rows for a task is dealt anew by further bits.
 
-Defined cases: null or blank text has fingerprint zero and is linked like any
+Defined cases: a text of any length counts whole; null or blank text has fingerprint zero and is linked like any
 other; equal texts share a fingerprint; repeated rows are repeated in the
 result; a null doc_id keeps its row and takes no part in the smallest id; an
 empty table gives an empty result; other columns are ignored.
@@ -27,32 +28,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, documents_of, map_batches, shuffle_partitions
+from .textarrays import mixed
 
 SEGMENTS = (11, 11, 11, 11, 10, 10)
 MAX_BITS = 4
 CHUNK_ROWS = 500_000
+#: Rows of the largest bucket that one task solves; larger ones are dealt anew.
+BUCKET_ROWS = 200_000
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
-    """SimHash of one text as an unsigned 64-bit number."""
+def shingle_hashes(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; a text of fewer words is one shingle, a blank one has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= words_per_shingle:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - words_per_shingle + 1].tolist()
-    hashes = np.array(
-        [digest(joined[a:b], seed) for a, b in zip(starts, ends[words_per_shingle - 1 :].tolist())], np.uint64
-    )
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[words_per_shingle - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero of none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = counts * 2 > len(hashes)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
+    """SimHash of one text as an unsigned 64-bit number."""
+    return majority(shingle_hashes(text, words_per_shingle, seed))
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -174,69 +184,120 @@ def trie_forest(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
     return parent
 
 
-def links(distinct: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """Edges (a, b) of distinct fingerprints ``fp`` whose components are those of all links."""
-    assert budget <= len(SEGMENTS) - 2
-    spark = distinct.sparkSession
-    plan = tables()
+def _spread(batch: pa.RecordBatch):
+    """Rows (bucket, depth, pv, fp) of the 15 tables of a batch of fingerprints."""
+    fp = np.asarray(batch.column("fp")).view(np.uint64)
+    for at in range(0, len(fp), 50_000):
+        part = fp[at : at + 50_000]
+        for t, (bits, moves) in enumerate(tables()):
+            pv = permuted(part, moves)
+            yield _rows((pv >> np.uint64(64 - bits)).astype(np.int64) | (t << 22), np.full(len(pv), bits, np.int32), pv, part)
 
-    def spread():
-        def step(batch: pa.RecordBatch):
-            fp = np.asarray(batch.column(0)).view(np.uint64)
-            for at in range(0, len(fp), 50_000):
-                part = fp[at : at + 50_000]
-                for t, (bits, moves) in enumerate(plan):
-                    pv = permuted(part, moves)
-                    bucket = (pv >> np.uint64(64 - bits)).astype(np.int64) | (t << 22)
-                    yield pa.record_batch([pa.array(bucket), pa.array(pv.view(np.int64)), pa.array(part.view(np.int64))], names=["bucket", "pv", "fp"])
 
-        return step
+def _spread_again(batch: pa.RecordBatch):
+    """Rows of a large bucket by five parts of the bits after its depth: links of 4 bits leave one part equal."""
+    bucket, depth, pv, fp = (np.asarray(batch.column(c)) for c in ("bucket", "depth", "pv", "fp"))
+    pv, fp = pv.view(np.uint64), fp.view(np.uint64)
+    for d in np.unique(depth).tolist():
+        of = depth == d
+        edges = d + (64 - d) * np.arange(MAX_BITS + 2) // (MAX_BITS + 1)
+        for k, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            moves = [(0, 0, d), (lo, d, hi - lo), (d, d + hi - lo, lo - d), (hi, hi, 64 - hi)]
+            moved = permuted(pv[of], [m for m in moves if m[2]])
+            lead = moved >> np.uint64(64 - d - (hi - lo)) & np.uint64((1 << (hi - lo)) - 1)
+            key = mixed(mixed(bucket[of].view(np.uint64) + np.uint64(k + 1)) + lead)
+            yield _rows(key.view(np.int64), np.full(len(moved), d + hi - lo, np.int32), moved, fp[of])
+
+
+def _rows(bucket: np.ndarray, depth: np.ndarray, pv: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(bucket), pa.array(depth), pa.array(pv.view(np.int64)), pa.array(fp.view(np.int64))], names=["bucket", "depth", "pv", "fp"])
 
-    def join(batches):
-        def solve(bucket, pv, fp):
-            for t in np.unique(bucket >> 22):
-                rows = slice(*np.searchsorted(bucket >> 22, [t, t + 1]))
-                b, v, f = bucket[rows], pv[rows].view(np.uint64), fp[rows]
-                starts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                ends = np.concatenate((starts[1:], [len(b)]))
-                root = trie_forest(v, starts, ends, plan[int(t)][0], budget)
-                linked = root != np.arange(len(root))
-                if linked.any():
-                    yield pa.record_batch([pa.array(f[linked]), pa.array(f[root[linked]])], names=["a", "b"])
-
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
-        for batch in batches:
-            held.append(tuple(np.asarray(batch.column(c)) for c in range(3)))
-            rows += batch.num_rows
-            if rows >= CHUNK_ROWS:
-                bucket, pv, fp = (np.concatenate(x) for x in zip(*held))
-                at = int(np.searchsorted(bucket, bucket[-1]))
-                yield from solve(bucket[:at], pv[:at], fp[:at])
-                held, rows = [(bucket[at:], pv[at:], fp[at:])], len(bucket) - at
-        if rows:
-            yield from solve(*(np.concatenate(x) for x in zip(*held)))
-
-    spread_rows = map_batches(distinct.select("fp"), spread, "bucket long, pv long, fp long")
-    return (
-        spread_rows.repartition(shuffle_partitions(spark), "bucket")
-        .sortWithinPartitions("bucket", "pv")
-        .mapInArrow(join, "a long, b long")
-        .distinct()
-    )
 
+def links(distinct: DataFrame, budget: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (a, b) of distinct fingerprints ``fp`` whose components are those of all links.
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    A bucket of over ``bucket_rows`` rows isn't solved in its task: its rows go
+    back and are dealt anew by parts of the bits that the bucket doesn't fix, until
+    buckets are small enough.  A bucket that fixes d bits has at most 2**(64 - d)
+    distinct rows, so this ends.
+    """
+    assert budget <= MAX_BITS
+    bucket_rows = max(bucket_rows, 32)  # more rows than that leave a bit for each part
+
+    def join(batches):
+        def solve(pieces):
+            bucket, depth, pv, fp = (np.concatenate(x) for x in zip(*pieces))
+            for d in np.unique(depth):
+                of = depth == d
+                b, v, f = bucket[of], pv[of].view(np.uint64), fp[of]
+                # a forest needs values that ascend, which those of one table do
+                falls = np.flatnonzero(v[1:] < v[:-1]) + 1
+                for lo, hi in zip([0, *falls.tolist()], [*falls.tolist(), len(v)]):
+                    starts = np.flatnonzero(np.concatenate(([True], b[lo + 1 : hi] != b[lo : hi - 1])))
+                    root = trie_forest(v[lo:hi], starts, np.append(starts[1:], hi - lo), int(d), budget)
+                    linked = root != np.arange(len(root))
+                    if linked.any():
+                        yield _found(f[lo:hi][linked], f[lo:hi][root[linked]])
+
+        def back(pieces):
+            for bucket, depth, pv, fp in pieces:
+                yield pa.record_batch([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(bucket), pa.array(depth), pa.array(pv)], names=["a", "b", "bucket", "depth", "pv"])
+
+        held: list[tuple[np.ndarray, ...]] = []  # rows of whole buckets but for the last, which may go on
+        rows, last, last_rows = 0, None, 0
+        for batch in batches:
+            cols = tuple(np.asarray(batch.column(c)) for c in range(4))
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1, [len(cols[0])])).tolist()
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                piece, key = tuple(c[lo:hi] for c in cols), int(cols[0][lo]) if hi > lo else last
+                if key != last:
+                    if last_rows > bucket_rows:
+                        held, rows = [], 0
+                    elif rows >= CHUNK_ROWS:
+                        yield from solve(held)
+                        held, rows = [], 0
+                    last, last_rows, begin = key, 0, len(held)
+                last_rows += hi - lo
+                if last_rows <= bucket_rows:
+                    held.append(piece)
+                    rows += hi - lo
+                else:
+                    if last_rows - (hi - lo) <= bucket_rows:  # it has just become too large
+                        if begin:
+                            yield from solve(held[:begin])
+                        yield from back(held[begin:])
+                        held, rows = [], 0
+                    yield from back([piece])
+        if held:
+            yield from solve(held)
+
+    def _found(a, b):
+        n = len(a)
+        return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=["a", "b", "bucket", "depth", "pv"])
+
+    def solved(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(shuffle_partitions(distinct.sparkSession), "bucket").sortWithinPartitions("bucket", "pv")
+        return cut(dealt.mapInArrow(join, "a long, b long, bucket long, depth int, pv long"))
+
+    kinds = "bucket long, depth int, pv long, fp long"
+    found = solved(map_batches(distinct.select("fp"), lambda: _spread, kinds))
+    edges = found.where("b is not null").select("a", "b")
+    while found.where("b is null").limit(1).count():
+        again = found.where("b is null").select("bucket", "depth", "pv", F.col("a").alias("fp"))
+        found = solved(map_batches(again, lambda: _spread_again, kinds))
+        edges = edges.unionByName(found.where("b is not null").select("a", "b"))
+    return edges.distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
 
-    Alternating large-star and small-star rounds; every round is checkpointed.
+    Alternating large-star and small-star rounds until nothing changes; every round is checkpointed.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     last = sign(now)
-    for _ in range(max_rounds):
-        if not last[0]:
-            break
+    while last[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
@@ -252,6 +313,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
+def with_class(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``classes`` (key, class_size, ...) on ``key``, where few keys may hold most rows.
+
+    Classes of over a ten-thousandth of all rows, of which there are at most ten
+    thousand, are broadcast; the other rows are joined by shuffle.
+    """
+    large = F.col("class_size") > max(1_000, rows.count() // 10_000)
+    hot = F.broadcast(classes.where(large))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(classes.where(~large), key))
+
+
 def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 4, seed: int = 42, budget: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id, class_size): one row for each row of ``docs``.
 
@@ -265,7 +337,7 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 4, seed: int =
     placed = classes.join(member.join(least, "root").select("fp", "least"), "fp", "left").select(
         "fp", F.coalesce("least", "rep").alias("component_id"), "class_size"
     )
-    return fps.join(placed, "fp").select(
+    return with_class(fps, cut(placed), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_size"
     )
 

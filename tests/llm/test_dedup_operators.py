@@ -176,6 +176,21 @@ def test_near_duplicates_against_all_pairs(spark, sf):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 == simhash.keep_one(df.limit(0)).count()
 
 
+def test_large_buckets_are_dealt_anew(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    v = np.unique(np.concatenate([np.bitwise_xor(b, np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) for b in base]))
+    v = np.unique(np.concatenate([v, rng.integers(0, 2**63, 300, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
+    want = linked(v)
+    for most in (150, 200_000):
+        edges = [(r["a"], r["b"]) for r in simhash.links(df, bucket_rows=most).collect()]
+        at = {int(x): k for k, x in enumerate(v.view(np.int64))}
+        parent = np.arange(len(v))
+        simhash._settle(parent, np.array([at[a] for a, _ in edges]), np.array([at[b] for _, b in edges]))
+        assert (parent == want).all()
+
+
 def five_word_sets(text):
     words = (text or "").lower().split()
     return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
