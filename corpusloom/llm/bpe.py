@@ -9,8 +9,10 @@ that fail are merged exactly.  Finished words are kept in a bounded cache that
 compares whole word bytes, so a collision can't give a wrong id.
 
 Defined cases: null text is empty text, which has no tokens; special tokens'
-strings in a text become their ids, as the library's defaults have it; texts of
-any length are encoded whole; other columns are ignored.
+strings in a text become their ids, as the library's defaults have it; texts and
+words of any length are encoded whole and by the same steps; equal texts and
+repeated rows have equal results; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ from .common import documents_of, flat_bytes, map_batches, slices
 
 NONE = np.int64(1) << 40
 LONG_WORD = 48
-#: Longer words are merged exactly at once: one alone would be matched token by token.
-SPECULATE_MOST = 1024
+#: Bytes of the pieces in which longer words are matched side by side, and by which neighbours overlap.
+PIECE = 512
+OVERLAP = 256
 CACHE_BITS = 19
 STORE_MOST = 4_000_000
 
@@ -189,6 +192,55 @@ class Vocabulary:
             flat[offsets[words] + r] = tok
         return flat, counts
 
+    def propose(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match of words of any length, and which words have none.
+
+        A long word's pieces are matched side by side, each a little into the next,
+        and joined where both matches begin a token; a word whose pieces never agree
+        has no proposal.
+        """
+        long_ = np.flatnonzero(lengths > PIECE + OVERLAP)
+        flat, counts = self.longest(buf, starts, np.where(lengths > PIECE + OVERLAP, 0, lengths))
+        fails = np.zeros(len(starts), bool)
+        if not len(long_):
+            return flat, counts, fails
+        n_pieces = -(-(lengths[long_] - OVERLAP) // PIECE)
+        word = np.repeat(long_, n_pieces)
+        begin = PIECE * (np.arange(len(word)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces))
+        last = np.zeros(len(word), bool)
+        last[np.cumsum(n_pieces) - 1] = True
+        size = np.where(last, lengths[word] - begin, PIECE + OVERLAP)
+        tokens, n = self.longest(buf, starts[word] + begin, size)
+        widths = np.diff(self.byte_offsets)[tokens]
+        piece_at = np.cumsum(n) - n
+        place = np.cumsum(widths) - widths
+        place += np.repeat(begin - place[piece_at], n)
+        joined: dict[int, np.ndarray] = {}
+        k = 0
+        for w, pieces in zip(long_.tolist(), n_pieces.tolist()):
+            at, parts = 0, []
+            for j in range(k, k + pieces):
+                own = slice(piece_at[j], piece_at[j] + n[j])
+                ends = None
+                if j + 1 < k + pieces:
+                    both = np.intersect1d(place[own], place[piece_at[j + 1] : piece_at[j + 1] + n[j + 1]], assume_unique=True)
+                    if not len(both):
+                        fails[w], parts = True, []
+                        break
+                    ends = both[0]
+                parts.append(tokens[own][np.searchsorted(place[own], at) : None if ends is None else np.searchsorted(place[own], ends)])
+                at = ends
+            joined[w] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            k += pieces
+        total = counts.copy()
+        total[long_] = [len(joined[w]) for w in long_.tolist()]
+        offsets = np.concatenate(([0], np.cumsum(total)))
+        out = np.empty(offsets[-1], np.int64)
+        out[np.repeat(offsets[:-1] - np.cumsum(counts) + counts, counts) + np.arange(len(flat))] = flat
+        for w, x in joined.items():
+            out[offsets[w] : offsets[w] + len(x)] = x
+        return out, total, fails
+
     def seams_hold(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether merging in rank order keeps tokens ``x`` and ``y`` apart where they meet.
 
@@ -292,8 +344,7 @@ class Vocabulary:
 
     def encode_words(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact tokens of words: speculate, verify, and merge those that fail."""
-        fails = lengths > SPECULATE_MOST
-        flat, counts = self.longest(buf, starts, np.where(fails, 0, lengths))
+        flat, counts, fails = self.propose(buf, starts, lengths)
         of = np.repeat(np.arange(len(starts)), counts)
         fails[of[~self.stable[flat]]] = True
         seam = np.flatnonzero(of[1:] == of[:-1])
@@ -343,13 +394,19 @@ class Encoder:
         opens = [offsets[:-1][offsets[1:] > offsets[:-1]]]
         special: dict[int, tuple[int, int]] = {}
         raw = data.tobytes()
-        for text, i in sorted(self.vocab.special.items(), key=lambda x: -len(x[0])):
+        hits: list[tuple[int, int, int]] = []
+        for text, i in self.vocab.special.items():
             at = raw.find(text)
             while at >= 0:
-                doc = int(np.searchsorted(offsets, at, side="right")) - 1
-                if at + len(text) <= offsets[doc + 1] and not any(a < at + len(text) and at < b for a, (b, _) in special.items()):
-                    special[at] = (at + len(text), i)
-                at = raw.find(text, at + len(text))
+                hits.append((at, -len(text), i))
+                at = raw.find(text, at + 1)
+        hits.sort()  # the leftmost counts, and of those the longest
+        ends = offsets[np.searchsorted(offsets, [h[0] for h in hits], side="right")].tolist() if hits else []
+        free = 0
+        for (at, minus, i), end in zip(hits, ends):
+            if at >= free and at - minus <= end:
+                free = at - minus
+                special[at] = (free, i)
         if special:
             opens.append(np.array([*special, *(e for e, _ in special.values() if e < len(data))], np.int64))
         return np.unique(np.concatenate(opens)), special
@@ -366,15 +423,18 @@ class Encoder:
         opens = np.zeros(len(cps), bool)
         opens[np.searchsorted(begins, opens_b)] = True
         kinds = self.classes[cps]
-        for a, (b, _) in special.items():
-            kinds[slice(*np.searchsorted(begins, [a, b]))] = 4
+        if special:
+            edges = np.zeros(len(cps) + 1, np.int32)
+            edges[np.searchsorted(begins, list(special))] += 1
+            edges[np.searchsorted(begins, [b for b, _ in special.values()])] -= 1
+            kinds[np.cumsum(edges[:-1]) > 0] = 4
         starts = begins[word_starts(cps, opens, kinds)]
         lengths = np.diff(np.append(starts, len(data)))
         off, cnt = self._look_up(data, starts, lengths)
         if special:
             at = np.searchsorted(starts, list(special))
-            for i, (_, token) in zip(at.tolist(), special.values()):
-                off[i], cnt[i] = self._keep(np.array([token])), 1
+            off[at] = self._keep(np.array([token for _, token in special.values()])) + np.arange(len(at))
+            cnt[at] = 1
         idx = np.repeat(off - np.cumsum(cnt) + cnt, cnt) + np.arange(cnt.sum())
         total = np.concatenate(([0], np.cumsum(cnt)))
         return self.store[idx], total[np.searchsorted(starts, offsets)]

@@ -4,14 +4,16 @@ Every letter of a text gives two subwords, itself with its neighbours on both
 sides (3 and 5 code points, anything but a letter as a blank), hashed to a table
 of embeddings.  Their mean goes through a linear softmax.  Table and softmax are
 trained by stochastic gradient descent in numpy on a bounded, stratified sample
-(``PER_LANGUAGE`` texts a language); a held-back fifth of the sample gives the
+(``PER_LANGUAGE`` texts a language, fewer where ``MOST_COUNTS`` subword counts in
+all would be passed, so that the driver's memory doesn't grow with languages or
+texts); a held-back fifth of the sample gives the
 temperature of the scores and the score below which a text is rejected.  As the
 model is linear after the mean, scoring needs one table of class scores a bucket.
 
 Defined cases: null text and text without a letter are ``und`` with score 0; with
 nothing to learn from every text is; a text of any length counts whole; ties go
-to the language that sorts first; repeated rows get equal results; other columns
-are ignored.
+to the language that sorts first; repeated rows get equal results; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from .textarrays import bucket_of, code_points, letters, mixed, stratified
 
 BUCKETS = 1 << 15
 DIMS = 16
-PER_LANGUAGE = 1_000
-EPOCHS = 3
+PER_LANGUAGE = 1_500
+#: Subword counts of all sampled texts that the driver takes, about; of many languages each has fewer texts.
+MOST_COUNTS = 16_000_000
+EPOCHS = 6
 RATE = 2.0
 UNKNOWN = "und"
 #: Share of rightly labelled calibration texts that rejection may lose.
@@ -85,7 +89,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model
     w, b = rng.normal(0, 1 / DIMS, (DIMS, len(languages))), np.zeros(len(languages))
     steps = EPOCHS * max(1, -(-len(train) // 16))
     if len(train) < 2_000:
-        steps = max(steps, 300)
+        steps = max(steps, 750)
     left = np.array([], np.int64)
     for step in range(steps):
         if len(left) < 16:
@@ -111,7 +115,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model
     return model
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_mod: int = 5, per_language: int = PER_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_mod: int = 5, per_language: int = PER_LANGUAGE, most_counts: int = MOST_COUNTS) -> Model | None:
     """Fit on texts with a language whose crc32(id) is not held out; their subword counts alone reach the driver."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), held_out_mod) != 0))
@@ -127,7 +131,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 yield pa.record_batch(
                     [
                         part.column("doc_id"),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array((key % BUCKETS).astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array((key % BUCKETS).astype(np.int16))),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(share.astype(np.float32))),
                         part.column("lang"),
                     ],
@@ -136,8 +140,12 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
         return step
 
-    picked = stratified(rows, "lang", "doc_id", per_language)
-    got = map_batches(picked, make, "doc_id long, bucket array<int>, share array<float>, lang string").toArrow().combine_chunks().sort_by("doc_id")
+    # a text has at most so many distinct subwords; the mean over a language's texts bounds their sum
+    width = F.avg(F.least(F.lit(BUCKETS), 2 * F.char_length("text") + 1))
+    widths = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(width.alias("n")).collect()}
+    quota = {k: min(per_language, max(20, int(most_counts / len(widths) / (n or 1)))) for k, n in widths.items()}
+    picked = stratified(rows, "lang", ("doc_id", "text"), quota).limit(2 * sum(quota.values()) + 1000)
+    got = map_batches(picked, make, "doc_id long, bucket array<short>, share array<float>, lang string").toArrow().combine_chunks().sort_by("doc_id")
     bucket, share = (got.column(c).combine_chunks() for c in ("bucket", "share"))
     ends = np.asarray(bucket.offsets)
     bucket, share = np.asarray(bucket.values), np.asarray(share.values)

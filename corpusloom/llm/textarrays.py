@@ -48,14 +48,14 @@ def bucket_of(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
-def stratified(df: DataFrame, class_col: str, id_col: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each class, chosen by a hash of the id; all rows of smaller classes.
+def stratified(df: DataFrame, class_col: str, id_cols: tuple[str, ...], per_class: dict) -> DataFrame:
+    """About as many rows of each class as ``per_class`` says, chosen by a hash of ``id_cols``; all rows of smaller classes.
 
     The class counts come from one aggregation; they are as many as the classes.
     """
     counts = {r[0]: r[1] for r in df.groupBy(class_col).count().collect()}
     share = F.lit(None).cast("double")
     for value, n in counts.items():
-        share = F.when(F.col(class_col) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(share)
-    u = (F.xxhash64(F.lit(20), F.col(id_col)).cast("double") / F.lit(2.0**64)) + 0.5
+        share = F.when(F.col(class_col) == F.lit(value), F.lit(min(1.0, per_class[value] / n))).otherwise(share)
+    u = (F.xxhash64(F.lit(20), *id_cols).cast("double") / F.lit(2.0**64)) + 0.5
     return df.where(u < share)

@@ -1,6 +1,6 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A text's features are the words it holds and their beginnings of 4 to 6 letters,
+A text's features are the words it holds and their beginnings of 4 to 7 letters,
 each once, by 64-bit hashes.  Candidates come from a bounded, stratified sample
 of labelled texts (``PER_CLASS`` a class): counts by class are aggregated on the
 cluster and the ``MAX_FEATURES`` with the strongest association are kept.  A
@@ -12,8 +12,10 @@ sample's class shares are undone in the intercept.
 
 Defined cases: null and empty texts get the intercept's score; a text of any
 length counts whole; without labels of both classes every score is the share of
-toxic labels (0 without any); conflicting labels of one id all count; repeated
-rows get equal scores; other columns are ignored.
+toxic labels (0 without any); conflicting labels of one id, and of equal texts, all
+count: a text is learnt once, with the mean of its labels; repeated rows get equal
+scores and ties of features go to the smaller hash; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_batches, slices
+from .common import cut, keep_rows, map_batches, slices
 from .textarrays import bucket_of, code_points, letters, mixed, stratified
 
 #: Names of groups, in sets whose members are swapped for each other.
@@ -146,18 +148,18 @@ def model_of(keys: np.ndarray, weights: np.ndarray, intercept: float) -> Model:
 
 
 def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, n_features: int, swaps: list[tuple[np.ndarray, np.ndarray]], strength: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
-    """Weights and intercept; (row, col) are the features that texts have, ``swaps`` the features of a sentence and its copy.
+    """Weights and intercept; (row, col) are the features that texts have, ``y`` the share of toxic labels of each, ``swaps`` the features of a sentence and its copy.
 
     A first fit with an absolute penalty leaves the few features that explain
     many labels, so words that some toxic texts share by chance fall out; a second
     fit of these alone has next to no penalty.  Both have the counterfactual one.
     """
-    n, n_pos, all_row = len(y), int((y == 1).sum()), row
+    n, n_pos, all_row = len(y), float(y.sum()), row
     s_row = np.concatenate([np.full(len(a) + len(b), i) for i, (a, b) in enumerate(swaps)]) if swaps else np.zeros(0, np.int64)
     s_col = np.concatenate([np.concatenate(p) for p in swaps]) if swaps else np.zeros(0, np.int64)
     s_val = np.concatenate([np.concatenate((np.ones(len(a)), -np.ones(len(b)))) for a, b in swaps]) if swaps else np.zeros(0)
 
-    def descend(open_: np.ndarray, shrink: float, ridge: float, rounds: int, balance: np.ndarray) -> np.ndarray:
+    def descend(open_: np.ndarray, shrink: float, ridge: float, rounds: int, balance: float) -> np.ndarray:
         used = open_[col]
         row, col_ = all_row[used], col[used]
         w = np.zeros(n_features + 1)
@@ -165,7 +167,8 @@ def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, n_features: int, swaps:
         m, v = np.zeros_like(w), np.zeros_like(w)
         for step in range(1, rounds + 1):
             z = np.bincount(row, w[col_], n) + w[-1]
-            r = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            r = (p * (1 - y) - balance * (1 - p) * y) / n
             g = np.append(np.bincount(col_, r[row], n_features), r.sum())
             g[:-1] += ridge * w[:-1]
             if len(swaps):
@@ -178,9 +181,9 @@ def fit(row: np.ndarray, col: np.ndarray, y: np.ndarray, n_features: int, swaps:
         return w
 
     support = LEAST_SUPPORT + SUPPORT_SHARE * n_pos
-    first = descend(np.ones(n_features, bool), 0.5 * support / n, 0.0, ROUNDS, np.ones(n))
+    first = descend(np.ones(n_features, bool), 0.5 * support / n, 0.0, ROUNDS, 1.0)
     kept = np.abs(first[:-1]) > 1e-6
-    w = descend(kept, 0.0, RIDGE, 4 * ROUNDS, np.where(y == 1, max(1.0, (n - n_pos) / max(1, n_pos)), 1.0))
+    w = descend(kept, 0.0, RIDGE, 4 * ROUNDS, max(1.0, (n - n_pos) / max(1.0, n_pos)))
     return w[:-1], float(w[-1])
 
 
@@ -203,12 +206,18 @@ def train(
     )
     shares = {r[0]: r[1] for r in y.groupBy("__y").count().collect()}
     pos, neg = shares.get(1, 0), shares.get(0, 0)
+    ids = y.groupBy("__id").agg(F.avg("__y").alias("__share")).withColumn("__class", F.when(F.col("__share") >= 0.5, 1).otherwise(0))
     flat = float(np.log((pos + 1e-6) / (neg + 1e-6)))
     none = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.clip(flat, -30, 30)))
     if not pos or not neg:
         return none
-    picked = stratified(y, "__y", "__id", per_class)
-    sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "__id").select("text", "__y")
+    quota = {0: per_class, 1: per_class}
+    picked = stratified(ids, "__class", ("__id",), quota)  # a row an id, so about twice per_class
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "__id")
+    # an id may have many rows; equal texts are one, whose label is the mean of theirs
+    order = F.xxhash64(F.lit(21), "text", "__id")
+    chosen = [rows.where(F.col("__class") == c).orderBy(order, "__id", "text").limit(2 * per_class) for c in (0, 1)]
+    sample = cut(chosen[0].unionByName(chosen[1]).groupBy("text").agg(F.avg("__share").alias("__y")))
 
     def sample_features():
         def step(batch: pa.RecordBatch):
@@ -218,10 +227,10 @@ def train(
 
         return step
 
-    seen = map_batches(sample.dropDuplicates(["text"]), sample_features, "key long, y int")
+    seen = map_batches(sample, sample_features, "key long, y double")
     a, b = F.col("p"), F.col("n")
-    total = {r[0]: r[1] for r in sample.groupBy("__y").count().collect()}
-    tp, tn = float(total.get(1, 0)), float(total.get(0, 0))
+    total = sample.agg(F.sum("__y"), F.sum(1 - F.col("__y"))).first()
+    tp, tn = float(total[0] or 0), float(total[1] or 0)
     if not tp or not tn:
         return none
     expect_p, expect_n = (a + b) * tp / (tp + tn), (a + b) * tn / (tp + tn)
@@ -265,7 +274,7 @@ def train(
 
         return step
 
-    rows = map_batches(sample.dropDuplicates(["text"]), training_rows, "col array<long>, y int, swaps array<array<array<long>>>").toArrow().to_pylist()
+    rows = map_batches(sample, training_rows, "col array<long>, y double, swaps array<array<array<long>>>").toArrow().to_pylist()
     if not rows or not len(keys):
         return none
     rows.sort(key=lambda r: (r["y"], r["col"]))

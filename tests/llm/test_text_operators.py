@@ -118,6 +118,30 @@ def test_rotation_against_a_loop(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_many_special_tokens_and_long_words(encoder, library):
+    rnd = random.Random(8)
+    word = "".join(rnd.choice(["the", "ing", "tion", "er", "Ünter", "x", "qu", "straße", "\u4e2d\u6587"]) for _ in range(9_000))
+    texts = ["<|endoftext|>" * 20_000, "a<|endoftext|> b" * 3_000, "<|endoftext|<|endoftext|>", word, word + " " + word[7:], "a" * 5_000, "=" * 3_001, word.upper()]
+    ids, offsets = encoder(*bpe.flat_bytes(pa.array(texts)))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+    raw = np.frombuffer(word.encode() + b"\0" * 16, np.uint8)
+    flat, counts, fails = encoder.vocab.propose(raw, np.array([0]), np.array([len(raw) - 16]))
+    assert counts[0] and not fails[0] and bpe.decode(encoder.vocab, flat) == word  # the pieces meet again
+
+
+def test_conflicting_labels_of_equal_texts_average(spark):
+    d = spark.createDataFrame([(k, "the same text here") for k in range(200)], "doc_id long, text string")
+    y = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(k, 1 - k % 2) for k in range(20)], "doc_id long, toxic int")
+    assert all(abs(r["score"] - 0.5) < 0.1 for r in toxicity.classify(d, y).collect())
+
+
+def test_language_sample_is_bounded_and_whole_tables_are_not(spark):
+    df = spark.createDataFrame([(7, "und der nicht " * 3, "bb")] * 500 + [(k, "the of and " * 3, "aa") for k in range(100, 700)], "doc_id long, text string, lang string")
+    model = langid.train(df, per_language=30)
+    assert model.languages in (["aa"], ["aa", "bb"]) and langid.identify(df, per_language=30).count() == 1100
+
+
 def corpus(n, seed=0):
     rnd = random.Random(seed)
     langs = {"aa": "the of and with that", "bb": "und der nicht sich ein", "cc": "que los para una con"}
