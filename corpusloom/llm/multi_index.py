@@ -1,21 +1,27 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Both halves of a vector are quantised by a codebook of their own, so ``k`` words
-a half give ``k * k`` cells.  A query walks centroid pairs in the order of their
-summed squared distances, from a heap, until the cells hold enough entries, and
-every entry of these cells is reranked by the exact distance.
+Both halves of a vector are quantised by a codebook of their own, so ``words`` words
+a half give ``words * words`` cells; what is left of a vector is kept as a byte for
+each of ``PARTS`` parts of it.  A query walks centroid pairs in the order of their
+summed squared distances, from a heap, until the cells hold a share of all entries.
+Entries of these cells are ranked by their codes, and the ``shortlist`` best, about
+the fourth root of the table in number, are reranked by the exact distance.
 
-The codebooks are fitted on a bounded sample (``sample`` rows, chosen by a hash
-of the id); every row is indexed.  Cells are dealt to buckets by their counts,
-and a cell larger than a bucket's share is split over several, so a vector that
-fills a third of the table spreads.  A query goes once to each bucket it needs,
-each bucket returns its best ``k_nearest``, and these are merged.
+The codebooks are fitted on a bounded sample (``SAMPLE`` rows, chosen by a hash); the
+share to walk is the one at which sampled queries meet ``target`` of their nearest
+in the sample.  Clustered vectors need a small one, evenly spread vectors a large one.
+Every row is indexed.  Cells are dealt to buckets in the order of their centroids, and
+a cell larger than a bucket's share is split over several, so a vector that fills a
+third of the table spreads.  A query goes once to each bucket it needs.
 
 Defined cases: vectors that are null, empty, all zero, of another length than
-the most usual one, or that hold null or non-finite components take no part; ties go to
-the smaller id; a query finds no row of its own id, but does find equal vectors
-under other ids; a query with fewer candidates gets all of them; an empty table
-gives no rows; other columns are ignored.
+the most usual one, or that hold null or non-finite components take no part, nor do
+rows without an id; ties go to the smaller id; rows that repeat an id are queries and
+candidates of their own, and a query finds every row but itself, so repeated query
+rows have ten neighbours each; components of any finite size are compared, as codes
+are made at the table's own scale and distances that overflow are scaled; a query with
+fewer candidates gets all of them; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +30,22 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, shuffle_partitions, written
 
 WORDS = 128
+PARTS = 16
 SAMPLE = 20_000
 ROUNDS = 8
-#: Entries that a query's cells must hold: a floor, and a share of all rows.
-LEAST_ENTRIES = 4_000
-ENTRY_SHARE = 0.4
+TRIES = 256
+#: Share of the sample's nearest neighbours that the walk must meet.
+TARGET = 0.96
+#: Entries of a bucket, about.
+BUCKET_ROWS = 200_000
+#: Components are clipped here, in units of the table's scale, before they are quantised.
+REACH = 1e12
 
 
 def usable(vec: Column) -> Column:
@@ -55,9 +65,8 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     centres = distinct[rng.choice(len(distinct), min(k, len(distinct)), replace=False)]
     for _ in range(rounds):
         near = nearest(x, centres)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
         n = np.bincount(near, minlength=len(centres))
+        sums = np.stack([np.bincount(near, x[:, d], len(centres)) for d in range(x.shape[1])], 1) if x.shape[1] else np.zeros_like(centres)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
     return centres
 
@@ -70,39 +79,117 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return squared(x, centres).argmin(1)
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, scaled where squares leave the range of doubles."""
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        diff = x - y
+        total = (diff * diff).sum(1)
+        odd = np.flatnonzero(~((total > 1e-280) & (total < 1e280)))
+        out = np.sqrt(total)
+        if len(odd):
+            half = x[odd] / 2 - y[odd] / 2
+            most = np.abs(half).max(1)
+            unit = half / np.where(most > 0, most, 1.0)[:, None]
+            out[odd] = 2 * most * np.sqrt((unit * unit).sum(1))
+    return out
+
+
+class Codebooks:
+    """Two coarse codebooks, a codebook for each part of the residual, and the share to walk."""
+
+    def __init__(self, fit: np.ndarray, words: int, seed: int, k_nearest: int, target: float):
+        self.dims = fit.shape[1]
+        size = np.abs(fit).max(1)
+        self.scale = float(np.median(size[size > 0])) if (size > 0).any() else 1.0
+        x = self.scaled(fit)
+        self.half = self.dims // 2 if self.dims > 1 else 1
+        self.c1 = k_means(x[:, : self.half], words, ROUNDS, seed)
+        self.c2 = k_means(x[:, self.half :], words, ROUNDS, seed + 1) if self.dims > 1 else np.zeros((1, 0))
+        self.cuts = np.linspace(0, self.dims, min(PARTS, self.dims) + 1).astype(int).tolist()
+        rest = x - self.coarse(self.cells(x))
+        self.books = [k_means(rest[:, a:b], 256, ROUNDS, seed + 2 + a) for a, b in zip(self.cuts[:-1], self.cuts[1:])]
+        self.share = self.calibrated(x, k_nearest, target)
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x / self.scale, -REACH, REACH)
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return nearest(x[:, : self.half], self.c1) * len(self.c2) + nearest(x[:, self.half :], self.c2)
+
+    def coarse(self, cell: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.c1[cell // len(self.c2)], self.c2[cell % len(self.c2)]], 1)
+
+    def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        rest = x - self.coarse(cell)
+        return np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books)], 1).astype(np.uint8)
+
+    def rebuilt(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return self.coarse(cell) + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
+
+    def calibrated(self, x: np.ndarray, k_nearest: int, target: float) -> float:
+        """The share of entries, in walking order, that holds ``target`` of the nearest of sampled queries."""
+        k = min(k_nearest, len(x) - 1)
+        if k < 1:
+            return 1.0
+        cell = self.cells(x)
+        asks = np.arange(min(TRIES, len(x)))
+        place = []
+        for at in range(0, len(asks), 32):
+            q = asks[at : at + 32]
+            own = np.arange(len(q))
+            far = squared(x[q], x)
+            far[own, q] = np.inf
+            top = np.argpartition(far, k - 1, axis=1)[:, :k]
+            walk_ = squared(x[q][:, : self.half], self.c1)[:, cell // len(self.c2)] + squared(x[q][:, self.half :], self.c2)[:, cell % len(self.c2)]
+            for i in own:
+                place.append(np.searchsorted(np.sort(walk_[i]), walk_[i][top[i]], side="right") / len(x))
+        return float(np.quantile(np.concatenate(place), target))
+
+
 def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, least: int) -> list[int]:
     """Non-empty cells by summed distance until they hold ``least`` entries; cell = word1 * len(d2) + word2."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    s1, s2 = d1[o1], d2[o2]
-    heap, seen, out, held = [(s1[0] + s2[0], 0, 0)], {(0, 0)}, [], 0
+    s1, s2 = d1[o1].tolist(), d2[o2].tolist()
+    held_by = counts.reshape(len(d1), len(d2))[np.ix_(o1, o2)].tolist()
+    heap, out, held = [(s1[0] + s2[0], 0, 0)], [], 0
     while heap and held < least:
         _, i, j = heapq.heappop(heap)
-        cell = int(o1[i]) * len(d2) + int(o2[j])
-        if counts[cell]:
-            out.append(cell)
-            held += int(counts[cell])
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(s1) and b < len(s2) and (a, b) not in seen:
-                seen.add((a, b))
-                heapq.heappush(heap, (s1[a] + s2[b], a, b))
+        if held_by[i][j]:
+            out.append(int(o1[i]) * len(d2) + int(o2[j]))
+            held += held_by[i][j]
+        # (i, j + 1) follows (i, j); a new row begins at its first column
+        if j + 1 < len(s2):
+            heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(s1):
+            heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
     return out
 
 
-def deal(counts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parts of each cell, the first part's number, and each part's bucket, so that buckets hold about as many rows."""
+def deal(counts: np.ndarray, order: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of each cell, the first part's number, and each part's bucket: runs of cells in ``order`` that hold about as many rows."""
     share = max(1, -(-int(counts.sum()) // buckets))
     parts = np.maximum(1, -(-counts // max(1, share // 2)))
     first = np.cumsum(parts) - parts
     size = np.repeat(counts / parts, parts)
+    turn = np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in order])
+    middle = np.cumsum(size[turn]) - size[turn] / 2
     bucket = np.zeros(len(size), np.int64)
-    heap = [(0.0, b) for b in range(buckets)]
-    for p in np.argsort(-size, kind="stable").tolist():
-        load, b = heapq.heappop(heap)
-        bucket[p] = b
-        heapq.heappush(heap, (load + size[p], b))
+    bucket[turn] = np.minimum(middle * buckets / max(1, counts.sum()), buckets - 1).astype(np.int64)
     return parts, first, bucket
 
 
+def along(centres: np.ndarray) -> np.ndarray:
+    """Places of the centroids along the direction in which they vary most."""
+    if not centres.shape[1]:
+        return np.zeros(len(centres), np.int64)
+    flat = centres - centres.mean(0)
+    return np.argsort(np.argsort(flat @ np.linalg.svd(flat, full_matrices=False)[2][0], kind="stable"), kind="stable")
+
+
+def shortlist_size(rows: int, k_nearest: int) -> int:
+    return max(8 * k_nearest, int(np.ceil(1.2 * k_nearest * rows**0.25)))
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -112,11 +199,14 @@ def search(
     k_nearest: int = 10,
     words: int = WORDS,
     sample: int = SAMPLE,
-    least_entries: int = LEAST_ENTRIES,
-    entry_share: float = ENTRY_SHARE,
+    target: float = TARGET,
+    shortlist: int | None = None,
     seed: int = 13,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found to each row of ``vectors`` that ``is_query`` marks."""
+    """(query_id, rank, vec_id, score): the nearest found to each row of ``vectors`` that ``is_query`` marks.
+
+    ``shortlist`` entries a query are reranked; by default ``shortlist_size`` of the number of rows.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("is_query")).where(
         F.col("vec_id").isNotNull() & usable(F.col("v"))
@@ -125,95 +215,117 @@ def search(
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if usual is None:
         return spark.createDataFrame([], out_schema)
-    dims = usual["d"]
-    rows = rows.where(F.size("v") == dims)
-    taken = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    fit = matrix(taken.column("v").combine_chunks())
-    half = dims // 2 if dims > 1 else 1
-    c1 = k_means(fit[:, :half], words, ROUNDS, seed)
-    c2 = k_means(fit[:, half:], words, ROUNDS, seed + 1) if dims > 1 else np.zeros((1, 0))
+    rows = rows.where(F.size("v") == usual["d"])
+    taken = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).toArrow()
+    book = Codebooks(matrix(taken.column("v").combine_chunks()), words, seed, k_nearest, target)
+    keep = shortlist or shortlist_size(usual["count"], k_nearest)
 
     def place():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = matrix(batch.column(1))
-            cell = nearest(x[:, :half], c1) * len(c2) + nearest(x[:, half:], c2)
-            return pa.record_batch([*batch.columns, pa.array(cell)], names=["vec_id", "v", "is_query", "cell"])
+            x = book.scaled(matrix(batch.column(2)))
+            cell = book.cells(x)
+            codes = [c.tobytes() for c in book.codes(x, cell)]
+            return pa.record_batch([*batch.columns, pa.array(cell), pa.array(codes, pa.binary())], names=["row", "vec_id", "v", "is_query", "cell", "codes"])
 
         return step
 
-    index = written(map_batches(rows, place, "vec_id long, v array<double>, is_query boolean, cell long"), "multi-index")
-    counts = np.zeros(len(c1) * len(c2), np.int64)
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", "is_query")
+    index = written(map_batches(numbered, place, "row long, vec_id long, v array<double>, is_query boolean, cell long, codes binary"), "multi-index")
+    counts = np.zeros(len(book.c1) * len(book.c2), np.int64)
     for cell, n in index.groupBy("cell").count().collect():  # at most one row for each cell
         counts[cell] = n
-    least = max(least_entries, int(entry_share * counts.sum()))
-    buckets = shuffle_partitions(spark)
-    parts, first, of_part = deal(counts, buckets)
+    least = int(np.ceil(book.share * counts.sum()))
+    buckets = max(shuffle_partitions(spark), -(-int(counts.sum()) // BUCKET_ROWS))
+    in_order = np.lexsort((np.tile(along(book.c2), len(book.c1)), np.repeat(along(book.c1), len(book.c2))))
+    parts, first, of_part = deal(counts, in_order, buckets)
+    names = ["bucket", "asks", "row", "vec_id", "cell", "part", "codes", "probes"]
 
-    def to_buckets():
+    def entries():
         def step(batch: pa.RecordBatch):
-            ids, cell = np.asarray(batch.column(0)), np.asarray(batch.column(3))
-            mixed = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            part = first[cell] + (mixed % parts[cell].astype(np.uint64)).astype(np.int64)
+            cell = np.asarray(batch.column(2))
+            part = first[cell] + (np.asarray(batch.column(0)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[cell]
             none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(of_part[part].astype(np.int32)), batch.column(0), batch.column(1), pa.array(part), none], names=["bucket", "vec_id", "v", "part", "probes"])
-            ask = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
-            if not len(ask):
-                return
-            x = matrix(batch.column(1).take(pa.array(ask)))
-            d1, d2 = squared(x[:, :half], c1), squared(x[:, half:], c2)
+            cols = [pa.array(of_part[part].astype(np.int32)), pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), batch.column(1), batch.column(2), pa.array(part), batch.column(3), none]
+            yield pa.record_batch(cols, names=names)
+
+        return step
+
+    def asks():
+        def step(batch: pa.RecordBatch):
+            x = book.scaled(matrix(batch.column(2)))
+            d1, d2 = squared(x[:, : book.half], book.c1), squared(x[:, book.half :], book.c2)
             who, where, probes = [], [], []
-            for k in range(len(ask)):
-                cells = walk(d1[k], d2[k], counts, least)
-                p = np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cells])
+            for k in range(len(x)):
+                p = np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in walk(d1[k], d2[k], counts, least)])
                 order = np.argsort(of_part[p], kind="stable")
                 b = of_part[p][order]
                 for group in np.split(order, np.flatnonzero(b[1:] != b[:-1]) + 1):
-                    who.append(ask[k])
+                    who.append(k)
                     where.append(of_part[p[group[0]]])
                     probes.append(np.sort(p[group]))
-            who = pa.array(np.array(who))
-            yield pa.record_batch(
-                [pa.array(np.array(where, np.int32)), batch.column(0).take(who), batch.column(1).take(who), pa.nulls(len(who), pa.int64()), pa.array(probes, pa.list_(pa.int64()))],
-                names=["bucket", "vec_id", "v", "part", "probes"],
-            )
+            at, n = pa.array(np.array(who)), len(who)
+            raw = pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())
+            cols = [pa.array(np.array(where, np.int32)), pa.array(np.ones(n, np.int8)), batch.column(0).take(at), batch.column(1).take(at), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), raw.take(at), pa.array(probes, pa.list_(pa.int64()))]
+            yield pa.record_batch(cols, names=names)
 
         return step
 
-    def rerank(batches):
-        ids, vecs, part, asks = [], [], [], []
+    def rank_codes(batches):
+        """The entries of a bucket come first; then its queries, batch by batch."""
+        held, ready = [], None
         for batch in batches:
-            entry = batch.column(3).is_valid()
-            e = batch.filter(entry)
-            if e.num_rows:
-                ids.append(np.asarray(e.column(1)))
-                vecs.append(matrix(e.column(2)))
-                part.append(np.asarray(e.column(3)))
-            q = batch.filter(pc.invert(entry))
-            if q.num_rows:
-                asks += zip(q.column(1).to_pylist(), matrix(q.column(2)), (np.array(p) for p in q.column(4).to_pylist()))
-        if not ids:
-            return
-        ids, vecs, part = np.concatenate(ids), np.concatenate(vecs), np.concatenate(part)
-        order = np.lexsort((ids, part))
-        ids, vecs, part = ids[order], vecs[order], part[order]
-        norms = (vecs * vecs).sum(1)
-        for query, v, probes in asks:
-            a, b = np.searchsorted(part, probes), np.searchsorted(part, probes, side="right")
-            idx = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
-            idx = idx[ids[idx] != query]
-            if not len(idx):
+            asking = np.asarray(batch.column(1)).astype(bool)
+            n = int((~asking).sum())
+            if n:
+                e = batch.slice(0, n)
+                codes = np.frombuffer(b"".join(e.column(6).to_pylist()), np.uint8).reshape(n, -1)
+                held.append((np.asarray(e.column(2)), np.asarray(e.column(3)), np.asarray(e.column(5)), book.rebuilt(np.asarray(e.column(4)), codes).astype(np.float32)))
+            q = batch.slice(n)
+            if not q.num_rows or not (held or ready):
                 continue
-            rough = norms[idx] - 2 * (vecs[idx] @ v)
-            if len(idx) > k_nearest:
-                edge = np.partition(rough, k_nearest - 1)[k_nearest - 1]
-                idx = idx[rough <= edge + 1e-9 * (1 + abs(edge) + float(v @ v))]
-            exact = np.sqrt(((vecs[idx] - v) ** 2).sum(1))
-            best = np.lexsort((ids[idx], exact))[:k_nearest]
-            yield pa.record_batch(
-                [pa.array(np.full(len(best), query)), pa.array(ids[idx][best]), pa.array(exact[best])], names=["query_id", "vec_id", "score"]
-            )
-
-    spread = map_batches(index, to_buckets, "bucket int, vec_id long, v array<double>, part long, probes array<long>")
-    local = spread.repartitionById(buckets, F.col("bucket")).mapInArrow(rerank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k_nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            if ready is None:
+                row, ids, part, x = (np.concatenate(c) for c in zip(*held))
+                order = np.lexsort((row, ids, part))
+                row, ids, part, x = row[order], ids[order], part[order], x[order]
+                ready, held = (x * x).sum(1), []
+            for at in range(0, q.num_rows, 32):
+                some = q.slice(at, 32)
+                v = np.frombuffer(b"".join(some.column(6).to_pylist()), np.float32).reshape(some.num_rows, -1)
+                rough = ready - 2 * (v @ x.T)
+                whole = some.column(2).to_pylist()
+                found = []
+                for k, probes in enumerate(some.column(7)):
+                    probes = np.asarray(probes.values)
+                    a, b = np.searchsorted(part, probes), np.searchsorted(part, probes, side="right")
+                    idx = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
+                    idx = idx[row[idx] != whole[k]]
+                    r = rough[k][idx]
+                    if len(idx) > keep:
+                        idx = idx[r <= np.partition(r, keep - 1)[keep - 1]]
+                        idx = idx[np.lexsort((row[idx], ids[idx], rough[k][idx]))[:keep]]
+                    found.append(idx)
+                n_found = [len(f) for f in found]
+                idx, of = np.concatenate(found), np.repeat(np.arange(len(found)), n_found)
+                yield pa.record_batch(
+                    [some.column(2).take(pa.array(of)), some.column(3).take(pa.array(of)), pa.array(row[idx]), pa.array(ids[idx]), pa.array(rough[of, idx])],
+                    names=["query", "query_id", "row", "vec_id", "rough"],
+                )
+
+    def exact():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            score = distances(matrix(batch.column(4)), matrix(batch.column(5)))
+            return pa.record_batch([*batch.columns[:4], pa.array(score)], names=["query", "query_id", "row", "vec_id", "score"])
+
+        return step
+
+    kinds = "bucket int, asks byte, row long, vec_id long, cell long, part long, codes binary, probes array<long>"
+    spread = map_batches(index.select("row", "vec_id", "cell", "codes"), entries, kinds).unionByName(
+        map_batches(index.where("is_query").select("row", "vec_id", "v"), asks, kinds)
+    )
+    local = spread.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("asks").mapInArrow(rank_codes, "query long, query_id long, row long, vec_id long, rough float")
+    by_codes = Window.partitionBy("query").orderBy("rough", "vec_id", "row")
+    best = local.withColumn("place", F.row_number().over(by_codes)).where(F.col("place") <= keep).select("query", "query_id", "row", "vec_id")
+    pairs = best.join(index.select("row", "v"), "row").join(index.where("is_query").select(F.col("row").alias("query"), F.col("v").alias("q")), "query")
+    scored = map_batches(pairs.select("query", "query_id", "row", "vec_id", "v", "q"), exact, "query long, query_id long, row long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy("score", "vec_id", "row")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k_nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

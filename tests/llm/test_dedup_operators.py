@@ -236,31 +236,74 @@ def test_long_chains_become_one_component(spark):
     assert got == {k: 0 for k in range(61)} | {200: 200, 201: 200}
 
 
+def searched(got):
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return {q: sorted(f) for q, f in by.items()}
+
+
+def recall_of(x, ids, by):
+    """Share of the ten nearest that were found, ties by the smaller id; ranks and scores are checked."""
+    hits = total = 0
+    for q, found in by.items():
+        at = ids.index(q)
+        d = np.sqrt(((x - x[at]) ** 2).sum(1))
+        best = [ids[k] for k in np.lexsort((ids, d)).tolist() if k != at][:10]
+        place = {i: k for k, i in enumerate(ids)}
+        assert [r for r, _, _ in found] == list(range(1, len(best) + 1)) and all(abs(d[place[k]] - s) < 1e-12 for _, k, s in found)
+        hits += len(set(best) & {k for _, k, _ in found})
+        total += len(best)
+    return hits / total
+
+
 def test_multi_index_recall_and_ties(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x[:900] = x[0]  # a third is one vector
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
-    rows += [(5000, None), (5100, []), (5200, [0.0] * 16), (5300, [float("nan")] + [1.0] * 15), (5400, [None] + [1.0] * 15), (5500, [1.0] * 3)]
+    rows += [(5000, None), (5100, []), (5200, [0.0] * 16), (5300, [float("nan")] + [1.0] * 15), (5400, [None] + [1.0] * 15), (5500, [1.0] * 3), (None, [1.0] * 16)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
-    got = multi_index.search(df, F.col("vec_id") % 100 == 0, words=16, sample=1000, least_entries=300, entry_share=0.4).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    by = searched(multi_index.search(df, F.col("vec_id") % 100 == 0, words=16, sample=1000).collect())
     assert set(by) == set(range(0, 3000, 100))
-    hits = 0
-    for q, found in by.items():
-        found.sort()
-        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
-        best = [k for k in np.lexsort((np.arange(3000), d)).tolist() if k != q][:10]
-        assert [r for r, _, _ in found] == list(range(1, 11)) and all(abs(d[k] - s) < 1e-12 for _, k, s in found)
-        hits += len(set(best) & {k for _, k, _ in found})
-        if q < 900:
-            assert [k for _, k, _ in found] == best
-    assert hits / (10 * len(by)) >= 0.9
+    assert recall_of(x.astype(float), list(range(3000)), by) >= 0.9
+    for q in range(0, 900, 100):  # of equal vectors the smallest ids
+        assert [k for _, k, _ in by[q]] == [k for k in range(12) if k != q][:10]
     few = multi_index.search(df.where("vec_id in (0, 950, 960)"), F.col("vec_id") == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [950, 960]
     assert multi_index.search(df.limit(0), F.lit(True)).count() == 0
+    assert multi_index.search(df.where("vec_id = 7"), F.lit(True)).count() == 0
+
+
+def test_multi_index_on_given_and_clustered_vectors(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null")
+    rows = [(r[0], r[1]) for r in given.select("vec_id", "embedding").collect()]
+    by = searched(multi_index.search(given, F.col("vec_id") % 100 == 0).collect())
+    assert recall_of(np.array([v for _, v in rows], float), [i for i, _ in rows], by) >= 0.9
+    assert multi_index.shortlist_size(len(rows), 10) <= 0.05 * len(rows)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.05 * rng.normal(size=(6000, 24))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    by = searched(multi_index.search(df, F.col("vec_id") % 100 == 0, words=32).collect())
+    assert len(by) == 60 and recall_of(x, list(range(6000)), by) >= 0.9
+    book = multi_index.Codebooks(x, 32, 13, 10, multi_index.TARGET)
+    assert book.share < 0.08  # clusters are met early
+
+
+def test_multi_index_repeated_rows_and_large_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(100, x[100].tolist()), (3, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.search(df, F.col("vec_id") % 100 == 0, words=8).collect()
+    of = [r for r in got if r["query_id"] == 100]
+    y = np.array([v for _, v in rows])
+    want = [rows[k][0] for k in np.lexsort(([i for i, _ in rows], np.sqrt(((y - y[100]) ** 2).sum(1)))).tolist()][1:11]
+    assert sorted(r["rank"] for r in of) == sorted(2 * list(range(1, 11))) and [r["vec_id"] for r in sorted(of, key=lambda r: r["rank"])][::2] == want
+    big = spark.createDataFrame([(k, (v * 1e200).tolist()) for k, v in enumerate(x)] + [(500, [1.0] * 8)], "vec_id long, embedding array<double>")
+    by = searched(multi_index.search(big, F.col("vec_id") % 100 == 0, words=8).collect())
+    d = 1e200 * np.sqrt(((x - x[0]) ** 2).sum(1))
+    assert set(by) == {0, 100, 500} and all(len(f) == 10 for f in by.values()) and all(k == 500 or abs(s / d[k] - 1) < 1e-12 for _, k, s in by[0])
 
 
 def test_pipeline_stages(spark, sf):
