@@ -7,7 +7,8 @@ window is its ``gram``-byte string of least hash, leftmost of equals, so equal
 windows have their anchor, and all bytes around it, in common.  Consecutive
 windows with one anchor form a block, which about fifteen positions share.
 
-1. Documents are dealt to chunks by a hash of their id; a chunk is one partition.
+1. Documents are dealt to chunks by a hash, as many chunks as the bytes of all texts
+   ask for; a chunk is one partition.
 2. Each chunk sends, by ranges of the bytes at its anchors, the distinct anchor
    hashes; a range finds those that two documents share and tells their chunks.
 3. Each chunk sends the distinct blocks at shared anchors, with the smallest
@@ -34,19 +35,22 @@ Steps 2 to 5 read the chunks from one shuffle of the documents.
 Defined cases: null text is empty; a document of fewer than ``window`` bytes
 keeps them all; matches never cross documents; equal ids are one document, whose
 rows don't remove each other's bytes; rows without an id count as the largest
-document and keep strings they alone have; an empty table gives an empty result;
-other columns are ignored.
+document and keep strings they alone have; a text of any length counts whole and is
+cut into pieces only for work; an empty table gives an empty result; other columns,
+whatever their names, are ignored by ``remove_repeats`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import flat_bytes, release, shuffle_partitions
 from .textarrays import mixed
@@ -59,6 +63,10 @@ HOT_CHUNKS = 256
 PLACE_BITS = np.uint64(20)
 HASH_BITS = 40
 BASE = 0x9E3779B97F4A7C15
+OTHER_BASE = 0xD1342543DE82EF95
+#: Bytes of text of a chunk, about, and suffixes that the splitters are sampled from.
+CHUNK_BYTES = 64 << 20
+SAMPLE = 100_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -85,15 +93,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n not in _powers:
-        inverse = np.uint64(pow(BASE, -1, 1 << 64))
-        _powers.clear()
-        _powers[n] = (np.cumprod(np.full(n, np.uint64(BASE))), np.cumprod(np.full(n, inverse)))
-    return _powers[n]
+@lru_cache(2)
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.uint64(pow(base, -1, 1 << 64))
+    return np.cumprod(np.full(n, np.uint64(base))), np.cumprod(np.full(n, inverse))
 
 
 class Blocks:
@@ -115,18 +118,21 @@ class Blocks:
         self.left = self.anchor - self.start
         self.gram_hash = h[self.anchor] >> np.uint64(64 - HASH_BITS)
         self.length = self.size + window - 1
-        self.buf, self.total = buf, None
+        self.buf, self.totals = buf, {}
 
-    def digests(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def digests(self, start: np.ndarray, length: np.ndarray, base: int = BASE) -> np.ndarray:
         """64 bits of the bytes from ``start`` on, ``length`` each."""
-        power, inverse = powers(SEGMENT + 4096)
-        if self.total is None:
-            self.total = np.concatenate(([np.uint64(0)], np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[: len(self.buf)])))
-        return mixed((self.total[start + length] - self.total[start]) * inverse[start])
-
-    def fingerprints(self) -> np.ndarray:
-        """64 bits of each block's bytes and its anchor's place."""
-        return mixed(self.digests(self.start, self.length) + self.left.astype(np.uint64) * np.uint64(256) + self.size.astype(np.uint64))
+        power, inverse = powers(SEGMENT + 4096, base)
+        if base not in self.totals:
+            self.totals[base] = np.concatenate(([np.uint64(0)], np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[: len(self.buf)])))
+        total = self.totals[base]
+        return mixed((total[start + length] - total[start]) * inverse[start])
+
+    def fingerprints(self, of: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """64 bits of each block's bytes and its anchor's place, and 32 bits more by another base."""
+        start, length = self.start[of], self.length[of]
+        mark = mixed(self.digests(start, length) + self.left[of].astype(np.uint64) * np.uint64(256) + self.size[of].astype(np.uint64))
+        return mark, (self.digests(start, length, OTHER_BASE) >> np.uint64(32)).astype(np.uint32)
 
     def leading(self) -> np.ndarray:
         """The first 8 bytes at each anchor as a number that sorts like them."""
@@ -179,7 +185,7 @@ def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     that are equal so far.
     """
     n, m = words.shape
-    order = np.argsort(words[:, 0], kind="stable")
+    order = np.argsort(words[:, 0], kind="quicksort")
     same = np.zeros(n, bool)
     same[1:] = words[order[1:], 0] == words[order[:-1], 0]
     for c in range(1, m):
@@ -219,43 +225,41 @@ def _split(bucket: np.ndarray):
         yield int(bucket[rows[0]]), rows
 
 
-def routes(spark, n: int) -> list[int]:
-    """For each of ``n`` partitions a number that hash partitioning sends there."""
-    found: dict[int, int] = {}
-    reach = 16 * n
-    while len(found) < n:
-        ids = F.col("id").cast("int")
-        rows = spark.range(reach).select(ids.alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
-        found = {r["p"]: r["id"] for r in rows.collect()}  # n rows
-        reach *= 4
-    return [found[p] for p in range(n)]
+def routes(spark, n: int) -> DataFrame:
+    """(slot, chunk) for the slots 0 to n - 1: a number that hash partitioning sends to a partition of its own."""
+    ids = spark.range(64 * n + 1000).select(F.col("id").cast("int").alias("id"))
+    return ids.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("slot")).agg(F.min("id").alias("chunk"))
 
 
 def splitters(docs: DataFrame, n: int) -> np.ndarray:
-    """n - 1 quantiles of the leading 8 bytes of one suffix of each document."""
+    """n - 1 quantiles of the leading 8 bytes of one suffix of each of a sample of documents."""
     raw = F.col("text").cast("binary")
     size = F.octet_length("text")
     at = (F.pmod(F.xxhash64("doc_id", size), F.greatest(size - 8, F.lit(1))) + 1).cast("int")
-    lead = F.conv(F.hex(F.substring(raw, at, F.lit(8))), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
-    parts = [(k + 1) / n for k in range(n - 1)]
-    found = docs.where(size >= 8).select(F.percentile_approx(lead, F.array(*map(F.lit, parts)) if parts else F.array(F.lit(0.5)), F.lit(20_000)).alias("q")).first()["q"]
-    return np.unique(np.array(found if found and parts else [], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
+    lead = F.substring(raw, at, F.lit(8)).alias("lead")
+    found = docs.where(size >= 8).select(lead, F.xxhash64("doc_id", at, size).alias("u")).orderBy("u", "lead").limit(max(SAMPLE, 4 * n)).toArrow()
+    leads = np.sort(np.frombuffer(b"".join(found.column("lead").to_pylist()), ">u8").astype(np.uint64))
+    return np.unique(leads[(np.arange(1, n) * len(leads)) // n]) if len(leads) else leads
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = (), hot_chunks: int = HOT_CHUNKS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept_text] [, carried columns]): one row for each row of ``docs``.
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = (), hot_chunks: int = HOT_CHUNKS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept_text] [, carried]): one row for each row of ``docs``.
 
-    ``kept_text`` leaves out bytes of characters that the removal has cut.
+    ``kept_text`` leaves out bytes of characters that the removal has cut; ``carried`` is a
+    struct of the columns that ``carry`` names, so their names can't clash with these.
     """
     if not 1 <= gram <= window or window - gram + WINDOW > 250:
         raise ValueError("gram must lie between 1 and window, and windows under 200 bytes")
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    held = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *held)
+    carry = ("carried",) if carry else ()
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(shuffle_partitions(spark), -(-n_bytes // chunk_bytes))
     split_at = splitters(docs, n)
-    route = routes(spark, n)
-    slot = F.pmod(F.hash("doc_id"), F.lit(n))
-    chunks = docs.select(F.element_at(F.array(*map(F.lit, route)), slot + 1).alias("chunk"), "doc_id", "text", *carry).repartition(n, "chunk")
+    slot = F.pmod(F.hash("doc_id", "text"), F.lit(n))  # rows of one id, or of none, spread
+    dealt = docs.withColumn("slot", slot).join(F.broadcast(routes(spark, n)), "slot", "left")
+    chunks = dealt.select(F.coalesce("chunk", "slot").alias("chunk"), "doc_id", "text", *carry).repartition(n, "chunk")
 
     def ask(batches):
         """Step 2: a chunk's distinct anchor hashes by range, and which of them two of its documents share."""
@@ -314,7 +318,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
 
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Step 3: a chunk's distinct blocks at shared anchors, by range."""
-        out = {k: [] for k in ("bucket", "chunk", "size", "left", "shift", "least", "most", "mark", "bytes")}
+        out = {k: [] for k in ("bucket", "chunk", "size", "left", "shift", "least", "most", "mark", "check", "bytes")}
         if right.num_rows and left.num_rows:
             told_ = [from_planes(h) for h in right.column("hashes").to_pylist()]
             heat = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(right.column("hot").to_pylist(), told_)]).astype(bool)
@@ -328,7 +332,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 pick = np.flatnonzero(wanted[at] == blocks.gram_hash)
                 if not len(pick):
                     continue
-                mark, place = blocks.fingerprints()[pick], np.searchsorted(split_at, blocks.leading()[pick], side="right")
+                (mark, check), place = blocks.fingerprints(pick), np.searchsorted(split_at, blocks.leading()[pick], side="right")
                 start, size, lefts, shift, ids = blocks.start[pick], blocks.size[pick], blocks.left[pick], np.zeros(len(pick), np.int64), whole.ids[of[pick]]
                 hot = heat[at[pick]]
                 if hot.any():  # windows instead of blocks, to all tasks
@@ -338,26 +342,26 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                     alone = blocks.digests(start[w] + j, np.full(len(w), window))
                     cold = np.flatnonzero(~hot)
                     join = lambda x, y: np.concatenate((x[cold], y))  # noqa: E731,B023
-                    mark, place = join(mark, mark[w]), join(place, (alone % np.uint64(n)).astype(np.int64))
+                    mark, check, place = join(mark, mark[w]), join(check, check[w]), join(place, (alone % np.uint64(n)).astype(np.int64))
                     start, lefts, shift, ids = join(start, start[w] + j), join(lefts, lefts[w] - j), join(shift, j), join(ids, ids[w])
                     size = join(size, np.ones(len(w), np.int64))
                 order = np.lexsort((ids, shift, mark))
-                m, sh = mark[order], shift[order]
-                first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (sh[1:] != sh[:-1]))))
+                m, sh, ch = mark[order], shift[order], check[order]
+                first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (sh[1:] != sh[:-1]) | (ch[1:] != ch[:-1]))))
                 last = np.append(first[1:], len(m)) - 1
                 k = order[first]
                 length = size[k] + window - 1
                 idx = np.repeat(start[k] - np.cumsum(length) + length, length) + np.arange(length.sum())
-                held.append((place[k], m[first], sh[first], ids[k], ids[order[last]], size[k], lefts[k], blocks.buf[idx]))
+                held.append((place[k], m[first], ch[first], sh[first], ids[k], ids[order[last]], size[k], lefts[k], blocks.buf[idx]))
             if held:
-                bucket, mark, shift, least, most, size, lefts, raw = (np.concatenate(x) for x in zip(*held))
+                bucket, mark, check, shift, least, most, size, lefts, raw = (np.concatenate(x) for x in zip(*held))
                 length = size + window - 1
                 begin = np.cumsum(length) - length
                 for b, rows in _split(bucket):
                     # the same block may come from several pieces of the chunk
                     order = rows[np.lexsort((shift[rows], mark[rows]))]
-                    m, sh = mark[order], shift[order]
-                    first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (sh[1:] != sh[:-1]))))
+                    m, sh, ch = mark[order], shift[order], check[order]
+                    first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (sh[1:] != sh[:-1]) | (ch[1:] != ch[:-1]))))
                     k = order[first]
                     text = raw[np.repeat(begin[k] - np.cumsum(length[k]) + length[k], length[k]) + np.arange(length[k].sum())]
                     out["bucket"].append(b)
@@ -368,6 +372,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                     out["least"].append(np.minimum.reduceat(least[order], first).astype("<i8").tobytes())
                     out["most"].append(np.maximum.reduceat(most[order], first).astype("<i8").tobytes())
                     out["mark"].append(m[first].astype("<u8").tobytes())
+                    out["check"].append(ch[first].astype("<u4").tobytes())
                     out["bytes"].append(text.tobytes())
         kinds = {"bucket": pa.int32(), "chunk": pa.int32()}
         release()
@@ -382,7 +387,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         for rows in by.values():
             get = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])  # noqa: E731,B023
             size, left, shift = (get(x, np.uint8).astype(np.int64) for x in ("size", "left", "shift"))
-            least, most, mark = get("least", "<i8"), get("most", "<i8"), get("mark", "<u8")
+            least, most, mark, check = get("least", "<i8"), get("most", "<i8"), get("mark", "<u8"), get("check", "<u4")
             chunk = np.repeat([r["chunk"] for r in rows], [len(r["size"]) for r in rows])
             raw = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
             for r in rows:
@@ -429,7 +434,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 whose = rec[of[starts]]
                 offset = place[starts] - begin[whose] + shift[whose]  # noqa: B023
                 for c, part in _split(chunk[whose]):  # noqa: B023
-                    answers.setdefault(c, []).append((mark[whose][part], offset[part], runs[part], found[starts][part]))  # noqa: B023
+                    answers.setdefault(c, []).append((mark[whose][part], check[whose][part], offset[part], runs[part], found[starts][part]))  # noqa: B023
 
             at = 0
             while at < len(order):
@@ -445,9 +450,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                     if len(here):
                         weigh(here, left[here] - back, left[here] - back + 1)
             for c, parts in answers.items():
-                m, o, k, f = (np.concatenate(x) for x in zip(*parts))
-                cols = (m.astype("<u8").tobytes(), o.astype(np.uint8).tobytes(), k.astype(np.uint8).tobytes(), f.astype("<i8").tobytes())
-                yield pa.record_batch([pa.array([c], pa.int32()), *(pa.array([x], pa.binary()) for x in cols)], names=["chunk", "mark", "offset", "run", "found"])
+                m, ch, o, k, f = (np.concatenate(x) for x in zip(*parts))
+                cols = (m.astype("<u8").tobytes(), ch.astype("<u4").tobytes(), o.astype(np.uint8).tobytes(), k.astype(np.uint8).tobytes(), f.astype("<i8").tobytes())
+                yield pa.record_batch([pa.array([c], pa.int32()), *(pa.array([x], pa.binary()) for x in cols)], names=["chunk", "mark", "check", "offset", "run", "found"])
             release()
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -459,11 +464,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         gone = np.zeros(len(whole.buf) + 1, np.int16)  # at most one run starts or ends at a place, and under 200 overlap
         if right.num_rows:
             get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in right.column(name).to_pylist()])
-            mark, offset, run, found = get("mark", "<u8"), get("offset", np.uint8), get("run", np.uint8), get("found", "<i8")
+            mark, check, offset, run, found = get("mark", "<u8"), get("check", "<u4"), get("offset", np.uint8), get("run", np.uint8), get("found", "<i8")
             order = np.argsort(mark, kind="stable")
-            mark, offset, run, found = mark[order], offset[order], run[order], found[order]
+            mark, check, offset, run, found = mark[order], check[order], offset[order], run[order], found[order]
             for base, blocks, of in whole.pieces(window, gram):
-                own = blocks.fingerprints()
+                own, own_check = blocks.fingerprints()
                 a, b = np.searchsorted(mark, own), np.searchsorted(mark, own, side="right")
                 hit = np.flatnonzero(b > a)
                 if not len(hit):
@@ -473,7 +478,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 which = np.repeat(hit, runs)
                 first = blocks.start[which] + offset[idx]
                 ends = first + run[idx]
-                smaller = found[idx] < whole.ids[of[which]]
+                smaller = (found[idx] < whole.ids[of[which]]) & (check[idx] == own_check[which])
                 np.add.at(gone, base + first[smaller], 1)
                 np.add.at(gone, base + ends[smaller] + window - 1, -1)
         np.cumsum(gone, out=gone)
@@ -502,17 +507,25 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
 
     asked = chunks.mapInArrow(ask, "bucket int, chunk int, hashes binary, many binary")
     told = asked.repartitionById(n, F.col("bucket")).mapInArrow(shared, "chunk int, hashes binary, hot binary")
-    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, size binary, left binary, shift binary, least binary, most binary, mark binary, bytes binary")
-    answered = sent.repartitionById(n, F.col("bucket")).mapInArrow(compare, "chunk int, mark binary, offset binary, run binary, found binary")
-    kinds = {pa.int64(): "long", pa.string(): "string"}
-    schema = [f"{name} {kinds[kind]}" for name, kind in fields] + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(remove, ", ".join(schema))
+    sent = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, size binary, left binary, shift binary, least binary, most binary, mark binary, check binary, bytes binary")
+    answered = sent.repartitionById(n, F.col("bucket")).mapInArrow(compare, "chunk int, mark binary, check binary, offset binary, run binary, found binary")
+    kinds = {pa.int64(): T.LongType(), pa.string(): T.StringType()}
+    schema = T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields] + [docs.schema[c] for c in carry])
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(remove, schema)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with repeated strings taken out of their texts; other columns stay, and ``n_chars`` is counted anew."""
+    """``docs`` with repeated strings taken out of their texts.
+
+    Other columns, whatever their names, stay as they are; a column ``n_chars`` is counted anew.
+    """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     kept = remove_repeats(docs, with_text=True, carry=rest, **options)
-    text = F.col("kept_text").alias("text")
-    counted = lambda c: F.char_length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
-    return kept.select(*(F.col("doc_id").cast(docs.schema["doc_id"].dataType) if c == "doc_id" else text if c == "text" else counted(c) for c in docs.columns))
+
+    def column(c):
+        kind = docs.schema[c].dataType
+        if c in ("doc_id", "text"):
+            return F.col("doc_id" if c == "doc_id" else "kept_text").cast(kind).alias(c)
+        return F.char_length("kept_text").cast(kind).alias(c) if c == "n_chars" else F.col("carried").getField(c).alias(c)
+
+    return kept.select(*map(column, docs.columns))

@@ -96,6 +96,19 @@ def test_text_columns_and_empty_table(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_clashing_columns_are_carried(spark):
+    names = ["chunk", "slot", "carried", "n_bytes", "n_removed", "n_spans", "kept_text", "kept_sha256", "odd name-1"]
+    df = spark.createDataFrame([(k, "k" * 60 if k < 2 else None, *range(k, k + len(names))) for k in range(4)], "doc_id int, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(df).collect()}
+    assert suffix_dedup.without_repeats(df).schema.simpleString() == df.schema.simpleString()
+    assert got[0]["text"] == "k" * 60 and got[1]["text"] == "" and all([got[k][n] for n in names] == list(range(k, k + len(names))) for k in range(4))
+
+
+def test_more_chunks_than_partitions(spark):
+    rows = mosaic(11, 80) + [(None, "q" * 90 + str(k)) for k in range(20)]
+    assert sorted(removed(spark, rows, chunk_bytes=800), key=str) == sorted(repeats(rows), key=str)
+
+
 def test_multikey_sort():
     x = np.random.default_rng(0).integers(0, 3, (500, 4)).astype(np.uint64)
     order, same = suffix_dedup.multikey_sort(x)
