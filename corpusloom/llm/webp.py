@@ -1,20 +1,23 @@
-"""Lossless WebP: a full decoder, a small encoder, and media columns made with them.
+"""Lossless WebP: a decoder of the whole format, an encoder, and media columns made with them.
 
 ``decode`` reads any lossless WebP picture: prefix codes (simple and normal, one
 group or many), back-references with the neighbourhood distance codes, the colour
-cache, and the predictor, cross-colour, subtract-green and palette transforms.
-Where a picture has one group of literal codes of one length a channel, as
-``encode`` writes it, its pixels are read by array operations instead of one by
-one; the result is the same.
-
-``encode`` stores rows of 64 pixels of three samples, so 192 bytes are a row.
-Each channel gets a complete prefix code over the samples it holds.  A picture has
-at most 16,384 rows; longer payloads become several pictures one after another,
-as a RIFF header has its length.
+cache, and the predictor, cross-colour, subtract-green and palette transforms.  A
+picture with one group of codes, as most are, is read by array operations: the
+symbol at every bit place is looked up at once, the places that hold one are
+followed from the first, and copies and cache entries are resolved as pointers.
+
+``encode`` stores rows of 64 pixels of three samples, so 192 bytes are a row.  It
+chooses between no transform, cross-colour, subtract-green, two predictors and a
+palette by the bits that each promises, copies stretches of three pixels and more
+that were there before, tries colour caches, and gives every channel a prefix code
+of least size.  A picture has at most 4,096 rows; longer payloads become several
+pictures one after another.
 
 Defined cases: null text is empty; an empty text is one row of blanks; texts of
 any length are stored whole; equal texts give equal values; repeated rows are
-repeated in the result; other columns are ignored.
+repeated in the result; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,13 @@ from .common import documents_of, map_batches, slices
 
 ROW_PIXELS = 64
 ROW_BYTES = 3 * ROW_PIXELS
-MOST_ROWS = 1 << 14
+#: Rows of a picture; longer payloads become several.
+MOST_ROWS = 1 << 12
+#: Longest code that the encoder gives a symbol, and the colour caches, in bits, that it tries.
+MOST_BITS = 11
+CACHES = (8,)
+#: Bits of a stream that are looked up at once.
+PIECE_BITS = 1 << 19
 SIGNATURE = 0x2F
 
 # Fixed values of the format: the order in which lengths of code-length codes are stored.
@@ -70,41 +81,60 @@ class Bits:
         return value
 
 
+@lru_cache(16)
+def _mirror(n: int) -> np.ndarray:
+    """The numbers below 2**n with their n bits in reverse."""
+    out = np.zeros(1 << n, np.int64)
+    for k in range(n):
+        out |= (np.arange(1 << n) >> k & 1) << (n - 1 - k)
+    return out
+
+
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Used symbols in the order of their codes, and the codes, lowest bit first."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    most = int(lengths[used[-1]])
+    width = 1 << (most - lengths[used])
+    return used, _mirror(most)[np.cumsum(width) - width]
+
+
 class Code:
     """A canonical prefix code, from the code lengths of its symbols."""
 
     def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        if not used:
-            used, lengths = [0], [0]
-        self.symbols = used
-        self.single = used[0] if len(used) == 1 else None
+        n = np.array(lengths, np.int64)
+        used = np.flatnonzero(n)
+        self.single = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
+        self.most = 0
         if self.single is not None:
-            self.most = 0
             return
-        self.most = max(lengths)
-        #: The length of every code, if they all have one.
-        self.width = self.most if all(lengths[s] == self.most for s in used) else None
-        self.table: list[tuple[int, int] | None] = [None] * (1 << self.most)
-        code, filled = 0, 0
-        for n in range(1, self.most + 1):
-            code <<= 1
-            for s in used:
-                if lengths[s] == n:
-                    low = int(format(code, f"0{n}b")[::-1], 2)
-                    for k in range(low, 1 << self.most, 1 << n):
-                        self.table[k] = (s, n)
-                    filled += 1 << (self.most - n)
-                    code += 1
-        if filled != 1 << self.most:
+        self.most = int(n.max())
+        used = used[np.argsort(n[used], kind="stable")]
+        width = 1 << (self.most - n[used])
+        if width.sum() != 1 << self.most:
             raise ValueError("a prefix code isn't complete")
+        turn = _mirror(self.most)
+        #: Symbol and code length for the next ``most`` bits.
+        self.symbol = np.repeat(used, width)[turn].astype(np.int16)
+        self.width = np.repeat(n[used], width)[turn].astype(np.uint8)
+        self._lists = None
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        s, n = self.table[bits.peek(self.most)]
-        bits.at += n
-        return s
+        if self._lists is None:
+            self._lists = self.symbol.tolist(), self.width.tolist()
+        k = bits.peek(self.most)
+        bits.at += self._lists[1][k]
+        return self._lists[0][k]
+
+    def look(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and code lengths at the start of each window of bits."""
+        if self.single is not None:
+            return np.full(len(windows), self.single, np.int16), np.zeros(len(windows), np.uint8)
+        k = windows & ((1 << self.most) - 1)
+        return self.symbol[k], self.width[k]
 
 
 def _read_code(bits: Bits, size: int) -> Code:
@@ -121,20 +151,38 @@ def _read_code(bits: Bits, size: int) -> Code:
         of_lengths[LENGTH_ORDER[k]] = bits.read(3)
     reader = Code(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    if reader.single is not None:
+        symbol, width, mask = [reader.single], [0], 0
+    else:
+        symbol, width, mask = reader.symbol.tolist(), reader.width.tolist(), (1 << reader.most) - 1
     at, last = 0, 8
+    place, have, ahead = bits.at, 0, 0  # ``ahead`` holds the next ``have`` bits
     while at < size and left:
         left -= 1
-        s = reader.read(bits)
+        if have < 16:
+            ahead, have = int.from_bytes(bits.data[place >> 3 : (place >> 3) + 16], "little") >> (place & 7), 120
+        k = ahead & mask
+        s, n = symbol[k], width[k]
+        ahead >>= n
         if s < 16:
             lengths[at] = s
             last = s or last
             at += 1
-            continue
-        value, times = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-        if at + times > size:
-            raise ValueError("code lengths run over")
-        lengths[at : at + times] = [value] * times
-        at += times
+        else:
+            more = 2 if s == 16 else 3 if s == 17 else 7
+            times = (ahead & ((1 << more) - 1)) + (11 if s == 18 else 3)
+            ahead >>= more
+            n += more
+            if s == 16:
+                lengths[at : at + times] = [last] * times
+            at += times
+        place += n
+        have -= n
+    bits.at = place
+    if at > size:
+        raise ValueError("code lengths run over")
+    if place > bits.end:
+        raise ValueError("the picture ends early")
     return Code(lengths)
 
 
@@ -150,7 +198,7 @@ def _blocks(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-def _read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
+def _read_pixels(bits: Bits, width: int, height: int, top: bool, seen: Counter | None = None) -> np.ndarray:
     """An entropy-coded picture as ARGB numbers, row by row."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -164,10 +212,8 @@ def _read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     cache_size = 1 << cache_bits if cache_bits else 0
     groups = [[_read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(n_groups)]
     total = width * height
-    if n_groups == 1 and not cache_bits:
-        plain = _read_plain(bits, groups[0], total)
-        if plain is not None:
-            return plain
+    if n_groups == 1:
+        return _read_group(bits, groups[0], total, width, cache_bits, seen)
     out = [0] * total
     cache = [0] * cache_size
     shift = 32 - cache_bits
@@ -207,31 +253,141 @@ def _read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _read_plain(bits: Bits, codes: list[Code], total: int) -> np.ndarray | None:
-    """All pixels at once where literal codes have one length a channel; else None."""
-    widths = [0 if c.single is not None else c.width for c in codes[:4]]
-    if None in widths or codes[0].symbols[-1] > 255:
-        return None
-    stride = sum(widths)
-    if bits.at + stride * total > bits.end:
-        raise ValueError("the picture ends early")
-    value = np.zeros(total, np.uint32)
-    if stride:
-        raw = np.frombuffer(bits.data, np.uint8, offset=bits.at >> 3)
-        stream = np.unpackbits(raw[: (stride * total + 7 + (bits.at & 7)) // 8], bitorder="little")
-        matrix = stream[bits.at & 7 :][: stride * total].reshape(total, stride)
-    at = 0
-    for code, width, to in zip(codes, widths, (8, 16, 0, 24)):
-        if width:
-            rank = np.zeros(total, np.uint16)
-            for k in range(at, at + width):
-                rank = rank << 1 | matrix[:, k]
-            value |= np.array(code.symbols, np.uint32)[rank] << np.uint32(to)
-            at += width
+def _windows(data: bytes, bit: int, n: int) -> np.ndarray:
+    """The 25 bits or more from each of ``n`` bit places on; ``bit`` is a multiple of eight."""
+    part = data[bit >> 3 : (bit + n + 7 >> 3) + 4]
+    part += bytes(((n + 7) >> 3) + 4 - len(part))
+    four = np.ndarray(((n + 7) >> 3,), "<u4", part, strides=(1,))
+    return (four[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)[:n]
+
+
+EXTRA_BITS = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)])
+EXTRA_BASE = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << ((k - 2) >> 1)) + 1 for k in range(40)])
+
+
+@lru_cache(8)
+def _distances(width: int) -> np.ndarray:
+    """How far back each of the short distance codes goes in a picture of a width; code 0 isn't used."""
+    return np.array([1, *(max(1, x + y * width) for x, y in NEIGHBOURS)])
+
+
+def _read_group(bits: Bits, codes: list[Code], total: int, width: int, cache_bits: int, seen: Counter | None = None) -> np.ndarray:
+    """The pixels of a picture with one group of codes.
+
+    For every bit place of a piece the end of the symbol that would begin there is
+    looked up at once; following these from the first symbol on gives the symbols
+    that are there.  Literals are then placed, and copies and cache entries are
+    pointers that are followed to a literal, by doubling.
+    """
+    green, red, blue, alpha, dist = codes
+    found: list[tuple[np.ndarray, ...]] = []
+    left = total
+    if all(c.single is not None for c in codes[:4]):
+        g, r, b, a = (c.single for c in codes[:4])
+        if g < 256:
+            return np.full(total, a << 24 | r << 16 | g << 8 | b, np.uint32)
+    while left > 0:
+        first = bits.at & ~7
+        n = min(PIECE_BITS, bits.end - first)
+        if n <= 0:
+            raise ValueError("the picture ends early")
+        win = _windows(bits.data, first, n + 128)
+        g, size = green.look(win[:n])
+        at = np.arange(n, dtype=np.int32) + size
+        goes = at.copy()
+        for code in (red, blue, alpha):
+            if code.single is None:
+                goes = goes + code.width[win[goes] & ((1 << code.most) - 1)]
+        if cache_bits:
+            goes = np.where(g < 280, goes, at)
+        copy = np.flatnonzero((g >= 256) & (g < 280))
+        count = None
+        if len(copy):
+            k = g[copy] - 256
+            more = EXTRA_BITS[k]
+            count = np.ones(n, np.int32)
+            count[copy] = EXTRA_BASE[k] + (win[at[copy]] & ((1 << more) - 1))
+            d, size = dist.look(win[at[copy] + more])
+            goes[copy] = at[copy] + more + size + EXTRA_BITS[d]
+        step, pixels = memoryview(goes), memoryview(count) if count is not None else None
+        place, p = [], bits.at - first
+        if pixels is None:
+            for _ in range(left):
+                if p >= n:
+                    break
+                place.append(p)
+                p = step[p]
+            left -= len(place)
         else:
-            value |= np.uint32(code.symbols[0] << to)
-    bits.at += stride * total
-    return value
+            while left > 0 and p < n:
+                place.append(p)
+                left -= pixels[p]
+                p = step[p]
+        if not place:
+            raise ValueError("the picture ends early")
+        bits.at = first + p
+        if left < 0:
+            raise ValueError("a back-reference leaves the picture")
+        if bits.at > bits.end:
+            raise ValueError("the picture ends early")
+        place = np.array(place)
+        g, q = g[place].astype(np.int64), at[place].astype(np.int64)
+        r, size = red.look(win[q])
+        q1 = q + size
+        b, size = blue.look(win[q1])
+        a, _ = alpha.look(win[q1 + size])
+        colour = (a.astype(np.int64) << 24) | (r.astype(np.int64) << 16) | ((g & 255) << 8) | b
+        k = np.where((g >= 256) & (g < 280), g - 256, 0)
+        run = np.where((g >= 256) & (g < 280), EXTRA_BASE[k] + (win[q] & ((1 << EXTRA_BITS[k]) - 1)), 1)
+        back = np.zeros(len(g), np.int64)
+        c = np.flatnonzero((g >= 256) & (g < 280))
+        if len(c):
+            q = q[c] + EXTRA_BITS[k[c]]
+            d, size = dist.look(win[q])
+            q = q + size
+            far = EXTRA_BASE[d] + (win[q] & ((1 << EXTRA_BITS[d]) - 1))
+            back[c] = np.where(far > 120, far - 120, _distances(width)[np.minimum(far, 120)])
+        found.append((g, colour, run, back))
+    g, colour, run, back = (np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
+    if seen is not None:
+        seen.update(literals=int((g < 256).sum()), copies=int(((g >= 256) & (g < 280)).sum()), entries=int((g >= 280).sum()))
+        seen["unequal lengths"] += any(len(np.unique(c.width)) > 1 for c in codes[:3] if c.single is None)
+    if len(g) == total and not cache_bits and not back.any():
+        return colour.astype(np.uint32)
+    begin = np.cumsum(run) - run
+    if (back > begin).any():
+        raise ValueError("a back-reference leaves the picture")
+    value = np.repeat(colour, run)
+    to = np.arange(total) - np.repeat(back, run)
+    if cache_bits:
+        value, to = _from_cache(value, to, np.repeat(np.where(g >= 280, g - 280, -1), run), cache_bits)
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return value[to[:total]].astype(np.uint32)
+        to = further
+
+
+def _from_cache(value: np.ndarray, to: np.ndarray, entry: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pointers with those of cache entries: to the last pixel before that isn't one and has the entry's place."""
+    root = to
+    while True:
+        further = root[root]
+        if (further == root).all():
+            break
+        root = further
+    slot = np.where(entry >= 0, entry, (value * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits))[root]
+    order = np.argsort(slot, kind="stable")
+    sorted_slot, is_entry = slot[order], entry[order] >= 0
+    new = np.ones(len(order), bool)
+    new[1:] = sorted_slot[1:] != sorted_slot[:-1]
+    # an entry that nothing has filled holds zero, which one pixel more stands for
+    last = np.maximum.accumulate(np.where(new | ~is_entry, np.arange(len(order)), 0))
+    source = order[last]
+    empty = is_entry[last]
+    value, to = np.append(value, 0), np.append(to, len(value))
+    to[order[is_entry]] = np.where(empty, len(to) - 1, source)[is_entry]
+    return value, to
 
 
 def _bytes(argb: np.ndarray, width: int) -> np.ndarray:
@@ -241,6 +397,13 @@ def _bytes(argb: np.ndarray, width: int) -> np.ndarray:
 
 def _predict(argb: np.ndarray, width: int, modes: np.ndarray, size_bits: int) -> np.ndarray:
     height = len(argb) // width
+    kinds = np.unique(modes >> 8 & 15)
+    if len(kinds) == 1 and kinds[0] in (1, 2):  # sums along rows or columns
+        px = _bytes(argb, width).reshape(height, width, 4).copy()
+        px[0, 0, 3] += 255
+        lead = px[:, 0] if kinds[0] == 1 else px[0]
+        lead[:] = np.cumsum(lead, axis=0, dtype=np.uint8)
+        return np.cumsum(px, axis=2 - int(kinds[0]), dtype=np.uint8).reshape(-1).view("<u4").astype(np.uint32)
     px = _bytes(argb, width).astype(np.int64).reshape(height, width, 4).tolist()
     across = _blocks(width, size_bits)
     mode_of = (modes >> 8 & 15).tolist()
@@ -327,8 +490,11 @@ def _palette(argb: np.ndarray, width: int, packed: int, table: np.ndarray, pack_
     return full[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width, 4) of red, green, blue and alpha of one lossless WebP file."""
+def decode(data: bytes, seen: Counter | None = None) -> np.ndarray:
+    """Pixels (height, width, 4) of red, green, blue and alpha of one lossless WebP file.
+
+    ``seen`` counts the transforms, copies, cache entries and literals of the picture.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("no WebP file")
     at = 12
@@ -362,7 +528,9 @@ def decode(data: bytes) -> np.ndarray:
             pack_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((kind, now, table, pack_bits))
             now = _blocks(now, pack_bits)
-    argb = _read_pixels(bits, now, height, True)
+    argb = _read_pixels(bits, now, height, True, seen)
+    if seen is not None:
+        seen.update(("predictor", "cross-colour", "green", "palette")[k[0]] for k in undo)
     for kind, wide, *rest in reversed(undo):
         if kind == 0:
             argb = _predict(argb, wide, *rest)
@@ -382,93 +550,324 @@ class BitWriter:
     """Collects bits, lowest first."""
 
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.value, self.n, self.end = 0, 0, 0
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
 
-    def array(self) -> np.ndarray:
-        raw = self.value.to_bytes((self.n + 7) // 8, "little")
-        return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.n]
+
+def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """Lengths of a prefix code of least total size; if a code would be longer than ``most`` bits, of flattened counts."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        return out
+    weight = counts[used]
+    while True:
+        order = np.argsort(weight, kind="stable")
+        w = weight[order].tolist()
+        n, i = len(w), 0
+        j = n
+        above = [0] * (2 * n - 1)
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if i < n and (j == k or w[i] <= w[j]):
+                    total += w[i]
+                    above[i] = k
+                    i += 1
+                else:
+                    total += w[j]
+                    above[j] = k
+                    j += 1
+            w.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth[:n]) <= most:
+            out[used[order]] = depth[:n]
+            return out
+        weight = (weight + 1) // 2
 
 
 def _put_single(w: BitWriter, symbol: int) -> None:
-    w.put(1, 1)
+    w.put(5 | symbol << 3, 11)
+
+
+def _put_code(w: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Store the code of counted symbols; returns the codes (lowest bit first) and their lengths."""
+    lengths = code_lengths(counts)
+    codes = np.zeros(len(counts), np.int64)
+    if not lengths.any():
+        _put_single(w, int(np.argmax(counts)))
+        return codes, lengths
+    used, code = canonical(lengths)
+    codes[used] = code
+    tokens: list[tuple[int, int, int]] = []  # symbol, extra bits and their number
+    edges = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]
+    for value, run in zip(lengths[edges[:-1]].tolist(), np.diff(edges).tolist()):
+        if value:
+            tokens.append((value, 0, 0))
+            run -= 1
+        while run >= (3 if value else 11):
+            n = min(6 if value else 138, run)
+            tokens.append((16, n - 3, 2) if value else (18, n - 11, 7))
+            run -= n
+        if not value and run >= 3:
+            tokens.append((17, run - 3, 3))
+            run = 0
+        tokens += [(value, 0, 0)] * run
+    lengths_of = code_lengths(np.bincount([t for t, _, _ in tokens], minlength=19), 7)
+    if not lengths_of.any():  # a code of one symbol has no bits
+        lengths_of[[tokens[0][0], 0 if tokens[0][0] else 1]] = 1
+    used, code = canonical(lengths_of)
+    code_of = dict(zip(used.tolist(), code.tolist()))
+    sizes = lengths_of.tolist()
+    stored = max(4, 1 + max(k for k, x in enumerate(LENGTH_ORDER) if sizes[x]))
+    w.put((stored - 4) << 1, 5)
+    for x in LENGTH_ORDER[:stored]:
+        w.put(sizes[x], 3)
     w.put(0, 1)
-    w.put(1, 1)
-    w.put(symbol, 8)
+    value = n = 0
+    for t, extra, more in tokens:
+        value |= (code_of[t] | extra << sizes[t]) << n
+        n += sizes[t] + more
+    w.put(value, n)
+    return codes, lengths
+
 
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number for lengths or distances."""
+    symbol = np.searchsorted(EXTRA_BASE, values, side="right") - 1
+    return symbol, values - EXTRA_BASE[symbol], EXTRA_BITS[symbol]
 
-def _put_even(w: BitWriter, symbols: np.ndarray, width: int, size: int) -> None:
-    """A code in which each of 2**width symbols has a code of ``width`` bits.
 
-    The lengths are stored with eight code-length codes of three bits.
+def _copies(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of the stretches that are copied from before, greedily from the left.
+
+    A stretch begins where the last equal run of three pixels is as far back as for
+    all its pixels, so it is found as a run of equal distances.
     """
-    lengths = np.zeros(size, np.int64)
-    lengths[symbols] = width
-    tokens = [0, width, 16, 17, 18]
-    tokens = sorted(tokens + [s for s in range(1, 16) if s != width][:3])
-    code_of = {s: int(format(k, "03b")[::-1], 2) for k, s in enumerate(tokens)}
-    w.put(0, 1)
-    w.put(15, 4)
-    for s in LENGTH_ORDER:
-        w.put(3 if s in code_of else 0, 3)
+    none = np.zeros(0, np.int64)
+    if len(v) < 4:
+        return none, none, none
+    wide = v.astype(np.uint64)
+    key = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + (wide[2:] << np.uint64(31)))
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return none, none, none
+    now, then = order[same + 1], order[same]
+    real = (v[now] == v[then]) & (v[now + 1] == v[then + 1]) & (v[now + 2] == v[then + 2])
+    back = np.zeros(len(key) + 1, np.int64)
+    back[now[real]] = (now - then)[real]
+    edge = np.flatnonzero(np.diff(back)) + 1
+    starts = np.concatenate(([0], edge))
+    runs = np.diff(np.append(starts, len(back)))
+    good = (back[starts] > 0) & (back[starts] < (1 << 20) - 120)
+    out, at = [], 0
+    for s, n, d in zip(starts[good].tolist(), runs[good].tolist(), back[starts[good]].tolist()):
+        end = s + n + 2
+        s = max(s, at)
+        while end - s >= 3:
+            size = min(end - s, 4096)
+            out.append((s, size, d))
+            s += size
+            at = s
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+def _sizes(counts: np.ndarray) -> np.ndarray:
+    """About the bits of the symbols of each row under its best code, with the code itself."""
+    n = counts.astype(np.float64)
+    whole = n.sum(1)
+    bits = whole * np.log2(np.maximum(whole, 1)) - (n * np.log2(np.maximum(n, 1))).sum(1)
+    used = (counts > 0).sum(1)
+    return np.where(used > 1, bits + 5.0 * used, 0.0)
+
+
+def _put_pixels(w: BitWriter, v: np.ndarray, width: int, top: bool) -> bytes:
+    """Pixels as copies, cache entries and literals, whichever cache is best; returns the stream after the codes."""
+    start, size, back = _copies(v)
+    literal = np.zeros(len(v) + 1, np.int64)
+    np.add.at(literal, start, 1)
+    np.add.at(literal, start + size, -1)
+    literal = np.flatnonzero(np.cumsum(literal[:-1]) == 0)
+    channels = lambda k: (v[k] >> 8 & 255, v[k] >> 16 & 255, v[k] & 255, v[k] >> 24)
+    near, near_code = _near_order(width)
+    at = np.minimum(np.searchsorted(near, back), len(near) - 1)
+    far = np.where(near[at] == back, near_code[at], back + 120)
+    l_sym, l_extra, l_more = _prefixes(size)
+    d_sym, d_extra, d_more = _prefixes(far)
+
+    def counted(key: np.ndarray | None, hit: np.ndarray, cache_bits: int):
+        g, r, b, a = channels(literal[~hit])
+        wide = 280 + (1 << cache_bits if cache_bits else 0)
+        parts = [g, 256 + l_sym, wide + r, 2 * wide + b, 3 * wide + a, 4 * wide + d_sym]
+        if cache_bits:
+            parts.append(280 + key[literal[hit]])
+        return np.bincount(np.concatenate(parts), minlength=5 * wide).reshape(5, wide)
+
+    none = np.zeros(len(literal), bool)
+    best = (counted(None, none, 0), none, None, 0)
+    cost = _sizes(best[0]).sum()
+    for cache_bits in CACHES if top else ():
+        key = (v.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFFFFFF)).astype(np.int64) >> (32 - cache_bits)
+        order = np.argsort(key.astype(np.int16), kind="stable")
+        kept = np.zeros(len(v), bool)
+        kept[order[1:]] = v[order[1:]] == v[order[:-1]]
+        hit = kept[literal]
+        counts = counted(key, hit, cache_bits)
+        here = _sizes(counts).sum()
+        if here < cost:
+            cost, best = here, (counts, hit, key, cache_bits)
+    counts, hit, key, cache_bits = best
+    w.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+    if top:
+        w.put(0, 1)
+    (gc, gl), (rc, rl), (bc, bl), (ac, al), (dc, dl) = (_put_code(w, c[:n]) for c, n in zip(counts, (counts.shape[1], 256, 256, 256, 40)))
+    plain = literal[~hit]
+    g, r, b, a = channels(plain)
+    joined = (bc[b] | ac[a] << bl[b], bl[b] + al[a])
+    joined = (rc[r] | joined[0] << rl[r], rl[r] + joined[1])
+    words = [(gc[g] | joined[0] << gl[g], gl[g] + joined[1])]
+    places = [plain]
+    if cache_bits:
+        e = 280 + key[literal[hit]]
+        words.append((gc[e], gl[e]))
+        places.append(literal[hit])
+    if len(start):
+        n = dl[d_sym]
+        tail, n_tail = dc[d_sym] | d_extra << n, n + d_more
+        tail, n_tail = l_extra | tail << l_more, l_more + n_tail
+        words.append((gc[256 + l_sym] | tail << gl[256 + l_sym], gl[256 + l_sym] + n_tail))
+        places.append(start)
+    order = np.argsort(np.concatenate(places), kind="stable") if len(places) > 1 else slice(None)
+    value = np.concatenate([x for x, _ in words])[order].astype(np.uint64)
+    return _packed(w, value, np.concatenate([n for _, n in words])[order])
+
+
+def _packed(w: BitWriter, value: np.ndarray, n: np.ndarray) -> bytes:
+    """What ``w`` holds and then values of ``n`` bits each, at most 63, as bytes."""
+    head = w.n + 63 >> 6
+    end = w.n + np.cumsum(n)
+    w.end = int(end[-1]) if len(end) else w.n
+    at = end - n
+    words = np.zeros((int(end[-1] if len(end) else w.n) >> 6) + 2, "<u8")
+    words[:head] = np.frombuffer(w.value.to_bytes(8 * head, "little"), "<u8")
+    some = np.flatnonzero(n > 0)
+    if len(some):
+        value, at = value[some], at[some]
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        over = np.where(shift > 0, value >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        words[word[first]] |= np.bitwise_or.reduceat(value << shift, first)
+        words[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
+    return words.tobytes()[: int(end[-1] if len(end) else w.n) + 7 >> 3]
+
+
+@lru_cache(8)
+def _near_order(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances that have a short code, ascending, and the least code of each."""
+    found = np.unique(_distances(width)[1:], return_index=True)
+    return found[0], found[1] + 1
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return (x & 255 ^ 128) - 128
+
+
+def _slope(x: np.ndarray, y: np.ndarray) -> int:
+    """The multiplier, in 32nds, by which ``x`` says most about ``y``."""
+    d = x - x.mean()
+    scale = float((d * d).sum())
+    return int(np.clip(round(32 * float((d * y).sum()) / scale), -128, 127)) if scale else 0
+
+
+def _whitened(px: np.ndarray) -> list[tuple[int, tuple, np.ndarray]]:
+    """(kind, parameters, pixels) under each transform but the palette: none, cross-colour, green, left, above."""
+    x = px.astype(np.int32)
+    r, g, b = (x[..., k] for k in range(3))
+    sg, sr, sb = _signed(g), _signed(r), _signed(b)
+    by_green, blue_green, blue_red = _slope(sg, sr), _slope(sg, sb), _slope(sr, sb)
+    cross = np.stack([r - (by_green * sg >> 5), g, b - (blue_green * sg >> 5) - (blue_red * sr >> 5)], -1)
+    left, above = x.copy(), x.copy()
+    left[:, 1:] -= x[:, :-1]
+    left[1:, 0] -= x[:-1, 0]
+    above[1:] -= x[:-1]
+    above[0, 1:] -= x[0, :-1]
+    return [
+        (-1, (), px), (1, (by_green, blue_green, blue_red), (cross & 255).astype(np.uint8)), (2, (), np.stack([r - g, g, b - g], -1).astype(np.uint8)),
+        (0, (1,), (left & 255).astype(np.uint8)), (0, (2,), (above & 255).astype(np.uint8)),
+    ]
+
+
+def _argb(px: np.ndarray, alpha: int = 255) -> np.ndarray:
+    x = px.reshape(-1, 3).astype(np.int64)
+    return alpha << 24 | x[:, 0] << 16 | x[:, 1] << 8 | x[:, 2]
+
+
+def _spread_sizes(variants: list[np.ndarray]) -> np.ndarray:
+    """About the bits of each variant's pixels as literals."""
+    flat = np.stack([x.reshape(-1, 3) for x in variants]).astype(np.int32)
+    flat += 256 * np.arange(3 * len(variants), dtype=np.int32).reshape(-1, 1, 3)
+    return _sizes(np.bincount(flat.reshape(-1), minlength=768 * len(variants)).reshape(-1, 256)).reshape(-1, 3).sum(1)
+
+
+def _put_tile(w: BitWriter, value: int) -> None:
+    """A picture of any size in which every pixel is ``value``: five codes of one symbol, and no bits."""
     w.put(0, 1)
-    edges = np.flatnonzero(np.diff(lengths)) + 1
-    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), size]):
-        value, run = int(lengths[a]), b - a
-        if value:
-            w.put(code_of[value], 3)
-            run -= 1
-            while run >= 3:
-                n = min(6, run)
-                w.put(code_of[16] | (n - 3) << 3, 5)
-                run -= n
-        else:
-            while run >= 11:
-                n = min(138, run)
-                w.put(code_of[18] | (n - 11) << 3, 10)
-                run -= n
-            if run >= 3:
-                w.put(code_of[17] | (run - 3) << 3, 6)
-                run = 0
-        for _ in range(run):
-            w.put(code_of[value], 3)
+    for x in (value >> 8 & 255, value >> 16 & 255, value & 255, value >> 24, 0):
+        _put_single(w, x)
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file of pixels (height, width, 3)."""
+    """A lossless WebP file of pixels (height, width, 3), under the transform that promises the fewest bits."""
     height, width, _ = pixels.shape
     w = BitWriter()
-    w.put(SIGNATURE, 8)
-    w.put(width - 1, 14)
-    w.put(height - 1, 14)
-    w.put(0, 4)
-    w.put(0, 3)  # no transform, no colour cache, one group
-    planes = []
-    for channel, size in ((1, 280), (0, 256), (2, 256)):
-        samples = pixels[:, :, channel].reshape(-1)
-        there = np.bincount(samples, minlength=256) > 0
-        n = int(there.sum())
-        if n == 1:
-            _put_single(w, int(samples[0]))
-            continue
-        bits = (n - 1).bit_length()
-        there[np.flatnonzero(~there)[: (1 << bits) - n]] = True
-        symbols = np.flatnonzero(there)
-        _put_even(w, symbols, bits, size)
-        rank = np.zeros(256, np.uint8)
-        rank[symbols] = np.arange(len(symbols))
-        planes.append(np.unpackbits(rank[samples][:, None], axis=1)[:, 8 - bits :])
-    _put_single(w, 255)
-    _put_single(w, 0)
-    stream = np.concatenate([w.array(), *([np.concatenate(planes, axis=1).reshape(-1)] if planes else [])])
-    chunk = np.packbits(stream, bitorder="little").tobytes()
+    w.put(SIGNATURE | width - 1 << 8 | height - 1 << 22, 40)  # no alpha, version zero
+    variants = _whitened(pixels)
+    bits = _spread_sizes([x for _, _, x in variants]) + [60 * (k >= 0) for k, _, _ in variants]
+    kind, given, px = variants[int(bits.argmin())]
+    v, wide = _argb(px), width
+    table, index = np.unique(v, return_inverse=True) if kind < 0 else (v, None)
+    palette = len(table) <= 256 and kind < 0 and _sizes(np.bincount(index)[None])[0] + 16 * len(table) < bits.min()
+    if palette:
+        w.put(1 | 3 << 1 | len(table) - 1 << 3, 11)
+        steps = np.diff(table.astype("<u4").view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
+        raw = _put_pixels(w, np.ascontiguousarray(steps, np.uint8).reshape(-1).view("<u4").astype(np.int64), len(table), False)
+        w = _resumed(raw, w)
+        pack_bits = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1 if len(table) <= 16 else 0
+        index, wide = index.reshape(height, width), _blocks(width, pack_bits)
+        if pack_bits:
+            each = 1 << pack_bits
+            index = np.pad(index, ((0, 0), (0, wide * each - width))).reshape(height, wide, each)
+            index = (index << (np.arange(each) * (8 >> pack_bits))).sum(2)
+        v = 255 << 24 | index.reshape(-1).astype(np.int64) << 8
+    elif kind >= 0:
+        w.put(1 | kind << 1, 3)
+        if kind == 0:
+            w.put(7, 3)
+            _put_tile(w, 255 << 24 | given[0] << 8)
+            v = _argb(px, 0)
+        elif kind == 1:
+            w.put(7, 3)
+            to_red, to_blue, red_to_blue = (x & 255 for x in given)
+            _put_tile(w, 255 << 24 | red_to_blue << 16 | to_blue << 8 | to_red)
+    w.put(0, 1)
+    chunk = _put_pixels(w, v, wide, True)
     body = b"WEBPVP8L" + struct.pack("<I", len(chunk)) + chunk + b"\0" * (len(chunk) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def _resumed(raw: bytes, before: BitWriter) -> BitWriter:
+    """A writer that goes on after the bits of ``raw``; the number of bits is what ``before`` was told."""
+    w = BitWriter()
+    w.value, w.n = int.from_bytes(raw, "little"), before.end
+    return w
+
+
 def payload_of(text: str | None) -> tuple[bytes, int]:
     """UTF-8 of the text with blanks up to a positive multiple of 192 bytes, and its length without them."""
     raw = (text or "").encode("utf-8", "surrogatepass")

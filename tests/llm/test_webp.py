@@ -230,7 +230,7 @@ def picture(px, width, transforms, rnd, **options):
             now, wide = rows, (wide + per - 1) // per
     w.put(0, 1)
     put_image(w, now, wide, True, rnd, **options)
-    raw = np.packbits(w.array(), bitorder="little").tobytes()
+    raw = w.value.to_bytes((w.n + 7) // 8, "little")
     body = b"WEBPVP8L" + struct.pack("<I", len(raw)) + raw + b"\0" * (len(raw) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
@@ -264,11 +264,48 @@ def test_neighbour_codes_are_complete():
     assert len(V.NEIGHBOURS) == 120 == len(set(V.NEIGHBOURS))
 
 
-def test_plain_and_general_reading_agree(monkeypatch):
-    media = V.store(V.payload_of("Some text, é, 日本 " * 40)[0])
-    fast = V.pictures(media)[0]
-    monkeypatch.setattr(V, "_read_plain", lambda *a: None)
-    assert (V.pictures(media)[0] == fast).all()
+def test_encoder_chooses_what_helps():
+    rnd = random.Random(3)
+    y, x = np.mgrid[0:40, 0:64]
+    ramp = np.stack([x * 3 + y, x + 2 * y, 5 * x], -1).astype(np.uint8)
+    grey = np.repeat(np.array([[rnd.randrange(256) for _ in range(64)] for _ in range(40)], np.uint8)[..., None], 3, 2)
+    half = grey.copy()
+    half[..., 0] = grey[..., 1].astype(np.int8) // 2
+    few = np.array([(200, 7, 9), (3, 80, 99)], np.uint8)[np.array([[rnd.randrange(2) for _ in range(64)] for _ in range(40)])]
+    sixteen = np.array([(k * 37 % 256, k * 91 % 256, k * 7 % 256) for k in range(14)], np.uint8)[np.array([[rnd.randrange(14) for _ in range(61)] for _ in range(40)])]
+    many = np.array([(k * 37 % 256, k * 91 % 256, k * 7 % 256) for k in range(600)], np.uint8)[np.minimum(599, np.array([[int(rnd.expovariate(0.02)) for _ in range(64)] for _ in range(40)]))]
+    noise = np.array([[[rnd.randrange(256) for _ in range(3)] for _ in range(64)] for _ in range(40)], np.uint8)
+    want = {"predictor": ramp, "green": grey, "cross-colour": half, "palette": few, "entries": many, "copies": np.tile(noise, (3, 1, 1)), "literals": noise}
+    for feature, px in [*want.items(), ("palette", sixteen)]:
+        seen = V.Counter()
+        assert (V.decode(V.encode(px), seen)[:, :, :3] == px).all()
+        assert seen[feature] > 0, (feature, seen)
+
+
+def test_group_reading_agrees_with_reading_one_by_one(monkeypatch):
+    rnd = random.Random(12)
+    words = ["the", "quick", "brown", "Fuchs", "é", "日本"]
+    for n in (1, 40, 400, 4000):
+        px = np.frombuffer(V.payload_of(" ".join(rnd.choice(words) for _ in range(n)))[0], np.uint8).reshape(-1, 64, 3)
+        media = V.encode(px)
+        for bits in (1 << 19, 64, 200):
+            monkeypatch.setattr(V, "PIECE_BITS", bits)
+            assert (V.decode(media)[:, :, :3] == px).all()
+        monkeypatch.undo()
+
+
+def test_given_documents_use_the_format(sf):
+    import pyarrow.parquet as pq
+
+    seen, size, full = V.Counter(), 0, 0
+    for text in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist():
+        payload, _ = V.payload_of(text)
+        media = V.store(payload)
+        size, full = size + len(media), full + len(payload)
+        px = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
+        if len(px) <= V.MOST_ROWS:
+            assert (V.decode(media, seen)[:, :, :3] == px).all()
+    assert size < 0.62 * full and min(seen[k] for k in ("copies", "entries", "literals", "unequal lengths")) > 0, (size / full, seen)
 
 
 @pytest.mark.parametrize("text", [None, "", "a", "a" * 191, "a" * 192, "a" * 193, "é" * 2_000_000, "".join(map(chr, range(1, 300))), "\x00" * 500])
@@ -286,6 +323,22 @@ def test_bad_files_are_refused():
             V.decode(bad)
 
 
+def test_media_query_against_plain_digests(spark):
+    import hashlib
+    import zlib
+
+    texts = [None, "", "abc", "é" * 100, "line one\nline two " * 40, "z" * 191, "z" * 192]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in V.media_features(df, with_media=True).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        full = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
+        rows = len(full) // 192
+        means = ",".join(f"{sum(full[c::3]) / (64 * rows):.3f}" for c in range(3))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(full[-16:]) and r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+        assert r["feature"].startswith(f"64x{rows};rgb={means};ahash=")
+
+
 def test_media_query(spark):
     rows = [(1, "abc"), (1, "abc"), (2, None), (3, "x" * 70_000), (None, "abc")]
     df = spark.createDataFrame([(*r, "f") for r in rows], "doc_id long, text string, feature string")
