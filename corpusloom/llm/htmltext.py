@@ -6,16 +6,18 @@ ratios are smoothed with a Gaussian over neighbouring lines, and lines above the
 threshold (their standard deviation, as in content extraction via tag ratios) form
 the clusters that select the content regions.  A region is the page's element
 that holds the selected text: its article or main elements if they hold over half
-of it, else the deepest element with most of that text.  All lines of a region are kept in
-page order, so short paragraphs aren't lost, except those inside elements whose
-tag, role or a whole class or id says menu, header, footer, sidebar, notice, advert, form
-or reader comment, and, where there is no article or main element, unselected
-lines of nothing but links.
+of it, else the deepest element with most of that text.  In an article or main element
+all lines are kept in page order, so short paragraphs aren't lost.  Elsewhere the
+clusters decide line by line: selected lines and those between clusters stay, others
+only in paragraphs, headings and lists beside a selected block, and not if they are
+links alone.  Elements whose tag, role or a whole class or id says menu, header,
+footer, sidebar, notice, advert, form or reader comment are vetoed anywhere.
 
 Defined cases: null, empty and text-free pages have empty text; broken markup is
 read as far as the parser goes and never fails; equal pages give equal text;
 repeated rows are repeated in the result; a page of any length is read whole;
-other columns are ignored.
+an empty table gives an empty result; equal ratios are all above the threshold or
+all below; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SIGMA = 1.5
 #: Share of the selected text that the deepest element must hold to be the region.
 MOST_OF_TEXT = 0.8
 
+#: Blocks of text that belong to the selected blocks beside them.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -185,6 +189,30 @@ def selected(ratios: np.ndarray) -> np.ndarray:
     return s >= threshold
 
 
+def clusters(content: np.ndarray) -> list[tuple[int, int]]:
+    """First and last + 1 of each run of selected lines."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], content.astype(np.int8), [0]))))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def of_clusters(content: np.ndarray, lines: list, paths: list[list[int]], page: Lines) -> np.ndarray:
+    """Lines that the clusters bring with them where no article or main element bounds the text.
+
+    These are the selected lines, the lines between two clusters, and, before the first
+    and after the last, lines in paragraphs, headings and lists that stand beside a
+    selected line's block; lines of links alone aren't brought along.
+    """
+    keep = content.copy()
+    found = clusters(content)
+    if not found:
+        return keep
+    keep[found[0][0] : found[-1][1]] = True
+    beside = {page.parent[p[-1]] for p, c in zip(paths, content) if c and p}
+    for k in [*range(found[0][0]), *range(found[-1][1], len(lines))]:
+        keep[k] = any(page.parent[e] in beside and page.kind[e] in TEXT_BLOCKS for e in paths[k])
+    return keep & (content | ~np.array([links for *_, links in lines]))
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: lines of the content regions, joined by blank lines."""
     page = lines_of(html or "")
@@ -217,9 +245,10 @@ def main_text(html: str | None) -> str:
         wide = [e for e, n in held.items() if n >= MOST_OF_TEXT * whole and page.kind[e] in FENCES]
         depth = {e: len(p[: p.index(e)]) for p in paths for e in p}
         regions = {max(wide, key=lambda e: (depth[e], e))} if wide else None
-    # outside an article, lines of links alone that weren't selected are menus
-    plain = regions is None or not any(page.kind[e] in ("article", "main") for e in regions)
-    kept = [k for k, p in enumerate(paths) if (regions is None or not regions.isdisjoint(p)) and not (plain and lines[k][4] and not content[k])]
+    inside = np.array([regions is None or not regions.isdisjoint(p) for p in paths])
+    if regions is None or not any(page.kind[e] in ("article", "main") for e in regions):
+        inside &= of_clusters(content & inside, lines, paths, page)
+    kept = np.flatnonzero(inside).tolist()
     return "\n\n".join(lines[k][0] for k in kept)
 
 

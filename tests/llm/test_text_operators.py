@@ -232,6 +232,48 @@ def test_main_text(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def plain_page(seed):
+    """A page without article or marks, and its text: long and short paragraphs among menus and notes in plain divs."""
+    rnd = random.Random(seed)
+    words = lambda n: " ".join("".join(rnd.choice("aeioustrn") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    menu = "".join(f"<div><span><b>{words(1)}</b></span></div>" for _ in range(rnd.randint(4, 9)))
+    note = "".join(f"<div><i><span>{words(2)}</span></i></div>" for _ in range(rnd.randint(4, 9)))
+    text = [words(rnd.randint(60, 120)) if k % 3 else words(4) for k in range(rnd.randint(4, 10))]
+    if seed % 2:
+        text.append(words(3))
+    body = "".join(f"<p>{x}</p>" for x in text)
+    return f"<html><body><div>{menu}</div><div><div>{body}{note}</div></div><div>{note}</div></body></html>", "\n\n".join(text)
+
+
+def test_clusters_decide_where_nothing_is_marked(monkeypatch):
+    pages = [plain_page(k) for k in range(30)]
+    assert [htmltext.main_text(h) for h, _ in pages] == [t for _, t in pages]
+    monkeypatch.setattr(htmltext, "selected", lambda ratios: np.ones(len(ratios), bool))
+    assert all(htmltext.main_text(h) != t for h, t in pages)
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(htmltext, "selected", lambda ratios: rng.random(len(ratios)) < 0.5)
+    assert sum(htmltext.main_text(h) != t for h, t in pages) > 20
+
+
+def test_given_pages_against_their_markup(sf):
+    """The given pages hold their text in one element; reading it by plain patterns gives the same."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    seen = 0
+    for page in pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist():
+        found = re.findall(r"<article>(.*)</article>", page or "", re.S)
+        if len(found) != 1 or re.search(r"<(aside|nav|form|footer|header|script|style|ul|table|section|div)\b", found[0]):
+            continue
+        blocks = re.split(r"</?(?:p|h\d)>", re.sub(r"<!--.*?-->", "", found[0], flags=re.S))
+        want = [" ".join(html.unescape(re.sub(r"<br ?/?>", " ", b) if "<b" in b else b).split()) for b in (re.sub(r"</?(?:b|i|a|em|strong|span)\b[^>]*>", "", x) for x in blocks)]
+        assert htmltext.main_text(page) == "\n\n".join(w for w in want if w)
+        seen += 1
+    assert seen >= 10
+
+
 def test_teaser_articles_are_not_the_main_text():
     story = [f"Paragraph {k} of the story, " + "with many more words to read " * 8 for k in range(6)]
     story = [" ".join(x.split()) for x in story]
