@@ -331,3 +331,56 @@ def test_pipeline_stages(spark, sf):
         assert 0 < kept <= before
         before, docs = kept, out
     assert p.run(spark, sf).groupBy("doc_id").count().count() == before
+
+
+CLASHES = "chunk slot carried n_bytes kept_text score predicted held_out fp key bits prefix component_id __copies __id bucket token ids sequence_id lang_pred".split()
+
+
+def odd_documents(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:60]
+    text = rows[5][1]
+    rows += [(900, None, None, "s", 0), (901, "", "en", "s", 0), (902, "123 !!", "en", "s", 7), (903, text, "en", None, 1), rows[5], rows[5], (None, text + " tail", "en", "s", 1), (5, "a text of its own with id five", "en", "s", 1), (904, "k " * 100_000, "en", "s", 200_000)]
+    return spark.createDataFrame([(*r, *range(len(CLASHES))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES))
+
+
+def test_stages_on_odd_rows_against_plain_results(spark, sf):
+    import corpus_pipeline as p
+    from corpusloom.llm import langid, packing, toxicity
+    from corpusloom.llm.common import table
+    from corpusloom.llm.queries import TOKENIZER
+    from tokenizers import Tokenizer
+
+    docs = odd_documents(spark, sf).cache()
+    rows = [tuple(r) for r in docs.collect()]
+    stages = dict(p.STAGES)
+    sort = lambda x: sorted(map(str, x))
+
+    out = stages["toxicity"](spark, docs, sf)
+    scores = toxicity.classify(docs, table(spark, sf, "labels")).collect()
+    kept = [r for r, s in zip(rows, scores) if s["predicted"] == 0]
+    assert all(s["doc_id"] == r[0] for r, s in zip(rows, scores)) and sort(map(tuple, out.collect())) == sort(kept)
+
+    out = stages["language"](spark, docs, sf)
+    accepted = [r["accepted"] for r in langid.identify(docs).collect()]
+    assert sort(map(tuple, out.collect())) == sort(r for r, a in zip(rows, accepted) if a)
+    assert not [r for r, a in zip(rows, accepted) if a and r[1] in (None, "", "123 !!")]
+
+    out = stages["near_duplicates"](spark, docs, sf)
+    ids = [r["doc_id"] for r in out.collect()]
+    assert out.columns == docs.columns and len(ids) - ids.count(None) == len({i for i in ids if i is not None}) and ids.count(None) == 1 and 903 not in ids and 901 not in ids
+
+    out = stages["repeated_passages"](spark, docs, sf)
+    got = [(r["doc_id"], len(r["text"].encode())) for r in out.collect()]
+    assert out.schema.simpleString() == docs.schema.simpleString() and len(got) == len(rows)
+    left = sorted((str(i), n - gone) for i, n, gone, _, _ in repeats([(r[0], r[1] if r[0] != 904 else None) for r in rows]) if i != 904)
+    assert [x[0] for x in left] == sorted(str(i) for i, _ in got if i != 904)
+    assert all(a[1] - b[1] in (0, 1, 2, 3) for a, b in zip(left, sorted((str(i), n) for i, n in got if i != 904)))  # a cut character goes whole
+
+    library = Tokenizer.from_file(TOKENIZER)
+    pieces = {}
+    for r in packing.pack(docs.where("doc_id >= 900"), TOKENIZER).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    for i, text in [(r[0], r[1]) for r in rows if (r[0] or 0) >= 900]:
+        assert [x for _, part in sorted(pieces[i]) for x in part] == [*library.encode(text or "", add_special_tokens=False).ids, 1]
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
