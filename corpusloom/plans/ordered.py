@@ -51,34 +51,45 @@ def split_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 SRS_SQL = f"""
-WITH RECURSIVE {LOG}, c AS (SELECT uid, k, res, row_number() OVER (PARTITION BY uid ORDER BY ts, event_id) AS clock FROM log WHERE k IS NOT NULL),
- s AS (SELECT uid, k, res, clock, row_number() OVER (PARTITION BY uid, k ORDER BY clock) AS i, count(*) OVER (PARTITION BY uid, k) AS n FROM c),
+WITH RECURSIVE {LOG}, c AS (SELECT uid, k, res, least(1.0, greatest(0.0, 1 - coalesce(bf, 0.5))) AS q, row_number() OVER (PARTITION BY uid ORDER BY ts, event_id) - 1 AS clock FROM log),
+ s AS (SELECT uid, k, res, q, clock, row_number() OVER (PARTITION BY uid, k ORDER BY clock) AS i, count(*) OVER (PARTITION BY uid, k) AS n FROM c WHERE k IS NOT NULL),
  f AS (
-  SELECT uid, k, CAST(0 AS BIGINT) AS i, CAST(1.0 AS DOUBLE) AS stab, CAST(5.0 AS DOUBLE) AS diff, CAST(0 AS BIGINT) AS lapses, CAST(0 AS BIGINT) AS last FROM s WHERE i = 1
+  SELECT uid, k, CAST(0 AS BIGINT) AS i, CAST(2.0 AS DOUBLE) AS stab, CAST(5.0 AS DOUBLE) AS diff, CAST(0 AS BIGINT) AS lapses, CAST(0 AS BIGINT) AS last FROM s WHERE i = 1
   UNION ALL
-  SELECT f.uid, f.k, s.i, CASE WHEN res = 'C' THEN stab * (1 + (11 - least(10.0, greatest(1.0, diff - 0.3))) / 10) ELSE greatest(0.5, stab * 0.4) END,
-   least(10.0, greatest(1.0, diff + CASE WHEN res = 'C' THEN -0.3 ELSE 0.6 END)), lapses + CASE WHEN res = 'C' THEN 0 ELSE 1 END, s.clock
-  FROM f JOIN s ON f.uid = s.uid AND f.k = s.k AND s.i = f.i + 1)
+  SELECT uid, k, i, CASE WHEN res = 'C' THEN least(500.0, stab * (1 + (11 - diff) / 10 * (0.4 + q))) ELSE greatest(1.0, stab * 0.35) END, diff, lapses, clock FROM (
+   SELECT f.uid, f.k, s.i, res, q, stab, lapses + CASE WHEN res = 'C' THEN 0 ELSE 1 END AS lapses, s.clock,
+    least(10.0, greatest(1.0, diff + CASE res WHEN 'C' THEN -0.15 * (q - 0.4) WHEN 'W' THEN 1.1 ELSE 0.8 END)) AS diff
+   FROM f JOIN s ON f.uid = s.uid AND f.k = s.k AND s.i = f.i + 1)),
+ z AS (SELECT f.* FROM f JOIN (SELECT DISTINCT uid, k, n FROM s) e ON f.uid = e.uid AND f.k = e.k AND f.i = e.n)
 """
 
 
-@query(SRS_SQL + "SELECT f.uid, f.k, f.i AS reps, f.lapses, f.last, round(stab, 6) AS stab, round(diff, 6) AS diff FROM f JOIN (SELECT DISTINCT uid, k, n FROM s) q ON f.uid = q.uid AND f.k = q.k AND f.i = q.n")
+@query(SRS_SQL + "SELECT uid, k, i AS reps, lapses, last, round(stab, 6) AS stab, round(diff, 6) AS diff FROM z")
 def srs_state(spark: SparkSession, d: str) -> DataFrame:
-    return srs(spark, d).select("uid", "k", F.col("reps").cast("long").alias("reps"), F.col("lapses").cast("long").alias("lapses"), "last", F.round("stab", 6).alias("stab"), F.round("diff", 6).alias("diff"))
+    state = O.replay(O.clocked(O.attempts(table(spark, d, "events"))).where("k is not null"))
+    return state.select("uid", "k", F.col("reps").cast("long").alias("reps"), F.col("lapses").cast("long").alias("lapses"), "last", F.round("stab", 6).alias("stab"), F.round("diff", 6).alias("diff"))
 
 
-def srs(spark: SparkSession, d: str) -> DataFrame:
-    log = O.attempts(table(spark, d, "events")).where("k is not null")
-    clock = F.row_number().over(Window.partitionBy("uid").orderBy("ts", "event_id"))
-    return O.replay(log.withColumn("clock", clock.cast("long")))
+@query(SRS_SQL + """, m AS (SELECT uid, count(*) - last AS elapsed, z.k, stab, diff, lapses FROM z JOIN log USING (uid) GROUP BY uid, z.k, last, stab, diff, lapses)
+SELECT uid, k, round(CASE WHEN elapsed < 8 THEN 0.001 ELSE greatest((1.0::DOUBLE - 0.6::DOUBLE * 0.5) * greatest(0.0::DOUBLE, 0.9::DOUBLE - 1 / (1 + elapsed / (9 * stab))) + (0.3::DOUBLE + 1.2::DOUBLE * 0.5) * (diff / 10 * (1 + 0.15::DOUBLE * lapses)) + 0.001::DOUBLE, 0.0001::DOUBLE) END, 6) AS weight FROM m""")
+def drill_weight(spark: SparkSession, d: str) -> DataFrame:
+    log = O.clocked(O.attempts(table(spark, d, "events")))
+    now = log.groupBy("uid").agg(F.count("*").alias("now"))
+    return O.drill_weight(O.replay(log.where("k is not null")).join(now, "uid"), F.col("now")).select("uid", "k", F.round("weight", 6).alias("weight"))
 
 
-@query(SRS_SQL + """, z AS (SELECT f.* FROM f JOIN (SELECT DISTINCT uid, k, n FROM s) q ON f.uid = q.uid AND f.k = q.k AND f.i = q.n), m AS (SELECT uid, max(last) AS now FROM z GROUP BY uid)
-SELECT uid, k, round(CASE WHEN now - last < 8 THEN 0.001 ELSE greatest(0.001, (1 - 1 / (1 + (now - last) / (9 * stab))) * (1 + lapses / (i + 1))) END, 6) AS weight FROM z JOIN m USING (uid)""")
-def drill_weight(spark: SparkSession, d: str) -> DataFrame:
-    state = srs(spark, d)
-    now = state.groupBy("uid").agg(F.max("last").alias("now"))
-    return O.drill_weight(state.join(now, "uid"), F.col("now")).select("uid", "k", F.round("weight", 6).alias("weight"))
+@query(f"""
+WITH {LOG}, w AS (SELECT uid, k % 7 AS section, k % 3 AS sub, CASE WHEN res = 'C' THEN 0.5 * coalesce(bf, 0.5) ELSE 1.0 END AS w FROM log), a AS (SELECT uid, avg(w) AS w0 FROM w GROUP BY uid),
+ s AS (SELECT uid, section, (sum(w) + 5 * any_value(w0)) / (count(*) + 5) AS ws FROM w JOIN a USING (uid) WHERE section IS NOT NULL GROUP BY ALL),
+ t AS (SELECT uid, sub, (sum(w) + 5 * any_value(w0)) / (count(*) + 5) AS wt FROM w JOIN a USING (uid) WHERE sub IS NOT NULL GROUP BY ALL),
+ c AS (SELECT DISTINCT section, sub FROM w WHERE section IS NOT NULL)
+SELECT a.uid, c.section, c.sub, round((0.2::DOUBLE + 0.8::DOUBLE * 0.5) * (0.5 + coalesce(ws, w0) * coalesce(wt, w0)) + 0.4::DOUBLE, 6) AS weight
+FROM a CROSS JOIN c LEFT JOIN s ON s.uid = a.uid AND s.section = c.section LEFT JOIN t ON t.uid = a.uid AND t.sub = c.sub
+""")
+def drill_new_weight(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of items without reviews; an item's section and sub are taken from its number."""
+    log = O.attempts(table(spark, d, "events")).select("uid", "res", "bf", (F.col("k") % 7).alias("section"), (F.col("k") % 3).alias("sub"))
+    return O.new_item_weight(log, section="section", sub="sub").withColumn("weight", F.round("weight", 6))
 
 
 @query("""

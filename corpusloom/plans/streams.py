@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordered import attempts
 from corpusloom.plans.ordered import SRS_SQL
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import upsert
@@ -51,10 +52,9 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("last", F.col("last").cast("timestamp_ntz"))
 
 
-@query(SRS_SQL + "SELECT f.uid, f.k, f.i AS reps, f.lapses, f.last, round(stab, 6) AS stab, round(diff, 6) AS diff FROM f JOIN (SELECT DISTINCT uid, k, n FROM s) q ON f.uid = q.uid AND f.k = q.k AND f.i = q.n")
+@query(SRS_SQL + "SELECT uid, k, i AS reps, lapses, last, round(stab, 6) AS stab, round(diff, 6) AS diff FROM z")
 def stream_srs(spark: SparkSession, d: str) -> DataFrame:
     """The review state as a stateful stream keeps it; the batch replay is the oracle."""
-    res = F.when(F.col("event_type") == "purchase", "C").otherwise("W")
-    log = stream(spark, d).select(F.col("user_id").alias("uid"), "at", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), res.alias("res")).where("k is not null")
+    log = attempts(stream(spark, d)).withColumn("at", F.col("ts").cast("timestamp"))
     out = upsert(L.drained(L.replayed(log), spark, "update"), ["uid", "k"], [F.col("_batch")])
     return out.select("uid", "k", "reps", "lapses", "last", F.round("stab", 6).alias("stab"), F.round("diff", 6).alias("diff"))

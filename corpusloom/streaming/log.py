@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusloom.operators import ordered as O
+
 LATE = "1 hour"
 
 
@@ -37,31 +39,58 @@ def sessions(log: DataFrame, gap: str, late: str = LATE) -> DataFrame:
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def review_step(state: list, right: bool, clock: int) -> list:
+def review_step(state: list, res: str, bf: float | None, clock: int) -> list:
     """One review of [stability, difficulty, reps, lapses, last], as the batch replay does it."""
     stab, diff, reps, lapses, _ = state
-    diff = min(10.0, max(1.0, diff + (-0.3 if right else 0.6)))
-    stab = stab * (1 + (11 - diff) / 10) if right else max(0.5, stab * 0.4)
-    return [stab, diff, reps + 1, lapses + (not right), clock]
+    grade = min(1.0, max(0.0, 1 - (0.5 if bf is None else bf)))
+    harder = -O.EASE * (grade - O.PLAIN_GRADE) if res == "C" else O.HARDER_WRONG if res == "W" else O.HARDER_DEAD
+    diff = min(O.DIFFICULTY_MOST, max(O.DIFFICULTY_LEAST, diff + harder))
+    if res == "C":
+        stab = min(O.STABILITY_MOST, stab * (1 + (11 - diff) / 10 * (O.PLAIN_GRADE + grade)))
+    else:
+        stab = max(O.STABILITY_LEAST, stab * O.FORGET)
+    return [stab, diff, reps + 1, lapses + (res != "C"), clock]
+
+
+def folded(held: dict, clock: int, rows: list[list]) -> tuple[dict, int]:
+    """States and clock after more attempts (at, event, item, result, depth) in their order; ``held`` stays as it is."""
+    held = dict(held)
+    for _, _, item, res, bf in rows:
+        if item is not None:
+            held[item] = review_step(held.get(item, [O.STABILITY_START, O.DIFFICULTY_START, 0, 0, 0]), res, bf, clock)
+        clock += 1
+    return held, clock
+
 
+def replayed(log: DataFrame, late: str = LATE) -> DataFrame:
+    """Review state of every (uid, k) that a batch of attempts (uid, at, event_id, k, res, bf) changed.
 
-def replayed(log: DataFrame) -> DataFrame:
-    """Review state of every (uid, k) that a batch of new attempts touched; the state outlives the batches."""
+    Attempts that are up to ``late`` behind the newest may still come, in any order: the
+    state keeps a user's attempts after the watermark, and replays them on top of what is
+    settled, so each batch's result is that of the whole log so far.  Later ones are dropped.
+    """
     import pandas as pd
 
     def run(key, frames, state):
-        clock, held = json.loads(state.get[0]) if state.exists else (0, {})
-        touched = set()
-        for row in pd.concat(frames).sort_values(["at", "event_id"]).itertuples():
-            clock += 1
-            k = str(int(row.k))
-            held[k] = review_step(held.get(k, [1.0, 5.0, 0, 0, 0]), row.res == "C", clock)
-            touched.add(k)
-        state.update((json.dumps([clock, held]),))
-        yield pd.DataFrame([(key[0], int(k), *held[k]) for k in sorted(touched)], columns=["uid", "k", "stab", "diff", "reps", "lapses", "last"])
-
-    return log.groupBy("uid").applyInPandasWithState(
-        run, "uid long, k long, stab double, diff double, reps long, lapses long, last long", "held string", "update", "NoTimeout"
+        settled, clock, open_ = json.loads(state.get[0]) if state.exists else ({}, 0, [])
+        before, _ = folded(settled, clock, open_)
+        for row in pd.concat(frames).itertuples():
+            number = None if pd.isna(row.bf) else float(row.bf)
+            open_.append([int(row.at.value), int(row.event_id), None if pd.isna(row.k) else str(int(row.k)), row.res, number])
+        open_.sort(key=lambda r: r[:2])
+        mark = state.getCurrentWatermarkMs() * 1_000_000
+        n = sum(r[0] <= mark for r in open_)
+        settled, clock = folded(settled, clock, open_[:n])
+        now, _ = folded(settled, clock, open_[n:])
+        state.update((json.dumps([settled, clock, open_[n:]]),))
+        changed = [k for k, v in now.items() if before.get(k) != v]
+        yield pd.DataFrame([(key[0], int(k), *now[k]) for k in sorted(changed)], columns=["uid", "k", "stab", "diff", "reps", "lapses", "last"])
+
+    return (
+        log.withWatermark("at", late)
+        .select("uid", "at", "event_id", F.col("k").cast("double").alias("k"), "res", "bf")
+        .groupBy("uid")
+        .applyInPandasWithState(run, "uid long, k long, stab double, diff double, reps long, lapses long, last long", "held string", "update", "NoTimeout")
     )
 
 
