@@ -109,9 +109,26 @@ def simple_sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def content_words(c: Column, least: int = 3) -> Column:
-    """Distinct lower-case ASCII words of at least ``least`` letters, in order of first sight."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(rf"([a-z]{{{least},}})"), F.lit(1)))
+# Words that say nothing about a clue.
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "had", "has", "have", "he", "her", "his", "in", "is", "it", "its", "name",
+    "of", "on", "one", "or", "that", "the", "this", "these", "those", "to", "was", "were", "which", "with", "points", "ten", "work", "works",
+    "composer", "author", "artist", "man", "title", "titular",
+)
+CONTENT_WORD = "[a-zà-ÿ0-9']+"
+
+
+def content_words(c: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Distinct lower-case words of over two letters, digits or apostrophes that aren't stop words, in order of first sight."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(f"({CONTENT_WORD})"), F.lit(1))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop)))
+
+
+def content_words_sql(column: str, stop: tuple[str, ...] = STOP_WORDS) -> str:
+    """The same for DuckDB, repeats included."""
+    listed = ", ".join(f"'{w}'" for w in stop)
+    pattern = CONTENT_WORD.replace("'", "''")
+    return f"list_filter(regexp_extract_all(lower({column}), '{pattern}'), lambda w: length(w) > 2 AND w NOT IN ({listed}))"
 
 
 def bounded(phrase: str) -> str:

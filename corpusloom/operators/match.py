@@ -145,11 +145,39 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, most: int, key: str = "key")
     return hit.select(key, "near").distinct().where(F.col(key) != F.col("near")).withColumn("distance", dist).where(F.col("distance") <= most)
 
 
-def with_ratio(pairs: DataFrame, a: str, b: str, least: float = 0.82) -> DataFrame:
-    """Pairs whose matching-block ratio is at least ``least``, with the ratio."""
+def ratio_pairs(left: DataFrame, right: DataFrame, *, key: str = "key", least: float = 0.82) -> DataFrame:
+    """(key, near, ratio): all keys of ``right`` whose matching-block ratio to ``key`` is at least ``least``.
+
+    With lengths a and b, at least m = least * (a + b) / 2 letters lie in at most a + b - 2 m + 1
+    matching blocks, so the keys share m minus that many pairs of neighbouring letters.  Pairs
+    of letters have one order, rare ones first, and of two such keys the first shared pair lies
+    among the first of each that are left when all but the shared ones are gone: only keys that
+    share one of those are rated.  Keys of one letter match themselves alone.
+    """
     from difflib import SequenceMatcher
 
     from pyspark.sql.types import DoubleType
 
+    def grams(rows: DataFrame, name: str) -> DataFrame:
+        size = F.length(name)
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - 1)), lambda i: F.substring(name, i, F.lit(2)))
+        # the n-th time that a pair occurs is a pair of its own
+        told = F.transform(pairs, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(pairs, 1, i + 1), lambda x: x == g)).cast("string")))
+        return rows.select(F.col(key).alias(name)).distinct().where(F.length(name) > 0).select(name, size.alias("size"), F.explode(told).alias("gram"))
+
+    a, b = grams(left, "_a"), grams(right, "_b")
+    often = a.select("gram").unionByName(b.select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+    shortest = least / (2 - least)  # of the other key, against this one's length
+
+    def firsts(rows: DataFrame, name: str) -> DataFrame:
+        total = F.ceil(F.col("size") * shortest) + F.col("size")
+        m = F.ceil(total * (least / 2) - 1e-9)
+        shared = F.greatest(F.lit(1), m - (total - 2 * m + 1))
+        place = F.row_number().over(Window.partitionBy(name).orderBy("often", "gram"))
+        ranked = rows.join(often, "gram").withColumn("_p", place)
+        return ranked.where(F.col("_p") <= F.greatest(F.lit(1), F.col("size") - 1) - shared + 1).select(name, F.col("size").alias(f"{name}_size"), "gram")
+
+    hit = firsts(a, "_a").join(firsts(b, "_b"), "gram")
+    near = hit.where((F.col("_a") != F.col("_b")) & (2 * F.least("_a_size", "_b_size") >= least * (F.col("_a_size") + F.col("_b_size")) - 1e-9)).select("_a", "_b").distinct()
     ratio = F.pandas_udf(lambda x, y: x.combine(y, lambda p, q: SequenceMatcher(None, p, q).ratio()), DoubleType())
-    return pairs.withColumn("ratio", ratio(a, b)).where(F.col("ratio") >= least)
+    return near.withColumn("ratio", ratio("_a", "_b")).where(F.col("ratio") >= least).select(F.col("_a").alias("key"), F.col("_b").alias("near"), "ratio")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import ascii_key, content_words
+from corpusloom.functions.text import ascii_key, content_words, content_words_sql
 from corpusloom.operators import cluster as C
 from corpusloom.operators.ordered import attempts
 from corpusloom.plans.filters import hierarchy
 from corpusloom.plans.joins import P_KEY, TIER_CTE, answer_rows, tier_tables
 from corpusloom.operators.match import tiered
 from corpusloom.plans.registry import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import numbered, table
 
 LOG = """log AS (SELECT event_id, ts, user_id AS uid, event_type, CASE event_type WHEN 'purchase' THEN 'C' WHEN 'error' THEN 'W' ELSE 'D' END AS res,
  least(value / 500, 1.0) AS bf, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
@@ -91,12 +91,12 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def cluster_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages in every label's order: greedy clusters within each language-free group of similar length."""
-    items = table(spark, d, "benchmark").select("item_id", F.floor(F.length("text") / 50).cast("long").alias("size"), content_words(F.coalesce("text", F.lit(""))).alias("words"))
-    return C.cluster_rows(items, key="size", id_col="item_id", words_col="words")
+    """The turns of each conversation, clustered by the content words they share."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", content_words(F.coalesce("text", F.lit(""))).alias("words"))
+    return C.cluster_rows(turns, key="conv_id", id_col="turn", words_col="words")
 
 
-WORDS_SQL = "SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM benchmark"
+WORDS_SQL = "SELECT DISTINCT item_id, unnest(" + content_words_sql("text") + ") AS w FROM benchmark"
 
 
 @query(f"""
@@ -190,8 +190,12 @@ def calibration_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def strength_effects(spark: SparkSession, d: str) -> DataFrame:
-    log = attempts(table(spark, d, "events")).where("k is not null").withColumn("y", (F.col("res") == "C").cast("double")).withColumn("level", F.pmod("k", F.lit(5)))
-    return C.strength(log, group="uid", level="level", y="y")
+    """How sections differ in their share of right answers, adjusted for level and time; both are taken from the item's number."""
+    log = attempts(table(spark, d, "events")).withColumn("y", (F.col("res") == "C").cast("double"))
+    log = log.select("ts", "event_id", "y", F.pmod("k", F.lit(12)).cast("string").alias("section"), F.pmod(F.floor(F.col("k") / 12), F.lit(5)).alias("level"))
+    placed = numbered(log, ["ts", "event_id"], "place")
+    n = log.agg(F.count("*").alias("rows"))
+    return C.strength(placed.crossJoin(F.broadcast(n)), group="section", level="level", y="y", place="place", rows="rows")
 
 
 VOTES = """

@@ -111,14 +111,14 @@ def bidirectional_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT a.vec_id AS query_id, b.vec_id AS near_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 10
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) DESC, b.vec_id) <= 5
 """)
 def related_vector_topup(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest of the same label to a stated query set, the first ten vectors."""
+    """The five nearest of the same label to every vector whose id is divisible by 100."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    hit = e.join(F.broadcast(q), "label").where("vec_id <> query_id")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    hit = e.join(q, "label").where("vec_id <> query_id")
     scored = hit.select("query_id", F.col("vec_id").alias("near_id"), F.round(dot(F.col("q"), F.col("embedding")) / (norm(F.col("q")) * norm(F.col("embedding"))), 6).alias("score"))
     return M.top_k(scored, "query_id", [F.desc("score"), F.asc("near_id")], 5).drop("rank")
 
@@ -151,9 +151,9 @@ def fuzzy_near_miss(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def fuzzy_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest names of each by ratio, among those within four edits."""
+    """The three nearest names of each by ratio, among all with a ratio of 0.82 or more."""
     keys = table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
-    return M.top_k(M.with_ratio(M.fuzzy_pairs(keys, keys, 4), "key", "near"), "key", [F.desc("ratio"), F.asc("near")], 3)
+    return M.top_k(M.ratio_pairs(keys, keys), "key", [F.desc("ratio"), F.asc("near")], 3)
 
 
 @query("""

@@ -78,7 +78,7 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("pos", "chunk"))
 
 
-@query("SELECT item_id, CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS BIGINT) AS n_words FROM benchmark")
+@query(f"SELECT item_id, CAST(len(list_distinct({X.content_words_sql('text')})) AS BIGINT) AS n_words FROM benchmark")
 def token_sets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.size(X.content_words(F.col("text"))).cast("long").alias("n_words"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.numeric import norm
 from corpusloom.plans.registry import query
 from corpusloom.sources import tables as T
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import numbered, table
 
 
 @query("""
@@ -127,20 +127,7 @@ def guide_table(spark: SparkSession, d: str) -> DataFrame:
 def incremental_shipping(spark: SparkSession, d: str) -> DataFrame:
     """Batches of what isn't shipped yet; places come from counts by range, so no task holds all rows."""
     todo = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti")
-    return global_positions(todo, "doc_id", "n").select("doc_id", F.floor(F.col("n") / 400).cast("long").alias("batch"))
-
-
-def global_positions(rows: DataFrame, key: str, out: str, width: int = 4096) -> DataFrame:
-    """0-based place of each row by a whole-number key: places inside blocks of keys plus the counts of the blocks before.
-
-    Blocks, not rows, go through the one global window.
-    """
-    block = F.floor(F.col(key) / width)
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    rows = rows.withColumn("_b", block)
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return rows.withColumn("_i", inner).join(before, "_b").withColumn(out, F.col("_i") + F.col("_before")).drop("_b", "_i", "_before")
+    return numbered(todo, ["doc_id"], "n", F.floor(F.col("doc_id") / 4096)).select("doc_id", F.floor(F.col("n") / 400).cast("long").alias("batch"))
 
 
 @query("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -78,3 +80,35 @@ def sections(lines: DataFrame, key: str, pos: str, text: str, is_header: Column)
     """Carry the last header line of each key to the lines below it."""
     w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("header", F.last(F.when(is_header, F.col(text)), ignorenulls=True).over(w)).where(~is_header)
+
+
+def numbered(rows: DataFrame, order: list[str], out: str, block: Column | None = None) -> DataFrame:
+    """0-based place of each row by ``order``: places inside blocks plus the counts of the blocks before.
+
+    A block must not decrease along the order; by default it is an hour of the first column.
+    Blocks, not rows, go through the one global window.
+    """
+    block = F.floor(F.unix_timestamp(F.col(order[0]).cast("timestamp")) / 3600) if block is None else block
+    rows = rows.withColumn("_b", block)
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inner = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return rows.withColumn("_i", inner).join(before, "_b").withColumn(out, F.col("_i") + F.col("_before")).drop("_b", "_i", "_before")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, in tests below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise a frame in the shared folder that the session names in ``spark.checkpoint.dir``.
+
+    Only where that is unset, as in tests on one machine, a folder below the warehouse is taken.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint(eager=True)
