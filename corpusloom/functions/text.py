@@ -13,8 +13,10 @@ from pyspark.sql.types import ArrayType, StringType
 ARTICLE = r"^(?:the|an|a) +"
 # Letters that decomposition leaves whole, and what stands for them.
 TRANSLITERATED = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i"}
-# Abbreviations after which a full stop doesn't end a sentence.
-ABBREVIATIONS = frozenset("mr mrs ms dr st jr sr vs etc no vol op prof gen col sgt capt lt rev hon gov sen rep ca cf fig inc co ltd".split())
+# Abbreviations after which a full stop doesn't end a sentence; those with dots end in an initial.
+ABBREVIATIONS = frozenset("Mr Mrs Ms Dr St Sts Mt vs etc Jr Sr Prof Gen Col Fr ca No Op Nos".split())
+# Marks that end a sentence, marks that may close it, and what the next may begin with besides A-Z and 0-9.
+ENDS, CLOSERS, STARTS = ".!?", "”\")]", "“”\"("
 
 
 def ascii_key(c: Column) -> Column:
@@ -79,23 +81,30 @@ def slug(c: Column, sep: str = "-") -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[^a-z0-9]+", sep), rf"^{sep}+|{sep}+$", "")
 
 
+def ends_sentence(word: str) -> bool:
+    """Whether a word ends a sentence by itself: a mark, closed or not, that isn't of an abbreviation or an initial."""
+    plain = word.rstrip(CLOSERS)
+    if not plain or plain[-1] not in ENDS:
+        return False
+    if plain[-1] != ".":
+        return True
+    body = plain[:-1]
+    letters = len(body) - len(body.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+    last = re.search(r"\w*$", body)[0]
+    return letters != 1 and last not in ABBREVIATIONS
+
+
 def sentences(text: str | None) -> list[str]:
-    """Split at full stops that end a sentence: not after abbreviations or initials, and only before a likely start."""
-    if not text:
-        return []
+    """Split at words that end a sentence and before a likely start: a capital, a digit, a quote or a round bracket."""
+    words = list(re.finditer(r"\S+", text or ""))
     out, begin = [], 0
-    for m in re.finditer(r"[.!?][\"'”’)\]]*\s+", text):
-        before = text[begin : m.start()]
-        word = before.rsplit(None, 1)[-1].lstrip("(\"'“‘").lower() if before.strip() else ""
-        if text[m.start()] == "." and (word in ABBREVIATIONS or (len(word) == 1 and word.isalpha())):
-            continue
-        nxt = text[m.end() : m.end() + 1]
-        if nxt and not (nxt.isupper() or nxt.isdigit() or nxt in "\"'“‘(["):
-            continue
-        out.append(text[begin : m.end()].strip())
-        begin = m.end()
-    out.append(text[begin:].strip())
-    return [s for s in out if s]
+    for k, m in enumerate(words):
+        after = words[k + 1][0][0] if k + 1 < len(words) else "A"
+        if ends_sentence(m[0]) and (after in STARTS or "A" <= after <= "Z" or "0" <= after <= "9"):
+            out.append(text[begin : m.end()].strip())
+            begin = m.end()
+    rest = (text or "")[begin:].strip()
+    return out + [rest] * (rest != "")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -149,3 +158,47 @@ def giveaway(c: Column, most: int = 220) -> Column:
 def years(c: Column) -> Column:
     """Distinct years from 1000 to 2099 in a text, in order of first sight."""
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(1[0-9]{3}|20[0-9]{2})\b"), F.lit(1)))
+
+
+def without_tags(c: Column) -> Column:
+    return F.regexp_replace(c, r"<[^>]+>", "")
+
+
+def bold_text(html: Column) -> Column:
+    """The text of all bold spans, joined by blanks."""
+    return F.concat_ws(" ", F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<b>(.*?)</b>"), F.lit(1)), without_tags))
+
+
+def in_power(sentence: Column, html: Column, width: int = 40) -> Column:
+    """Whether a sentence begins inside the bold text: its first ``width`` characters occur there."""
+    return F.contains(bold_text(html), F.substring(sentence, 1, width))
+
+
+def is_giveaway(sentence: Column) -> Column:
+    return sentence.rlike(r"(?i)for (?:10|ten) points")
+
+
+def without_guides(c: Column) -> Column:
+    """A question without quoted pronunciation guides and the direction to read slowly."""
+    return F.regexp_replace(F.regexp_replace(c, r"\(\"[\w\s\-'.]+\"\)", ""), r"\[read slowly\]\s*", "")
+
+
+def bold_core(raw: Column) -> Column:
+    """The bold and underlined span of an answer line, the least that is accepted; null without one."""
+    found = F.regexp_extract_all(raw, F.lit(r"(?s)<b><u>(.*?)</u></b>"), F.lit(1))
+    return without_tags(F.get(found, F.lit(0)))
+
+
+def alternatives(answer: Column) -> Column:
+    """The answer before a square bracket and each alternative inside one that is accepted, in order.
+
+    Alternatives are parted by semicolons, commas and "or"; those that say what to reject or
+    prompt on are left out; round brackets become blanks.
+    """
+    plain = without_tags(answer)
+    groups = F.regexp_extract_all(plain, F.lit(r"\[([^\]]*)\]"), F.lit(1))
+    parts = F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"[;,]| or "))), lambda x: F.trim(x))
+    accepted = F.filter(parts, lambda x: (x != "") & ~x.rlike(r"(?i)^(?:do not|reject|antiprompt|prompt)\b"))
+    named = F.transform(accepted, lambda x: F.regexp_replace(x, r"(?i)^(?:or|accept|and|also accept)\s+", ""))
+    every = F.concat(F.array(F.split(plain, r"\[")[0]), named)
+    return F.filter(F.transform(every, lambda x: F.trim(F.regexp_replace(x, r"\([^)]*\)", " "))), lambda x: x != "")

@@ -10,6 +10,7 @@ from corpusloom.functions.answers import judge_udf
 from corpusloom.functions.speech import clean_udf
 from corpusloom.functions.numeric import clamp, points, sigmoid
 from corpusloom.plans.joins import KEY_SQL
+from corpusloom.operators import clues as Q
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -59,6 +60,60 @@ def clue_sentences(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.length("sentence") >= 15)
 
 
+@query(None)
+def clue_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of every document as clues; its first 300 characters are taken as the bold, earlier part."""
+    docs = table(spark, d, "documents").where("text is not null")
+    html = F.concat(F.lit("<b>"), F.substring("text", 1, 300), F.lit("</b> (*) "), F.substring("text", 301, 1 << 30))
+    clues = Q.tossup_clues(docs.select("doc_id", "text", "source", html.alias("html")), id_col="doc_id", text_col="text", html_col="html", carry=("source",))
+    return clues.select("doc_id", "pos", F.length("text").alias("n_chars"), "in_power", "is_giveaway", "source")
+
+
+@query("""
+SELECT p_partkey, CAST(i - 1 AS INTEGER) AS part_index, parts[i] AS text, answers[i] AS part_answer, p_name AS leadin
+FROM (SELECT p_partkey, p_name, string_split(p_type, ' ') AS parts, [p_brand, CAST(p_size AS VARCHAR)] AS answers FROM part), range(1, 3) r(i) WHERE i <= least(len(parts), len(answers))
+""")
+def bonus_parts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", "p_name", F.split("p_type", " ").alias("parts"), F.array("p_brand", F.col("p_size").cast("string")).alias("answers"))
+    return Q.bonus_clues(rows, id_col="p_partkey", leadin_col="p_name", parts_col="parts", answers_col="answers")
+
+
+MARKED = "'<b>' || substr(text, 1, 60) || '<i>' || substr(text, 61, 60) || '</i></b> (*) ' || substr(text, 121, 200) || '<b>' || substr(text, 321, 40) || '</b>'"
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, text, {MARKED} AS html FROM documents WHERE text IS NOT NULL),
+ b AS (SELECT *, array_to_string(list_transform(regexp_extract_all(html, '(?s)<b>(.*?)</b>', 1), lambda x: regexp_replace(x, '<[^>]+>', '', 'g')), ' ') AS bold FROM h)
+SELECT doc_id, contains(bold, substr(text, 1, 40)) AS starts_bold, contains(bold, substr(text, 101, 40)) AS later_bold, regexp_matches(text, '(?i)for (?:10|ten) points') AS giveaway, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS n_chars FROM b
+""")
+def markup_tests(spark: SparkSession, d: str) -> DataFrame:
+    sub = lambda a, n: F.substring("text", a, n)
+    html = F.concat(F.lit("<b>"), sub(1, 60), F.lit("<i>"), sub(61, 60), F.lit("</i></b> (*) "), sub(121, 200), F.lit("<b>"), sub(321, 40), F.lit("</b>"))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", html.alias("html"))
+    h = F.col("html")
+    return rows.select(
+        "doc_id", X.in_power(F.col("text"), h).alias("starts_bold"), X.in_power(sub(101, 40), h).alias("later_bold"),
+        X.is_giveaway(F.col("text")).alias("giveaway"), F.length(X.without_tags(h)).cast("long").alias("n_chars"),
+    )
+
+
+ANSWER = "'<b><u>' || p_name || '</u></b> (' || p_brand || ') [or ' || p_type || '; accept the ' || p_brand || ', ' || p_name || '; do not accept ' || p_size || '; prompt on ' || p_type || ']'"
+
+
+@query(f"""
+WITH a AS (SELECT p_partkey, regexp_replace({ANSWER}, '<[^>]+>', '', 'g') AS line FROM part),
+ s AS (SELECT p_partkey, [string_split(line, '[')[1]] || list_transform(list_filter(list_transform(string_split_regex(regexp_extract(line, '\\[([^\\]]*)\\]', 1), '[;,]| or '), lambda x: trim(x)),
+   lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(?:do not|reject|antiprompt|prompt)\\b')), lambda x: regexp_replace(x, '(?i)^(?:or|accept|and|also accept)\\s+', '')) AS names FROM a),
+ k AS (SELECT p_partkey, unnest(names) AS name, generate_subscripts(names, 1) AS pos FROM s),
+ n AS (SELECT p_partkey, pos, regexp_replace(trim(regexp_replace(lower(regexp_replace(name, '\\([^)]*\\)', ' ', 'g')), '[^a-z0-9_]+', ' ', 'g')), '^(?:the|an|a) +', '') AS key FROM k),
+ f AS (SELECT p_partkey, key, min(pos) AS pos FROM n WHERE key <> '' GROUP BY ALL)
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY pos) - 1 AS INTEGER) AS place, key FROM f
+""")
+def alternative_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of an answer line that is made up from a part: its name, and the alternatives that are accepted."""
+    return Q.alternative_keys(table(spark, d, "part").select("p_partkey", F.expr(ANSWER).alias("line")), id_col="p_partkey", answer_col="line")
+
+
 @query(r"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(len(parts) AS BIGINT) AS n, CAST(list_sum(list_transform(parts, lambda x: length(x))) AS BIGINT) AS n_chars FROM s

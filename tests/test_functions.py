@@ -198,3 +198,39 @@ def test_stream_replays_late_attempts_in_order(spark, tmp_path):
     key = lambda r: (r["k"], r["reps"], r["lapses"], r["last"], round(r["stab"], 9), round(r["diff"], 9))
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
 
+
+
+def test_sentence_ends_follow_initials_and_abbreviations():
+    cases = {
+        "He met Mr. Smith. Then W. E. B. left.": ["He met Mr. Smith.", "Then W. E. B. left."],
+        "The U.S. Army won. It left Georgia. Next": ["The U.S. Army won.", "It left Georgia.", "Next"],
+        'He said "No." Then e.g. This. (He left.) 9 more': ['He said "No." Then e.g. This.', "(He left.)", "9 more"],
+        "It ended! but went on? Yes.": ["It ended! but went on?", "Yes."],
+        "See Nos. 4 and No. 5. “Quoted.” End": ["See Nos. 4 and No. 5.", "“Quoted.”", "End"],
+    }
+    for source, want in cases.items():
+        assert text.sentences(source) == want, source
+
+
+def test_clues_of_tossups_and_bonuses(spark):
+    from corpusloom.operators import clues
+
+    df = spark.createDataFrame([(1, 'This man ("MAHN") ran. [read slowly] For 10 points, name him.', "<b>This man <i>ran</i>.</b> For 10 points, name him."), (2, None, None)], "id int, q string, html string")
+    got = [(r["id"], r["pos"], r["text"], r["in_power"], r["is_giveaway"]) for r in clues.tossup_clues(df, id_col="id", text_col="q", html_col="html").collect()]
+    assert got == [(1, 0, "This man  ran.", False, False), (1, 1, "For 10 points, name him.", False, True)]
+    df = spark.createDataFrame([(1, "Lead", ["p1", "p2", "p3"], ["a1", "a2"]), (2, "x", None, ["a"])], "id int, l string, p array<string>, a array<string>")
+    got = [tuple(r) for r in clues.bonus_clues(df, id_col="id", leadin_col="l", parts_col="p", answers_col="a").collect()]
+    assert got == [(1, 0, "p1", "a1", "Lead"), (1, 1, "p2", "a2", "Lead")]
+
+
+def test_alternative_keys_drop_rejects(spark):
+    from corpusloom.functions import text as T
+    from corpusloom.operators import clues
+
+    lines = ["Georgia Totto <b><u>O'Keeffe</u></b> [or the O'Keefe; accept Georgia (Totto), do not accept Stieglitz; prompt on painter]", "(Paul) <b><u>Café</u></b>", "[or Later]", None]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, a string")
+    got = {}
+    for r in sorted(clues.alternative_keys(df, id_col="id", answer_col="a").collect(), key=lambda r: (r["id"], r["place"])):
+        got.setdefault(r["id"], []).append(r["key"])
+    assert got == {0: ["georgia totto o keeffe", "o keefe", "georgia"], 1: ["cafe"], 2: ["later"]}
+    assert [r[0] for r in df.orderBy("id").select(T.bold_core(F.col("a"))).collect()] == ["O'Keeffe", "Café", None, None]
