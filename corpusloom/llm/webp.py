@@ -26,6 +26,7 @@ import hashlib
 import struct
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -102,43 +103,42 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Code:
     """A canonical prefix code, from the code lengths of its symbols."""
 
-    def __init__(self, lengths: list[int]):
-        n = np.array(lengths, np.int64)
+    def __init__(self, lengths: bytes | bytearray):
+        n = np.frombuffer(lengths, np.uint8)
         used = np.flatnonzero(n)
         self.single = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
         self.most = 0
+        self._list = None
         if self.single is not None:
+            #: The symbol above the length of its code, for the next ``most`` bits.
+            self.table = np.array([self.single << 8], np.int32)
             return
-        self.most = int(n.max())
-        used = used[np.argsort(n[used], kind="stable")]
-        width = 1 << (self.most - n[used])
+        size = n[used].astype(np.int64)
+        order = size.argsort(kind="stable")
+        size, used = size[order], used[order]
+        self.most = int(size[-1])
+        width = 1 << (self.most - size)
         if width.sum() != 1 << self.most:
             raise ValueError("a prefix code isn't complete")
-        turn = _mirror(self.most)
-        #: Symbol and code length for the next ``most`` bits.
-        self.symbol = np.repeat(used, width)[turn].astype(np.int16)
-        self.width = np.repeat(n[used], width)[turn].astype(np.uint8)
-        self._lists = None
+        self.table = (used << 8 | size).astype(np.int32).repeat(width)[_mirror(self.most)]
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        if self._lists is None:
-            self._lists = self.symbol.tolist(), self.width.tolist()
-        k = bits.peek(self.most)
-        bits.at += self._lists[1][k]
-        return self._lists[0][k]
+        if self._list is None:
+            self._list = self.table.tolist()
+        found = self._list[bits.peek(self.most)]
+        bits.at += found & 255
+        return found >> 8
 
     def look(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and code lengths at the start of each window of bits."""
-        if self.single is not None:
-            return np.full(len(windows), self.single, np.int16), np.zeros(len(windows), np.uint8)
-        k = windows & ((1 << self.most) - 1)
-        return self.symbol[k], self.width[k]
+        found = self.table[windows & ((1 << self.most) - 1)]
+        return found >> 8, found & 255
 
 
 def _read_code(bits: Bits, size: int) -> Code:
-    lengths = [0] * size
+    lengths = bytearray(size)
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
@@ -146,23 +146,21 @@ def _read_code(bits: Bits, size: int) -> Code:
         if two:
             lengths[bits.read(8)] = 1
         return Code(lengths)
-    of_lengths = [0] * 19
+    of_lengths = bytearray(19)
     for k in range(4 + bits.read(4)):
         of_lengths[LENGTH_ORDER[k]] = bits.read(3)
     reader = Code(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    if reader.single is not None:
-        symbol, width, mask = [reader.single], [0], 0
-    else:
-        symbol, width, mask = reader.symbol.tolist(), reader.width.tolist(), (1 << reader.most) - 1
+    table, mask = reader.table.tolist(), (1 << reader.most) - 1
     at, last = 0, 8
     place, have, ahead = bits.at, 0, 0  # ``ahead`` holds the next ``have`` bits
     while at < size and left:
         left -= 1
         if have < 16:
             ahead, have = int.from_bytes(bits.data[place >> 3 : (place >> 3) + 16], "little") >> (place & 7), 120
-        k = ahead & mask
-        s, n = symbol[k], width[k]
+        s = table[ahead & mask]
+        n = s & 255
+        s >>= 8
         ahead >>= n
         if s < 16:
             lengths[at] = s
@@ -174,7 +172,7 @@ def _read_code(bits: Bits, size: int) -> Code:
             ahead >>= more
             n += more
             if s == 16:
-                lengths[at : at + times] = [last] * times
+                lengths[at : at + times] = bytes([last]) * times
             at += times
         place += n
         have -= n
@@ -200,6 +198,14 @@ def _blocks(n: int, bits: int) -> int:
 
 def _read_pixels(bits: Bits, width: int, height: int, top: bool, seen: Counter | None = None) -> np.ndarray:
     """An entropy-coded picture as ARGB numbers, row by row."""
+    groups, groups_of, group_bits, cache_bits = _read_groups(bits, width, height, top)
+    if len(groups) == 1:
+        return _read_group(bits, groups[0], width * height, width, cache_bits, seen)
+    return _read_mixed(bits, width, height, groups, groups_of, group_bits, cache_bits)
+
+
+def _read_groups(bits: Bits, width: int, height: int, top: bool) -> tuple[list[list[Code]], list[int] | None, int, int]:
+    """Groups of codes, the group of each tile, the tiles' size in bits, and the cache's bits."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("bad colour cache")
@@ -211,19 +217,20 @@ def _read_pixels(bits: Bits, width: int, height: int, top: bool, seen: Counter |
         n_groups = max(groups_of) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
     groups = [[_read_code(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(n_groups)]
+    return groups, groups_of, group_bits, cache_bits
+
+
+def _read_mixed(bits: Bits, width: int, height: int, groups: list[list[Code]], groups_of: list[int], group_bits: int, cache_bits: int) -> np.ndarray:
+    """The pixels of a picture with several groups of codes, one by one, as a pixel's place names its group."""
     total = width * height
-    if n_groups == 1:
-        return _read_group(bits, groups[0], total, width, cache_bits, seen)
     out = [0] * total
-    cache = [0] * cache_size
+    cache = [0] * (1 << cache_bits)
     shift = 32 - cache_bits
     at = kept = 0
-    across = _blocks(width, group_bits) if groups_of else 0
-    group = groups[0]
+    across = _blocks(width, group_bits)
     while at < total:
-        if groups_of:
-            y, x = divmod(at, width)
-            group = groups[groups_of[(y >> group_bits) * across + (x >> group_bits)]]
+        y, x = divmod(at, width)
+        group = groups[groups_of[(y >> group_bits) * across + (x >> group_bits)]]
         g = group[0].read(bits)
         if g < 256:
             r, b, a = group[1].read(bits), group[2].read(bits), group[3].read(bits)
@@ -297,7 +304,7 @@ def _read_group(bits: Bits, codes: list[Code], total: int, width: int, cache_bit
         goes = at.copy()
         for code in (red, blue, alpha):
             if code.single is None:
-                goes = goes + code.width[win[goes] & ((1 << code.most) - 1)]
+                goes = goes + (code.table[win[goes] & ((1 << code.most) - 1)] & 255)
         if cache_bits:
             goes = np.where(g < 280, goes, at)
         copy = np.flatnonzero((g >= 256) & (g < 280))
@@ -351,7 +358,7 @@ def _read_group(bits: Bits, codes: list[Code], total: int, width: int, cache_bit
     g, colour, run, back = (np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
     if seen is not None:
         seen.update(literals=int((g < 256).sum()), copies=int(((g >= 256) & (g < 280)).sum()), entries=int((g >= 280).sum()))
-        seen["unequal lengths"] += any(len(np.unique(c.width)) > 1 for c in codes[:3] if c.single is None)
+        seen["unequal lengths"] += any(len(np.unique(c.table & 255)) > 1 for c in codes[:3] if c.single is None)
     if len(g) == total and not cache_bits and not back.any():
         return colour.astype(np.uint32)
     begin = np.cumsum(run) - run
@@ -490,11 +497,47 @@ def _palette(argb: np.ndarray, width: int, packed: int, table: np.ndarray, pack_
     return full[index]
 
 
-def decode(data: bytes, seen: Counter | None = None) -> np.ndarray:
-    """Pixels (height, width, 4) of red, green, blue and alpha of one lossless WebP file.
+@dataclass
+class Picture:
+    """A file whose head is read: what to undo, and the codes before the pixels."""
+
+    bits: Bits
+    width: int
+    height: int
+    has_alpha: int
+    undo: list[tuple]
+    coded_width: int
+    groups: tuple
+
+    @property
+    def group(self) -> tuple | None:
+        """(bits, codes, pixels, width, cache bits) if one group of codes holds all pixels."""
+        if len(self.groups[0]) > 1:
+            return None
+        return self.bits, self.groups[0][0], self.coded_width * self.height, self.coded_width, self.groups[3]
+
+    def pixels(self, seen: Counter | None = None) -> np.ndarray:
+        return _read_group(*self.group, seen) if self.group else _read_mixed(self.bits, self.coded_width, self.height, *self.groups)
+
+    def finished(self, argb: np.ndarray) -> np.ndarray:
+        """Red, green, blue and alpha (height, width, 4), with the transforms undone."""
+        for kind, wide, *rest in reversed(self.undo):
+            if kind == 0:
+                argb = _predict(argb, wide, *rest)
+            elif kind == 1:
+                argb = _cross_colour(argb, wide, *rest)
+            elif kind == 2:
+                argb = _add_green(argb)
+            else:
+                argb = _palette(argb, wide, _blocks(wide, rest[1]), *rest)
+        out = _bytes(argb, self.width)[:, :, [2, 1, 0, 3]]
+        if not self.has_alpha:
+            out[:, :, 3] = 255
+        return out
 
-    ``seen`` counts the transforms, copies, cache entries and literals of the picture.
-    """
+
+def opened(data: bytes) -> Picture:
+    """Read a file up to its pixels."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("no WebP file")
     at = 12
@@ -528,22 +571,18 @@ def decode(data: bytes, seen: Counter | None = None) -> np.ndarray:
             pack_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((kind, now, table, pack_bits))
             now = _blocks(now, pack_bits)
-    argb = _read_pixels(bits, now, height, True, seen)
+    return Picture(bits, width, height, has_alpha, undo, now, _read_groups(bits, now, height, True))
+
+
+def decode(data: bytes, seen: Counter | None = None) -> np.ndarray:
+    """Pixels (height, width, 4) of red, green, blue and alpha of one lossless WebP file.
+
+    ``seen`` counts the transforms, copies, cache entries and literals of the picture.
+    """
+    picture = opened(data)
     if seen is not None:
-        seen.update(("predictor", "cross-colour", "green", "palette")[k[0]] for k in undo)
-    for kind, wide, *rest in reversed(undo):
-        if kind == 0:
-            argb = _predict(argb, wide, *rest)
-        elif kind == 1:
-            argb = _cross_colour(argb, wide, *rest)
-        elif kind == 2:
-            argb = _add_green(argb)
-        else:
-            argb = _palette(argb, wide, _blocks(wide, rest[1]), *rest)
-    out = _bytes(argb, width)[:, :, [2, 1, 0, 3]]
-    if not has_alpha:
-        out[:, :, 3] = 255
-    return out
+        seen.update(("predictor", "cross-colour", "green", "palette")[k[0]] for k in picture.undo)
+    return picture.finished(picture.pixels(seen))
 
 
 class BitWriter:
@@ -874,22 +913,32 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b" " * (-len(raw) % ROW_BYTES if raw else ROW_BYTES), len(raw)
 
 
+def planes_of(payload: bytes) -> list[np.ndarray]:
+    """The pictures (rows, 64, 3) of a payload."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_PIXELS, 3)
+    return [rows[at : at + MOST_ROWS] for at in range(0, len(rows), MOST_ROWS)]
+
+
 def store(payload: bytes) -> bytes:
     """The payload as lossless WebP pictures, one after another."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_PIXELS, 3)
-    return b"".join(encode(rows[at : at + MOST_ROWS]) for at in range(0, len(rows), MOST_ROWS))
+    return b"".join(map(encode, planes_of(payload)))
 
 
-def pictures(media: bytes) -> list[np.ndarray]:
-    """The pictures of stored media, decoded."""
+def files_of(media: bytes) -> list[bytes]:
+    """Stored media as files."""
     out, at = [], 0
     while at < len(media):
         to = at + 8 + struct.unpack_from("<I", media, at + 4)[0]
-        out.append(decode(media[at:to]))
+        out.append(media[at:to])
         at = to
     return out
 
 
+def pictures(media: bytes) -> list[np.ndarray]:
+    """The pictures of stored media, decoded."""
+    return [decode(f) for f in files_of(media)]
+
+
 def feature(planes: np.ndarray) -> str:
     """Size, channel means, and the 8 by 8 average hash of a stack of rows (rows, 64, 3)."""
     rows = len(planes)
@@ -912,14 +961,19 @@ def media_features(docs: DataFrame, *, with_media: bool = False) -> DataFrame:
     media_sha256, feature, n_pictures [, media])
     """
 
+    from . import webp_batch
+
     def make():
         def step(batch: pa.RecordBatch):
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 21):
                 rows: list[tuple] = []
-                for text in part.column("text").to_pylist():
-                    payload, n = payload_of(text)
-                    media = store(payload)
-                    read = pictures(media)
+                payloads = [payload_of(text) for text in part.column("text").to_pylist()]
+                cuts = [planes_of(p) for p, _ in payloads]
+                files = iter(webp_batch.encode_many([x for c in cuts for x in c]))
+                stored = [b"".join(next(files) for _ in c) for c in cuts]
+                again = iter(webp_batch.decode_many([f for media in stored for f in files_of(media)]))
+                for (_, n), media, c in zip(payloads, stored, cuts):
+                    read = [next(again) for _ in c]
                     planes = (np.concatenate(read) if len(read) > 1 else read[0])[:, :, :3]
                     back = planes.tobytes()
                     row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(planes), len(read))

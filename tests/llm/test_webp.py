@@ -294,6 +294,28 @@ def test_group_reading_agrees_with_reading_one_by_one(monkeypatch):
         monkeypatch.undo()
 
 
+def test_many_at_once_are_as_one_by_one(sf):
+    import pyarrow.parquet as pq
+
+    from corpusloom.llm import webp_batch as B
+
+    rnd = random.Random(4)
+    texts = pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()[:120]
+    texts += ["", "a", "ab" * 300, "x" * 5000, "".join(map(chr, range(1, 300))), "\x00" * 500, "the cat " * 900, "".join(rnd.choice("ab") for _ in range(3000)), "é" * 40_000]
+    px = [p for t in texts for p in V.planes_of(V.payload_of(t)[0])]
+    ramp = np.add.outer(np.arange(30) * 2, np.arange(64) * 3)[..., None] + np.array([0, 7, 90])
+    px += [ramp.astype(np.uint8), np.zeros((1, 64, 3), np.uint8), np.random.default_rng(1).integers(0, 256, (20, 64, 3)).astype(np.uint8)]
+    one = [V.encode(p) for p in px]
+    assert B.encode_many(px) == one
+    order = rnd.sample(range(len(px)), len(px))
+    assert B.encode_many([px[k] for k in order]) == [one[k] for k in order]  # neighbours don't matter
+    for files in (one, one[::-1], one[:1]):
+        for p, back in zip(px if files is not one[::-1] else px, B.decode_many(one)):
+            assert (back[:, :, :3] == p).all()
+    assert B.encode_many([]) == [] == B.decode_many([])
+    assert sum(B.plain_ones(px)) > 100
+
+
 def test_given_documents_use_the_format(sf):
     import pyarrow.parquet as pq
 
