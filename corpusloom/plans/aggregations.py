@@ -27,7 +27,7 @@ def tier(freq: str):
     return F.when(F.col(freq) >= CURATED, "curated").when(F.col(freq) >= APPENDIX, "appendix")
 
 
-@query(f"SELECT key, count(*) AS freq, min(p_name) AS answer FROM (SELECT {P_KEY} AS key, p_name FROM part WHERE p_size BETWEEN 5 AND 40) GROUP BY key ORDER BY freq DESC, key LIMIT 5000")
+@query(f"SELECT key, count(*) AS freq, min(p_name) AS answer FROM (SELECT {P_KEY} AS key, p_name FROM part WHERE p_size BETWEEN 5 AND 40) GROUP BY key ORDER BY freq DESC, key LIMIT 5000", rows="D1")
 def freq_list(spark: SparkSession, d: str) -> DataFrame:
     """Answers by count; the limit is the report's length."""
     rows = table(spark, d, "part").where("p_size between 5 and 40").select(ascii_key(F.concat_ws(" ", "p_name", "p_brand")).alias("key"), "p_name")
@@ -39,7 +39,7 @@ def freq_list(spark: SparkSession, d: str) -> DataFrame:
 SELECT key, freq, CASE WHEN freq >= 3 THEN 'curated' ELSE 'appendix' END AS tier,
   CASE WHEN o.key IS NOT NULL THEN 'override' WHEN e.key IS NOT NULL THEN 'exact' WHEN al.key IS NOT NULL AND (f.category IS NULL OR al.category IS NULL OR f.category = al.category) THEN 'alias' ELSE 'unmatched' END AS status
 FROM f LEFT JOIN o USING (key) LEFT JOIN e USING (key) LEFT JOIN al USING (key)
-""")
+""", rows="D2")
 def freq_tiered(spark: SparkSession, d: str) -> DataFrame:
     rows = answer_rows(spark, d)
     freq = rows.groupBy("key").agg(F.count("*").alias("freq"), F.min("category").alias("category")).where(F.col("freq") >= APPENDIX)
@@ -49,7 +49,7 @@ def freq_tiered(spark: SparkSession, d: str) -> DataFrame:
 @query(TIER_CTE + """
 , f AS (SELECT key, count(*) AS freq FROM a GROUP BY key HAVING count(*) >= 3)
 SELECT key, freq, key LIKE '%large%' AS is_place FROM f WHERE key NOT IN (SELECT key FROM o) AND key NOT IN (SELECT key FROM e) AND key NOT IN (SELECT key FROM al)
-""")
+""", rows="D3")
 def freq_gaps(spark: SparkSession, d: str) -> DataFrame:
     rows = answer_rows(spark, d)
     freq = frequency(rows, "key").where("freq >= 3")
@@ -61,7 +61,7 @@ def freq_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH f AS (SELECT split_part(p_type, ' ', 1) AS unit, {P_KEY} AS key, count(*) AS freq FROM part GROUP BY ALL)
 SELECT coalesce(unit, 'TOTAL') AS unit, count(*) AS n, CAST(count(*) FILTER (WHERE freq >= 2) AS BIGINT) AS at_2, CAST(count(*) FILTER (WHERE freq >= 3) AS BIGINT) AS at_3 FROM f GROUP BY ROLLUP (unit)
-""")
+""", rows="D4")
 def tier_rollup(spark: SparkSession, d: str) -> DataFrame:
     f = answer_rows(spark, d).groupBy(F.col("category").alias("unit"), "key").agg(F.count("*").alias("freq"))
     out = f.rollup("unit").agg(F.count("*").alias("n"), F.count_if(F.col("freq") >= 2).alias("at_2"), F.count_if(F.col("freq") >= 3).alias("at_3"))
@@ -71,7 +71,7 @@ def tier_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH g AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS first_id FROM customer GROUP BY ALL)
 SELECT c_nationkey, CAST(sum(n) AS BIGINT) AS n, arg_max(c_mktsegment, (n, -first_id)) AS modal FROM g GROUP BY c_nationkey
-""")
+""", rows="D5")
 def modal_group(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_id"))
     return g.groupBy("c_nationkey").agg(F.sum("n").alias("n"), F.max_by("c_mktsegment", F.struct(F.col("n"), -F.col("first_id"))).alias("modal"))
@@ -80,7 +80,7 @@ def modal_group(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT c_mktsegment, count(*) AS total, CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS linked, round(count(*) FILTER (WHERE n > 0) / count(*), 6) AS share
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey GROUP BY c_mktsegment
-""")
+""", rows="C19 D6")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     made = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("m"))
     linked = F.count_if(F.col("m") > 0)
@@ -89,7 +89,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(None)
+@query(None, rows="D8")
 def cluster_greedy(spark: SparkSession, d: str) -> DataFrame:
     """The turns of each conversation, clustered by the content words they share."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", content_words(F.coalesce("text", F.lit(""))).alias("words"))
@@ -103,7 +103,7 @@ WORDS_SQL = "SELECT DISTINCT item_id, unnest(" + content_words_sql("text") + ")
 WITH x AS ({WORDS_SQL}), n AS (SELECT count(*) AS n FROM benchmark), df AS (SELECT w, 1.0 / (1.0 + 10.0 * count(*) / any_value(n)) AS g FROM x, n GROUP BY w),
   t AS (SELECT item_id, sum(g) AS total FROM x JOIN df USING (w) GROUP BY 1), s AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared, sum(g) AS both_ FROM x a JOIN x b USING (w) JOIN df USING (w) WHERE a.item_id < b.item_id GROUP BY ALL)
 SELECT a, b, shared, round(both_ / least(p.total, q.total), 6) AS score FROM s JOIN t p ON a = p.item_id JOIN t q ON b = q.item_id WHERE shared >= 2 AND round(both_ / least(p.total, q.total), 6) >= 0.3
-""")
+""", rows="D9")
 def pair_containment(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark")
     x = items.select("item_id", F.explode(content_words(F.col("text"))).alias("w"))
@@ -120,7 +120,7 @@ def pair_containment(spark: SparkSession, d: str) -> DataFrame:
 WITH {LOG}
 SELECT event_type, k, grouping(event_type) AS all_types, grouping(k) AS all_k, count(*) AS n, round(avg(CASE WHEN res = 'C' THEN 1.0 ELSE 0.0 END), 6) AS acc,
  round(avg(CASE WHEN res = 'C' THEN 1 - bf END), 6) AS celerity FROM log WHERE k IS NOT NULL GROUP BY CUBE (event_type, k)
-""")
+""", rows="D12 D13 D21 K2")
 def breakdown_cube(spark: SparkSession, d: str) -> DataFrame:
     log = attempts(table(spark, d, "events")).where("k is not null")
     right = F.col("res") == "C"
@@ -134,7 +134,7 @@ def breakdown_cube(spark: SparkSession, d: str) -> DataFrame:
 WITH {LOG}
 SELECT 'event_type' AS facet, event_type AS value, count(*) AS n FROM log WHERE k IN (1, 2, 3) GROUP BY event_type
 UNION ALL SELECT 'k', CAST(k AS VARCHAR), count(*) FROM log WHERE event_type IN ('purchase', 'view') GROUP BY k
-""")
+""", rows="D14")
 def facet_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts of each facet under the other facets' picks, in one pass over the log."""
     log = attempts(table(spark, d, "events"))
@@ -146,7 +146,7 @@ def facet_counts(spark: SparkSession, d: str) -> DataFrame:
     return log.select(F.explode(entries).alias("e")).where("e.ok").groupBy("e.facet", "e.value").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) >= 3 OR c_nationkey = 0")
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) >= 3 OR c_nationkey = 0", rows="D15")
 def group_facet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n")).where("n >= 3 or c_nationkey = 0")
 
@@ -155,7 +155,7 @@ def group_facet(spark: SparkSession, d: str) -> DataFrame:
 WITH {LOG}, r AS (SELECT uid, res, row_number() OVER (PARTITION BY uid ORDER BY ts DESC, event_id DESC) AS p, count(*) OVER (PARTITION BY uid) AS n FROM log)
 SELECT uid, CAST(least(50, n // 2) AS BIGINT) AS width, round(avg(CASE WHEN p <= least(50, n // 2) THEN CASE WHEN res = 'C' THEN 1.0 ELSE 0.0 END END), 6) AS last_acc,
  round(avg(CASE WHEN p > least(50, n // 2) AND p <= 2 * least(50, n // 2) THEN CASE WHEN res = 'C' THEN 1.0 ELSE 0.0 END END), 6) AS prior_acc FROM r WHERE n >= 20 GROUP BY uid, n
-""")
+""", rows="D16")
 def trend_delta(spark: SparkSession, d: str) -> DataFrame:
     log = attempts(table(spark, d, "events"))
     w = Window.partitionBy("uid")
@@ -167,14 +167,14 @@ def trend_delta(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {LOG} SELECT uid, count(DISTINCT k) AS n_keys, count(DISTINCT event_type) AS n_types, count(*) AS n FROM log GROUP BY uid")
+@query(f"WITH {LOG} SELECT uid, count(DISTINCT k) AS n_keys, count(DISTINCT event_type) AS n_types, count(*) AS n FROM log GROUP BY uid", rows="D17")
 def exposure(spark: SparkSession, d: str) -> DataFrame:
     return attempts(table(spark, d, "events")).groupBy("uid").agg(F.count_distinct("k").alias("n_keys"), F.count_distinct("event_type").alias("n_types"), F.count("*").alias("n"))
 
 
 @query(f"""
 WITH {LOG} SELECT CAST(least(floor(bf * 12), 11) AS BIGINT) AS bin, count(*) AS n, CAST(count(*) FILTER (WHERE res = 'C') AS BIGINT) AS n_right, round(avg(bf), 6) AS mean_bf FROM log GROUP BY bin HAVING count(*) >= 3
-""")
+""", rows="D18")
 def calibration_bands(spark: SparkSession, d: str) -> DataFrame:
     log = attempts(table(spark, d, "events"))
     return log.groupBy(F.least(F.floor(F.col("bf") * 12), F.lit(11)).cast("long").alias("bin")).agg(
@@ -182,13 +182,13 @@ def calibration_bands(spark: SparkSession, d: str) -> DataFrame:
     ).where("n >= 3")
 
 
-@query(None)
+@query(None, rows="D18")
 def calibration_fit(spark: SparkSession, d: str) -> DataFrame:
     log = attempts(table(spark, d, "events")).withColumn("right", (F.col("res") == "C").cast("double"))
     return C.calibration(log, key="uid", x_col="bf", y_col="right")
 
 
-@query(None)
+@query(None, rows="D19 D20")
 def strength_effects(spark: SparkSession, d: str) -> DataFrame:
     """How sections differ in their share of right answers, adjusted for level and time; both are taken from the item's number."""
     log = attempts(table(spark, d, "events")).withColumn("y", (F.col("res") == "C").cast("double"))
@@ -207,7 +207,7 @@ SELECT doc_id, s AS section, score FROM r WHERE p = 1 AND score >= 3.0 AND score
 """
 
 
-@query(VOTES)
+@query(VOTES, rows="D25 D26 D27")
 def section_vote(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     low = F.lower("text")
@@ -224,7 +224,7 @@ def section_vote(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, count(*) AS n_works, round(sum(coalesce(l_quantity, 1)), 4) AS clues, round(count(*) / sum(coalesce(l_quantity, 1)) * 100, 4) AS ratio FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 3
-""")
+""", rows="D28")
 def nested_agg_ratio(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity")).alias("works"))  # lines of one order
     clues = F.aggregate("works", F.lit(0.0), lambda s, w: s + F.coalesce(w["l_quantity"], F.lit(1.0)))
@@ -237,7 +237,7 @@ WITH t AS (SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_n
  w AS (SELECT r_name, n_name, n, CASE r_name WHEN 'ASIA' THEN 3.0 WHEN 'EUROPE' THEN 1.0 WHEN 'AFRICA' THEN 0.0 ELSE 2.0 END AS wr, CAST(1 + length(n_name) % 3 AS DOUBLE) AS wn FROM t),
  g AS (SELECT sum(wr) AS s FROM (SELECT DISTINCT r_name, wr FROM w))
 SELECT r_name, n_name, round(wr / s * wn / sum(wn) OVER (PARTITION BY r_name) / n, 9) AS weight FROM w, g WHERE wr > 0
-""")
+""", rows="D31")
 def dist_weights(spark: SparkSession, d: str) -> DataFrame:
     """Nested shares: a parent's share, times a child's share of it, spread over the child's rows; zero excludes."""
     t = hierarchy(spark, d).groupBy("r_name", "n_name").agg(F.count("*").alias("n"))
@@ -251,7 +251,7 @@ def dist_weights(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {LOG}, g AS (SELECT avg(CASE WHEN res = 'C' THEN 1.0 ELSE 0.0 END) AS w0 FROM log)
 SELECT k, count(*) AS n, round((sum(CASE WHEN res = 'C' THEN 1.0 ELSE 0.0 END) + 5 * any_value(w0)) / (count(*) + 5), 6) AS mean FROM log, g GROUP BY k
-""")
+""", rows="D32")
 def shrunk_means(spark: SparkSession, d: str) -> DataFrame:
     log = attempts(table(spark, d, "events")).withColumn("ok", F.when(F.col("res") == "C", 1.0).otherwise(0.0))
     g = log.agg(F.avg("ok").alias("w0"))
@@ -260,20 +260,20 @@ def shrunk_means(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT coalesce(r_name, 'ALL') AS continent, coalesce(n_name, 'ALL') AS country, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)
-""")
+""", rows="D34")
 def location_rollup(spark: SparkSession, d: str) -> DataFrame:
     out = hierarchy(spark, d).rollup("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
     return out.select(F.coalesce("r_name", F.lit("ALL")).alias("continent"), F.coalesce("n_name", F.lit("ALL")).alias("country"), "n", "total")
 
 
-@query("SELECT md5(trim(text)) AS content, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("SELECT md5(trim(text)) AS content, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1", rows="D30")
 def content_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").groupBy(F.md5(F.trim("text").cast("binary")).alias("content")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
 @query(f"""
 SELECT key, max_by(p_name, (p_retailprice, p_partkey)) AS best, count(*) AS n FROM (SELECT {P_KEY} AS key, p_name, p_retailprice, p_partkey FROM part) GROUP BY key HAVING count(*) > 1
-""")
+""", rows="D36")
 def normal_form_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").withColumn("key", ascii_key(F.concat_ws(" ", "p_name", "p_brand")))
     return rows.groupBy("key").agg(F.max_by("p_name", F.struct("p_retailprice", "p_partkey")).alias("best"), F.count("*").alias("n")).where("n > 1")
@@ -281,7 +281,7 @@ def normal_form_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT lang, source, count(*) AS n, CAST(count(quality) AS BIGINT) AS sectioned, CASE WHEN count(quality) = count(*) THEN 'authored' WHEN count(quality) > 0 THEN 'draft' ELSE 'pending' END AS state FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, source
-""")
+""", rows="D37")
 def store_status(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     g = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count("quality").alias("sectioned"))

@@ -29,7 +29,7 @@ def scope(**picks: list | None) -> Column:
 @query(r"""
 SELECT lang, count(*) AS n_hits, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents
 WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])that the([^A-Za-z0-9_]|$)') AND n_chars >= 100 AND lang IN ('en', 'de') GROUP BY lang
-""")
+""", rows="B1")
 def text_search_phrase(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "documents").where(F.col("text").rlike(bounded("that the")) & (F.col("n_chars") >= 100) & F.col("lang").isin("en", "de"))
     return hits.groupBy("lang").agg(F.count("*").alias("n_hits"), F.sum("n_chars").cast("long").alias("n_chars"))
@@ -37,7 +37,7 @@ def text_search_phrase(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id
-""")
+""", rows="B2")
 def benchmark_passages(spark: SparkSession, d: str) -> DataFrame:
     """Which documents hold a benchmark passage.
 
@@ -64,7 +64,7 @@ def benchmark_passages(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT c_custkey, c_mktsegment, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_name = 'ASIA' AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal >= 0
-""")
+""", rows="B3")
 def taxonomy_slice(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy(spark, d).where(scope(r_name=["ASIA"], c_mktsegment=["BUILDING", "MACHINERY"]) & (F.col("c_acctbal") >= 0)).select("c_custkey", "c_mktsegment", "n_name", "r_name")
 
@@ -77,7 +77,7 @@ def hierarchy(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT c_custkey FROM (SELECT *, CASE WHEN c_acctbal < 1000 THEN NULL ELSE c_mktsegment END AS alt FROM customer JOIN nation ON c_nationkey = n_nationkey)
 WHERE n_regionkey IN (1, 2, 3) AND (alt IN ('BUILDING') OR alt IS NULL) AND c_acctbal BETWEEN -500 AND 5000
-""")
+""", rows="B5 B6")
 def row_filter_null_alt(spark: SparkSession, d: str) -> DataFrame:
     rows = hierarchy(spark, d).withColumn("alt", F.when(F.col("c_acctbal") >= 1000, F.col("c_mktsegment")))
     return rows.where(picked("n_regionkey", [1, 2, 3]) & picked("alt", ["BUILDING"], null_passes=True) & F.col("c_acctbal").between(-500, 5000)).select("c_custkey")
@@ -86,7 +86,7 @@ def row_filter_null_alt(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT c_custkey, r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_name IN ('ASIA', 'EUROPE') AND (r_name <> 'ASIA' OR n_name IN (SELECT min(n_name) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'))
-""")
+""", rows="B7 B9 B10")
 def taxonomy_hierarchy_filter(spark: SparkSession, d: str) -> DataFrame:
     """A picked child narrows only its own parent."""
     rows = hierarchy(spark, d)
@@ -100,7 +100,7 @@ def taxonomy_hierarchy_filter(spark: SparkSession, d: str) -> DataFrame:
 WITH t AS (SELECT r_name, n_name, CASE WHEN c_acctbal > 3000 THEN c_mktsegment END AS alt FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
      s AS (SELECT n_name FROM t GROUP BY n_name HAVING count(*) >= 30 AND count(alt) >= 0.5 * count(*))
 SELECT n_name, alt, count(*) AS n FROM t JOIN s USING (n_name) WHERE alt IS NOT NULL GROUP BY n_name, alt HAVING count(*) >= 10
-""")
+""", rows="B8")
 def subtyped_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = hierarchy(spark, d).withColumn("alt", F.when(F.col("c_acctbal") > 3000, F.col("c_mktsegment")))
     subs = rows.groupBy("n_name").agg(F.count("*").alias("n"), F.count("alt").alias("with_alt")).where("n >= 30 and with_alt >= 0.5 * n").select("n_name")
@@ -109,7 +109,7 @@ def subtyped_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('purchase', 'error') AND CAST(json_extract_string(props, '$.k') AS BIGINT) IN (1, 2, 3)
-""")
+""", rows="B12")
 def scope_multi_select(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return rows.where(scope(event_type=["purchase", "error"], k=[1, 2, 3], user_id=None)).select("event_id", "user_id", "event_type")
@@ -117,7 +117,7 @@ def scope_multi_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('purchase')
-""")
+""", rows="B13")
 def facet_options(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return rows.where(scope(event_type=["purchase"])).select("k").distinct()
@@ -125,7 +125,7 @@ def facet_options(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 're') AND contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'brand#1')
-""")
+""", rows="B14")
 def token_and_search(spark: SparkSession, d: str) -> DataFrame:
     hay = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type"))
     tokens = F.split(F.lit("re brand#1"), r"\s+")
@@ -135,7 +135,7 @@ def token_and_search(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT name, CAST(row_number() OVER (ORDER BY NOT starts_with(lower(name), 'b'), name) AS BIGINT) AS rank FROM (
   SELECT DISTINCT p_name AS name FROM part WHERE contains(lower(p_name), 'b')) QUALIFY rank <= 12
-""")
+""", rows="B15 B16")
 def typeahead_rank(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct().where(F.contains(F.lower("name"), F.lit("b")))
     order = [~F.startswith(F.lower("name"), F.lit("b")), F.col("name")]
@@ -149,7 +149,7 @@ UNION ALL SELECT 'negative balance', CAST(count(*) AS BIGINT) FROM customer WHER
 UNION ALL SELECT 'repeated line number', CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
 UNION ALL SELECT 'shipped before ordered', CAST(count(*) AS BIGINT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate
 UNION ALL SELECT 'empty text', CAST(count(*) AS BIGINT) FROM documents WHERE text IS NULL OR length(trim(text)) = 0
-""")
+""", rows="B23")
 def quality_rules(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     orders, lines = t("orders"), t("lineitem")
@@ -165,7 +165,7 @@ def quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT source, CAST(count(*) FILTER (WHERE length(text) < 120 AND regexp_matches(text, '(?i)license|copyright|all rights reserved')) AS BIGINT) AS n_boilerplate, count(*) AS n FROM documents GROUP BY source
-""")
+""", rows="B19")
 def boilerplate_filter(spark: SparkSession, d: str) -> DataFrame:
     hit = F.col("text").rlike("(?i)license|copyright|all rights reserved") & (F.length("text") < 120)
     return table(spark, d, "documents").groupBy("source").agg(F.count_if(hit).alias("n_boilerplate"), F.count("*").alias("n"))
@@ -174,7 +174,7 @@ def boilerplate_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host,
        CASE WHEN contains(url, 'blog.') THEN 'pass' WHEN regexp_matches(url, '(m|www)[.]') THEN 'fail' ELSE 'pending' END AS verdict FROM pages
-""")
+""", rows="B24")
 def url_verdict(spark: SparkSession, d: str) -> DataFrame:
     verdict = F.when(F.contains("url", F.lit("blog.")), "pass").when(F.col("url").rlike("(m|www)[.]"), "fail").otherwise("pending")
     return table(spark, d, "pages").select("url", F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"), verdict.alias("verdict"))

@@ -44,13 +44,13 @@ WITH a AS (SELECT p_partkey, {P_KEY} AS key, split_part(p_type, ' ', 1) AS categ
 SELECT p_partkey, CASE WHEN o.key IS NOT NULL THEN 'override' WHEN e.key IS NOT NULL THEN 'exact' WHEN al.key IS NOT NULL AND (a.category IS NULL OR al.category IS NULL OR a.category = al.category) THEN 'alias' ELSE 'unmatched' END AS status,
        CASE WHEN o.key IS NOT NULL THEN o.slug WHEN e.key IS NOT NULL THEN e.slug WHEN al.key IS NOT NULL AND (a.category IS NULL OR al.category IS NULL OR a.category = al.category) THEN al.slug END AS slug
 FROM a LEFT JOIN o USING (key) LEFT JOIN e USING (key) LEFT JOIN al USING (key)
-""")
+""", rows="B26 C1 C2 C4")
 def match_tiers(spark: SparkSession, d: str) -> DataFrame:
     rows = answer_rows(spark, d)
     return M.tiered(rows, *tier_tables(rows)).select("p_partkey", "status", "slug")
 
 
-@query(TIER_CTE + "SELECT key, slug FROM al")
+@query(TIER_CTE + "SELECT key, slug FROM al", rows="C3")
 def alias_unique(spark: SparkSession, d: str) -> DataFrame:
     return tier_tables(answer_rows(spark, d))[2].select("key", "slug")
 
@@ -60,7 +60,7 @@ WITH own AS (SELECT c_custkey, CASE WHEN c_acctbal < -500 THEN NULL ELSE 'own' |
      seg AS (SELECT c_mktsegment, min(c_name) AS target FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY c_mktsegment)
 SELECT c_custkey, CASE WHEN own.c_custkey IS NOT NULL THEN own.target ELSE seg.target END AS target, own.c_custkey IS NOT NULL OR seg.c_mktsegment IS NOT NULL AS decided
 FROM customer LEFT JOIN own USING (c_custkey) LEFT JOIN seg USING (c_mktsegment)
-""")
+""", rows="C8 K3")
 def override_precedence(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name", "c_acctbal")
     own = rows.where("c_acctbal < 500").select("c_custkey", F.when(F.col("c_acctbal") >= -500, F.concat(F.lit("own"), F.col("c_custkey").cast("string"))).alias("target"))
@@ -68,7 +68,7 @@ def override_precedence(spark: SparkSession, d: str) -> DataFrame:
     return M.first_by_precedence(rows, [(own, ["c_custkey"]), (seg, ["c_mktsegment"])]).select("c_custkey", "target", "decided")
 
 
-@query(None)
+@query(None, rows="C5 C6")
 def link_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items' first four words as surfaces, found in all documents."""
     surface = F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ")
@@ -84,7 +84,7 @@ def supplier_pairs(spark: SparkSession, d: str) -> DataFrame:
     return M.co_occurrence(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@query(CO + " SELECT a, b, n FROM co")
+@query(CO + " SELECT a, b, n FROM co", rows="C10")
 def mention_graph(spark: SparkSession, d: str) -> DataFrame:
     return supplier_pairs(spark, d)
 
@@ -92,7 +92,7 @@ def mention_graph(spark: SparkSession, d: str) -> DataFrame:
 @query(CO + """
 , e AS (SELECT a, b, n FROM co UNION ALL SELECT b, a, n FROM co)
 SELECT a, b, n, CAST(row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS INTEGER) AS rank FROM e WHERE n >= 2 QUALIFY rank <= 8
-""")
+""", rows="C11")
 def related_topk(spark: SparkSession, d: str) -> DataFrame:
     pairs = supplier_pairs(spark, d).where("n >= 2")
     edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
@@ -103,7 +103,7 @@ def related_topk(spark: SparkSession, d: str) -> DataFrame:
 WITH e AS (SELECT l_suppkey AS a, l_partkey % 97 AS b, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT coalesce(f.a, r.b) AS a, coalesce(f.b, r.a) AS b, coalesce(f.n, 0) AS fwd, coalesce(r.n, 0) AS rev, coalesce(f.n, 0) + coalesce(r.n, 0) AS score
 FROM e f FULL OUTER JOIN e r ON f.a = r.b AND f.b = r.a
-""")
+""", rows="C11")
 def bidirectional_score(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 97).alias("b")).agg(F.count("*").alias("n"))
     return M.both_ways(edges)
@@ -113,7 +113,7 @@ def bidirectional_score(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.vec_id AS query_id, b.vec_id AS near_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) DESC, b.vec_id) <= 5
-""")
+""", rows="C12")
 def related_vector_topup(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of the same label to every vector whose id is divisible by 100."""
     e = table(spark, d, "embeddings")
@@ -130,7 +130,7 @@ WITH a AS (SELECT p_partkey, {P_KEY} AS key, p_brand, split_part(p_type, ' ', 1)
      b AS (SELECT p_brand, min(kind) AS section FROM a GROUP BY 1)
 SELECT p_partkey, coalesce(s.section, l.section, b.section) AS section, CASE WHEN s.section IS NOT NULL THEN 1 WHEN l.section IS NOT NULL THEN 2 ELSE 3 END AS tier
 FROM a LEFT JOIN s USING (key) LEFT JOIN l ON regexp_extract(key, '([a-z0-9]+)$', 1) = tok LEFT JOIN b ON a.p_brand = b.p_brand
-""")
+""", rows="C13 C14")
 def section_lookup(spark: SparkSession, d: str) -> DataFrame:
     a = answer_rows(spark, d).withColumn("tok", F.regexp_extract("key", r"([a-z0-9]+)$", 1))
     one = lambda k: a.groupBy(k).agg(F.min("category").alias("section"), F.count_distinct("category").alias("n")).where("n = 1").drop("n")
@@ -143,13 +143,13 @@ def section_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH k AS (SELECT DISTINCT p_name AS key FROM part)
 SELECT a.key, b.key AS near, CAST(levenshtein(a.key, b.key) AS INTEGER) AS distance FROM k a JOIN k b ON a.key <> b.key AND levenshtein(a.key, b.key) <= 4
-""")
+""", rows="C15")
 def fuzzy_near_miss(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
     return M.fuzzy_pairs(keys, keys, 4)
 
 
-@query(None)
+@query(None, rows="C15")
 def fuzzy_ratio(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest names of each by ratio, among all with a ratio of 0.82 or more."""
     keys = table(spark, d, "part").select(F.col("p_name").alias("key")).distinct()
@@ -160,7 +160,7 @@ def fuzzy_ratio(spark: SparkSession, d: str) -> DataFrame:
 WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R')
 SELECT coalesce(o.node, i.node) AS node, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in
 FROM (SELECT src AS node, count(*) AS n_out FROM e GROUP BY 1) o FULL OUTER JOIN (SELECT dst AS node, count(*) AS n_in FROM e GROUP BY 1) i ON o.node = i.node
-""")
+""", rows="C17")
 def edge_degrees(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
     out, in_ = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out")), e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
@@ -171,7 +171,7 @@ def edge_degrees(spark: SparkSession, d: str) -> DataFrame:
 WITH rem AS (SELECT o_custkey, count(*) AS left_ FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
 SELECT o_orderkey, o_custkey, left_ FROM orders LEFT JOIN rem USING (o_custkey)
 WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1996-01-01') ORDER BY left_, o_custkey, o_orderkey LIMIT 100
-""")
+""", rows="C22 I6 J5")
 def lease_claim(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred open or expired items, sets with fewest items left first; the limit is the claim's size."""
     orders = table(spark, d, "orders")
@@ -183,7 +183,7 @@ def lease_claim(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT p.event_id, v.value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts
-""")
+""", rows="C23")
 def asof_lookup(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     points = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
@@ -193,7 +193,7 @@ def asof_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 2500 THEN 'low' WHEN c_acctbal < 7500 THEN 'middle' ELSE 'high' END AS band FROM customer
-""")
+""", rows="C25")
 def range_bucket(spark: SparkSession, d: str) -> DataFrame:
     bands = spark.createDataFrame([(-1e9, 0.0, "debt"), (0.0, 2500.0, "low"), (2500.0, 7500.0, "middle"), (7500.0, 1e9, "high")], "lo double, hi double, band string")
     rows = table(spark, d, "customer")
@@ -203,7 +203,7 @@ def range_bucket(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT c_custkey AS key, 'customer ' || c_mktsegment AS card, 'own' AS source FROM customer WHERE c_acctbal > 0
 UNION ALL SELECT o_custkey, 'orders ' || CAST(count(*) AS VARCHAR), 'made' FROM orders ANTI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY o_custkey
-""")
+""", rows="C26")
 def card_synthesis(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"), F.concat(F.lit("customer "), "c_mktsegment").alias("card"), F.lit("own").alias("source"))
     made = table(spark, d, "orders").withColumnRenamed("o_custkey", "key").join(own.select("key"), "key", "left_anti").groupBy("key").agg(F.concat(F.lit("orders "), F.count("*").cast("string")).alias("card"))

@@ -18,7 +18,7 @@ SELECT uid, event_id, n, k, round(k / n, 6) AS acc,
  round(greatest(0.0, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6) AS lo,
  round(least(1.0, (k / n + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)), 6) AS hi
 FROM r WHERE pos >= least(greatest(2, least(50, total)), 12)
-""")
+""", rows="E1 E2")
 def rolling_wilson(spark: SparkSession, d: str) -> DataFrame:
     out = O.rolling_accuracy(O.attempts(table(spark, d, "events")), 50)
     return out.select("uid", "event_id", "n", F.col("k").cast("long").alias("k"), *(F.round(c, 6).alias(c) for c in ("acc", "lo", "hi")))
@@ -28,7 +28,7 @@ def rolling_wilson(spark: SparkSession, d: str) -> DataFrame:
 WITH {LOG}, r AS (SELECT uid, event_id, count(CASE WHEN res = 'C' THEN bf END) OVER f AS n, avg(CASE WHEN res = 'C' THEN 1 - bf END) OVER f AS mean FROM log
  WINDOW f AS (PARTITION BY uid ORDER BY ts, event_id ROWS BETWEEN 39 PRECEDING AND CURRENT ROW))
 SELECT uid, event_id, n, round(mean, 9) AS mean FROM r WHERE n >= 5
-""")
+""", rows="E3")
 def rolling_celerity(spark: SparkSession, d: str) -> DataFrame:
     log = O.attempts(table(spark, d, "events"))
     out = O.rolling_mean(log, 1 - F.col("bf"), F.col("res") == "C", 40, 5)
@@ -39,7 +39,7 @@ def rolling_celerity(spark: SparkSession, d: str) -> DataFrame:
 WITH {LOG}, g AS (SELECT uid, event_type, count(*) AS n FROM log GROUP BY ALL HAVING count(*) >= 10), t AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, event_type) AS p FROM g)
 SELECT l.uid, l.event_type, l.event_id, CAST(row_number() OVER (PARTITION BY l.uid, l.event_type ORDER BY ts, event_id) AS BIGINT) AS pos,
  round(avg(bf) OVER (PARTITION BY l.uid, l.event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS mean FROM log l JOIN t ON l.uid = t.uid AND l.event_type = t.event_type AND p <= 6
-""")
+""", rows="E4")
 def split_series(spark: SparkSession, d: str) -> DataFrame:
     log = O.attempts(table(spark, d, "events"))
     g = log.groupBy("uid", "event_type").agg(F.count("*").alias("n")).where("n >= 10")
@@ -64,14 +64,14 @@ WITH RECURSIVE {LOG}, c AS (SELECT uid, k, res, least(1.0, greatest(0.0, 1 - coa
 """
 
 
-@query(SRS_SQL + "SELECT uid, k, i AS reps, lapses, last, round(stab, 6) AS stab, round(diff, 6) AS diff FROM z")
+@query(SRS_SQL + "SELECT uid, k, i AS reps, lapses, last, round(stab, 6) AS stab, round(diff, 6) AS diff FROM z", rows="E6 J3")
 def srs_state(spark: SparkSession, d: str) -> DataFrame:
     state = O.replay(O.clocked(O.attempts(table(spark, d, "events"))).where("k is not null"))
     return state.select("uid", "k", F.col("reps").cast("long").alias("reps"), F.col("lapses").cast("long").alias("lapses"), "last", F.round("stab", 6).alias("stab"), F.round("diff", 6).alias("diff"))
 
 
 @query(SRS_SQL + """, m AS (SELECT uid, count(*) - last AS elapsed, z.k, stab, diff, lapses FROM z JOIN log USING (uid) GROUP BY uid, z.k, last, stab, diff, lapses)
-SELECT uid, k, round(CASE WHEN elapsed < 8 THEN 0.001 ELSE greatest((1.0::DOUBLE - 0.6::DOUBLE * 0.5) * greatest(0.0::DOUBLE, 0.9::DOUBLE - 1 / (1 + elapsed / (9 * stab))) + (0.3::DOUBLE + 1.2::DOUBLE * 0.5) * (diff / 10 * (1 + 0.15::DOUBLE * lapses)) + 0.001::DOUBLE, 0.0001::DOUBLE) END, 6) AS weight FROM m""")
+SELECT uid, k, round(CASE WHEN elapsed < 8 THEN 0.001 ELSE greatest((1.0::DOUBLE - 0.6::DOUBLE * 0.5) * greatest(0.0::DOUBLE, 0.9::DOUBLE - 1 / (1 + elapsed / (9 * stab))) + (0.3::DOUBLE + 1.2::DOUBLE * 0.5) * (diff / 10 * (1 + 0.15::DOUBLE * lapses)) + 0.001::DOUBLE, 0.0001::DOUBLE) END, 6) AS weight FROM m""", rows="E7")
 def drill_weight(spark: SparkSession, d: str) -> DataFrame:
     log = O.clocked(O.attempts(table(spark, d, "events")))
     now = log.groupBy("uid").agg(F.count("*").alias("now"))
@@ -85,7 +85,7 @@ WITH {LOG}, w AS (SELECT uid, k % 7 AS section, k % 3 AS sub, CASE WHEN res = 'C
  c AS (SELECT DISTINCT section, sub FROM w WHERE section IS NOT NULL)
 SELECT a.uid, c.section, c.sub, round((0.2::DOUBLE + 0.8::DOUBLE * 0.5) * (0.5 + coalesce(ws, w0) * coalesce(wt, w0)) + 0.4::DOUBLE, 6) AS weight
 FROM a CROSS JOIN c LEFT JOIN s ON s.uid = a.uid AND s.section = c.section LEFT JOIN t ON t.uid = a.uid AND t.sub = c.sub
-""")
+""", rows="E7")
 def drill_new_weight(spark: SparkSession, d: str) -> DataFrame:
     """Weights of items without reviews; an item's section and sub are taken from its number."""
     log = O.attempts(table(spark, d, "events")).select("uid", "res", "bf", (F.col("k") % 7).alias("section"), (F.col("k") % 3).alias("sub"))
@@ -95,7 +95,7 @@ def drill_new_weight(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '_' || CAST(n AS VARCHAR) END AS slug FROM (
  SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS base, row_number() OVER (PARTITION BY regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') ORDER BY p_partkey) AS n FROM part)
-""")
+""", rows="E8")
 def dedupe_suffix(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.functions.text import slug
 
@@ -105,14 +105,14 @@ def dedupe_suffix(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS p, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE p = floor(n / 2) + 1
-""")
+""", rows="E9")
 def median_pick(spark: SparkSession, d: str) -> DataFrame:
     return O.upper_median(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", [F.col("n_chars"), F.col("doc_id")])
 
 
 @query("""
 SELECT p_partkey, CAST(row_number() OVER (ORDER BY round(pow((CAST(('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8)) AS UBIGINT) + 1.0) / 4294967296.0, 1.0 / (1 + p_size)), 12) DESC, p_partkey) AS BIGINT) AS rank FROM part QUALIFY rank <= 50
-""")
+""", rows="F7")
 def weighted_sample(spark: SparkSession, d: str) -> DataFrame:
     """Fifty parts drawn without replacement, by u^(1/w) with a hash for u; the limit is the sample's size."""
     key = F.round(F.pow(hash_unit(F.col("p_partkey").cast("string")), 1.0 / (1 + F.col("p_size"))), 12)
@@ -122,14 +122,14 @@ def weighted_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY CASE WHEN o_totalprice < 20000 THEN NULL ELSE o_totalprice END DESC NULLS LAST, o_orderkey) AS BIGINT) AS pos FROM orders
-""")
+""", rows="F8")
 def null_sorts(spark: SparkSession, d: str) -> DataFrame:
     value = F.when(F.col("o_totalprice") >= 20000, F.col("o_totalprice"))
     w = Window.partitionBy("o_orderpriority").orderBy(value.desc_nulls_last(), "o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("pos"))
 
 
-@query("SELECT o_orderpriority, o_orderkey FROM orders WHERE o_orderstatus = 'O' QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) <= 20")
+@query("SELECT o_orderpriority, o_orderkey FROM orders WHERE o_orderstatus = 'O' QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) <= 20", rows="F9")
 def pop_n(spark: SparkSession, d: str) -> DataFrame:
     """The first twenty open orders of each priority; the limit is the pop's size."""
     w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")

@@ -15,7 +15,7 @@ from corpusloom.sources.tables import table
 @query("""
 WITH r AS (SELECT lang, source, doc_id, n_chars, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) AS p, count(*) OVER (PARTITION BY lang, source) AS n FROM documents)
 SELECT lang, source, max(doc_id) FILTER (WHERE p = n // 2 + 1) AS representative, any_value(n) AS size, min(n_chars) AS shortest, max(n_chars) AS longest FROM r GROUP BY lang, source
-""")
+""", rows="D10")
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("lang", "source")
     r = table(spark, d, "documents").withColumn("p", F.row_number().over(w.orderBy("n_chars", "doc_id"))).withColumn("n", F.count("*").over(w))
@@ -23,19 +23,19 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("lang", "source").agg(pick.alias("representative"), F.max("n").alias("size"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
 
 
-@query("SELECT l_partkey, count(DISTINCT l_orderkey) AS questions, count(*) AS clues FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2")
+@query("SELECT l_partkey, count(DISTINCT l_orderkey) AS questions, count(*) AS clues FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2", rows="D11")
 def digest_groups(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("questions"), F.count("*").alias("clues")).where("questions >= 2")
 
 
-@query("SELECT p_brand AS key, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_retailprice DESC, p_partkey DESC) AS refs FROM part GROUP BY p_brand")
+@query("SELECT p_brand AS key, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_retailprice DESC, p_partkey DESC) AS refs FROM part GROUP BY p_brand", rows="D23")
 def grouped_refs(spark: SparkSession, d: str) -> DataFrame:
     """References of a key, newest first."""
     refs = F.reverse(F.array_sort(F.collect_list(F.struct("p_retailprice", "p_partkey"))))
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("key")).agg(F.array_join(F.transform(refs, lambda x: x["p_partkey"].cast("string")), ",").alias("refs"))
 
 
-@query("SELECT p_brand || '/' || p_type AS key, arg_min(p_name, p_partkey) AS display, count(*) AS freq FROM part GROUP BY 1")
+@query("SELECT p_brand || '/' || p_type AS key, arg_min(p_name, p_partkey) AS display, count(*) AS freq FROM part GROUP BY 1", rows="D24")
 def census(spark: SparkSession, d: str) -> DataFrame:
     """Frequency and first-seen display of each key."""
     return table(spark, d, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("key")).agg(F.min_by("p_name", "p_partkey").alias("display"), F.count("*").alias("freq"))
@@ -44,19 +44,19 @@ def census(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH f AS (SELECT p_name, p_brand, count(*) AS freq FROM part GROUP BY ALL), v AS (SELECT p_brand, CAST(sum(freq) AS BIGINT) AS total, count(*) AS variants FROM f GROUP BY p_brand)
 SELECT f.p_name, f.p_brand, total, variants, freq >= 2 AS placed FROM f JOIN v USING (p_brand)
-""")
+""", rows="D35")
 def scaffold_refresh(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "part").groupBy("p_name", "p_brand").agg(F.count("*").alias("freq"))
     v = f.groupBy("p_brand").agg(F.sum("freq").alias("total"), F.count("*").alias("variants"))
     return f.join(v, "p_brand").select("p_name", "p_brand", "total", "variants", (F.col("freq") >= 2).alias("placed"))
 
 
-@query("SELECT user_id, CAST(greatest(2, least(50, count(*))) AS BIGINT) AS width FROM events GROUP BY user_id")
+@query("SELECT user_id, CAST(greatest(2, least(50, count(*))) AS BIGINT) AS width FROM events GROUP BY user_id", rows="E5")
 def window_clamp(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.greatest(F.lit(2), F.least(F.lit(50), F.count("*"))).cast("long").alias("width"))
 
 
-@query("SELECT user_id, arg_min(event_id, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS first_buzz FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_min(event_id, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS first_buzz FROM events GROUP BY user_id", rows="J6")
 def first_buzz(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_id", F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))).alias("first_buzz"))
 
@@ -64,7 +64,7 @@ def first_buzz(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH o AS (SELECT n_name, dense_rank() OVER (ORDER BY n_name) - 1 AS ord FROM nation WHERE n_regionkey <> 2)
 SELECT c_custkey, CAST(ord AS BIGINT) AS ord, CAST(least(greatest(c_acctbal, 0), 253) AS DOUBLE) AS clamped FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN o USING (n_name)
-""")
+""", rows="F5")
 def row_meta(spark: SparkSession, d: str) -> DataFrame:
     """Ordinals of listed values, null for others; numbers kept within a byte's reach."""
     nation = table(spark, d, "nation")
@@ -72,18 +72,18 @@ def row_meta(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(F.broadcast(o), "c_nationkey", "left").select("c_custkey", "ord", F.least(F.greatest("c_acctbal", F.lit(0.0)), F.lit(253.0)).alias("clamped"))
 
 
-@query(None)
+@query(None, rows="H9")
 def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     cut = F.pandas_udf(lambda s: s.map(lambda t: speech.chunks(t or "")), ArrayType(StringType()))
     return table(spark, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("pos", "chunk"))
 
 
-@query(f"SELECT item_id, CAST(len(list_distinct({X.content_words_sql('text')})) AS BIGINT) AS n_words FROM benchmark")
+@query(f"SELECT item_id, CAST(len(list_distinct({X.content_words_sql('text')})) AS BIGINT) AS n_words FROM benchmark", rows="H12")
 def token_sets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.size(X.content_words(F.col("text"))).cast("long").alias("n_words"))
 
 
-@query("SELECT doc_id, CAST(len(u) AS BIGINT) AS n_units, CAST(coalesce(list_position(u, 'the'), 0) AS BIGINT) AS mark FROM (SELECT doc_id, string_split(text, ' ') AS u FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, CAST(len(u) AS BIGINT) AS n_units, CAST(coalesce(list_position(u, 'the'), 0) AS BIGINT) AS mark FROM (SELECT doc_id, string_split(text, ' ') AS u FROM documents WHERE text IS NOT NULL)", rows="H16")
 def reveal_units(spark: SparkSession, d: str) -> DataFrame:
     u = F.split("text", " ", -1)
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(u).cast("long").alias("n_units"), F.array_position(u, "the").cast("long").alias("mark"))
@@ -91,13 +91,13 @@ def reveal_units(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey, CAST(levenshtein(split_part(p_name, ' ', 1), split_part(p_type, ' ', 1)) AS INTEGER) AS distance, levenshtein(split_part(p_name, ' ', 1), split_part(p_type, ' ', 1)) <= length(split_part(p_name, ' ', 1)) // 3 AS ok FROM part
-""")
+""", rows="H24")
 def first_word_ok(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.substring_index("p_name", " ", 1), F.substring_index("p_type", " ", 1)
     return table(spark, d, "part").select("p_partkey", F.levenshtein(a, b).alias("distance"), (F.levenshtein(a, b) <= F.floor(F.length(a) / 3)).alias("ok"))
 
 
-@query(None)
+@query(None, rows="H22")
 def osa_distance(spark: SparkSession, d: str) -> DataFrame:
     osa = F.pandas_udf(lambda a, b: a.combine(b, answers.osa), "long")
     names = table(spark, d, "part").select("p_name", "p_type").distinct()
@@ -106,7 +106,7 @@ def osa_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT doc_id, CAST(least(80, length(text)) AS BIGINT) AS shown, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS label FROM documents WHERE text IS NOT NULL
-""")
+""", rows="H26")
 def text_guard(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("text")
     label = F.when(n > 80, F.concat(F.substring("text", 1, 80), F.lit("..."))).otherwise(F.col("text"))
@@ -116,7 +116,7 @@ def text_guard(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(substr(text, 1, CAST(ceil(length(text) * 0.4) AS BIGINT)), '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS h FROM documents WHERE length(text) > 0)
 SELECT doc_id, CAST(len(h) AS BIGINT) AS heard, md5(array_to_string(h[greatest(1, len(h) - 2):], ' ')) AS asked FROM s WHERE len(h) > 0
-""")
+""", rows="C27")
 def missed_query(spark: SparkSession, d: str) -> DataFrame:
     """What was heard up to a buzz at 40 %: its last three sentences."""
     rows = table(spark, d, "documents").where(F.length("text") > 0)
@@ -128,7 +128,7 @@ def missed_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""
 SELECT doc_id, CAST(len(regexp_extract_all(text, '\n')) AS BIGINT) AS n_lines, giveaway FROM (SELECT doc_id, text, CASE WHEN length(p[-1]) <= 220 THEN p[-1] END AS giveaway FROM (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents WHERE length(trim(text)) > 0)) WHERE giveaway IS NOT NULL
-""")
+""", rows="H8")
 def giveaways(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("length(trim(text)) > 0")
     return rows.select("doc_id", F.regexp_count("text", F.lit("\n")).cast("long").alias("n_lines"), X.giveaway(F.col("text")).alias("giveaway")).where("giveaway is not null")
@@ -144,7 +144,7 @@ def aligned(spoken: list[str], shown: list[str], ahead: int = 12) -> list[int]:
     return out
 
 
-@query(None)
+@query(None, rows="C24")
 def monotone_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Words of every turn against those of the conversation's next turn."""
     from pyspark.sql.types import LongType

@@ -14,7 +14,7 @@ from corpusloom.sources.tables import table
 SELECT lang, count(*) AS n_docs, CAST(count(quality) AS BIGINT) AS n_labelled,
        CAST(sum(coalesce(toxic, 0)) AS BIGINT) AS n_toxic, CAST(sum(n_chars) AS BIGINT) AS n_chars
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang
-""")
+""", rows="A1 A2 A3 A4")
 def scan_shared_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = T.with_side(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "toxic", F.lit(0))
     docs = docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -29,7 +29,7 @@ WITH new AS (SELECT doc_id, md5(concat_ws('|', coalesce(CASE WHEN lang = 'fr' TH
      old AS (SELECT doc_id, md5(concat_ws('|', coalesce(source, ''), coalesce(CAST(n_chars AS VARCHAR), ''))) AS h FROM documents WHERE lang <> 'es')
 SELECT doc_id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'stale' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS status
 FROM new n FULL OUTER JOIN old o USING (doc_id)
-""")
+""", rows="A5 A16 A17 G1")
 def sink_changed_only(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     source = F.when(F.col("lang") == "fr", F.upper("source")).otherwise(F.col("source"))
@@ -41,7 +41,7 @@ def sink_changed_only(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type
 FROM events GROUP BY user_id
-""")
+""", rows="A6")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     newest = F.max_by(F.struct("ts", "event_id", "event_type"), F.struct("ts", "event_id"))
     return table(spark, d, "events").groupBy("user_id").agg(newest.alias("r")).select("user_id", "r.*")
@@ -50,13 +50,13 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT user_id, event_type, event_id, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1
-""")
+""", rows="A6")
 def upsert_composite_key(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
     return T.upsert(rows, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT doc_id, lang, source FROM documents ANTI JOIN labels USING (doc_id)")
+@query("SELECT doc_id, lang, source FROM documents ANTI JOIN labels USING (doc_id)", rows="A9")
 def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "labels").select("doc_id")
     return table(spark, d, "documents").select("doc_id", "lang", "source").join(done, "doc_id", "left_anti")
@@ -67,7 +67,7 @@ WITH b AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS brand_ord
      t AS (SELECT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS type_ord FROM (SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL))
 SELECT p_partkey, CAST(coalesce(brand_ord, -1) AS BIGINT) AS brand_ord, CAST(coalesce(type_ord, -1) AS BIGINT) AS type_ord
 FROM part LEFT JOIN b USING (p_brand) LEFT JOIN t USING (p_type)
-""")
+""", rows="A11")
 def catalog_dictionary(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
     coded = T.ordinals(T.ordinals(part, "p_brand", "brand_ord"), "p_type", "type_ord")
@@ -77,7 +77,7 @@ def catalog_dictionary(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT o_orderkey, count(*) AS n_refs, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
-""")
+""", rows="A12")
 def ref_resolve_ordered(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.count("*").alias("n_refs"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("r")
@@ -87,7 +87,7 @@ def ref_resolve_ordered(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(refs, orders["o_orderkey"] == refs["l_orderkey"]).select("o_orderkey", "n_refs", parts.alias("parts"))
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL GROUP BY l_orderkey")
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL GROUP BY l_orderkey", rows="A13")
 def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return table(spark, d, "lineitem").select("l_orderkey").join(known, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
@@ -97,7 +97,7 @@ def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
 SELECT c_custkey, coalesce(CASE WHEN c_acctbal < 0 THEN c_mktsegment END, n_name, 'none') AS section,
        CASE WHEN c_acctbal < 0 THEN 'own' ELSE 'nation' END AS source
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
-""")
+""", rows="A15")
 def topic_overlay(spark: SparkSession, d: str) -> DataFrame:
     own = F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment"))
     rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
@@ -108,7 +108,7 @@ def topic_overlay(spark: SparkSession, d: str) -> DataFrame:
 WITH l AS (SELECT doc_id, CAST(pos - 1 AS BIGINT) AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
      h AS (SELECT *, last_value(CASE WHEN length(line) <= 40 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM l)
 SELECT doc_id, pos, CAST(length(line) AS BIGINT) AS n_chars, header FROM h WHERE NOT length(line) <= 40
-""")
+""", rows="A27 E10")
 def dsl_sections(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -121,7 +121,7 @@ SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS set_year, o_orderkey,
        row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS number,
        l_partkey, coalesce(l_quantity, 10.0) AS points
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-""")
+""", rows="A39 A40 D7 I8")
 def packet_flatten(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("set_year")).join(
         table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")
@@ -132,14 +132,14 @@ def packet_flatten(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT n_name AS set_name, CAST(max(r_regionkey) AS BIGINT) AS packet, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name
-""")
+""", rows="A40 B25")
 def set_list(spark: SparkSession, d: str) -> DataFrame:
     dims = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = table(spark, d, "customer").join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy(F.col("n_name").alias("set_name")).agg(F.max("r_regionkey").cast("long").alias("packet"), F.count("*").alias("n"))
 
 
-@query("SELECT event_id, user_id, true AS more FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 800")
+@query("SELECT event_id, user_id, true AS more FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 800", rows="A22 J1")
 def cursor_pull(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id")
     return T.page_after(rows, 100, 800).select(F.col("seq").alias("event_id"), "user_id", "more")
@@ -147,7 +147,7 @@ def cursor_pull(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT lang, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1) / 100) AS BIGINT) AS batch, doc_id FROM documents
-""")
+""", rows="A41")
 def batch_numbers(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
     return table(spark, d, "documents").select("lang", F.floor((F.row_number().over(w) - 1) / 100).cast("long").alias("batch"), "doc_id")
@@ -157,7 +157,7 @@ def batch_numbers(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (WHERE first_day = day) AS added, count(*) FILTER (WHERE first_day < day) AS updated FROM (
   SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day, min(date_trunc('day', ts)) OVER (PARTITION BY user_id, event_type) AS first_day FROM events)
 GROUP BY user_id, day
-""")
+""", rows="A30")
 def change_log(spark: SparkSession, d: str) -> DataFrame:
     days = table(spark, d, "events").select("user_id", "event_type", F.to_date("ts").alias("day")).distinct()
     first = F.min("day").over(Window.partitionBy("user_id", "event_type"))
@@ -169,7 +169,7 @@ def change_log(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey, replace(replace(replace(p_name, chr(9), ' '), chr(10), ' '), chr(13), ' ') || chr(9) || p_brand || chr(9) || lower(replace(p_type, ' ', '_')) AS line FROM part
-""")
+""", rows="A43")
 def tsv_export(spark: SparkSession, d: str) -> DataFrame:
     flat = lambda c: F.regexp_replace(c, r"[\t\n\r]", " ")
     return table(spark, d, "part").select("p_partkey", F.concat_ws("\t", flat("p_name"), flat("p_brand"), F.lower(F.replace("p_type", F.lit(" "), F.lit("_")))).alias("line"))
@@ -178,7 +178,7 @@ def tsv_export(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT p_brand AS unit, p_partkey AS pos, split_part(p_type, ' ', 1) AS section, trim(p_name) AS answerline, 'x' || CAST(p_size AS VARCHAR) AS variant, p_type AS topic, CAST(p_retailprice > 1500 AS VARCHAR) AS note,
  CASE WHEN row_number() OVER (PARTITION BY p_brand, split_part(p_type, ' ', 1), lower(trim(p_name)) ORDER BY p_partkey) > 1 THEN 'duplicate' END AS error FROM part
-""")
+""", rows="A27")
 def dsl_entries(spark: SparkSession, d: str) -> DataFrame:
     """Outlines made of parts, a section line before each entry, parsed again."""
     from corpusloom.sources.dsl import entries

@@ -16,19 +16,19 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
     return L.log_stream(spark, f"{d.rstrip('/')}/events.parquet")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT DISTINCT user_id, event_type FROM events", rows="J2")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     found = L.deduplicated(stream(spark, d).select("user_id", "event_type", "at"), ["user_id", "event_type"], "365 days")
     return L.drained(found.select("user_id", "event_type"), spark)
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", rows="J8")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = L.drained(L.windows(stream(spark, d), "1 day"), spark, "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SELECT time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL (12 * i) HOUR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(2) r(i) GROUP BY ALL")
+@query("SELECT time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL (12 * i) HOUR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(2) r(i) GROUP BY ALL", rows="J8")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     out = L.drained(L.windows(stream(spark, d), "24 hours", "12 hours"), spark, "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -38,13 +38,13 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
 WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, g
-""")
+""", rows="J8")
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
     out = L.drained(L.sessions(stream(spark, d), "30 minutes"), spark, "complete")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("SELECT user_id, count(*) AS n, max(ts) AS last, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS lapses FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, max(ts) AS last, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS lapses FROM events GROUP BY user_id", rows="J3")
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
     """Running state of each user: what a stateful replay holds when the log is drained."""
     g = stream(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.count_if(F.col("event_type") == "error").alias("lapses"))
@@ -52,7 +52,7 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("last", F.col("last").cast("timestamp_ntz"))
 
 
-@query(SRS_SQL + "SELECT uid, k, i AS reps, lapses, last, round(stab, 6) AS stab, round(diff, 6) AS diff FROM z")
+@query(SRS_SQL + "SELECT uid, k, i AS reps, lapses, last, round(stab, 6) AS stab, round(diff, 6) AS diff FROM z", rows="E6 J3 J4")
 def stream_srs(spark: SparkSession, d: str) -> DataFrame:
     """The review state as a stateful stream keeps it; the batch replay is the oracle."""
     log = attempts(stream(spark, d)).withColumn("at", F.col("ts").cast("timestamp"))

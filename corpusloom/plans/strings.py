@@ -15,17 +15,17 @@ from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
 
-@query(f"SELECT p_partkey, {KEY_SQL.format('p_name')} AS key, {KEY_SQL.format('p_type')} AS type_key FROM part")
+@query(f"SELECT p_partkey, {KEY_SQL.format('p_name')} AS key, {KEY_SQL.format('p_type')} AS type_key FROM part", rows="H1")
 def key_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.match_key_udf("p_name").alias("key"), X.match_key_udf("p_type").alias("type_key"))
 
 
-@query(f"SELECT c_custkey, {KEY_SQL.format('c_name')} AS key, {KEY_SQL.format('c_mktsegment')} AS segment_key FROM customer")
+@query(f"SELECT c_custkey, {KEY_SQL.format('c_name')} AS key, {KEY_SQL.format('c_mktsegment')} AS segment_key FROM customer", rows="H1")
 def key_ascii(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", X.ascii_key(F.col("c_name")).alias("key"), X.ascii_key(F.col("c_mktsegment")).alias("segment_key"))
 
 
-@query("SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS key FROM supplier")
+@query("SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS key FROM supplier", rows="H3")
 def drill_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", X.drill_key_udf("s_name").alias("key"))
 
@@ -33,7 +33,7 @@ def drill_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(html, 1, 4000), '<[^>]*>', '', 'g'), '\[[\s\S]*', ''), '\([^)]*\)', '', 'g'), '[ \t\r\n]+', ' ', 'g'), '^[ ;,]+|[ ;,]+$', '', 'g') AS display FROM (
  SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' (x) [y]' AS html FROM pages)
-""")
+""", rows="H2")
 def display_clean(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit(" (x) [y]"))
     return table(spark, d, "pages").select("page_id", X.clean_answerline(raw).alias("display"))
@@ -42,25 +42,25 @@ def display_clean(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""
 SELECT page_id, coalesce(nullif(list_filter(list_transform(regexp_extract_all(h, '(?i)<u>([^<]*)</u>', 1), lambda x: trim(x)), lambda x: x <> '')[1], ''), nullif(list_filter(list_transform(regexp_extract_all(h, '(?i)<b>([^<]*)</b>', 1), lambda x: trim(x)), lambda x: x <> '')[1], '')) AS core
 FROM (SELECT page_id, '<b>' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || 'z</b> [or <u> </u>]' AS h FROM pages)
-""")
+""", rows="H4")
 def answer_core(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit("<b>"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("z</b> [or <u> </u>]"))
     return table(spark, d, "pages").select("page_id", X.answer_core(raw).alias("core"))
 
 
-@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' ' || p_type)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' ' || p_type)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part", rows="H6")
 def slugify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.slug(F.concat_ws(" ", "p_name", "p_type"), "_").alias("slug"))
 
 
-@query(None)
+@query(None, rows="H7 H10")
 def clue_sentences(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
     rows = docs.select("doc_id", F.posexplode(X.sentences_udf("text")).alias("pos", "sentence"))
     return rows.where(F.length("sentence") >= 15)
 
 
-@query(None)
+@query(None, rows="H10")
 def clue_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every document as clues; its first 300 characters are taken as the bold, earlier part."""
     docs = table(spark, d, "documents").where("text is not null")
@@ -72,7 +72,7 @@ def clue_extraction(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT p_partkey, CAST(i - 1 AS INTEGER) AS part_index, parts[i] AS text, answers[i] AS part_answer, p_name AS leadin
 FROM (SELECT p_partkey, p_name, string_split(p_type, ' ') AS parts, [p_brand, CAST(p_size AS VARCHAR)] AS answers FROM part), range(1, 3) r(i) WHERE i <= least(len(parts), len(answers))
-""")
+""", rows="H10 I9")
 def bonus_parts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", "p_name", F.split("p_type", " ").alias("parts"), F.array("p_brand", F.col("p_size").cast("string")).alias("answers"))
     return Q.bonus_clues(rows, id_col="p_partkey", leadin_col="p_name", parts_col="parts", answers_col="answers")
@@ -85,7 +85,7 @@ MARKED = "'<b>' || substr(text, 1, 60) || '<i>' || substr(text, 61, 60) || '</i>
 WITH h AS (SELECT doc_id, text, {MARKED} AS html FROM documents WHERE text IS NOT NULL),
  b AS (SELECT *, array_to_string(list_transform(regexp_extract_all(html, '(?s)<b>(.*?)</b>', 1), lambda x: regexp_replace(x, '<[^>]+>', '', 'g')), ' ') AS bold FROM h)
 SELECT doc_id, contains(bold, substr(text, 1, 40)) AS starts_bold, contains(bold, substr(text, 101, 40)) AS later_bold, regexp_matches(text, '(?i)for (?:10|ten) points') AS giveaway, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS n_chars FROM b
-""")
+""", rows="H11")
 def markup_tests(spark: SparkSession, d: str) -> DataFrame:
     sub = lambda a, n: F.substring("text", a, n)
     html = F.concat(F.lit("<b>"), sub(1, 60), F.lit("<i>"), sub(61, 60), F.lit("</i></b> (*) "), sub(121, 200), F.lit("<b>"), sub(321, 40), F.lit("</b>"))
@@ -108,7 +108,7 @@ WITH a AS (SELECT p_partkey, regexp_replace({ANSWER}, '<[^>]+>', '', 'g') AS lin
  n AS (SELECT p_partkey, pos, regexp_replace(trim(regexp_replace(lower(regexp_replace(name, '\\([^)]*\\)', ' ', 'g')), '[^a-z0-9_]+', ' ', 'g')), '^(?:the|an|a) +', '') AS key FROM k),
  f AS (SELECT p_partkey, key, min(pos) AS pos FROM n WHERE key <> '' GROUP BY ALL)
 SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY pos) - 1 AS INTEGER) AS place, key FROM f
-""")
+""", rows="H5")
 def alternative_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of an answer line that is made up from a part: its name, and the alternatives that are accepted."""
     return Q.alternative_keys(table(spark, d, "part").select("p_partkey", F.expr(ANSWER).alias("line")), id_col="p_partkey", answer_col="line")
@@ -117,14 +117,14 @@ def alternative_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(len(parts) AS BIGINT) AS n, CAST(list_sum(list_transform(parts, lambda x: length(x))) AS BIGINT) AS n_chars FROM s
-""")
+""", rows="H8")
 def simple_sentences(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", X.simple_sentences(F.col("text")).alias("parts"))
     total = F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     return rows.select("doc_id", F.size("parts").cast("long").alias("n"), F.when(F.size("parts") > 0, total).alias("n_chars"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(len(CAST(json_keys(props) AS VARCHAR[])) AS BIGINT) AS n_keys FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(len(CAST(json_keys(props) AS VARCHAR[])) AS BIGINT) AS n_keys FROM events", rows="I7")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
 
@@ -132,7 +132,7 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS q, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id)
 SELECT conv_id, CAST(least(coalesce(len(q), 0), coalesce(len(a), 0)) AS BIGINT) AS n_pairs FROM c
-""")
+""", rows="I9")
 def zip_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Length of the truncating zip of both roles' turns; counts alone, so no conversation is gathered."""
     n = lambda r: F.count_if(F.col("role") == r)
@@ -141,7 +141,7 @@ def zip_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""
 SELECT doc_id, array_to_string(list_distinct_in_order, ',') AS years FROM (SELECT doc_id, list_filter(y, lambda x, i: list_position(y, x) = i) AS list_distinct_in_order FROM (SELECT doc_id, regexp_extract_all(text, '\b(1[0-9]{3}|20[0-9]{2})\b', 1) AS y FROM documents WHERE text IS NOT NULL)) WHERE len(list_distinct_in_order) > 0
-""")
+""", rows="I5")
 def year_extract(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", X.years(F.col("text")).alias("y"))
     return rows.where(F.size("y") > 0).select("doc_id", F.array_join("y", ",").alias("years"))
@@ -150,7 +150,7 @@ def year_extract(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT event_id, CAST(CASE WHEN event_type = 'purchase' AND value < 250 THEN 15 WHEN event_type = 'purchase' THEN 10 WHEN event_type = 'error' THEN -5 ELSE 0 END AS INTEGER) AS points,
  round(1 / (1 + exp(-(value - 250) / 100)), 6) AS p, round(least(greatest(value / 500, 0.1), 0.9), 6) AS depth FROM events
-""")
+""", rows="I3 I4")
 def scoring(spark: SparkSession, d: str) -> DataFrame:
     res = F.when(F.col("event_type") == "purchase", "C").when(F.col("event_type") == "error", "W").otherwise("D")
     return table(spark, d, "events").select(
@@ -158,12 +158,12 @@ def scoring(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(None)
+@query(None, rows="H13 H14")
 def speech_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", clean_udf("text").alias("spoken"))
 
 
-@query(None)
+@query(None, rows="H17 H18 H19 H20 H21 H23")
 def answer_judge(spark: SparkSession, d: str) -> DataFrame:
     """Part names as answers: the first word given for the whole underlined name."""
     part = table(spark, d, "part")

@@ -44,3 +44,11 @@ def test_plans_stay_out_of_python_and_push_down(spark, sf):
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
     assert "PushedFilters: [" in plan and "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_queries_name_the_survey_rows_that_they_cover():
+    import re
+
+    from corpusloom.plans.registry import ROWS
+
+    assert set(ROWS) == set(QUERIES) and all(rows and all(re.fullmatch("[A-K][0-9]+", r) for r in rows) for rows in ROWS.values())
