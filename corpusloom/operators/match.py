@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,43 +75,77 @@ def top_k(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
 NOT_NAMES = frozenset("The A An In On Of For And But Or To By At From With As This That These Those His Her Its He She It They When While After Before".split())
 
 
-def link_mentions(texts: DataFrame, lexicon: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", guard: bool = True) -> DataFrame:
-    """(id, target, surface, position): surfaces of a lexicon found in texts.
+NAME_WORD = r"([\p{L}\p{N}_]+)"
+SNIPPET = 60
 
-    Longer surfaces win over shorter ones they hold, found spans are masked, and a
-    target counts once a text.  With ``guard`` a surface of one word whose first
-    hit touches a capitalised word is part of a longer name and no link.  Candidates come from an equi-join on the first
-    word, so a text meets only surfaces it may hold.
-    """
-    import re
 
-    import pandas as pd
+def longer_name(text: str, start: int, end: int) -> bool:
+    """Whether a word touches a capitalised word that isn't one of the small words, and so is part of a longer name."""
+    before, after = re.search(r"([A-Z][\w'-]*) $", text[max(0, start - 40) : start]), re.match(r" ([A-Z][\w'-]*)", text[end : end + 40])
+    return any(m and m[1] not in NOT_NAMES for m in (before, after))
+
 
-    words = texts.select(id_col, text_col, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"([a-z0-9]+)"), F.lit(1)))).alias("first"))
-    lex = lexicon.select("surface", "target", F.regexp_extract(F.lower("surface"), r"([a-z0-9]+)", 1).alias("first")).where("first <> ''")
-    cand = words.select(id_col, "first").join(lex, "first").groupBy(id_col).agg(F.collect_set(F.struct("surface", "target")).alias("found"))
-    both = texts.select(id_col, text_col).join(cand, id_col)
+def linked(text: str, surfaces: dict[str, list[tuple[str, str]]], own: str | None, own_name: str | None, guard: bool = True) -> list[tuple[str, str, int, str, str | None]]:
+    """(target, surface, position, tier, snippet) of one text.
+
+    ``surfaces`` gives (target, tier) pairs.  Longer surfaces are looked for first, as whole words
+    and in their own case, and all their places are masked, also where the first place is part of a
+    longer name and so no link.  A surface inside the text's own name, or of its own target, is no
+    link.  A target counts once a text.  Of a surface that no "auto" target has, every target is a
+    candidate to be judged, with the text around it.
+    """
+    masked, seen, out = text, set(), []
+    for surface in sorted(surfaces, key=lambda x: (-len(x), x)):
+        pattern = re.compile(r"\b" + re.escape(surface) + r"\b")
+        hit = pattern.search(masked)
+        if not hit:
+            continue
+        part = guard and len(surface.split()) == 1 and longer_name(masked, hit.start(), hit.end())
+        masked = pattern.sub(" " * len(surface), masked)
+        if part or (own_name and surface in own_name):
+            continue
+        sure = [t for t, tier in surfaces[surface] if tier == "auto"][:1]
+        for target in sure or sorted(t for t, _ in surfaces[surface]):
+            if target == own or (sure and target in seen):
+                continue
+            if sure:
+                seen.add(target)
+            around = None if sure else text[max(0, hit.start() - SNIPPET) : hit.end() + SNIPPET].replace("\n", " ").strip()
+            out.append((target, surface, hit.start(), "auto" if sure else "gated", around))
+    return out
+
+
+def link_mentions(texts: DataFrame, lexicon: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own_col: str | None = None, own_name_col: str | None = None, guard: bool = True) -> DataFrame:
+    """(id, target, surface, position, tier, snippet): surfaces of a lexicon found in texts, by the rules of ``linked``.
+
+    ``lexicon`` holds surface, target and, if some are to be judged, tier ("auto" or "gated").
+    Each surface is looked up by the one of its words that fewest texts hold, so a text meets
+    only surfaces whose rarest word it has.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(NAME_WORD), F.lit(1)))
+    tier = F.col("tier") if "tier" in lexicon.columns else F.lit("auto")
+    lex = lexicon.select("surface", "target", tier.alias("tier")).where("surface is not null and target is not null").distinct()
+    of_surface = lex.select("surface").distinct().select("surface", F.explode(words(F.col("surface"))).alias("word"))
+    in_text = texts.select(F.col(id_col), F.explode(words(F.col(text_col))).alias("word")).join(of_surface.select("word").distinct(), "word", "left_semi")
+    often = in_text.groupBy("word").agg(F.count("*").alias("often"))
+    rarest = of_surface.join(often, "word", "left").groupBy("surface").agg(F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), "word")).alias("word"))
+    entry = F.struct("surface", "target", "tier")
+    cand = in_text.join(lex.join(rarest, "surface"), "word").groupBy(id_col).agg(F.collect_set(entry).alias("found"))
+    own = [F.col(c).cast("string").alias(n) if c else F.lit(None).cast("string").alias(n) for c, n in ((own_col, "_own"), (own_name_col, "_own_name"))]
+    both = texts.select(id_col, text_col, *own).join(cand, id_col)
 
     def scan(frames):
         for frame in frames:
             out = []
-            for i, text, found in frame.itertuples(index=False, name=None):
-                masked, seen = text, set()
-                for row in sorted(found, key=lambda r: (-len(r["surface"]), r["surface"], r["target"])):
-                    pattern = re.compile(r"(?<![A-Za-z0-9_])" + re.escape(row["surface"]) + r"(?![A-Za-z0-9_])", re.IGNORECASE)
-                    hit = pattern.search(masked)
-                    if hit and guard and " " not in row["surface"]:
-                        near = [*re.findall(r"([A-Z][\w'-]*) $", masked[: hit.start()][-40:]), *re.findall(r"^ ([A-Z][\w'-]*)", masked[hit.end() :][:40])]
-                        hit = None if any(w not in NOT_NAMES for w in near) else hit
-                    if hit:
-                        masked = pattern.sub(lambda m: "\0" * len(m[0]), masked)
-                        if row["target"] not in seen:
-                            seen.add(row["target"])
-                            out.append((i, row["target"], row["surface"], hit.start()))
-            yield pd.DataFrame(out, columns=[id_col, "target", "surface", "position"])
+            for i, text, mine, my_name, found in frame.itertuples(index=False, name=None):
+                surfaces: dict[str, list[tuple[str, str]]] = {}
+                for row in found:
+                    surfaces.setdefault(row["surface"], []).append((row["target"], row["tier"]))
+                out += [(i, *x) for x in linked(text, {k: sorted(v) for k, v in surfaces.items()}, mine, my_name, guard)]
+            yield pd.DataFrame(out, columns=[id_col, "target", "surface", "position", "tier", "snippet"])
 
     kind = texts.schema[id_col].dataType.simpleString()
-    return both.mapInPandas(scan, f"{id_col} {kind}, target string, surface string, position long")
+    return both.mapInPandas(scan, f"{id_col} {kind}, target string, surface string, position long, tier string, snippet string")
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, most: int, key: str = "key") -> DataFrame:

@@ -70,8 +70,8 @@ def taxonomy_slice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    dims = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, d, "customer").join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey"))
+    dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, d, "customer").join(dims, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
 @query("""
@@ -90,7 +90,7 @@ WHERE r_name IN ('ASIA', 'EUROPE') AND (r_name <> 'ASIA' OR n_name IN (SELECT mi
 def taxonomy_hierarchy_filter(spark: SparkSession, d: str) -> DataFrame:
     """A picked child narrows only its own parent."""
     rows = hierarchy(spark, d)
-    dims = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     child = dims.where("r_name = 'ASIA'").agg(F.min("n_name").alias("pick"))
     hit = rows.crossJoin(F.broadcast(child))  # one row
     return hit.where(F.col("r_name").isin("ASIA", "EUROPE") & ((F.col("r_name") != "ASIA") | (F.col("n_name") == F.col("pick")))).select("c_custkey", "r_name", "n_name")
@@ -104,7 +104,7 @@ SELECT n_name, alt, count(*) AS n FROM t JOIN s USING (n_name) WHERE alt IS NOT
 def subtyped_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = hierarchy(spark, d).withColumn("alt", F.when(F.col("c_acctbal") > 3000, F.col("c_mktsegment")))
     subs = rows.groupBy("n_name").agg(F.count("*").alias("n"), F.count("alt").alias("with_alt")).where("n >= 30 and with_alt >= 0.5 * n").select("n_name")
-    return rows.where("alt is not null").join(F.broadcast(subs), "n_name").groupBy("n_name", "alt").agg(F.count("*").alias("n")).where("n >= 10")
+    return rows.where("alt is not null").join(subs, "n_name").groupBy("n_name", "alt").agg(F.count("*").alias("n")).where("n >= 10")
 
 
 @query("""

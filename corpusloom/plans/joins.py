@@ -70,9 +70,12 @@ def override_precedence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None, rows="C5 C6")
 def link_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items' first four words as surfaces, found in all documents."""
-    surface = F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ")
-    lexicon = table(spark, d, "benchmark").where("length(text) > 0").select(surface.alias("surface"), F.col("item_id").cast("string").alias("target"))
+    """Benchmark items' first four words as sure surfaces and their third word as one to be judged, found in all documents."""
+    words = F.split("text", r"\s+")
+    items = table(spark, d, "benchmark").where("length(text) > 0").select(F.col("item_id").cast("string").alias("target"), words.alias("w"))
+    lexicon = items.select(F.array_join(F.slice("w", 1, 4), " ").alias("surface"), "target", F.lit("auto").alias("tier")).unionByName(
+        items.select(F.get("w", F.lit(2)).alias("surface"), "target", F.lit("gated").alias("tier"))
+    )
     return M.link_mentions(table(spark, d, "documents").where("text is not null"), lexicon)
 
 

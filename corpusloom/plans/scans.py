@@ -100,7 +100,7 @@ FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
 """, rows="A15")
 def topic_overlay(spark: SparkSession, d: str) -> DataFrame:
     own = F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment"))
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return rows.select("c_custkey", F.coalesce(own, "n_name", F.lit("none")).alias("section"), F.when(F.col("c_acctbal") < 0, "own").otherwise("nation").alias("source"))
 
 
@@ -134,8 +134,8 @@ def packet_flatten(spark: SparkSession, d: str) -> DataFrame:
 SELECT n_name AS set_name, CAST(max(r_regionkey) AS BIGINT) AS packet, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name
 """, rows="A40 B25")
 def set_list(spark: SparkSession, d: str) -> DataFrame:
-    dims = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = table(spark, d, "customer").join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey"))
+    dims = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, d, "customer").join(dims, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy(F.col("n_name").alias("set_name")).agg(F.max("r_regionkey").cast("long").alias("packet"), F.count("*").alias("n"))
 
 

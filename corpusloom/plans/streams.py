@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpusloom.operators.ordered import attempts
 from corpusloom.plans.ordered import SRS_SQL
 from corpusloom.plans.registry import query
-from corpusloom.sources.tables import upsert
 from corpusloom.streaming import log as L
 
 
@@ -16,21 +15,23 @@ def stream(spark: SparkSession, d: str) -> DataFrame:
     return L.log_stream(spark, f"{d.rstrip('/')}/events.parquet")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events", rows="J2")
+@query("SELECT event_id, user_id, event_type FROM events", rows="J2")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    found = L.deduplicated(stream(spark, d).select("user_id", "event_type", "at"), ["user_id", "event_type"], "365 days")
-    return L.drained(found.select("user_id", "event_type"), spark)
+    """Every event is pushed twice and kept once; an event's second push may be up to an hour late."""
+    events = stream(spark, d).select("event_id", "user_id", "event_type", "at")
+    found = L.deduplicated(events.unionByName(stream(spark, d).select("event_id", "user_id", "event_type", "at")), ["event_id"])
+    return L.drained(found.select("event_id", "user_id", "event_type"), spark)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", rows="J8")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    out = L.drained(L.windows(stream(spark, d), "1 day"), spark, "complete")
+    out = L.latest(L.windows(stream(spark, d), "1 day"), spark, ["start", "event_type"])
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL (12 * i) HOUR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(2) r(i) GROUP BY ALL", rows="J8")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    out = L.drained(L.windows(stream(spark, d), "24 hours", "12 hours"), spark, "complete")
+    out = L.latest(L.windows(stream(spark, d), "24 hours", "12 hours"), spark, ["start", "event_type"])
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -48,7 +49,7 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
     """Running state of each user: what a stateful replay holds when the log is drained."""
     g = stream(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.max("at").alias("last"), F.count_if(F.col("event_type") == "error").alias("lapses"))
-    out = L.drained(g, spark, "complete")
+    out = L.latest(g, spark, ["user_id"])
     return out.withColumn("last", F.col("last").cast("timestamp_ntz"))
 
 
@@ -56,5 +57,5 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
 def stream_srs(spark: SparkSession, d: str) -> DataFrame:
     """The review state as a stateful stream keeps it; the batch replay is the oracle."""
     log = attempts(stream(spark, d)).withColumn("at", F.col("ts").cast("timestamp"))
-    out = upsert(L.drained(L.replayed(log), spark, "update"), ["uid", "k"], [F.col("_batch")])
+    out = L.latest(L.replayed(log), spark, ["uid", "k"])
     return out.select("uid", "k", "reps", "lapses", "last", F.round("stab", 6).alias("stab"), F.round("diff", 6).alias("diff"))

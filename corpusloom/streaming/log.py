@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.operators import ordered as O
+from corpusloom.sources.tables import upsert
 
 LATE = "1 hour"
 
@@ -35,6 +36,7 @@ def windows(log: DataFrame, width: str, step: str | None = None, late: str = LAT
 
 
 def sessions(log: DataFrame, gap: str, late: str = LATE) -> DataFrame:
+    """Sessions by user.  Spark gives them in append mode, once the watermark has passed, or in complete mode; not in update mode."""
     g = log.withWatermark("at", late).groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
@@ -107,3 +109,8 @@ def drained(df: DataFrame, spark: SparkSession, mode: str = "append") -> DataFra
     else:
         writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+
+def latest(df: DataFrame, spark: SparkSession, keys: list[str]) -> DataFrame:
+    """Run a stream in update mode, in which state behind the watermark is dropped, and keep each key's newest row."""
+    return upsert(drained(df, spark, "update"), keys, [F.col("_batch")]).drop("_batch")

@@ -128,3 +128,26 @@ def test_written_index_is_read_by_partition(spark, tmp_path):
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [part" in plan
     assert sorted(r["vec_id"] for r in part.collect()) == sorted(r["vec_id"] for r in idx.where("part in (1, 3)").collect())
+
+
+def test_linker_rules():
+    lex = {"Anna Akhmatova": [("aa", "auto")], "Akhmatova": [("aa", "gated")], "Carmen": [("ca", "auto")], "Miller": [("am", "gated"), ("hm", "gated")], "Ode": [("ode", "auto")], "Augustus": [("au", "auto")]}
+    text = "Anna Akhmatova wrote, and later Akhmatova met Carmen Maria Machado, and Carmen sang. The Miller said ode\nOde, and Augustus."
+    got = match.linked(text, lex, own=None, own_name="Augustus Saint-Gaudens")
+    assert [(t, s, tier) for t, s, _, tier, _ in got] == [("aa", "Anna Akhmatova", "auto"), ("aa", "Akhmatova", "gated"), ("am", "Miller", "gated"), ("hm", "Miller", "gated"), ("ode", "Ode", "auto")]
+    assert got[-1][2] == text.index("Ode") and "The Miller said" in got[2][4]
+    assert [t for t, *_ in match.linked("By Miller, ode.", lex, own="am", own_name=None)] == ["hm"]
+
+
+def test_links_of_a_lexicon(spark):
+    rnd = random.Random(3)
+    words = "The the red Red house of Paul and Anna Ünal sea sea-wall 1984".split()
+    texts = [(k, " ".join(rnd.choice(words) for _ in range(30))) for k in range(40)] + [(99, None)]
+    lexicon = [(" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 3))), f"t{k % 9}", rnd.choice(["auto", "gated"])) for k in range(25)] + [("!!", "x", "auto"), (None, "y", "auto")]
+    df, lex = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(lexicon, "surface string, target string, tier string")
+    got = sorted(tuple(r)[:5] for r in match.link_mentions(df, lex).collect())
+    surfaces = {}
+    for s, t, tier in set(lexicon[:-2]):
+        surfaces.setdefault(s, []).append((t, tier))
+    want = sorted((i, *x[:4]) for i, t in texts if t for x in match.linked(t, {k: sorted(v) for k, v in surfaces.items()}, None, None))
+    assert got == want and got
