@@ -202,3 +202,17 @@ def alternatives(answer: Column) -> Column:
     named = F.transform(accepted, lambda x: F.regexp_replace(x, r"(?i)^(?:or|accept|and|also accept)\s+", ""))
     every = F.concat(F.array(F.split(plain, r"\[")[0]), named)
     return F.filter(F.transform(every, lambda x: F.trim(F.regexp_replace(x, r"\([^)]*\)", " "))), lambda x: x != "")
+
+
+def years(c: Column) -> Column:
+    """Distinct years that a text names, once each: 1000 to 2029 as they are, years BC as negative numbers."""
+    after = F.transform(F.regexp_extract_all(c, F.lit(r"\b(1[0-9]{3}|20[0-2][0-9])\b"), F.lit(1)), lambda y: y.cast("int"))
+    before = F.transform(F.regexp_extract_all(c, F.lit(r"(?i)\b([0-9]{1,4})\s*(?:BCE?|B\.C\.?)\b"), F.lit(1)), lambda y: -y.cast("int"))
+    return F.array_distinct(F.concat(after, before))
+
+
+def clean_work_name(c: Column) -> Column:
+    """A work's name for a search: without round brackets, what follows a slash, and a date about which it was made."""
+    c = F.trim(F.regexp_replace(c, r"\(.*?\)", ""))
+    c = F.trim(F.regexp_replace(c, r"\s*/\s*.*", ""))
+    return F.trim(F.regexp_replace(c, r",?\s*c\.\s*[0-9]{4}.*", ""))

@@ -234,3 +234,19 @@ def test_alternative_keys_drop_rejects(spark):
         got.setdefault(r["id"], []).append(r["key"])
     assert got == {0: ["georgia totto o keeffe", "o keefe", "georgia"], 1: ["cafe"], 2: ["later"]}
     assert [r[0] for r in df.orderBy("id").select(T.bold_core(F.col("a"))).collect()] == ["O'Keeffe", "Café", None, None]
+
+
+def test_half_floats_are_those_of_numpy(spark):
+    import numpy as np
+    from corpusloom.functions.numeric import half_float
+
+    bits = list(range(0, 1 << 16, 97)) + [0x7C00, 0xFC00, 0x7C01, 0, 0x8000, 1, 0x3C00]
+    got = [r[0] for r in spark.createDataFrame([(k, b) for k, b in enumerate(bits)], "k int, b int").orderBy("k").select(half_float(F.col("b"))).collect()]
+    want = np.array(bits, np.uint16).view(np.float16).astype(float)
+    assert np.array_equal(np.array(got, float), want, equal_nan=True)
+
+
+def test_years_and_work_names(spark):
+    text_ = "In 1848 and 1848, 2029 or 2030; 44 BC, 300 B.C. and 12 bce. A999 17763"
+    row = spark.createDataFrame([(text_, "The Boat (1875) / Le Bateau, c. 1870"), (None, "Crow, c. 1650s version")], "t string, w string").select(text.years(F.col("t")).alias("y"), text.clean_work_name(F.col("w")).alias("w")).collect()
+    assert row[0]["y"] == [1848, 2029, -44, -300, -12] and row[0]["w"] == "The Boat" and row[1]["y"] is None and row[1]["w"] == "Crow"
