@@ -71,6 +71,14 @@ def top_k(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def claimable(items: DataFrame, waiting: Column, claimed: Column, since: Column, now: Column, lease: str = "1800 seconds") -> DataFrame:
+    """Items to hand out at ``now``: those that wait, and claimed ones whose lease has run out.
+
+    A runner that asks every so often passes the current time; nothing need fire when a lease ends.
+    """
+    return items.where(waiting | (claimed & (since < now - F.expr(f"interval {lease}"))))
+
+
 # Capitalised words that don't make a name longer.
 NOT_NAMES = frozenset("The A An In On Of For And But Or To By At From With As This That These Those His Her Its He She It They When While After Before".split())
 

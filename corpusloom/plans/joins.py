@@ -173,13 +173,14 @@ def edge_degrees(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH rem AS (SELECT o_custkey, count(*) AS left_ FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
 SELECT o_orderkey, o_custkey, left_ FROM orders LEFT JOIN rem USING (o_custkey)
-WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1996-01-01') ORDER BY left_, o_custkey, o_orderkey LIMIT 100
+WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY) ORDER BY left_, o_custkey, o_orderkey LIMIT 100
 """, rows="C22 I6 J5")
 def lease_claim(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred open or expired items, sets with fewest items left first; the limit is the claim's size."""
     orders = table(spark, d, "orders")
     left = orders.where("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.count("*").alias("left_"))
-    open_ = orders.where("o_orderstatus = 'O' or (o_orderstatus = 'P' and o_orderdate < timestamp_ntz'1996-01-01')")
+    now = orders.agg(F.max("o_orderdate").alias("now"))
+    open_ = M.claimable(orders.crossJoin(F.broadcast(now)), F.col("o_orderstatus") == "O", F.col("o_orderstatus") == "P", F.col("o_orderdate"), F.col("now"), "365 days")
     return open_.join(left, "o_custkey", "left").select("o_orderkey", "o_custkey", "left_").orderBy(F.asc_nulls_last("left_"), "o_custkey", "o_orderkey").limit(100)
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StringType, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +62,13 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 def ordinals(df: DataFrame, column: str, out: str) -> DataFrame:
     """Dictionary encoding: 0-based rank of a value among the distinct ones, -1 for null.
 
-    The rank runs over the distinct values, not over the rows.
+    Distinct values are counted in blocks by their beginnings, so neither rows nor values go
+    through one task.
     """
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranked = values.withColumn(out, F.dense_rank().over(Window.orderBy(column)) - 1)
+    kind = df.schema[column].dataType
+    block = F.substring(column, 1, 3) if isinstance(kind, StringType) else F.floor(F.col(column) / 4096) if isinstance(kind, IntegralType) else F.col(column)
+    ranked = numbered(values, [column], out, block)
     return df.join(ranked, column, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
