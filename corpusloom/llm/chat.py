@@ -17,7 +17,10 @@ Defined cases: a null role is the speaker ``unknown``; null text is empty; a nul
 conversation id is a conversation of its own; repeated rows are rendered each
 time; a conversation of system turns alone has no participant and no rows;
 template marks inside texts are broken up by a space so that they can't end a
-turn; other columns are ignored.
+turn; characters that a name can't hold become "_", and such a name ends in a
+hash of the speaker, so two speakers never share one; texts of any length are
+rendered whole; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +61,9 @@ def rotate(
         .when(F.col("speaker") == F.col("perspective"), F.lit("assistant"))
         .otherwise(F.lit("user"))
     )
-    name = F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_")
+    plain = F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_")
+    # speakers whose names differ only in replaced marks stay apart
+    name = F.when(plain == F.col("speaker"), plain).otherwise(F.concat(plain, F.lit("_"), F.substring(F.md5(F.col("speaker").cast("binary")), 1, 8)))
     head = F.concat(
         F.lit(OPEN), F.col("role"), F.when(F.col("role") == "user", F.concat(F.lit(" name="), F.col("name"))).otherwise(F.lit("")), F.lit("\n")
     )
@@ -94,7 +99,7 @@ WITH t AS (
   SELECT DISTINCT conv_id AS p_conv, speaker AS perspective FROM t WHERE speaker <> 'system'
 ), r AS (
   SELECT *, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
-         regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') AS name
+         regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') || CASE WHEN regexp_matches(speaker, '[^A-Za-z0-9_-]') THEN '_' || substr(md5(speaker), 1, 8) ELSE '' END AS name
   FROM t JOIN people ON conv_id IS NOT DISTINCT FROM p_conv
 ), h AS (
   SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || name ELSE '' END || chr(10) AS head FROM r

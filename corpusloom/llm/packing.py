@@ -7,7 +7,8 @@ padding.  Equal lengths share a bucket, from which batches of one shape are read
 
 Defined cases: null or empty text has the end id alone, one piece of length 1;
 repeated rows give repeated pieces under different sequence ids; texts of any
-length are cut whole; other columns are ignored.  A sequence id holds the task's
+length are cut whole; a null doc_id is kept; an empty table gives no rows; other
+columns, whatever their names, are ignored.  A sequence id holds the task's
 partition above the place in it, so it is unique without a shuffle, and a task
 that runs again for a lost executor gives the same ids.
 """

@@ -291,3 +291,19 @@ def test_marks_within_longer_names_keep_the_text(names):
 
 def test_smoothing_keeps_levels():
     assert np.allclose(htmltext.smoothed(np.full(7, 3.0)), 3.0) and len(htmltext.smoothed(np.ones(1))) == 1
+
+
+def test_speakers_keep_names_apart_and_long_texts_whole(spark):
+    df = spark.createDataFrame([(1, 1, "ann b", "x" * 300_000, 5), (1, 2, "ann_b", "hello", 5), (1, 3, "Zoë", None, 5)], "conv_id long, turn long, role string, text string, name int")
+    rows = chat.rotate(df).collect()
+    names = {r["speaker"]: r["name"] for r in rows}
+    assert len(rows) == 9 and len(set(names.values())) == 3 and names["ann_b"] == "ann_b"
+    assert all(300_000 < r["n_chars"] for r in rows if r["speaker"] == "ann b")
+
+
+def test_packing_odd_rows(spark):
+    df = spark.createDataFrame([(None, "some words here", 1, 2), (7, None, 1, 2), (7, None, 1, 2)], "doc_id long, text string, sequence_id int, bucket int")
+    got = packing.pack(df, BPE).collect()
+    assert sorted((str(r["doc_id"]), r["length"]) for r in got if r["doc_id"] == 7) == [("7", 1), ("7", 1)]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) and {r["doc_id"] for r in got} == {None, 7}
+    assert packing.pack(df.limit(0), BPE).count() == 0
