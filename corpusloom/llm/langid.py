@@ -144,7 +144,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     width = F.avg(F.least(F.lit(BUCKETS), 2 * F.char_length("text") + 1))
     widths = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(width.alias("n")).collect()}
     quota = {k: min(per_language, max(20, int(most_counts / len(widths) / (n or 1)))) for k, n in widths.items()}
-    picked = stratified(rows, "lang", ("doc_id", "text"), quota).limit(2 * sum(quota.values()) + 1000)
+    # rows that are alike in all three fall on the same side, so they count once
+    picked = stratified(rows, "lang", ("doc_id", "text"), quota).dropDuplicates(["doc_id", "text", "lang"])
     got = map_batches(picked, make, "doc_id long, bucket array<short>, share array<float>, lang string").toArrow().combine_chunks().sort_by("doc_id")
     bucket, share = (got.column(c).combine_chunks() for c in ("bucket", "share"))
     ends = np.asarray(bucket.offsets)

@@ -27,7 +27,7 @@ import struct
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,10 @@ class Bits:
         byte = self.at >> 3
         return int.from_bytes(self.data[byte : byte + 5], "little") >> (self.at & 7) & ((1 << n) - 1)
 
+    def peek_far(self, n: int) -> int:
+        byte = self.at >> 3
+        return int.from_bytes(self.data[byte : byte + (n + 14 >> 3)], "little") >> (self.at & 7) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         value = self.peek(n) if n else 0
         self.at += n
@@ -100,34 +104,47 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return used, _mirror(most)[np.cumsum(width) - width]
 
 
+def code_tables(lengths: list[bytes | bytearray], most: int) -> np.ndarray:
+    """A row for each code: the symbol above the length of its code, for the next ``most`` bits.
+
+    No code is longer than ``most`` bits, and each has two symbols or more.
+    """
+    n = np.frombuffer(b"".join(lengths), np.uint8)
+    sizes = np.array([len(x) for x in lengths])
+    used = np.flatnonzero(n)
+    row = np.repeat(np.arange(len(lengths)), sizes)[used]
+    symbol, size = used - (np.cumsum(sizes) - sizes)[row], n[used].astype(np.int64)
+    order = np.argsort(row << 4 | size, kind="stable")
+    row, symbol, size = row[order], symbol[order], size[order]
+    width = 1 << (most - size)
+    if (np.bincount(row, width, len(lengths)) != 1 << most).any():
+        raise ValueError("a prefix code isn't complete")
+    return (symbol << 8 | size).astype(np.int32).repeat(width).reshape(len(lengths), -1)[:, _mirror(most)]
+
+
 class Code:
     """A canonical prefix code, from the code lengths of its symbols."""
 
     def __init__(self, lengths: bytes | bytearray):
-        n = np.frombuffer(lengths, np.uint8)
-        used = np.flatnonzero(n)
-        self.single = int(used[0]) if len(used) == 1 else 0 if not len(used) else None
-        self.most = 0
-        self._list = None
-        if self.single is not None:
-            #: The symbol above the length of its code, for the next ``most`` bits.
-            self.table = np.array([self.single << 8], np.int32)
-            return
-        size = n[used].astype(np.int64)
-        order = size.argsort(kind="stable")
-        size, used = size[order], used[order]
-        self.most = int(size[-1])
-        width = 1 << (self.most - size)
-        if width.sum() != 1 << self.most:
-            raise ValueError("a prefix code isn't complete")
-        self.table = (used << 8 | size).astype(np.int32).repeat(width)[_mirror(self.most)]
+        self.lengths = lengths
+        used = len(lengths) - lengths.count(0)
+        self.most = max(lengths) if used > 1 else 0
+        #: The symbol of a code that has only one and so no bits.
+        self.single = None if used > 1 else lengths.index(max(lengths))
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The symbol above the length of its code, for the next ``most`` bits."""
+        return code_tables([self.lengths], self.most)[0] if self.most else np.array([self.single << 8], np.int32)
+
+    @cached_property
+    def listed(self) -> list[int]:
+        return self.table.tolist()
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
             return self.single
-        if self._list is None:
-            self._list = self.table.tolist()
-        found = self._list[bits.peek(self.most)]
+        found = self.listed[bits.peek(self.most)]
         bits.at += found & 255
         return found >> 8
 
@@ -137,6 +154,23 @@ class Code:
         return found >> 8, found & 255
 
 
+@lru_cache(4096)
+def _length_table(lengths: bytes) -> tuple[list[int], int]:
+    """As ``Code.listed`` for a code of code lengths, which has few symbols, and the bits that index it."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) < 2:
+        return [used[0][1] << 8 if used else 0], 0
+    most = used[-1][0]
+    table, mirror, at = [0] * (1 << most), _mirror(most).tolist(), 0
+    for n, s in used:
+        if at < 1 << most:
+            table[mirror[at] :: 1 << n] = [s << 8 | n] * (1 << (most - n))
+        at += 1 << (most - n)
+    if at != 1 << most:
+        raise ValueError("a prefix code isn't complete")
+    return table, most
+
+
 def _read_code(bits: Bits, size: int) -> Code:
     lengths = bytearray(size)
     if bits.read(1):
@@ -147,11 +181,14 @@ def _read_code(bits: Bits, size: int) -> Code:
             lengths[bits.read(8)] = 1
         return Code(lengths)
     of_lengths = bytearray(19)
-    for k in range(4 + bits.read(4)):
-        of_lengths[LENGTH_ORDER[k]] = bits.read(3)
-    reader = Code(of_lengths)
+    stored = 4 + bits.read(4)
+    ahead = bits.peek_far(3 * stored)
+    bits.at += 3 * stored
+    for k in range(stored):
+        of_lengths[LENGTH_ORDER[k]] = ahead >> 3 * k & 7
+    table, most = _length_table(bytes(of_lengths))
+    mask = (1 << most) - 1
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    table, mask = reader.table.tolist(), (1 << reader.most) - 1
     at, last = 0, 8
     place, have, ahead = bits.at, 0, 0  # ``ahead`` holds the next ``have`` bits
     while at < size and left:
@@ -965,7 +1002,7 @@ def media_features(docs: DataFrame, *, with_media: bool = False) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch):
-            for part in slices(batch, "text", 1 << 21):
+            for part in slices(batch, "text", 1 << 20):
                 rows: list[tuple] = []
                 payloads = [payload_of(text) for text in part.column("text").to_pylist()]
                 cuts = [planes_of(p) for p, _ in payloads]

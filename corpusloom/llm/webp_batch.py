@@ -47,10 +47,13 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def plain_ones(px: list[np.ndarray]) -> np.ndarray:
     """Which pictures are best without a transform and without a palette."""
-    n = np.array([len(p) * p.shape[1] for p in px])
-    of = np.repeat(np.arange(len(px)), n)
-    x = np.concatenate([p.reshape(-1, 3) for p in px]).astype(np.int32)
-    signed = W._signed(x)
+    rows = np.array([len(p) for p in px])
+    n = rows * W.ROW_PIXELS
+    x8 = np.concatenate(px)  # all rows of all pictures
+    first = np.cumsum(rows) - rows
+    of = np.repeat(np.arange(len(px), dtype=np.int32), n)
+    x = x8.reshape(-1, 3)
+    signed = x.view(np.int8).astype(np.int32)
     mean = np.stack([np.bincount(of, signed[:, k], len(px)) / n for k in range(3)], 1)
 
     def slope(a: int, b: int) -> np.ndarray:
@@ -59,34 +62,28 @@ def plain_ones(px: list[np.ndarray]) -> np.ndarray:
         return np.where(scale > 0, np.clip(np.round(32 * np.bincount(of, d * signed[:, b], len(px)) / np.where(scale > 0, scale, 1)), -128, 127), 0).astype(np.int32)[of]
 
     cross = x.copy()
-    cross[:, 0] -= slope(1, 0) * signed[:, 1] >> 5
-    cross[:, 2] -= (slope(1, 2) * signed[:, 1] >> 5) + (slope(0, 2) * signed[:, 0] >> 5)
+    cross[:, 0] -= (slope(1, 0) * signed[:, 1] >> 5).astype(np.uint8)
+    cross[:, 2] -= ((slope(1, 2) * signed[:, 1] >> 5) + (slope(0, 2) * signed[:, 0] >> 5)).astype(np.uint8)
     green = x.copy()
     green[:, 0] -= x[:, 1]
     green[:, 2] -= x[:, 1]
-    left, above = x.copy(), x.copy()
-    width = W.ROW_PIXELS
-    row = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-    first_row, first_column = row < width, row % width == 0
-    to_left, to_above = x.copy(), x.copy()
-    to_left[1:], to_above[width:] = x[:-1], x[:-width]
-    start = row == 0
-    base_left = np.where(first_column[:, None], to_above, to_left)
-    base_above = np.where(first_row[:, None], to_left, to_above)
-    base_left[start] = base_above[start] = 0
-    left -= base_left
-    above -= base_above
+    left, above = x8.copy(), x8.copy()
+    left[:, 1:] -= x8[:, :-1]
+    left[1:, 0] -= x8[:-1, 0]
+    above[1:] -= x8[:-1]
+    left[first, 0] = x8[first, 0]
+    above[first, 0] = x8[first, 0]
+    above[first, 1:] = x8[first, 1:] - x8[first, :-1]
+    base = (of[:, None] * 3 + np.arange(3, dtype=np.int32)) << 8
     bits = np.empty((5, len(px)))
-    for k, v in enumerate((x, cross, green, left, above)):
-        at = (of[:, None] * 3 + np.arange(3)) << 8 | (v & 255)
-        bits[k] = _sizes(np.bincount(at.reshape(-1), minlength=len(px) * 768).reshape(-1, 256)).reshape(-1, 3).sum(1)
+    for k, v in enumerate((x, cross, green, left.reshape(-1, 3), above.reshape(-1, 3))):
+        bits[k] = _sizes(np.bincount((base | v).reshape(-1), minlength=len(px) * 768).reshape(-1, 256)).reshape(-1, 3).sum(1)
     bits[1:] += 60
     good = bits.argmin(0) == 0
-    value = of << 24 | x[:, 0] << 16 | x[:, 1] << 8 | x[:, 2]
-    order = np.argsort(value, kind="stable")
-    v = value[order]
-    new = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-    times, doc = np.diff(np.append(new, len(v))), v[new] >> 24
+    value = of.astype(np.int64) << 24 | x[:, 0].astype(np.int64) << 16 | x[:, 1].astype(np.int64) << 8 | x[:, 2]
+    value.sort()
+    new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    times, doc = np.diff(np.append(new, len(value))), value[new] >> 24
     colours = np.bincount(doc, minlength=len(px))
     palette = np.where(colours > 1, _n_log(n) - np.bincount(doc, _n_log(times), len(px)) + 5.0 * colours, 0.0) + 16 * colours
     return good & ~((colours <= 256) & (palette < bits[0]))
@@ -264,16 +261,18 @@ def encode_plain(px: list[np.ndarray]) -> list[bytes]:
     cached = sum(map(_sizes, rows(with_))) < sum(map(_sizes, rows(without)))
     hit &= cached[of[literal]]
     counts = np.where(cached[:, None], with_, without)
-    lengths = np.concatenate([code_lengths(c, W.MOST_BITS) for c in rows(counts)], 1)
+    padded = np.zeros((docs, 5, WIDE), np.int64)
+    for k, c in enumerate(rows(counts)):
+        padded[:, k, : c.shape[1]] = c
+    padded = padded.reshape(-1, WIDE)
+    found = code_lengths(padded, W.MOST_BITS).reshape(docs, 5, WIDE)
+    lengths = np.concatenate([found[:, k, :n] for k, n in enumerate(ALPHABETS.tolist())], 1)
     codes = np.concatenate([canonical(c, W.MOST_BITS) for c in rows(lengths)], 1)
     # rows of all pictures: green is shorter where there is no cache
     wide = np.tile(ALPHABETS, (docs, 1))
     wide[~cached, 0] = 280
-    padded = np.zeros((docs, 5, WIDE), np.int64)
-    for k, c in enumerate(rows(counts)):
-        padded[:, k, : c.shape[1]] = c
     flat = _spans((np.arange(docs)[:, None] * ROW_AT[-1] + ROW_AT[:-1]).reshape(-1), wide.reshape(-1))
-    items, h_value, h_bits = code_items(padded.reshape(-1, WIDE), lengths.reshape(-1)[flat], np.repeat(np.arange(5 * docs), wide.reshape(-1)))
+    items, h_value, h_bits = code_items(padded, lengths.reshape(-1)[flat], np.repeat(np.arange(5 * docs), wide.reshape(-1)))
     items = items.reshape(docs, 5).sum(1)
 
     def look(doc: np.ndarray, row: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,61 +336,71 @@ def encode_many(px: list[np.ndarray]) -> list[bytes]:
     return [next(done) if ok else W.encode(p) for p, ok in zip(px, plain.tolist())]
 
 
+def _tables(codes: list[W.Code], most: int) -> np.ndarray:
+    """The tables of codes one after another, each for the next ``most`` bits."""
+    out = np.empty((len(codes), 1 << most), np.int32)
+    many = [k for k, c in enumerate(codes) if c.single is None]
+    if many:
+        out[many] = W.code_tables([codes[k].lengths for k in many], most)
+    for k, c in enumerate(codes):
+        if c.single is not None:
+            out[k] = c.single << 8
+    return out.reshape(-1)
+
+
 def read_together(jobs: list[tuple]) -> list[np.ndarray]:
     """``webp._read_group`` of several (bits, codes, total, width, cache bits), whose streams are short."""
     streams = [b.data[b.at >> 3 :] + bytes(16) for b, *_ in jobs]
     n = 8 * np.array([len(s) for s in streams])
     of = np.repeat(np.arange(len(jobs), dtype=np.int32), n)
     joined = b"".join(streams)
-    win = W._windows(joined, 0, len(joined) * 8)
+    win = W._windows(joined, 0, len(joined) * 8).view(np.int32)
     first = np.cumsum(n) - n
     place = np.arange(len(win), dtype=np.int32)
-    win = np.concatenate((win, np.zeros(128, np.uint32)))
+    win = np.concatenate((win, np.zeros(128, np.int32)))
     # the tables of all pictures one after another, each as often as it fits in the same power of two
-    most = [max(1, *(codes[k].most for _, codes, *_ in jobs)) for k in range(5)]
-    tables = [np.concatenate([np.tile(codes[k].table, 1 << (most[k] - codes[k].most)) for _, codes, *_ in jobs]) for k in range(5)]
+    most = max(1, *(c.most for _, codes, *_ in jobs for c in codes))
+    tables = [_tables([codes[k] for _, codes, *_ in jobs], most) for k in range(5)]
+    mask, base = np.int32((1 << most) - 1), of << np.int32(most)
 
-    def at_all(k: int, at: np.ndarray | slice, of: np.ndarray) -> np.ndarray:
-        return tables[k][(win[at] & ((1 << most[k]) - 1)).astype(np.int32) | of << most[k]]
+    def at_all(k: int, at: np.ndarray | slice, base: np.ndarray) -> np.ndarray:
+        return tables[k][win[at] & mask | base]
 
-    green = at_all(0, slice(0, len(place)), of)
+    green = at_all(0, slice(0, len(place)), base)
     end = place + (green & 255)
     goes = end.copy()
     for k in (1, 2, 3):
         if any(codes[k].single is None for _, codes, *_ in jobs):
-            goes += at_all(k, goes, of) & 255
+            goes += at_all(k, goes, base) & 255
     other = np.flatnonzero(green >= 256 << 8)
     goes[other] = end[other]
     copy = other[green[other] < 280 << 8]
-    count = np.ones(len(place), np.int32)
     if len(copy):
-        k = (green[copy] >> 8) - 256
-        more = W.EXTRA_BITS[k]
-        count[copy] = W.EXTRA_BASE[k] + (win[end[copy]] & ((1 << more) - 1))
-        d = at_all(4, end[copy] + more, of[copy])
+        more = W.EXTRA_BITS[(green[copy] >> 8) - 256]
+        d = at_all(4, end[copy] + more, base[copy])
         goes[copy] = end[copy] + more + (d & 255) + W.EXTRA_BITS[np.minimum(d >> 8, 39)]
-    step, pixels = memoryview(goes), memoryview(count)
+    step = memoryview(goes)
     chain, sizes = [], []
+    keep = chain.append
     for k, (bits, _, total, _, _) in enumerate(jobs):
-        p, stop, left = int(first[k]) + (bits.at & 7), int(first[k] + n[k]) - 128, total
-        before = len(chain)
-        while left > 0 and p <= stop:
-            chain.append(p)
-            left -= pixels[p]
-            p = step[p]
-        if left:
-            raise ValueError("the picture ends early" if left > 0 else "a back-reference leaves the picture")
-        if p > stop:
-            raise ValueError("the picture ends early")
+        # all places that could hold a symbol; what the last byte holds besides is cut off below
+        p, stop, before = int(first[k]) + (bits.at & 7), int(first[k] + n[k]) - 128, len(chain)
+        if jobs[k][1][0].single is not None and goes[p] == p:  # no symbol has any bits
+            chain += [p] * total
+        else:
+            while p < stop:
+                keep(p)
+                p = step[p]
         sizes.append(len(chain) - before)
     token = np.array(chain)
     doc = np.repeat(np.arange(len(jobs)), sizes)
     g, q = (green[token] >> 8).astype(np.int64), end[token]
     channels = []
     for k in (1, 2, 3):
-        e = at_all(k, q, doc)
+        e = at_all(k, q, base[token])
         channels.append((e >> 8).astype(np.int64))
         q = q + (e & 255)
+    final = np.where(g < 256, q, end[token])
     colour = channels[2] << 24 | channels[0] << 16 | (g & 255) << 8 | channels[1]
     c = np.flatnonzero((g >= 256) & (g < 280))
     run, back = np.ones(len(g), np.int64), np.zeros(len(g), np.int64)
@@ -399,15 +408,24 @@ def read_together(jobs: list[tuple]) -> list[np.ndarray]:
         k, q = g[c] - 256, end[token[c]]
         more = W.EXTRA_BITS[k]
         run[c] = W.EXTRA_BASE[k] + (win[q] & ((1 << more) - 1))
-        d = at_all(4, q + more, doc[c])
+        d = at_all(4, q + more, base[token[c]])
         q = q + more + (d & 255)
         far = W.EXTRA_BASE[d >> 8] + (win[q] & ((1 << W.EXTRA_BITS[d >> 8]) - 1))
         wide = np.array([w for *_, w, _ in jobs])
         short = np.stack([W._distances(w) for w in wide.tolist()])[doc[c], np.minimum(far, 120)]
         back[c] = np.where(far > 120, far - 120, short)
+        final[c] = q + W.EXTRA_BITS[d >> 8]
     totals = np.array([t for _, _, t, _, _ in jobs])
-    begin = np.cumsum(run) - run
-    if (back > begin - (np.cumsum(totals) - totals)[doc]).any():
+    ends = np.cumsum(run)
+    head = np.concatenate(([0], ends))[np.cumsum(sizes) - sizes]
+    begin = ends - run - head[doc]  # in its own picture
+    used = begin < totals[doc]
+    g, colour, run, back, begin, doc, final = (x[used] for x in (g, colour, run, back, begin, doc, final))
+    whole = np.bincount(doc, run, len(jobs)).astype(np.int64)
+    late = np.flatnonzero(final > (first + n - 128)[doc])
+    if len(late) or (whole < totals).any():
+        raise ValueError("the picture ends early")
+    if (whole > totals).any() or (back > begin).any():
         raise ValueError("a back-reference leaves the picture")
     value = np.repeat(colour, run)
     to = np.arange(len(value)) - np.repeat(back, run)
