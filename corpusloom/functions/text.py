@@ -216,3 +216,22 @@ def clean_work_name(c: Column) -> Column:
     c = F.trim(F.regexp_replace(c, r"\(.*?\)", ""))
     c = F.trim(F.regexp_replace(c, r"\s*/\s*.*", ""))
     return F.trim(F.regexp_replace(c, r",?\s*c\.\s*[0-9]{4}.*", ""))
+
+
+def linked(html: str, names: list[str], link=lambda name: f'<a href="#{name.lower().replace(" ", "-")}">{name}</a>') -> str:
+    """The first place of each name, whole words in any case, as a link; longer names first, never inside a tag or a link."""
+    # the text is held in pieces; only plain ones are looked through
+    pieces = [(bool(k % 2), p) for k, p in enumerate(re.split(r"(<[^>]*>)", html))]
+    for name in sorted(set(filter(None, names)), key=lambda n: (-len(n), n)):
+        whole = re.compile(r"(?<![\w/])" + re.escape(name) + r"(?!\w)", re.I)
+        for k, (fixed, piece) in enumerate(pieces):
+            hit = None if fixed else whole.search(piece)
+            if hit:
+                pieces[k : k + 1] = [(False, piece[: hit.start()]), (True, link(name)), (False, piece[hit.end() :])]
+                break
+    return "".join(p for _, p in pieces)
+
+
+@F.pandas_udf(StringType())
+def linked_udf(html: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None else linked(h, list(n) if n is not None else []) for h, n in zip(html, names)], dtype=object)

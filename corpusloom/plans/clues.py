@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions.numeric import half_float
+from corpusloom.operators.match import first_by_precedence
 from corpusloom.plans.registry import query
+from corpusloom.sources.dsl import entry_blocks, plan
 from corpusloom.sources.tables import numbered, table
 
 
@@ -84,3 +86,52 @@ def clue_report(spark: SparkSession, d: str) -> DataFrame:
     placed = numbered(blocks, ["conv_id"], "place", F.floor(F.col("conv_id") / 4096)).withColumn("number", (F.col("place") + 1).cast("long"))
     head = F.concat(F.lit("[T"), F.col("number").cast("string"), F.lit("] "), F.size("lines").cast("string"), F.lit(" lines"))
     return placed.select("conv_id", "number", F.concat_ws("\n", head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("report"))
+
+
+OUTLINE = """SELECT p_brand AS unit, p_partkey * 8 + k - 1 AS pos, line FROM (SELECT p_brand, p_partkey, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM (
+ SELECT p_brand, p_partkey, [CASE WHEN p_size % 7 = 0 THEN '##' ELSE '# ' || p_type END, '> first', CASE WHEN p_size % 3 = 0 THEN '' ELSE '>> of ' || p_name END, CASE WHEN p_size % 5 = 0 THEN '- ' ELSE '' END || p_name, ' - nested of ' || p_size, p_type] AS lines FROM part))"""
+SECTIONS = f"""o AS ({OUTLINE}), k AS (SELECT *, trim(line) AS l, CASE WHEN trim(line) LIKE '#%' THEN 'heading' WHEN trim(line) LIKE '>%' THEN 'blurb' ELSE 'entry' END AS kind FROM o),
+ n AS (SELECT *, count(*) FILTER (WHERE kind = 'heading') OVER (PARTITION BY unit ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM k)"""
+
+
+def outline(spark: SparkSession, d: str) -> DataFrame:
+    """An outline made of parts: a heading, blurbs, an entry, a nested line and another entry for each."""
+    lines = F.array(
+        F.when(F.col("p_size") % 7 == 0, "##").otherwise(F.concat(F.lit("# "), "p_type")), F.lit("> first"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit(">> of "), "p_name")),
+        F.concat(F.when(F.col("p_size") % 5 == 0, "- ").otherwise(""), "p_name"), F.concat(F.lit(" - nested of "), F.col("p_size").cast("string")), F.col("p_type"),
+    )
+    return table(spark, d, "part").select(F.col("p_brand").alias("unit"), "p_partkey", F.posexplode(lines).alias("k", "line")).select("unit", (F.col("p_partkey") * 8 + F.col("k")).alias("pos"), "line")
+
+
+@query(f"WITH {SECTIONS} SELECT unit, section, max(trim(regexp_replace(l, '^#+', ''))) FILTER (WHERE kind = 'heading') AS name, coalesce(trim(regexp_replace(arg_max(l, pos) FILTER (WHERE kind = 'blurb'), '^>+', '')), '') AS blurb FROM n WHERE section > 0 GROUP BY ALL HAVING name <> ''", rows="A28")
+def plan_sections(spark: SparkSession, d: str) -> DataFrame:
+    return plan(outline(spark, d), key="unit", pos="pos", text="line")
+
+
+@query(f"""
+WITH {SECTIONS}, e AS (SELECT *, row_number() OVER w = 1 OR NOT starts_with(l, '- ') AS opens FROM n WHERE section > 0 AND kind = 'entry' AND l <> '' WINDOW w AS (PARTITION BY unit, section ORDER BY pos)),
+ b AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY unit, section ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM e)
+SELECT unit, section, block, min(pos) AS pos, CAST(count(*) AS INTEGER) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS block_text FROM b GROUP BY ALL
+""", rows="A28")
+def section_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return entry_blocks(outline(spark, d), key="unit", pos="pos", text="line")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_retailprice > 1500 AND p_size > 25 THEN 'slug ' || p_partkey WHEN p_type <> 'SMALL' THEN 'subcategory ' || p_type WHEN p_brand <> 'Brand#2' THEN 'category ' || p_brand END AS config FROM part
+""", rows="K3")
+def category_config(spark: SparkSession, d: str) -> DataFrame:
+    """The configuration of a unit: its own, else its subcategory's, else its category's, else none."""
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_retailprice", "p_size")
+    own = part.where("p_retailprice > 1500 and p_size > 25").select("p_partkey", F.concat(F.lit("slug "), F.col("p_partkey").cast("string")).alias("target"))
+    layer = lambda c, but, name: part.select(c).distinct().where(F.col(c) != but).select(c, F.concat(F.lit(f"{name} "), c).alias("target"))
+    found = first_by_precedence(part, [(own, ["p_partkey"]), (layer("p_type", "SMALL", "subcategory"), ["p_type"]), (layer("p_brand", "Brand#2", "category"), ["p_brand"])])
+    return found.select("p_partkey", F.col("target").alias("config"))
+
+
+@query(None, rows="H15")
+def linked_text(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts linked in a made-up text: (p_partkey, html)."""
+    names = F.array(F.col("p_name"), F.col("p_type"), F.concat_ws(" ", "p_name", "p_type"))
+    text = F.concat_ws(" ", F.lit("A <i title='red'>"), "p_name", F.lit("</i> and"), "p_name", "p_type", F.lit("or"), "p_type")
+    return table(spark, d, "part").select("p_partkey", X.linked_udf(text, names).alias("html"))

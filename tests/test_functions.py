@@ -250,3 +250,10 @@ def test_years_and_work_names(spark):
     text_ = "In 1848 and 1848, 2029 or 2030; 44 BC, 300 B.C. and 12 bce. A999 17763"
     row = spark.createDataFrame([(text_, "The Boat (1875) / Le Bateau, c. 1870"), (None, "Crow, c. 1650s version")], "t string, w string").select(text.years(F.col("t")).alias("y"), text.clean_work_name(F.col("w")).alias("w")).collect()
     assert row[0]["y"] == [1848, 2029, -44, -300, -12] and row[0]["w"] == "The Boat" and row[1]["y"] is None and row[1]["w"] == "Crow"
+
+
+def test_links_stand_outside_tags_and_longest_first():
+    html = "The <b title='Ode'>ode</b> to joy, Ode to Joy and ode, or /Ode."
+    got = text.linked(html, ["Ode", "Ode to Joy", "joy", ""])
+    assert got == "The <b title='Ode'><a href=\"#ode\">Ode</a></b> to <a href=\"#joy\">joy</a>, <a href=\"#ode-to-joy\">Ode to Joy</a> and ode, or /Ode."
+    assert text.linked("plain", []) == "plain"
