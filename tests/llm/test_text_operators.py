@@ -307,3 +307,60 @@ def test_packing_odd_rows(spark):
     assert sorted((str(r["doc_id"]), r["length"]) for r in got if r["doc_id"] == 7) == [("7", 1), ("7", 1)]
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) and {r["doc_id"] for r in got} == {None, 7}
     assert packing.pack(df.limit(0), BPE).count() == 0
+
+
+M64 = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ (x >> 31)) * 0x9E3779B97F4A7C15 & M64
+    return x ^ (x >> 29)
+
+
+def test_language_scores_against_a_loop():
+    """One text at a time, one letter at a time, in whole numbers."""
+    rng = np.random.default_rng(3)
+    model = langid.Model(["aa", "bb", "cc"], rng.normal(size=(langid.BUCKETS, 3)), rng.normal(size=3), 0.7, 0.4)
+    texts = ["The quick Fox!", "ÜBER straße, 日本 x", "a", "12 .", "", None, "ab" * 400, "a b c"]
+    p, seen = model.scores(pa.array(texts))
+    for k, text in enumerate(texts):
+        low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text or ""]
+        letter = [bool(c) and chr(c).isalpha() for c in low]
+        at = lambda i: low[i] if 0 <= i < len(low) and letter[i] else 0  # noqa: B023, E731
+        total, n = np.zeros(3), 0
+        for i in range(len(low)):
+            if letter[i]:
+                three = at(i - 1) << 42 | at(i) << 21 | at(i + 1)
+                five = (mix(three) + at(i - 2) * 0xD6E8FEB86659FD93 + at(i + 2) * 0xA0761D6478BD642F) & M64
+                for h in (three, five):
+                    total += model.table[(mix(h) * 0x9E3779B97F4A7C15 & M64) >> (64 - langid.BUCKETS.bit_length() + 1)]
+                    n += 1
+        z = (total / max(n, 1) + model.bias) / model.temperature
+        e = np.exp(z - z.max())
+        assert seen[k] == n and np.allclose(p[k], e / e.sum())
+    label, score, ok = langid.judged(model, pa.array(texts))
+    assert [x == "und" for x in label] == [t in (None, "", "12 .") for t in texts] and all(s == 0 and not o for s, o, x in zip(score, ok, label) if x == "und")
+
+
+def test_toxicity_scores_against_a_loop():
+    """Each word and its beginnings, once and again, looked up one by one."""
+
+    def key(word, kind):
+        total = sum(ord(c) * pow(int(toxicity.BASE), i, 1 << 64) for i, c in enumerate(word)) & M64
+        return mix(total + kind & M64)
+
+    rng = np.random.default_rng(4)
+    words = "you worthless scumbag friend friendly worth calm sea".split()
+    keys = {key(w, 1) for w in words} | {key(w[:n], 2 + n) for w in words for n in toxicity.PREFIXES if len(w) > n}
+    keys |= {k ^ int(toxicity.TWICE) for k in list(keys)[::2]}
+    order = sorted(keys)
+    weight = dict(zip(order, rng.normal(size=len(order))))
+    model = toxicity.model_of(np.array(order, np.uint64), np.array([weight[k] for k in order]), -0.3)
+    texts = ["You worthless friend", "calm, calm sea; SEA friends friendly", "none here", "", None, "worthless " * 500]
+    for text, score in zip(texts, model.scores(pa.array(texts))):
+        found = {}
+        for w in "".join(c.lower() if c.isalpha() else " " for c in text or "").split():
+            for k in [key(w, 1), *(key(w[:n], 2 + n) for n in toxicity.PREFIXES if len(w) > n)]:
+                found[k] = found.get(k, 0) + 1
+        z = -0.3 + sum(weight.get(k, 0.0) + (weight.get(k ^ int(toxicity.TWICE), 0.0) if n > 1 else 0.0) for k, n in found.items())
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9, text
