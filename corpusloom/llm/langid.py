@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_batches, slices
+from .common import keep_rows, map_batches, shuffle_partitions, slices
 from .textarrays import bucket_of, code_points, letters, mixed, stratified
 
 BUCKETS = 1 << 15
@@ -146,6 +146,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     quota = {k: min(per_language, max(20, int(most_counts / len(widths) / (n or 1)))) for k, n in widths.items()}
     # rows that are alike in all three fall on the same side, so they count once
     picked = stratified(rows, "lang", ("doc_id", "text"), quota).dropDuplicates(["doc_id", "text", "lang"])
+    picked = picked.repartition(shuffle_partitions(docs.sparkSession))  # small as it is, the sample is work for all tasks
     got = map_batches(picked, make, "doc_id long, bucket array<short>, share array<float>, lang string").toArrow().combine_chunks().sort_by("doc_id")
     bucket, share = (got.column(c).combine_chunks() for c in ("bucket", "share"))
     ends = np.asarray(bucket.offsets)

@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_rows, map_batches, slices
+from .common import cut, keep_rows, map_batches, shuffle_partitions, slices
 from .textarrays import bucket_of, code_points, letters, mixed, stratified
 
 #: Names of groups, in sets whose members are swapped for each other.
@@ -102,11 +103,17 @@ def distinct_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key[order], of[order]
 
 
+@lru_cache(256)
+def term_pattern(group: tuple[str, ...]) -> re.Pattern:
+    """Any name of a set, as a whole word in any case."""
+    return re.compile(r"(?<![^\W\d_])(" + "|".join(sorted(map(re.escape, group), key=len, reverse=True)) + r")(?![^\W\d_])", re.IGNORECASE)
+
+
 def counterfactuals(text: str, groups=IDENTITY_TERMS) -> list[str]:
     """The text with each group's names swapped, one copy for each step around its set."""
     out = []
     for group in groups:
-        pattern = re.compile(r"(?<![^\W\d_])(" + "|".join(sorted(map(re.escape, group), key=len, reverse=True)) + r")(?![^\W\d_])", re.IGNORECASE)
+        pattern = term_pattern(group)
         if pattern.search(text):
             places = {t: i for i, t in enumerate(group)}
             out += [pattern.sub(lambda m, k=k: group[(places[m[0].lower()] + k) % len(group)], text) for k in range(1, len(group))]
@@ -217,7 +224,9 @@ def train(
     # an id may have many rows; equal texts are one, whose label is the mean of theirs
     order = F.xxhash64(F.lit(21), "text", "__id")
     chosen = [rows.where(F.col("__class") == c).orderBy(order, "__id", "text").limit(2 * per_class) for c in (0, 1)]
-    sample = cut(chosen[0].unionByName(chosen[1]).groupBy("text").agg(F.avg("__share").alias("__y")))
+    sample = chosen[0].unionByName(chosen[1]).groupBy("text").agg(F.avg("__share").alias("__y"))
+    # small as it is, the sample is work for all tasks
+    sample = cut(sample.repartition(shuffle_partitions(docs.sparkSession)))
 
     def sample_features():
         def step(batch: pa.RecordBatch):
@@ -262,8 +271,9 @@ def train(
                 swaps = []
                 for text in part.column("text").to_pylist():
                     pairs = []
-                    for sentence in re.split(r"(?<=[.!?])\s+|\n", text or ""):
-                        for copy in counterfactuals(sentence, groups):
+                    named = [g for g in groups if term_pattern(g).search(text or "")]
+                    for sentence in re.split(r"(?<=[.!?])\s+|\n", text or "") if named else []:
+                        for copy in counterfactuals(sentence, named):
                             c, o = found(pa.array([sentence, copy]))
                             pairs.append([c[o == 0].tolist(), c[o == 1].tolist()])
                     swaps.append(pairs)
