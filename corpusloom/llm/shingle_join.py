@@ -126,6 +126,11 @@ def text_facts(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, make, "doc_id long, key long, n int, fp long, bits array<long>, prefix array<long>, parts array<long>")
 
 
+def sent(ids: DataFrame) -> DataFrame:
+    """A frame of few columns and one row an id, sent to all tasks if its counted rows allow it."""
+    return F.broadcast(ids) if ids.count() < MOST_SENT else ids
+
+
 class Verifier:
     """Checks candidate pairs of keys, first by their parity bits, then by all their shingles."""
 
@@ -133,8 +138,7 @@ class Verifier:
         self.docs, self.distinct, self.words = docs, distinct, words
 
     def wanted(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-        return rows.join(F.broadcast(keys) if keys.count() < MOST_SENT else keys, "key", "left_semi")
+        return rows.join(sent(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())), "key", "left_semi")
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(key, n, held): the whole sets of the texts of ``pairs``, made from the texts once more."""
@@ -148,11 +152,10 @@ class Verifier:
 
             return step
 
-        few = F.broadcast(ids) if ids.count() < MOST_SENT else ids
-        texts = self.docs.join(few, "doc_id").select("key", "n", "text")
+        texts = self.docs.join(sent(ids), "doc_id").select("key", "n", "text")
         rows = map_batches(texts, make, "key long, n int, held array<long>")
-        # a repeated doc_id may bring another text
-        return written(rows.where(F.size("held") == F.col("n")).groupBy("key", "n").agg(F.first("held").alias("held")), "sets")
+        # a repeated doc_id may bring other texts; both sides of a join read this one exchange
+        return rows.where(F.size("held") == F.col("n")).groupBy("key").agg(F.first("n").alias("n"), F.first("held").alias("held"))
 
     def both(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
         for k in "ab":
@@ -232,10 +235,12 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame
 def near_duplicates(docs: DataFrame, *, words_per_shingle: int = WORDS) -> DataFrame:
     """(doc_id, component_id) of each row with a doc_id: the smallest doc_id that links reach, itself included."""
     docs = documents_of(docs).where("doc_id is not null")
-    facts = written(text_facts(docs, words_per_shingle), "facts")
-    classes = cut(facts.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")))
-    own = classes.select("key", F.col("rep").alias("doc_id"))
-    distinct = written(facts.where("n > 0").join(own, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]), "distinct")
+    facts = written(text_facts(docs, words_per_shingle).withColumn("row", F.monotonically_increasing_id()), "facts")
+    classes = cut(facts.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.min_by("row", "doc_id").alias("row")))
+    distinct = facts.where("n > 0").join(sent(classes.select("row")), "row", "left_semi")
+    if classes.count() >= MOST_SENT:  # then the join is a shuffle, which is done once
+        distinct = written(distinct, "distinct")
+    classes = classes.drop("row")
     member = cut(components(similar_links(docs, distinct, words_per_shingle)).withColumnRenamed("node", "key"))
     least = member.join(classes, "key").groupBy("root").agg(F.min("rep").alias("least"))
     placed = classes.join(member.join(least, "root").select("key", "least"), "key", "left")
