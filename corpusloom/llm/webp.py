@@ -42,6 +42,10 @@ MOST_ROWS = 1 << 12
 #: Longest code that the encoder gives a symbol, and the colour caches, in bits, that it tries.
 MOST_BITS = 11
 CACHES = (8,)
+#: Colours of a palette that the encoder makes, so that it packs pixels; with more, copies and the cache do better.
+MOST_COLOURS = 16
+#: About the bits of a colour in a palette.
+COLOUR_BITS = 32
 #: Bits of a stream that are looked up at once.
 PIECE_BITS = 1 << 19
 SIGNATURE = 0x2F
@@ -908,7 +912,7 @@ def encode(pixels: np.ndarray) -> bytes:
     kind, given, px = variants[int(bits.argmin())]
     v, wide = _argb(px), width
     table, index = np.unique(v, return_inverse=True) if kind < 0 else (v, None)
-    palette = len(table) <= 256 and kind < 0 and _sizes(np.bincount(index)[None])[0] + 16 * len(table) < bits.min()
+    palette = len(table) <= MOST_COLOURS and kind < 0 and _sizes(np.bincount(index)[None])[0] + COLOUR_BITS * len(table) < bits.min()
     if palette:
         w.put(1 | 3 << 1 | len(table) - 1 << 3, 11)
         steps = np.diff(table.astype("<u4").view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))

@@ -85,8 +85,8 @@ def plain_ones(px: list[np.ndarray]) -> np.ndarray:
     new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
     times, doc = np.diff(np.append(new, len(value))), value[new] >> 24
     colours = np.bincount(doc, minlength=len(px))
-    palette = np.where(colours > 1, _n_log(n) - np.bincount(doc, _n_log(times), len(px)) + 5.0 * colours, 0.0) + 16 * colours
-    return good & ~((colours <= 256) & (palette < bits[0]))
+    palette = np.where(colours > 1, _n_log(n) - np.bincount(doc, _n_log(times), len(px)) + 5.0 * colours, 0.0) + W.COLOUR_BITS * colours
+    return good & ~((colours <= W.MOST_COLOURS) & (palette < bits[0]))
 
 
 def copies(v: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
