@@ -366,10 +366,14 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes slices of texts with a bounded cache of finished words."""
+    """Encodes slices of texts with a bounded cache of finished words.
 
-    def __init__(self, path: str):
+    With ``special=False`` the strings of special tokens in a text are ordinary text.
+    """
+
+    def __init__(self, path: str, special: bool = True):
         self.vocab = vocabulary(path)
+        self.special = self.vocab.special if special else {}
         self.classes = char_classes()
         self._clear()
 
@@ -395,7 +399,7 @@ class Encoder:
         special: dict[int, tuple[int, int]] = {}
         raw = data.tobytes()
         hits: list[tuple[int, int, int]] = []
-        for text, i in self.vocab.special.items():
+        for text, i in self.special.items():
             at = raw.find(text)
             while at >= 0:
                 hits.append((at, -len(text), i))
