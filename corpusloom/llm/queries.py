@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, htmltext, langid, multi_index, packing, pieces, simhash, suffix_dedup, toxicity, webp
+from . import alignment, bpe, chat, htmltext, langid, multi_index, packing, pieces, simhash, suffix_dedup, toxicity, webp
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,8 +59,12 @@ def op11_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame
     return pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array_dedup, op2_lossless_webp, op3_html_main_text, op4_bpe_round_trip, op5_language_id, op6_power_of_two_packing, op7_toxicity, op8_simhash_near_dedup, op9_inverted_multi_index, op10_chat_rotation, op11_sentencepiece_round_trip)
+    found = (op1_suffix_array_dedup, op2_lossless_webp, op3_html_main_text, op4_bpe_round_trip, op5_language_id, op6_power_of_two_packing, op7_toxicity, op8_simhash_near_dedup, op9_inverted_multi_index, op10_chat_rotation, op11_sentencepiece_round_trip, op12_tokenizer_alignment)
     return {f.__name__: f for f in found}
 
 
