@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, htmltext, langid, multi_index, packing, pieces, simhash, suffix_dedup, toxicity, webp
+from . import alignment, bpe, chat, htmltext, langid, lexical, multi_index, packing, pieces, simhash, suffix_dedup, toxicity, webp
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,10 +63,14 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
 
 
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array_dedup, op2_lossless_webp, op3_html_main_text, op4_bpe_round_trip, op5_language_id, op6_power_of_two_packing, op7_toxicity, op8_simhash_near_dedup, op9_inverted_multi_index, op10_chat_rotation, op11_sentencepiece_round_trip, op12_tokenizer_alignment)
+    found = (op1_suffix_array_dedup, op2_lossless_webp, op3_html_main_text, op4_bpe_round_trip, op5_language_id, op6_power_of_two_packing, op7_toxicity, op8_simhash_near_dedup, op9_inverted_multi_index, op10_chat_rotation, op11_sentencepiece_round_trip, op12_tokenizer_alignment, op13_ranked_lexical_search)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_rotation": chat.ROTATE_SQL}
+    return {"op10_chat_rotation": chat.ROTATE_SQL, "op13_ranked_lexical_search": lexical.SEARCH_SQL}
