@@ -4,8 +4,10 @@ Both halves of a vector are quantised by a codebook of their own, so ``words`` w
 a half give ``words * words`` cells; what is left of a vector is kept as a byte for
 each of ``PARTS`` parts of it.  A query walks centroid pairs in the order of their
 summed squared distances, from a heap, until the cells hold a share of all entries.
-Entries of these cells are ranked by their codes, and the ``shortlist`` best, about
-the fourth root of the table in number, are reranked by the exact distance.
+Entries of these cells, and no others, are ranked by their codes with tables of one number
+for each code, and the ``shortlist`` best, about the fourth root of the table in number, are
+reranked by the exact distance.  Sums run in the same order in every task, so equal vectors
+have equal ranks wherever they lie, and the smaller ids come first.
 
 The codebooks are fitted on a bounded sample (``SAMPLE`` rows, chosen by a hash); the
 share to walk is the one at which sampled queries meet ``target`` of their nearest
@@ -30,12 +32,15 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, shuffle_partitions, written
 
-WORDS = 128
+#: Words a half for tables of up to so many rows, and beyond.
+WORDS = ((2_000_000, 128), (30_000_000, 256))
+MOST_WORDS = 512
 PARTS = 16
 SAMPLE = 20_000
 ROUNDS = 8
@@ -71,8 +76,13 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of all rows; each is summed in one order, whatever stands beside it, unlike by a matrix product."""
+    return np.einsum("id,jd->ij", np.ascontiguousarray(x), np.ascontiguousarray(y))
+
+
 def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
+    return np.maximum((x * x).sum(1)[:, None] - 2 * products(x, centres) + (centres * centres).sum(1), 0)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -123,8 +133,18 @@ class Codebooks:
         rest = x - self.coarse(cell)
         return np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books)], 1).astype(np.uint8)
 
-    def rebuilt(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        return self.coarse(cell) + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
+    def rests(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What an entry's codes add to a distance, whatever the query: 2 coarse * rest + rest * rest."""
+        rest = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
+        return (rest * (2 * self.coarse(cell) + rest)).sum(1)
+
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each part 2 query * rest by query and code."""
+        return [2 * products(x[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books)]
+
+    def to_words(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of both halves to their words."""
+        return squared(x[:, : self.half], self.c1), squared(x[:, self.half :], self.c2)
 
     def calibrated(self, x: np.ndarray, k_nearest: int, target: float) -> float:
         """The share of entries, in walking order, that holds ``target`` of the nearest of sampled queries."""
@@ -137,10 +157,11 @@ class Codebooks:
         for at in range(0, len(asks), 32):
             q = asks[at : at + 32]
             own = np.arange(len(q))
-            far = squared(x[q], x)
+            far = (x[q] * x[q]).sum(1)[:, None] - 2 * x[q] @ x.T + (x * x).sum(1)
             far[own, q] = np.inf
             top = np.argpartition(far, k - 1, axis=1)[:, :k]
-            walk_ = squared(x[q][:, : self.half], self.c1)[:, cell // len(self.c2)] + squared(x[q][:, self.half :], self.c2)[:, cell % len(self.c2)]
+            d1, d2 = self.to_words(x[q])
+            walk_ = d1[:, cell // len(self.c2)] + d2[:, cell % len(self.c2)]
             for i in own:
                 place.append(np.searchsorted(np.sort(walk_[i]), walk_[i][top[i]], side="right") / len(x))
         return float(np.quantile(np.concatenate(place), target))
@@ -190,6 +211,10 @@ def shortlist_size(rows: int, k_nearest: int) -> int:
     return max(8 * k_nearest, int(np.ceil(1.2 * k_nearest * rows**0.25)))
 
 
+def words_for(rows: int) -> int:
+    return next((words for most, words in WORDS if rows <= most), MOST_WORDS)
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -197,15 +222,17 @@ def search(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     k_nearest: int = 10,
-    words: int = WORDS,
+    words: int | None = None,
     sample: int = SAMPLE,
     target: float = TARGET,
     shortlist: int | None = None,
     seed: int = 13,
+    touched: Accumulator | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found to each row of ``vectors`` that ``is_query`` marks.
 
     ``shortlist`` entries a query are reranked; by default ``shortlist_size`` of the number of rows.
+    ``touched`` counts the entries whose codes are compared.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("is_query")).where(
@@ -217,20 +244,21 @@ def search(
         return spark.createDataFrame([], out_schema)
     rows = rows.where(F.size("v") == usual["d"])
     taken = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).toArrow()
-    book = Codebooks(matrix(taken.column("v").combine_chunks()), words, seed, k_nearest, target)
+    book = Codebooks(matrix(taken.column("v").combine_chunks()), words or words_for(usual["count"]), seed, k_nearest, target)
     keep = shortlist or shortlist_size(usual["count"], k_nearest)
 
     def place():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = book.scaled(matrix(batch.column(2)))
             cell = book.cells(x)
-            codes = [c.tobytes() for c in book.codes(x, cell)]
-            return pa.record_batch([*batch.columns, pa.array(cell), pa.array(codes, pa.binary())], names=["row", "vec_id", "v", "is_query", "cell", "codes"])
+            codes = book.codes(x, cell)
+            made = [pa.array(cell), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(book.rests(cell, codes))]
+            return pa.record_batch([*batch.columns, *made], names=["row", "vec_id", "v", "is_query", "cell", "codes", "rest"])
 
         return step
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", "is_query")
-    index = written(map_batches(numbered, place, "row long, vec_id long, v array<double>, is_query boolean, cell long, codes binary"), "multi-index")
+    index = written(map_batches(numbered, place, "row long, vec_id long, v array<double>, is_query boolean, cell long, codes binary, rest double"), "multi-index")
     counts = np.zeros(len(book.c1) * len(book.c2), np.int64)
     for cell, n in index.groupBy("cell").count().collect():  # at most one row for each cell
         counts[cell] = n
@@ -238,14 +266,14 @@ def search(
     buckets = max(shuffle_partitions(spark), -(-int(counts.sum()) // BUCKET_ROWS))
     in_order = np.lexsort((np.tile(along(book.c2), len(book.c1)), np.repeat(along(book.c1), len(book.c2))))
     parts, first, of_part = deal(counts, in_order, buckets)
-    names = ["bucket", "asks", "row", "vec_id", "cell", "part", "codes", "probes"]
+    names = ["bucket", "asks", "row", "vec_id", "cell", "part", "codes", "rest", "probes"]
 
     def entries():
         def step(batch: pa.RecordBatch):
             cell = np.asarray(batch.column(2))
             part = first[cell] + (np.asarray(batch.column(0)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[cell]
             none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
-            cols = [pa.array(of_part[part].astype(np.int32)), pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), batch.column(1), batch.column(2), pa.array(part), batch.column(3), none]
+            cols = [pa.array(of_part[part].astype(np.int32)), pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), batch.column(1), batch.column(2), pa.array(part), batch.column(3), batch.column(4), none]
             yield pa.record_batch(cols, names=names)
 
         return step
@@ -253,7 +281,7 @@ def search(
     def asks():
         def step(batch: pa.RecordBatch):
             x = book.scaled(matrix(batch.column(2)))
-            d1, d2 = squared(x[:, : book.half], book.c1), squared(x[:, book.half :], book.c2)
+            d1, d2 = book.to_words(x)
             who, where, probes = [], [], []
             for k in range(len(x)):
                 p = np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in walk(d1[k], d2[k], counts, least)])
@@ -264,50 +292,54 @@ def search(
                     where.append(of_part[p[group[0]]])
                     probes.append(np.sort(p[group]))
             at, n = pa.array(np.array(who)), len(who)
-            raw = pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())
-            cols = [pa.array(np.array(where, np.int32)), pa.array(np.ones(n, np.int8)), batch.column(0).take(at), batch.column(1).take(at), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), raw.take(at), pa.array(probes, pa.list_(pa.int64()))]
+            raw = pa.array([v.tobytes() for v in x], pa.binary())
+            cols = [pa.array(np.array(where, np.int32)), pa.array(np.ones(n, np.int8)), batch.column(0).take(at), batch.column(1).take(at), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), raw.take(at), pa.nulls(n, pa.float64()), pa.array(probes, pa.list_(pa.int64()))]
             yield pa.record_batch(cols, names=names)
 
         return step
 
     def rank_codes(batches):
-        """The entries of a bucket come first; then its queries, batch by batch."""
-        held, ready = [], None
+        """The entries of a bucket come first; then its queries, batch by batch, each compared with its probes."""
+        held, ready = [], False
         for batch in batches:
             asking = np.asarray(batch.column(1)).astype(bool)
             n = int((~asking).sum())
             if n:
                 e = batch.slice(0, n)
-                codes = np.frombuffer(b"".join(e.column(6).to_pylist()), np.uint8).reshape(n, -1)
-                held.append((np.asarray(e.column(2)), np.asarray(e.column(3)), np.asarray(e.column(5)), book.rebuilt(np.asarray(e.column(4)), codes).astype(np.float32)))
+                held.append((*(np.asarray(e.column(c)) for c in (2, 3, 4, 5, 7)), np.frombuffer(b"".join(e.column(6).to_pylist()), np.uint8).reshape(n, -1)))
             q = batch.slice(n)
             if not q.num_rows or not (held or ready):
                 continue
-            if ready is None:
-                row, ids, part, x = (np.concatenate(c) for c in zip(*held))
+            if not ready:
+                row, ids, cell, part, rest, codes = (np.concatenate(c) for c in zip(*held))
                 order = np.lexsort((row, ids, part))
-                row, ids, part, x = row[order], ids[order], part[order], x[order]
-                ready, held = (x * x).sum(1), []
-            for at in range(0, q.num_rows, 32):
-                some = q.slice(at, 32)
-                v = np.frombuffer(b"".join(some.column(6).to_pylist()), np.float32).reshape(some.num_rows, -1)
-                rough = ready - 2 * (v @ x.T)
+                row, ids, cell, part, rest = row[order], ids[order], cell[order], part[order], rest[order]
+                codes, ready, held = np.ascontiguousarray(codes[order].T), True, []
+            for at in range(0, q.num_rows, 64):
+                some = q.slice(at, 64)
+                v = np.frombuffer(b"".join(some.column(6).to_pylist()), np.float64).reshape(some.num_rows, -1)
+                (d1, d2), tables = book.to_words(v), book.tables(v)
                 whole = some.column(2).to_pylist()
-                found = []
-                for k, probes in enumerate(some.column(7)):
+                found, roughs = [], []
+                for k, probes in enumerate(some.column(8)):
                     probes = np.asarray(probes.values)
                     a, b = np.searchsorted(part, probes), np.searchsorted(part, probes, side="right")
                     idx = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
                     idx = idx[row[idx] != whole[k]]
-                    r = rough[k][idx]
+                    rough = d1[k][cell[idx] // len(book.c2)] + d2[k][cell[idx] % len(book.c2)] + rest[idx]
+                    for own, table in zip(codes, tables):
+                        rough -= table[k][own[idx]]
+                    if touched is not None:
+                        touched.add(len(idx))
                     if len(idx) > keep:
-                        idx = idx[r <= np.partition(r, keep - 1)[keep - 1]]
-                        idx = idx[np.lexsort((row[idx], ids[idx], rough[k][idx]))[:keep]]
+                        near = np.flatnonzero(rough <= np.partition(rough, keep - 1)[keep - 1])
+                        near = near[np.lexsort((row[idx[near]], ids[idx[near]], rough[near]))[:keep]]
+                        idx, rough = idx[near], rough[near]
                     found.append(idx)
-                n_found = [len(f) for f in found]
-                idx, of = np.concatenate(found), np.repeat(np.arange(len(found)), n_found)
+                    roughs.append(rough)
+                of, idx = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
                 yield pa.record_batch(
-                    [some.column(2).take(pa.array(of)), some.column(3).take(pa.array(of)), pa.array(row[idx]), pa.array(ids[idx]), pa.array(rough[of, idx])],
+                    [some.column(2).take(pa.array(of)), some.column(3).take(pa.array(of)), pa.array(row[idx]), pa.array(ids[idx]), pa.array(np.concatenate(roughs))],
                     names=["query", "query_id", "row", "vec_id", "rough"],
                 )
 
@@ -318,11 +350,11 @@ def search(
 
         return step
 
-    kinds = "bucket int, asks byte, row long, vec_id long, cell long, part long, codes binary, probes array<long>"
-    spread = map_batches(index.select("row", "vec_id", "cell", "codes"), entries, kinds).unionByName(
+    kinds = "bucket int, asks byte, row long, vec_id long, cell long, part long, codes binary, rest double, probes array<long>"
+    spread = map_batches(index.select("row", "vec_id", "cell", "codes", "rest"), entries, kinds).unionByName(
         map_batches(index.where("is_query").select("row", "vec_id", "v"), asks, kinds)
     )
-    local = spread.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("asks").mapInArrow(rank_codes, "query long, query_id long, row long, vec_id long, rough float")
+    local = spread.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("asks").mapInArrow(rank_codes, "query long, query_id long, row long, vec_id long, rough double")
     by_codes = Window.partitionBy("query").orderBy("rough", "vec_id", "row")
     best = local.withColumn("place", F.row_number().over(by_codes)).where(F.col("place") <= keep).select("query", "query_id", "row", "vec_id")
     pairs = best.join(index.select("row", "v"), "row").join(index.where("is_query").select(F.col("row").alias("query"), F.col("v").alias("q")), "query")

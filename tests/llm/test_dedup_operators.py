@@ -297,10 +297,24 @@ def test_multi_index_on_given_and_clustered_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.05 * rng.normal(size=(6000, 24))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    by = searched(multi_index.search(df, F.col("vec_id") % 100 == 0, words=32).collect())
+    touched = spark.sparkContext.accumulator(0)
+    by = searched(multi_index.search(df, F.col("vec_id") % 100 == 0, words=32, touched=touched).collect())
     assert len(by) == 60 and recall_of(x, list(range(6000)), by) >= 0.9
-    book = multi_index.Codebooks(x, 32, 13, 10, multi_index.TARGET)
-    assert book.share < 0.08  # clusters are met early
+    assert 0 < touched.value < 0.05 * 60 * 6000  # clusters are met early, and only their entries are compared
+
+
+def test_multi_index_ranks_equal_vectors_equally_in_any_company():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 30))
+    x[::7] = x[3]
+    book = multi_index.Codebooks(x, 16, 5, 10, 0.9)
+    whole = book.cells(x), book.codes(x, book.cells(x))
+    for some in (slice(3, 4), slice(0, 50), slice(7, 400)):
+        cell = book.cells(x[some])
+        assert (cell == whole[0][some]).all() and (book.codes(x[some], cell) == whole[1][some]).all()
+        assert (book.rests(cell, whole[1][some]) == book.rests(*whole)[some]).all()
+        assert all((a[some] == b).all() for a, b in zip(book.to_words(x) + tuple(book.tables(x)), book.to_words(x[some]) + tuple(book.tables(x[some]))))
+    assert len(set(book.rests(*whole)[::7])) == 1
 
 
 def test_multi_index_repeated_rows_and_large_components(spark):
