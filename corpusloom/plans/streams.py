@@ -9,6 +9,7 @@ from corpusloom.operators.ordered import attempts
 from corpusloom.plans.ordered import SRS_SQL
 from corpusloom.plans.registry import query
 from corpusloom.streaming import log as L
+from corpusloom.streaming import stateful as S
 
 
 def stream(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +42,8 @@ WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUT
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, g
 """, rows="J8")
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
-    out = L.drained(L.sessions(stream(spark, d), "30 minutes"), spark, "complete")
+    ending = L.Ending(spark, stream(spark, d))
+    out = L.drained(L.sessions(ending.log, "30 minutes"), spark, ending=ending)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
@@ -57,5 +59,37 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
 def stream_srs(spark: SparkSession, d: str) -> DataFrame:
     """The review state as a stateful stream keeps it; the batch replay is the oracle."""
     log = attempts(stream(spark, d)).withColumn("at", F.col("ts").cast("timestamp"))
-    out = L.latest(L.replayed(log), spark, ["uid", "k"])
+    with L.keyed_state(spark):
+        out = L.latest(S.replayed(log), spark, ["uid", "k"])
     return out.select("uid", "k", "reps", "lapses", "last", F.round("stab", 6).alias("stab"), F.round("diff", 6).alias("diff"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, max(ts) + INTERVAL 2 HOUR AS sent FROM s GROUP BY user_id, g
+""", rows="J7")
+def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events, sent together once none has come for two hours; a timer sends the last of them."""
+    ending = L.Ending(spark, stream(spark, d))
+    with L.keyed_state(spark):
+        out = L.drained(S.debounced(ending.log.select("user_id", "at"), "user_id", quiet_s=7200, interval_s=3600), spark, ending=ending)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last", "sent")})
+
+
+def operations(events: DataFrame) -> DataFrame:
+    """The event table as operations on a queue of each user: what is seen is added, a click claims two items, a purchase completes its item."""
+    op = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "complete").otherwise("add")
+    item = F.get_json_object("props", "$.k")
+    worker = F.when(F.col("event_type") == "click", F.concat(F.lit("w"), F.col("event_id") % 3))
+    team = F.substring(item, 1, 1)
+    return events.select("user_id", "at", F.col("event_id").alias("seq"), op.alias("op"), item.alias("item"), team.alias("team"), worker.alias("worker"), F.lit(2).cast("long").alias("n"))
+
+
+@query(None, rows="J5")
+def stream_lease(spark: SparkSession, d: str) -> DataFrame:
+    """Queues with claims that hold for a day: what was served, done, and served again because its claim had run out."""
+    ending = L.Ending(spark, stream(spark, d))
+    with L.keyed_state(spark):
+        out = L.drained(S.leased(operations(ending.log), "user_id", lease_s=86_400), spark, ending=ending)
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))

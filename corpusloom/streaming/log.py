@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import json
-import uuid
+import contextlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.operators import ordered as O
-from corpusloom.sources.tables import upsert
+from corpusloom.sources.tables import shared_folder, upsert
 
 LATE = "1 hour"
+#: A time beyond all others, at which a log is closed.
+END = "9999-01-01 00:00:00"
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -36,11 +37,16 @@ def windows(log: DataFrame, width: str, step: str | None = None, late: str = LAT
 
 
 def sessions(log: DataFrame, gap: str, late: str = LATE) -> DataFrame:
-    """Sessions by user.  Spark gives them in append mode, once the watermark has passed, or in complete mode; not in update mode."""
-    g = log.withWatermark("at", late).groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("n"))
+    """Sessions by user, each once the watermark has passed it, when its state goes; a closed log gives the last ones too."""
+    log = log.withWatermark("at", late).where(F.col("at") < F.lit(END).cast("timestamp"))
+    g = log.groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def review_start() -> list:
+    return [O.STABILITY_START, O.DIFFICULTY_START, 0, 0, 0]
+
+
 def review_step(state: list, res: str, bf: float | None, clock: int) -> list:
     """One review of [stability, difficulty, reps, lapses, last], as the batch replay does it."""
     stab, diff, reps, lapses, _ = state
@@ -54,61 +60,54 @@ def review_step(state: list, res: str, bf: float | None, clock: int) -> list:
     return [stab, diff, reps + 1, lapses + (res != "C"), clock]
 
 
-def folded(held: dict, clock: int, rows: list[list]) -> tuple[dict, int]:
-    """States and clock after more attempts (at, event, item, result, depth) in their order; ``held`` stays as it is."""
-    held = dict(held)
-    for _, _, item, res, bf in rows:
-        if item is not None:
-            held[item] = review_step(held.get(item, [O.STABILITY_START, O.DIFFICULTY_START, 0, 0, 0]), res, bf, clock)
-        clock += 1
-    return held, clock
+class Ending:
+    """A log that can be closed: a marker far ahead of all times moves the watermark past every open state."""
+
+    def __init__(self, spark: SparkSession, log: DataFrame):
+        self.spark, self.schema, self.folder = spark, log.schema, shared_folder(spark, "ending")
+        spark.createDataFrame([], self.schema).write.parquet(self.folder)
+        self.log = log.unionByName(spark.readStream.schema(self.schema).parquet(self.folder))
+
+    def close(self) -> None:
+        row = (F.lit(END if f.name == "at" else None).cast(f.dataType).alias(f.name) for f in self.schema.fields)
+        self.spark.range(1).select(*row).write.mode("append").parquet(self.folder)
 
 
-def replayed(log: DataFrame, late: str = LATE) -> DataFrame:
-    """Review state of every (uid, k) that a batch of attempts (uid, at, event_id, k, res, bf) changed.
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams that start within keep their state in RocksDB, outside the heap, which timers and maps of state need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    Attempts that are up to ``late`` behind the newest may still come, in any order: the
-    state keeps a user's attempts after the watermark, and replays them on top of what is
-    settled, so each batch's result is that of the whole log so far.  Later ones are dropped.
+
+def run(df: DataFrame, spark: SparkSession, mode: str = "append", ending: Ending | None = None) -> tuple[DataFrame, list]:
+    """Drain a stream to the shared folder: its result as a table, and the progress of its batches.
+
+    With an ``ending`` the drained log is then closed, and what was still open comes out.
     """
-    import pandas as pd
-
-    def run(key, frames, state):
-        settled, clock, open_ = json.loads(state.get[0]) if state.exists else ({}, 0, [])
-        before, _ = folded(settled, clock, open_)
-        for row in pd.concat(frames).itertuples():
-            number = None if pd.isna(row.bf) else float(row.bf)
-            open_.append([int(row.at.value), int(row.event_id), None if pd.isna(row.k) else str(int(row.k)), row.res, number])
-        open_.sort(key=lambda r: r[:2])
-        mark = state.getCurrentWatermarkMs() * 1_000_000
-        n = sum(r[0] <= mark for r in open_)
-        settled, clock = folded(settled, clock, open_[:n])
-        now, _ = folded(settled, clock, open_[n:])
-        state.update((json.dumps([settled, clock, open_[n:]]),))
-        changed = [k for k, v in now.items() if before.get(k) != v]
-        yield pd.DataFrame([(key[0], int(k), *now[k]) for k in sorted(changed)], columns=["uid", "k", "stab", "diff", "reps", "lapses", "last"])
-
-    return (
-        log.withWatermark("at", late)
-        .select("uid", "at", "event_id", F.col("k").cast("double").alias("k"), "res", "bf")
-        .groupBy("uid")
-        .applyInPandasWithState(run, "uid long, k long, stab double, diff double, reps long, lapses long, last long", "held string", "update", "NoTimeout")
-    )
-
-
-def drained(df: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, to the shared folder, and read the result as a table."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
-    elif mode == "update":  # later batches hold newer states
-        writer.foreachBatch(lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{at}/out")).start().awaitTermination()
-        return spark.read.schema(StructType(list(df.schema.fields)).add("_batch", "long")).parquet(f"{at}/out")
-    else:
-        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{at}/out")
+    at = shared_folder(spark, "stream")
+    schema, progress = df.schema, []
+    for last in (False, True) if ending else (True,):
+        if ending and last:
+            ending.close()
+        writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+        if mode == "append":
+            stream = writer.format("parquet").option("path", f"{at}/out").start()
+        else:  # later batches hold newer states
+            stream = writer.foreachBatch(lambda batch, n: batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{at}/out")).start()
+            schema = StructType(list(df.schema.fields)).add("_batch", "long")
+        stream.awaitTermination()
+        progress += stream.recentProgress
+    return spark.read.schema(schema).parquet(f"{at}/out"), progress
+
+
+def drained(df: DataFrame, spark: SparkSession, mode: str = "append", ending: Ending | None = None) -> DataFrame:
+    return run(df, spark, mode, ending)[0]
 
 
 def latest(df: DataFrame, spark: SparkSession, keys: list[str]) -> DataFrame:

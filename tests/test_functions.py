@@ -85,7 +85,10 @@ def test_spoken(src, want):
 
 
 def test_greedy_clusters_keep_order_and_need_two_words():
-    assert cluster.greedy_clusters([["a", "b"], ["a", "b", "c"], ["x"], ["a"]], {}) == [0, 0, 1, 2]
+    rows = [["a", "b"], ["a", "b", "c"], ["x"], ["a"], ["b", "c", "d"]]
+    weight = dict.fromkeys("abcdx", 1.0)
+    assert cluster.greedy_clusters(rows, weight, {"a": 3, "b": 3, "c": 2, "d": 1, "x": 1}) == [0, 0, 1, 2, 0]
+    assert cluster.greedy_clusters(rows, weight, {"a": 3, "b": 3, "c": 1, "d": 1, "x": 1}) == [0, 0, 1, 2, 3]
 
 
 def test_logistic_fit_finds_the_sign():
@@ -155,25 +158,29 @@ def test_outline_errors(spark):
 
 
 def test_review_step_is_the_batch_step(spark):
-    from corpusloom.streaming.log import folded
+    from corpusloom.streaming.stateful import played
 
     reviews = [("C", 0.2), ("W", 0.9), ("C", None), ("C", 1.0), ("D", 0.1), ("C", 0.0)]
-    held, clock = folded({}, 0, [[c, c, "1" if c != 2 else None, *r] for c, r in enumerate(reviews)])
+    held = {}
+    clock = played(held, 0, [(c, c, 1 if c != 2 else None, *r) for c, r in enumerate(reviews)])
     log = spark.createDataFrame([("u", 1 if c != 2 else None, c, *r) for c, r in enumerate(reviews)], "uid string, k long, clock long, res string, bf double")
     row = ordered.replay(log.where("k is not null")).first()
-    state = held["1"]
+    state = held[1]
     assert clock == 6 and [row["reps"], row["lapses"], row["last"]] == state[2:] and abs(row["stab"] - state[0]) < 1e-9 and abs(row["diff"] - state[1]) < 1e-9
     # the first two by hand: grade 0.8 at difficulty 5 - 0.15 * 0.4, then a wrong answer
-    one, _ = folded({}, 0, [[0, 0, "1", "C", 0.2]])
-    assert abs(one["1"][1] - 4.94) < 1e-12 and abs(one["1"][0] - 2 * (1 + 0.606 * 1.2)) < 1e-12
-    two, _ = folded(one, 1, [[1, 1, "1", "W", 0.9]])
-    assert abs(two["1"][1] - 6.04) < 1e-12 and abs(two["1"][0] - max(1.0, 0.35 * one["1"][0])) < 1e-12 and two["1"][2:] == [2, 1, 1]
+    one = {}
+    played(one, 0, [(0, 0, 1, "C", 0.2)])
+    stab, diff = one[1][:2]
+    assert abs(diff - 4.94) < 1e-12 and abs(stab - 2 * (1 + 0.606 * 1.2)) < 1e-12
+    played(one, 1, [(1, 1, 1, "W", 0.9)])
+    assert abs(one[1][1] - 6.04) < 1e-12 and abs(one[1][0] - max(1.0, 0.35 * stab)) < 1e-12 and one[1][2:] == [2, 1, 1]
 
 
 def test_stream_replays_late_attempts_in_order(spark, tmp_path):
     """Attempts that come late, within the bound, give the state of the whole log in order."""
     from corpusloom.sources.tables import upsert
     from corpusloom.streaming import log as L
+    from corpusloom.streaming import stateful as S
 
     minutes = [[0, 50, 20], [10, 70, 40], [60, 100, 90, 130]]
     rows = [(7, f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00", m, m % 4, "CWD"[m % 3], (m % 10) / 10) for batch in minutes for m in batch]
@@ -192,7 +199,8 @@ def test_stream_replays_late_attempts_in_order(spark, tmp_path):
         shutil.copy(f, tmp_path / "all" / f"{n}.parquet")
         os.utime(tmp_path / "all" / f"{n}.parquet", (1_700_000_000 + 60 * n,) * 2)
     stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
-    got = upsert(L.drained(L.replayed(stream), spark, "update"), ["uid", "k"], [F.col("_batch")])
+    with L.keyed_state(spark):
+        got = upsert(L.drained(S.replayed(stream), spark, "update"), ["uid", "k"], [F.col("_batch")])
     whole = spark.createDataFrame(rows, schema)
     want = ordered.replay(ordered.clocked(whole))
     key = lambda r: (r["k"], r["reps"], r["lapses"], r["last"], round(r["stab"], 9), round(r["diff"], 9))
