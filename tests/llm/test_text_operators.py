@@ -109,7 +109,8 @@ def test_rotation_against_a_loop(spark):
         for person in {r[1] for r in rows} - {"system"}:
             for turn, who, text in rows:
                 role = "system" if who == "system" else "assistant" if who == person else "user"
-                head = f"<|im_start|>{role}" + (f" name={who.replace(' ', '_')}" if role == "user" else "") + "\n"
+                name = who if " " not in who else who.replace(" ", "_") + "_" + hashlib.md5(who.encode()).hexdigest()[:8]
+                head = f"<|im_start|>{role}" + (f" name={name}" if role == "user" else "") + "\n"
                 piece = head + text + "<|im_end|>\n"
                 mask = (len(head), len(piece) - 1) if role == "assistant" else (0, 0)
                 want.append((conv, person, turn, role, piece, *mask))
