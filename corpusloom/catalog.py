@@ -12,6 +12,7 @@ from corpusloom.plans import (  # noqa: F401
     reports,
     scans,
     sets,
+    sql_text,
     store,
     streams,
     strings,
