@@ -10,7 +10,7 @@ document, times) and the pair counts meet in a cogroup: both are dealt by B id,
 hold about as many postings each, a B id with more than a range's share over several of them
 with its counts in each.  A range is sorted by stream (Spark spills where it must), the counts
 first; these give every pair's count and the highest of its B id, and postings pass by and
-leave each document's share, which are summed by document.
+leave the shares of a slice's documents, which are summed by document.
 
 Defined cases: null and empty texts, and texts that hold U+2581 (its joined B bytes are a
 space, not the text's), have no tokens, zeros and an empty digest; strings of special tokens
@@ -44,6 +44,8 @@ SLICE = (
     "pairs array<long>, pair_times array<long>, pair_docs array<long>, docs binary, times binary"
 )
 STREAM = "part int, stream byte, first_row long, pairs binary, counts binary, docs binary, times binary"
+SHARES = "first_row long, docs binary, n_best binary, count_sum binary"
+FACTS = ("doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests")
 RESULT = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
@@ -153,6 +155,23 @@ def ranges(sizes: dict[int, int], n_parts: int) -> tuple[np.ndarray, np.ndarray,
     return ids, first, last - first + 1
 
 
+def summed(parts: DataFrame, shares: DataFrame) -> DataFrame:
+    """Each document's facts with the sums of its shares; a slice's documents are summed together."""
+
+    def run(key, slice_: pa.Table, given: pa.Table) -> pa.Table:
+        columns = {c: slice_.column(c).combine_chunks().flatten() for c in FACTS}
+        best, total = (np.zeros(len(columns["doc_ids"]), np.int64) for _ in range(2))
+        for docs, more, sums in zip(*(given.column(c).to_pylist() for c in ("docs", "n_best", "count_sum"))):
+            where = np.frombuffer(docs, "<u2")  # each document once
+            best[where] += np.frombuffer(more, "<i8")
+            total[where] += np.frombuffer(sums, "<i8")
+        *numbers, digests = columns.values()
+        return pa.table([*numbers, pa.array(best), pa.array(total), digests], names=list(RESULT))
+
+    schema = ", ".join(f"{c} {'string' if c == 'groups_sha256' else 'long'}" for c in RESULT)
+    return parts.select("first_row", *FACTS).groupBy("first_row").cogroup(shares.groupBy("first_row")).applyInArrow(run, schema)
+
+
 def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``docs``."""
     spark = docs.sparkSession
@@ -164,13 +183,9 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     # one row for each B id, of which a vocabulary has a fixed number
     by_b = counts.groupBy(F.shiftrightunsigned("pair", SHIFT).alias("b")).agg(F.sum("n_docs").alias("n")).toArrow()
     sizes = dict(zip(by_b.column("b").to_pylist(), by_b.column("n").to_pylist()))
-    n_parts = shuffle_partitions(spark)
-    per_doc = F.posexplode(F.arrays_zip("doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests")).alias("k", "d")
-    facts = parts.select("first_row", per_doc).select(
-        (F.col("first_row") + F.col("k")).alias("row"), F.col("d.doc_ids").alias("doc_id"), "d.n_a", "d.n_b", "d.n_groups", "d.n_links", F.col("d.digests").alias("groups_sha256")
-    )
     if not sizes:
-        return facts.withColumns({c: F.lit(0).cast("long") for c in ("n_best", "count_sum")}).select(*RESULT)
+        return summed(parts, spark.createDataFrame([], SHARES))
+    n_parts = shuffle_partitions(spark)
     ids, first, spread = ranges(sizes, n_parts)
     names = [c.split()[0] for c in STREAM.split(", ")]
 
@@ -222,7 +237,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         """Per range the counts come first, then the postings, message by message."""
         now, held, table = None, [], None
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
+            out: list[tuple] = []
             for k in range(batch.num_rows):
                 part, stream, row = (batch.column(c)[k].as_py() for c in range(3))
                 pair, number = (np.frombuffer(batch.column(c)[k].as_py(), "<i8") for c in (3, 4))
@@ -244,14 +259,12 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 np.add.at(best, where, times * np.repeat(table[2][at], number))
                 np.add.at(total, where, times * np.repeat(table[1][at], number))
                 full = np.flatnonzero(total)
-                out.append((row + full, best[full], total[full]))
+                out.append((row, full.astype("<u2").tobytes(), best[full].tobytes(), total[full].tobytes()))
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["row", "n_best", "count_sum"])
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["first_row", "docs", "n_best", "count_sum"])
 
     streams = map_batches(counts.select("pair", "times"), deal_counts, STREAM).unionByName(
         map_batches(parts.select("first_row", "pairs", "pair_docs", "docs", "times"), deal_postings, STREAM)
     )
-    met = streams.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "stream").mapInArrow(cogroup, "row long, n_best long, count_sum long")
-    shares = met.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    none = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_best", "count_sum")}
-    return facts.join(shares, "row", "left").withColumns(none).select(*RESULT)
+    met = streams.repartitionById(n_parts, F.col("part")).sortWithinPartitions("part", "stream").mapInArrow(cogroup, SHARES)
+    return summed(parts, met)
