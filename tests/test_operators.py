@@ -5,8 +5,9 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.operators import cluster, match, vector
+from corpusloom.operators import ann, cluster, match, vector
 
 
 def linked(x, cut):
@@ -103,13 +104,18 @@ def test_strength_against_a_plain_fit(spark, binary):
     assert cluster.strength(df.limit(50), group="g", level="lv", y="y", place="place", rows="rows").count() == 0
 
 
+def clustered(spark, n, groups, dims=64, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(groups, dims))[rng.integers(0, groups, n)] + 0.2 * rng.normal(size=(n, dims))
+    df = spark.createDataFrame([(k, v.tolist(), int(k % 3)) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    return x, df
+
+
 def test_search_chain_finds_what_is_near(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(40, 64))[rng.integers(0, 40, 800)] + 0.2 * rng.normal(size=(800, 64))
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    cents = vector.centroids(spark, vector.train(df, 8))
+    x, df = clustered(spark, 800, 40)
+    ivf = ann.train(df)
     asks = df.where("vec_id % 100 = 0")
-    found = vector.search(vector.packed(vector.index(df, cents, 64)), asks, cents, 64, probes=4, candidates=60, k=10).collect()
+    found = ann.search(ann.index(df, ivf), ann.asked(asks, ivf), ivf).collect()
     exact = vector.exact(df, asks, 10).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     for q in range(0, 800, 100):
@@ -119,15 +125,68 @@ def test_search_chain_finds_what_is_near(spark):
         assert all(abs(r["score"] - unit[q] @ unit[r["vec_id"]]) < 0.03 for r in found if r["query_id"] == q)
 
 
+def test_recall_of_the_given_vectors(spark):
+    """Whole chain over 0.9 on the given vectors, which lie far apart, stage by stage as in plain search."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asks = given.where("vec_id % 100 = 0")
+    ivf = ann.train(given)
+    got = {r.query_id: r for r in ann.stage_recalls(given, asks, ivf).collect()}
+    rows = given.orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    ids, x = np.array([r.vec_id for r in rows]), x / np.linalg.norm(x, axis=1, keepdims=True)
+    part, codes = ivf.assign(x), ivf.codes(x)
+    for q, r in got.items():
+        at = int(np.flatnonzero(ids == q)[0])
+        sims = np.round(x @ x[at], 6)
+        sims[at] = -np.inf
+        best = set(ids[np.lexsort((ids, -sims))[:10]].tolist())
+        seen = np.flatnonzero(np.isin(part, ivf.nearest_parts(x[at][None], ivf.probes)[0]) & (ids != q))
+        bits = np.bitwise_count(codes[seen] ^ codes[at]).sum(1)
+        near = seen[np.lexsort((ids[seen], bits))[: ivf.candidates]]
+        assert abs(r.partitions - len(best & set(ids[seen].tolist())) / 10) < 1e-9 and abs(r.hamming - len(best & set(ids[near].tolist())) / 10) < 1e-9
+        assert r.chain <= r.hamming <= r.partitions and abs(r.rows_read - len(seen) / len(ids)) < 1e-9
+    assert len(got) == 20 and np.mean([r.chain for r in got.values()]) >= 0.9
+
+
+def test_clustered_vectors_need_few_partitions(spark):
+    x, df = clustered(spark, 20_000, 200, dims=32)
+    ivf = ann.train(df)
+    got = ann.stage_recalls(df, df.where("vec_id % 400 = 0"), ivf).collect()
+    assert abs(ivf.parts - 141) < 3 and len(got) == 50
+    assert np.mean([r.chain for r in got]) >= 0.9 and np.mean([r.rows_read for r in got]) < 0.05
+    assert ivf.candidates < 0.05 * 20_000 and ivf.curve == sorted(ivf.curve)
+    # a row meets the top level and a few groups, not all centroids
+    assert len(ivf.top) + ann.LOOK * np.diff(ivf.group).max() < ivf.parts
+
+
 def test_written_index_is_read_by_partition(spark, tmp_path):
-    rng = np.random.default_rng(2)
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(200, 64)))], "vec_id long, embedding array<double>")
-    idx = vector.index(df, vector.centroids(spark, vector.train(df, 6)), 64)
-    vector.write_index(idx, str(tmp_path / "index"))
-    part = vector.read_partitions(spark, str(tmp_path / "index"), [1, 3])
+    x, df = clustered(spark, 2_000, 20)
+    ivf = ann.train(df)
+    idx, path = ann.index(df, ivf, carry=("label",)), str(tmp_path / "index")
+    ann.write_index(idx, path)
+    part = ann.read_index(spark, path, [1, 3], F.col("vec_id") < 900)
     plan = part._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [part" in plan
-    assert sorted(r["vec_id"] for r in part.collect()) == sorted(r["vec_id"] for r in idx.where("part in (1, 3)").collect())
+    assert "PartitionFilters: [part" in plan and "LessThan(vec_id,900)" in plan
+    assert sorted(r["vec_id"] for r in part.collect()) == sorted(r["vec_id"] for r in idx.where("part in (1, 3) and vec_id < 900").collect())
+    asks = df.where("vec_id in (0, 700)")
+    found = ann.search_index(spark, path, asks, ivf, where=F.col("label") == 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "part#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 700):
+        best = [k for k in np.argsort(-(unit @ unit[q])).tolist() if k != q and k % 3 == 1][:10]
+        assert len(set(best) & {r["vec_id"] for r in found.collect() if r["query_id"] == q}) >= 8
+
+
+def test_index_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (None, [1.0, 1.0]), (5, [0.0, 2.0]), (6, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ivf = ann.train(df.where("vec_id < 6"))
+    assert sorted(r.vec_id for r in ann.index(df, ivf).collect()) == [1, 1, 5]
+    found = ann.search(ann.index(df, ivf), ann.asked(df.where("vec_id = 5"), ivf), ivf).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [1, 1]
+    with pytest.raises(ValueError, match="no vectors"):
+        ann.train(df.limit(0))
 
 
 def test_linker_rules():
