@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from corpusloom.functions import answers, speech
 from corpusloom.functions import text as X
+from corpusloom.functions import reveal as R
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -83,10 +84,22 @@ def token_sets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.size(X.content_words(F.col("text"))).cast("long").alias("n_words"))
 
 
-@query("SELECT doc_id, CAST(len(u) AS BIGINT) AS n_units, CAST(coalesce(list_position(u, 'the'), 0) AS BIGINT) AS mark FROM (SELECT doc_id, string_split(text, ' ') AS u FROM documents WHERE text IS NOT NULL)", rows="H16")
+MUSIC = "Play E–F♯–G–E, then C, D, and A-sharp (*) "
+UNITS_SQL = "['Play', 'E–', 'F♯–', 'G–', 'E,', 'then', 'C,', 'D,', 'and', 'A-sharp', '(*)'] || list_filter(string_split_regex(text, '[\\t-\\r \\x{A0}]+'), lambda w: w <> '')"
+
+
+@query(f"""
+WITH u AS (SELECT doc_id, {UNITS_SQL} AS u FROM documents WHERE text IS NOT NULL),
+ l AS (SELECT doc_id, u, array_to_string(list_transform(u, lambda w: CASE WHEN regexp_matches(w, '{R.NOTE.replace("'", "''")}') THEN 'n' WHEN regexp_matches(w, '{R.CONTINUES}') THEN 'c' WHEN regexp_matches(w, '{R.JOINING}') THEN 'g' ELSE 'o' END), '') AS letters FROM u)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n_units, CAST(10 AS INTEGER) AS power, CAST(nullif(list_position(u, '(+)'), 0) - 1 AS INTEGER) AS superpower,
+ CAST(list_sum(list_transform(regexp_extract_all(letters, '{R.LETTER_RUN}'), lambda s: length(s))) AS BIGINT) AS n_slow FROM l
+""", rows="H16")
 def reveal_units(spark: SparkSession, d: str) -> DataFrame:
-    u = F.split("text", " ", -1)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(u).cast("long").alias("n_units"), F.array_position(u, "the").cast("long").alias("mark"))
+    """Units of every document behind a sentence of notes with a power mark."""
+    docs = table(spark, d, "documents").where("text is not null")
+    rows = docs.select("doc_id", R.units(F.concat(F.lit(MUSIC), "text")).alias("u"))
+    u = F.col("u")
+    return rows.select("doc_id", F.size(u).cast("long").alias("n_units"), R.first_unit(u, R.POWER).alias("power"), R.first_unit(u, R.SUPERPOWER).alias("superpower"), F.size(F.filter(u, lambda x: x["slow"])).cast("long").alias("n_slow"))
 
 
 @query("""

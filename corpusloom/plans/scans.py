@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.plans.registry import query
 from corpusloom.sources import tables as T
+from corpusloom.sources.publish import Published
 from corpusloom.sources.tables import table
 
 
@@ -14,7 +16,7 @@ from corpusloom.sources.tables import table
 SELECT lang, count(*) AS n_docs, CAST(count(quality) AS BIGINT) AS n_labelled,
        CAST(sum(coalesce(toxic, 0)) AS BIGINT) AS n_toxic, CAST(sum(n_chars) AS BIGINT) AS n_chars
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang
-""", rows="A1 A2 A3 A4")
+""", rows="A2 A3 A4")
 def scan_shared_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = T.with_side(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "toxic", F.lit(0))
     docs = docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
@@ -29,7 +31,7 @@ WITH new AS (SELECT doc_id, md5(concat_ws('|', coalesce(CASE WHEN lang = 'fr' TH
      old AS (SELECT doc_id, md5(concat_ws('|', coalesce(source, ''), coalesce(CAST(n_chars AS VARCHAR), ''))) AS h FROM documents WHERE lang <> 'es')
 SELECT doc_id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'stale' WHEN o.h <> n.h THEN 'changed' ELSE 'same' END AS status
 FROM new n FULL OUTER JOIN old o USING (doc_id)
-""", rows="A5 A16 A17 G1")
+""", rows="A5 A16 G1")
 def sink_changed_only(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     source = F.when(F.col("lang") == "fr", F.upper("source")).otherwise(F.col("source"))
@@ -189,3 +191,35 @@ def dsl_entries(spark: SparkSession, d: str) -> DataFrame:
     lines = part.select(F.col("p_brand").alias("unit"), "p_partkey", F.posexplode(F.array(head, F.lit("> blurb"), entry)).alias("k", "line")).withColumn("pos", F.col("p_partkey") * 3 + F.col("k"))
     out = entries(lines.select("unit", "pos", "line"), key="unit", pos="pos", text="line")
     return out.select("unit", ((F.col("pos") - 2) / 3).cast("long").alias("pos"), "section", "answerline", F.get("variants", F.lit(0)).alias("variant"), "topic", "note", "error")
+
+
+@query("""
+SELECT CAST(item_id AS VARCHAR) AS slug, length(text) % 7 <> 3 AS good, CASE WHEN length(text) % 7 <> 3 THEN CAST(length(text) AS BIGINT) END AS n_chars,
+ CASE WHEN length(text) % 7 <> 3 THEN CAST(len(string_split(text, ' ')) AS BIGINT) END AS n_works FROM benchmark
+""", rows="A1")
+def corpus_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each benchmark item, some cut off in the middle, and both sides of the tolerant scan over them."""
+    at = T.shared_folder(spark, "corpus")
+    items = table(spark, d, "benchmark")
+    doc = F.to_json(F.struct(F.col("text").alias("title"), F.transform(F.split("text", " "), lambda w: F.struct(w.alias("name"))).alias("works")))
+    broken = F.length("text") % 7 == 3
+    value = F.when(broken, F.substring(doc, F.lit(1), F.floor(F.length(doc) / 2).cast("int"))).otherwise(doc)
+    items.select("item_id", value.alias("value")).repartition("item_id").write.partitionBy("item_id").text(at)
+    schema = StructType.fromDDL("title string, works array<struct<name: string>>")
+    good, bad = T.tolerant_json(spark, f"{at}/*/*.txt", schema, r"item_id=([^/]+)/")
+    found = good.select("slug", F.lit(True).alias("good"), F.length("title").cast("long").alias("n_chars"), F.size("works").cast("long").alias("n_works"))
+    none = F.lit(None).cast("long")
+    return found.unionByName(bad.select("slug", F.lit(False).alias("good"), none.alias("n_chars"), none.alias("n_works")))
+
+
+@query("""
+SELECT doc_id, coalesce(lang, 'none') AS artifact, CASE WHEN lang = 'fr' THEN upper(source) ELSE source END AS source, CAST(CASE WHEN lang IN ('fr', 'es') THEN 2 ELSE 1 END AS BIGINT) AS since
+FROM documents WHERE lang IS DISTINCT FROM 'de'
+""", rows="A17")
+def publish_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by language, published twice: French changes, German goes, Spanish comes, and the rest isn't written again."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("lang", F.lit("none")).alias("lang"))
+    out = Published(spark, T.shared_folder(spark, "published"))
+    out.publish(docs.where("lang <> 'es'"), "lang")
+    out.publish(docs.where("lang <> 'de'").withColumn("source", F.when(F.col("lang") == "fr", F.upper("source")).otherwise(F.col("source"))), "lang")
+    return out.read("doc_id long, source string").select("doc_id", "artifact", "source", "since")

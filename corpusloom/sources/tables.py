@@ -13,11 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tolerant_json(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad files) of one JSON document a file; a bad file isn't fatal."""
+def tolerant_json(spark: SparkSession, path: str, schema: StructType, name: str = r"([^/]+)\.json$") -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad files) of one JSON document a file; a bad file isn't fatal.  ``name`` finds a document's name in its path."""
     full = StructType(list(schema.fields)).add("_corrupt", "string")
     text = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("slug"),
+        F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("slug"),
         F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("doc"),
     )
     rows = text.select("slug", "doc.*")
