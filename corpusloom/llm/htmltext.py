@@ -7,7 +7,10 @@ threshold (their standard deviation, as in content extraction via tag ratios) fo
 the clusters that select the content regions.  A region is the page's element
 that holds the selected text: its article or main elements if they hold over half
 of it, else the deepest element with most of that text.  In an article or main element
-all lines are kept in page order, so short paragraphs aren't lost.  Elsewhere the
+the blocks beside each other in its text are judged: paragraphs, headings, lists and bare
+blocks of text stay, however short; a block that nests others, such as an unmarked advert or
+teaser between paragraphs, stays only if its own text-to-tag ratio reaches the threshold, and
+no block of links alone does.  Elsewhere the
 clusters decide line by line: selected lines and those between clusters stay, others
 only in paragraphs, headings and lists beside a selected block, and not if they are
 links alone.  Elements whose tag, role or a whole class or id says menu, header,
@@ -57,6 +60,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 IN_SCOPE = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 CLOSES_P = BLOCKS - {"option", "optgroup", "caption", "tbody", "thead", "tfoot", "tr", "legend", "html", "body"}
 FENCES = frozenset("article main section div aside nav header footer form table td th ul ol dl blockquote body".split())
+#: Elements that can hold the blocks of a text side by side.
+HOLDERS = frozenset("article main section div body td".split())
 
 
 def named_apart(names: str) -> bool:
@@ -182,11 +187,15 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[middle] / np.convolve(np.ones(len(ratios)), kernel)[middle]
 
 
+def threshold(ratios: np.ndarray, s: np.ndarray) -> float:
+    """The ratio of content: the standard deviation of the lines' ratios, or what the best line reaches."""
+    return min(float(ratios.std()), float(s.max()))
+
+
 def selected(ratios: np.ndarray) -> np.ndarray:
     """Lines whose smoothed ratio reaches the threshold; all of a page with one kind of line."""
     s = smoothed(ratios)
-    threshold = min(float(ratios.std()), float(s.max()))
-    return s >= threshold
+    return s >= threshold(ratios, s)
 
 
 def clusters(content: np.ndarray) -> list[tuple[int, int]]:
@@ -213,6 +222,40 @@ def of_clusters(content: np.ndarray, lines: list, paths: list[list[int]], page:
     return keep & (content | ~np.array([links for *_, links in lines]))
 
 
+def most_of(paths: list[list[int]], size: np.ndarray, taken: np.ndarray, kinds: frozenset[str], page: Lines) -> int | None:
+    """The deepest element of some kinds that holds most of the text of the taken lines."""
+    held: dict[int, float] = {}
+    for k in np.flatnonzero(taken).tolist():
+        for e in paths[k]:
+            held[e] = held.get(e, 0.0) + size[k]
+    whole = float(size[taken].sum())
+    wide = [e for e, n in held.items() if n >= MOST_OF_TEXT * whole and page.kind[e] in kinds]
+    depth = {e: at for k in np.flatnonzero(taken).tolist() for at, e in enumerate(paths[k])}
+    return max(wide, key=lambda e: (depth[e], e)) if wide else None
+
+
+def strays(regions: set[int], lines: list, paths: list[list[int]], ratios: np.ndarray, size: np.ndarray, content: np.ndarray, page: Lines) -> np.ndarray:
+    """Lines within regions that aren't of their text: nested blocks below the threshold, and blocks of links alone."""
+    out = np.zeros(len(lines), bool)
+    least = threshold(ratios, smoothed(ratios))
+    for region in regions:
+        inside = np.array([region in p for p in paths])
+        body = most_of(paths, size, inside & content, HOLDERS, page)
+        blocks: dict[int, list[int]] = {}
+        for k in np.flatnonzero(inside).tolist():
+            path = paths[k]
+            at = path.index(body) if body in path else path.index(region)
+            if at + 1 < len(path):
+                blocks.setdefault(path[at + 1], []).append(k)
+        for block, own in blocks.items():
+            if page.kind[block] != "p" and all(lines[k][4] for k in own):
+                out[own] = True
+            elif page.kind[block] not in TEXT_BLOCKS and any(paths[k][-1] != block for k in own):
+                tags = sum(lines[k][1] for k in own)
+                out[own] = size[own].sum() / max(1, tags) < least
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: lines of the content regions, joined by blank lines."""
     page = lines_of(html or "")
@@ -236,17 +279,12 @@ def main_text(html: str | None) -> str:
         if size[content & inside].sum() > 0.5 * size[content].sum():
             break
     else:
-        held: dict[int, float] = {}
-        for p, c, n in zip(paths, content, size):
-            if c:
-                for e in p:
-                    held[e] = held.get(e, 0.0) + n
-        whole = float(size[content].sum())
-        wide = [e for e, n in held.items() if n >= MOST_OF_TEXT * whole and page.kind[e] in FENCES]
-        depth = {e: len(p[: p.index(e)]) for p in paths for e in p}
-        regions = {max(wide, key=lambda e: (depth[e], e))} if wide else None
+        wide = most_of(paths, size, content, FENCES, page)
+        regions = None if wide is None else {wide}
     inside = np.array([regions is None or not regions.isdisjoint(p) for p in paths])
-    if regions is None or not any(page.kind[e] in ("article", "main") for e in regions):
+    if regions is not None and any(page.kind[e] in ("article", "main") for e in regions):
+        inside &= ~strays(regions, lines, paths, ratios, size, content, page)
+    else:
         inside &= of_clusters(content & inside, lines, paths, page)
     kept = np.flatnonzero(inside).tolist()
     return "\n\n".join(lines[k][0] for k in kept)

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
@@ -259,9 +261,6 @@ def test_clusters_decide_where_nothing_is_marked(monkeypatch):
 def test_given_pages_against_their_markup(sf):
     """The given pages hold their text in one element; reading it by plain patterns gives the same."""
     import html
-    import re
-
-    import pyarrow.parquet as pq
 
     seen = 0
     for page in pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist():
@@ -275,6 +274,48 @@ def test_given_pages_against_their_markup(sf):
     assert seen >= 10
 
 
+def planted(html, rnd, strays, short):
+    """A given page with blocks between the paragraphs of its article: unmarked adverts, teasers and link lists, and short paragraphs."""
+    head, body, tail = re.split(r"(?<=<article>)|(?=</article>)", html)
+    blocks = re.split(r"(?=<p>)", body)
+    want = []
+    for k in sorted(rnd.sample(range(1, len(blocks) + 1), min(3, len(blocks))), reverse=True):
+        blocks.insert(k, rnd.choice(strays))
+        if short:
+            blocks.insert(k, f"<p>Brief {k}.</p>")
+            want.append(f"Brief {k}.")
+    return head + "".join(blocks) + tail, want
+
+
+STRAYS = [
+    "<div class='x7'><p>BUY NOW</p><p>Only <b>9.99</b></p></div>", "<div><div><span><img src=a></span><p>Our partner offers more</p></div></div>",
+    "<section><div><h4>You may like</h4></div><div><a href=1>One story</a></div></section>", "<ul><li><a href=1>First link</a><li><a href=2>Second</a></ul>",
+]
+
+
+def test_clusters_decide_inside_articles(sf, monkeypatch):
+    rnd = random.Random(5)
+    pages = [h for h in pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist() if h and h.count("<article>") == 1 and h.count("<p>") > 3][:60]
+    changed = 0
+    for html in pages:
+        plain = htmltext.main_text(html)
+        with_strays, _ = planted(html, rnd, STRAYS, False)
+        assert htmltext.main_text(with_strays) == plain
+        both, want = planted(html, rnd, STRAYS, True)
+        got = htmltext.main_text(both)
+        assert [b for b in got.split("\n\n") if b not in want] == plain.split("\n\n") and all(w in got.split("\n\n") for w in want)
+        with monkeypatch.context() as m:
+            m.setattr(htmltext, "threshold", lambda ratios, s: 0.0)
+            changed += htmltext.main_text(with_strays) != plain
+    assert len(pages) >= 20 and changed > 0.9 * len(pages) * 0.9
+
+
+def test_nested_text_of_an_article_stays():
+    text = ["Some words of the article. " * 12, "More of its words, in a box of their own. " * 9, "Short end."]
+    page = f"<article><div><h2>Head</h2><p>{text[0]}</p><div><div><p>{text[1]}</p></div></div><p>{text[2]}</p></div></article>"
+    assert htmltext.main_text(page) == "\n\n".join(["Head", *(t.strip() for t in text)])
+
+
 def test_teaser_articles_are_not_the_main_text():
     story = [f"Paragraph {k} of the story, " + "with many more words to read " * 8 for k in range(6)]
     story = [" ".join(x.split()) for x in story]
