@@ -155,11 +155,6 @@ def giveaway(c: Column, most: int = 220) -> Column:
     return F.when(F.length(last) <= most, last)
 
 
-def years(c: Column) -> Column:
-    """Distinct years from 1000 to 2099 in a text, in order of first sight."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(1[0-9]{3}|20[0-9]{2})\b"), F.lit(1)))
-
-
 def without_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", "")
 

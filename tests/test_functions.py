@@ -77,6 +77,8 @@ def plain_distance(a, b):
         ("(II) and (1710)", "(II) and (1710)"),
         ("Mrs. D / Mr. E", "Missus D Mister E"),
         ("x [Note to moderator: slow.] y", "x y"),
+        ("x [read slowly] y (Emphasized) z", "x y z"),
+        ("x (editor's note: see below) y [end read] z (read carefully)", "x y z"),
         (None, ""),
     ],
 )
