@@ -104,6 +104,36 @@ def test_strength_against_a_plain_fit(spark, binary):
     assert cluster.strength(df.limit(50), group="g", level="lv", y="y", place="place", rows="rows").count() == 0
 
 
+@pytest.mark.parametrize("binary", [True, False])
+def test_strength_with_many_levels(spark, binary):
+    """Levels that are eliminated by their sums give what a column for each gives."""
+    rng = np.random.default_rng(3)
+    n, levels = 6_000, 1_200
+    lv = rng.integers(0, levels, n)
+    g = np.where(rng.random(n) < 0.3 + 0.4 * (lv % 2), "a", np.where(rng.random(n) < 0.5, "b", "c"))
+    p = 1 / (1 + np.exp(-(np.where(g == "a", 0.8, -0.3) + rng.normal(size=levels)[lv])))
+    y = (rng.random(n) < p).astype(float) if binary else 10 * p + rng.normal(size=n)
+    df = spark.createDataFrame([(str(a), f"{b:05d}", float(c), k, n) for k, (a, b, c) in enumerate(zip(g, lv, y))], "g string, lv string, y double, place long, rows long")
+    got = {r["g"]: r for r in cluster.strength(df, group="g", level="lv", y="y", place="place", rows="rows", binary=binary).collect()}
+    t = np.arange(n) / (n - 1) - 0.5
+    effect = np.select([(g == "a")[:, None], (g == "b")[:, None]], [[1.0, 0.0], [0.0, 1.0]], -1.0)
+    x = np.column_stack([np.ones(n), t, t * t - 1 / 12, np.eye(levels)[lv][:, 1:], effect])
+    beta = np.zeros(x.shape[1])
+    for _ in range(40 if binary else 1):
+        mu = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500))) if binary else np.zeros(n)
+        w = np.maximum(mu * (1 - mu), 1e-6) if binary else np.ones(n)
+        h = x.T @ (x * w[:, None]) + 1e-3 * np.eye(len(beta))
+        beta = beta + np.linalg.solve(h, x.T @ (y - mu))
+    gamma = np.append(beta[-2:], -beta[-2:].sum())
+    share = np.array([(g == k).mean() for k in "abc"])
+    mean = float(share @ gamma)
+    eta = x[:, :-2] @ beta[:-2] + mean
+    plain = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+    for k, name in enumerate("abc"):
+        want = np.mean(1 / (1 + np.exp(-np.clip(eta + gamma[k] - mean, -500, 500)))) - plain.mean() if binary else gamma[k] - mean
+        assert abs(got[name]["est"] - want) < 1e-4 and got[name]["se"] > 0
+
+
 def clustered(spark, n, groups, dims=64, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(groups, dims))[rng.integers(0, groups, n)] + 0.2 * rng.normal(size=(n, dims))
