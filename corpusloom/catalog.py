@@ -16,6 +16,7 @@ from corpusloom.plans import (  # noqa: F401
     store,
     streams,
     strings,
+    topics,
     vectors,
 )
 from corpusloom.plans.registry import ORACLES, QUERIES, Query

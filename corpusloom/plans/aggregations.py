@@ -120,7 +120,7 @@ def pair_containment(spark: SparkSession, d: str) -> DataFrame:
 WITH {LOG}
 SELECT event_type, k, grouping(event_type) AS all_types, grouping(k) AS all_k, count(*) AS n, round(avg(CASE WHEN res = 'C' THEN 1.0 ELSE 0.0 END), 6) AS acc,
  round(avg(CASE WHEN res = 'C' THEN 1 - bf END), 6) AS celerity FROM log WHERE k IS NOT NULL GROUP BY CUBE (event_type, k)
-""", rows="D12 D13 D21 K2")
+""", rows="D12 D13 D21")
 def breakdown_cube(spark: SparkSession, d: str) -> DataFrame:
     log = attempts(table(spark, d, "events")).where("k is not null")
     right = F.col("res") == "C"

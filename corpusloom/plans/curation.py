@@ -87,7 +87,7 @@ def missing_media(spark: SparkSession, d: str) -> DataFrame:
 WITH agent AS (SELECT l_suppkey AS topic, CASE WHEN l_quantity > 25 THEN l_returnflag END AS work FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL),
  fresh AS (SELECT l_suppkey AS topic, CASE WHEN l_quantity > 10 THEN l_returnflag END AS work FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL)
 SELECT topic, work, 'agent' AS source FROM agent UNION ALL SELECT topic, work, 'scan' FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM agent a WHERE a.topic = f.topic AND a.work IS NOT DISTINCT FROM f.work)
-""", rows="B28 C9")
+""", rows="C9")
 def judgement_merge(spark: SparkSession, d: str) -> DataFrame:
     """Judged references stay as they are; fresh ones come in where (topic, work) is new, null works included."""
     rows = table(spark, d, "lineitem")
@@ -192,7 +192,7 @@ def queue_edits(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT c_custkey, coalesce(n_name, r_name) AS place FROM (SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 4 LEFT JOIN (SELECT min(r_name) AS r_name FROM region) ON true)
-""", rows="B20 I10")
+""", rows="I10")
 def place_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Exact place, else the first known fallback."""
     nations = table(spark, d, "nation").where("n_regionkey <> 4").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
