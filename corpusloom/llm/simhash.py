@@ -35,6 +35,8 @@ MAX_BITS = 4
 CHUNK_ROWS = 500_000
 #: Rows of the largest bucket that one task solves; larger ones are dealt anew.
 BUCKET_ROWS = 200_000
+#: Edges of a graph that one task unites.
+FEW_EDGES = 1_000_000
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -289,15 +291,33 @@ def links(distinct: DataFrame, budget: int = MAX_BITS, bucket_rows: int = BUCKET
     return edges.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def settled(edges: DataFrame) -> DataFrame:
+    """(node, root) of a counted, small number of edges, in one task."""
+
+    def run(batches):
+        parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+        if not parts:
+            return
+        a, b = (np.concatenate(c) for c in zip(*parts))
+        nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        parent = np.arange(len(nodes))
+        _settle(parent, place[: len(a)], place[len(a) :])
+        for at in range(0, len(nodes), 100_000):
+            yield pa.record_batch([pa.array(nodes[at : at + 100_000]), pa.array(nodes[parent[at : at + 100_000]])], names=["node", "root"])
+
+    return edges.repartition(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
 
-    Alternating large-star and small-star rounds until nothing changes; every round is checkpointed.
+    Alternating large-star and small-star rounds until up to ``few`` edges are left or nothing
+    changes; every round is checkpointed.  That few edges, 16 MB, are united in one task.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     last = sign(now)
-    while last[0]:
+    while last[0] > few:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
@@ -308,6 +328,8 @@ def components(edges: DataFrame) -> DataFrame:
         if here == last:
             break
         last = here
+    else:
+        return settled(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -245,8 +245,10 @@ def test_near_duplicates_stage_against_all_pairs(spark, sf):
 
 def test_long_chains_become_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(200, 201)], "a long, b long")
-    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
-    assert got == {k: 0 for k in range(61)} | {200: 200, 201: 200}
+    for few in (0, simhash.FEW_EDGES):  # by rounds over all tasks, and in one task
+        got = [(r["node"], r["root"]) for r in simhash.components(edges, few).collect()]
+        assert len(got) == 63 and dict(got) == {k: 0 for k in range(61)} | {200: 200, 201: 200}
+    assert simhash.components(edges.limit(0)).count() == 0
 
 
 def searched(got):
