@@ -134,6 +134,32 @@ def test_strength_with_many_levels(spark, binary):
         assert abs(got[name]["est"] - want) < 1e-4 and got[name]["se"] > 0
 
 
+def test_linkage_of_a_large_key_compares_few_pairs(spark):
+    rng = np.random.default_rng(12)
+    n, dims = 2_500, 24
+    x = rng.normal(size=(120, dims))[rng.integers(0, 120, n)] + 0.15 * rng.normal(size=(n, dims))
+    x[:40] = x[0]  # equal rows
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([("k", i, v.tolist()) for i, v in enumerate(x)], "key string, id long, unit array<double>").repartition(8)
+    compared = spark.sparkContext.accumulator(0)
+    got = {r.id: r.cluster for r in cluster.linkage(df, 0.75, local=1_000, compared=compared).collect()}
+    label = cluster.average_linkage(x[:600], np.ones(600), 0.75)
+    # the whole by its definition: every cluster is far from all others, and no merge within was below the cut
+    of = np.array([got[i] for i in range(n)])
+    names, place = np.unique(of, return_inverse=True)
+    total = np.zeros((len(names), dims))
+    np.add.at(total, place, x)
+    size = np.bincount(place)
+    mean = total / size[:, None]
+    between = mean @ mean.T
+    np.fill_diagonal(between, -1)
+    assert between.max() < 0.75 and (np.sort(names) == np.unique([of[place == k].min() for k in range(len(names))])).all()
+    assert len(set(zip(label.tolist(), of[:600].tolist()))) == len(set(of[:600].tolist())) == len(set(label.tolist()))
+    assert len(set(of[:40])) == 1
+    # all rounds together compare less than a tenth of the pairs of one round
+    assert 0 < compared.value < 0.1 * n * n
+
+
 def clustered(spark, n, groups, dims=64, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(groups, dims))[rng.integers(0, groups, n)] + 0.2 * rng.normal(size=(n, dims))
