@@ -70,6 +70,20 @@ def test_greedy_clusters_grow_by_words_of_the_whole_group():
     assert cluster.greedy_clusters(rows, weight, {**often, "choral": 1}) == [0, 0, 1, 2]
 
 
+def test_calibration_by_sums_is_the_fit_of_each_key(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, round(float(x), 1 if k else 6), float(rng.random() < 1 / (1 + np.exp(-(k - 1) * x)))) for k in range(3) for x in rng.normal(size=120)]
+    rows += [(7, 0.5, 1.0), (8, None, 1.0), (8, 0.1, None)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    got = {r.k: r for r in cluster.calibration(df, key="k", x_col="x", y_col="y").collect()}
+    assert set(got) == {0, 1, 2, 7}
+    for k, r in got.items():
+        own = [(x, y) for q, x, y in rows if q == k]
+        a, b = cluster.logistic_1d(*map(np.array, zip(*own)))
+        assert r.n == len(own) and abs(r.intercept - a) < 1e-6 and abs(r.slope - b) < 1e-6
+    assert cluster.calibration(df.limit(0), key="k", x_col="x", y_col="y").count() == 0
+
+
 @pytest.mark.parametrize("binary", [True, False])
 def test_strength_against_a_plain_fit(spark, binary):
     rng = np.random.default_rng(11)
