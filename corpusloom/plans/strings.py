@@ -31,21 +31,20 @@ def drill_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(html, 1, 4000), '<[^>]*>', '', 'g'), '\[[\s\S]*', ''), '\([^)]*\)', '', 'g'), '[ \t\r\n]+', ' ', 'g'), '^[ ;,]+|[ ;,]+$', '', 'g') AS display FROM (
- SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' (x) [y]' AS html FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html || ' (x) [y]', '<[^>]*>', '', 'g'), '\[[\s\S]*', ''), '\([^)]*\)', '', 'g'), '[ \t\r\n]+', ' ', 'g'), '^[ ;,]+|[ ;,]+$', '', 'g') AS display FROM pages
 """, rows="H2")
 def display_clean(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit(" (x) [y]"))
-    return table(spark, d, "pages").select("page_id", X.clean_answerline(raw).alias("display"))
+    """Whole pages as if they were answer lines."""
+    return table(spark, d, "pages").select("page_id", X.clean_answerline(F.concat("html", F.lit(" (x) [y]"))).alias("display"))
 
 
 @query(r"""
-SELECT page_id, coalesce(nullif(list_filter(list_transform(regexp_extract_all(h, '(?i)<u>([^<]*)</u>', 1), lambda x: trim(x)), lambda x: x <> '')[1], ''), nullif(list_filter(list_transform(regexp_extract_all(h, '(?i)<b>([^<]*)</b>', 1), lambda x: trim(x)), lambda x: x <> '')[1], '')) AS core
-FROM (SELECT page_id, '<b>' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || 'z</b> [or <u> </u>]' AS h FROM pages)
+SELECT page_id, coalesce(list_filter(list_transform(regexp_extract_all(h, '(?is)<u>(.*?)</u>', 1), lambda x: trim(x)), lambda x: x <> '')[1], list_filter(list_transform(regexp_extract_all(h, '(?is)<b>(.*?)</b>', 1), lambda x: trim(x)), lambda x: x <> '')[1],
+ trim(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '[\[(][\s\S]*', ''))) AS core FROM (SELECT page_id, html || ' [or <u> </u>]' AS h FROM pages)
 """, rows="H4")
 def answer_core(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("<b>"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("z</b> [or <u> </u>]"))
-    return table(spark, d, "pages").select("page_id", X.answer_core(raw).alias("core"))
+    """The core of whole pages: their first bold words, or their text."""
+    return table(spark, d, "pages").select("page_id", X.answer_core(F.concat("html", F.lit(" [or <u> </u>]"))).alias("core"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || ' ' || p_type)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part", rows="H6")
@@ -78,7 +77,7 @@ def bonus_parts(spark: SparkSession, d: str) -> DataFrame:
     return Q.bonus_clues(rows, id_col="p_partkey", leadin_col="p_name", parts_col="parts", answers_col="answers")
 
 
-MARKED = "'<b>' || substr(text, 1, 60) || '<i>' || substr(text, 61, 60) || '</i></b> (*) ' || substr(text, 121, 200) || '<b>' || substr(text, 321, 40) || '</b>'"
+MARKED = "'<b>' || substr(text, 1, 60) || '<i>' || substr(text, 61, 60) || '</i></b> (*) ' || substr(text, 121, 200) || '<b>' || substr(text, 321, 40) || '</b>' || substr(text, 361)"
 
 
 @query(f"""
@@ -88,7 +87,7 @@ SELECT doc_id, contains(bold, substr(text, 1, 40)) AS starts_bold, contains(bold
 """, rows="H11")
 def markup_tests(spark: SparkSession, d: str) -> DataFrame:
     sub = lambda a, n: F.substring("text", a, n)
-    html = F.concat(F.lit("<b>"), sub(1, 60), F.lit("<i>"), sub(61, 60), F.lit("</i></b> (*) "), sub(121, 200), F.lit("<b>"), sub(321, 40), F.lit("</b>"))
+    html = F.concat(F.lit("<b>"), sub(1, 60), F.lit("<i>"), sub(61, 60), F.lit("</i></b> (*) "), sub(121, 200), F.lit("<b>"), sub(321, 40), F.lit("</b>"), sub(361, 1 << 30))
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", html.alias("html"))
     h = F.col("html")
     return rows.select(
