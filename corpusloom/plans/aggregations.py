@@ -11,6 +11,7 @@ from corpusloom.operators.ordered import attempts
 from corpusloom.plans.filters import hierarchy
 from corpusloom.plans.joins import P_KEY, TIER_CTE, answer_rows, tier_tables
 from corpusloom.operators.match import tiered
+from corpusloom.operators import verdicts as V
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import numbered, table
 
@@ -216,10 +217,8 @@ def section_vote(spark: SparkSession, d: str) -> DataFrame:
         *(F.when(F.contains(low, F.lit(w)), F.struct(F.lit(s).alias("s"), F.lit(4.0).alias("w"))) for s, w in words.items()),
         F.when(F.col("n_chars") >= 200, F.struct(F.col("lang").alias("s"), F.lit(5.0).alias("w"))),
     ))
-    v = docs.select("doc_id", F.explode(votes).alias("v")).groupBy("doc_id", F.col("v.s").alias("section")).agg(F.sum("v.w").alias("score"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "section")
-    r = v.withColumn("p", F.row_number().over(w)).withColumn("second", F.lead("score", 1, 0.0).over(w))
-    return r.where("p = 1 and score >= 3.0 and score >= 1.5 * second").select("doc_id", "section", "score")
+    cast = docs.select("doc_id", F.explode(votes).alias("v")).select("doc_id", F.col("v.s").alias("section"), F.col("v.w").alias("weight"))
+    return V.voted(cast, key="doc_id", choice="section", weight="weight")
 
 
 @query("""

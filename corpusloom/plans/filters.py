@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import bounded
+from corpusloom.operators import verdicts as V
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -167,14 +168,21 @@ def quality_rules(spark: SparkSession, d: str) -> DataFrame:
 SELECT source, CAST(count(*) FILTER (WHERE length(text) < 120 AND regexp_matches(text, '(?i)license|copyright|all rights reserved')) AS BIGINT) AS n_boilerplate, count(*) AS n FROM documents GROUP BY source
 """, rows="B19")
 def boilerplate_filter(spark: SparkSession, d: str) -> DataFrame:
-    hit = F.col("text").rlike("(?i)license|copyright|all rights reserved") & (F.length("text") < 120)
+    hit = V.is_boilerplate(F.col("text"), "(?i)license|copyright|all rights reserved")
     return table(spark, d, "documents").groupBy("source").agg(F.count_if(hit).alias("n_boilerplate"), F.count("*").alias("n"))
 
 
-@query("""
-SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host,
-       CASE WHEN contains(url, 'blog.') THEN 'pass' WHEN regexp_matches(url, '(m|www)[.]') THEN 'fail' ELSE 'pending' END AS verdict FROM pages
+GENERIC_SQL = "[" + ", ".join(f"'{g}'" for g in V.GENERIC) + "]"
+PARTICLES_SQL = ", ".join(f"'{p}'" for p in V.PARTICLES)
+
+
+@query(f"""
+WITH f AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages), a AS (SELECT *, lower(string_split(url, '/')[-1]) AS file, replace(host, '.', ' ') AS artist FROM f),
+ p AS (SELECT *, list_filter(string_split_regex(trim(artist), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({PARTICLES_SQL})) || [replace(artist, ' ', '_')] AS names FROM a)
+SELECT url, host, CASE WHEN len(list_filter(names, lambda x: contains(file, x))) > 0 THEN 'pass' WHEN regexp_matches(file, '^[a-z]+_[a-z]+_-_') OR contains(file, '_by_') OR len(list_filter({GENERIC_SQL}, lambda g: contains(file, g))) > 0 THEN 'fail' ELSE 'pending' END AS verdict FROM p
 """, rows="B24")
 def url_verdict(spark: SparkSession, d: str) -> DataFrame:
-    verdict = F.when(F.contains("url", F.lit("blog.")), "pass").when(F.col("url").rlike("(m|www)[.]"), "fail").otherwise("pending")
-    return table(spark, d, "pages").select("url", F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"), verdict.alias("verdict"))
+    """The last part of each address as a file's name, its host's words as the artist's."""
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))
+    file = F.element_at(F.split("url", "/"), -1)
+    return table(spark, d, "pages").select("url", host.alias("host"), V.filename_verdict(file, F.replace(host, F.lit("."), F.lit(" "))).alias("verdict"))

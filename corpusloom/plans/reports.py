@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, StringType
 from corpusloom.functions import answers, speech
 from corpusloom.functions import text as X
 from corpusloom.functions import reveal as R
+from corpusloom.operators import verdicts as V
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -102,12 +103,18 @@ def reveal_units(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size(u).cast("long").alias("n_units"), R.first_unit(u, R.POWER).alias("power"), R.first_unit(u, R.SUPERPOWER).alias("superpower"), F.size(F.filter(u, lambda x: x["slow"])).cast("long").alias("n_slow"))
 
 
-@query("""
-SELECT p_partkey, CAST(levenshtein(split_part(p_name, ' ', 1), split_part(p_type, ' ', 1)) AS INTEGER) AS distance, levenshtein(split_part(p_name, ' ', 1), split_part(p_type, ' ', 1)) <= length(split_part(p_name, ' ', 1)) // 3 AS ok FROM part
+HEARD = "CASE WHEN p_size % 5 = 0 THEN 'They' WHEN p_size % 5 = 1 THEN '' ELSE split_part(p_type, ' ', 1) END"
+
+
+@query(f"""
+WITH w AS (SELECT p_partkey, regexp_replace(lower({HEARD}), '[^a-z0-9]', '', 'g') AS h, regexp_replace(lower(split_part(p_name, ' ', 1)), '[^a-z0-9]', '', 'g') AS w FROM part)
+SELECT p_partkey, CASE WHEN w = '' THEN true WHEN h = '' THEN false WHEN h = w OR substr(h, 1, 1) = substr(w, 1, 1) THEN true
+ ELSE NOT ((length(w) >= 3 AND h IN ({", ".join(f"'{x}'" for x in V.FUNCTION_WORDS)})) OR (length(w) >= 4 AND length(h) >= 2 AND levenshtein(h, w) > 0.6 * length(w))) END AS ok FROM w
 """, rows="H24")
 def first_word_ok(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.substring_index("p_name", " ", 1), F.substring_index("p_type", " ", 1)
-    return table(spark, d, "part").select("p_partkey", F.levenshtein(a, b).alias("distance"), (F.levenshtein(a, b) <= F.floor(F.length(a) / 3)).alias("ok"))
+    """The first word of each part's name against one that was heard."""
+    heard = F.when(F.col("p_size") % 5 == 0, "They").when(F.col("p_size") % 5 == 1, "").otherwise(F.substring_index("p_type", " ", 1))
+    return table(spark, d, "part").select("p_partkey", V.first_word_ok(heard, V.first_content_word(F.col("p_name"))).alias("ok"))
 
 
 @query(None, rows="H22")
@@ -127,16 +134,19 @@ def text_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(substr(text, 1, CAST(ceil(length(text) * 0.4) AS BIGINT)), '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS h FROM documents WHERE length(text) > 0)
-SELECT doc_id, CAST(len(h) AS BIGINT) AS heard, md5(array_to_string(h[greatest(1, len(h) - 2):], ' ')) AS asked FROM s WHERE len(h) > 0
+WITH s AS (SELECT doc_id, n_chars, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS h FROM documents),
+ u AS (SELECT doc_id, n_chars, h, list_transform(h, lambda x: len(list_filter(string_split_regex(x, '[\t-\r \x{A0}]+'), lambda w: w <> ''))) AS n FROM s WHERE len(h) > 0),
+ c AS (SELECT *, list_sum(n) AS whole, CASE WHEN n_chars % 3 = 1 AND len(h) > 2 THEN len(h) - 2 ELSE 0 END AS start FROM u),
+ b AS (SELECT *, coalesce(list_sum(n[1:start]), 0) AS skipped FROM c),
+ f AS (SELECT *, greatest(0, least(whole - skipped, floor(0.4 * whole + 0.5) - skipped)) AS place FROM b),
+ l AS (SELECT *, CASE WHEN n_chars % 3 = 2 THEN len(h) - 1 ELSE least(len(h) - 1, start + len(list_filter(range(start + 1, len(h) + 1), lambda i: list_sum(n[start + 1:i]) < place))) END AS last FROM f)
+SELECT doc_id, CAST(last AS INTEGER) AS last_heard, CASE WHEN last = 0 THEN '0' WHEN last = 1 THEN '0' WHEN last = 2 THEN '1,0' ELSE (last - 1) || ',' || (last - 2) || ',' || (last - 3) END AS asked FROM l
 """, rows="C27")
 def missed_query(spark: SparkSession, d: str) -> DataFrame:
-    """What was heard up to a buzz at 40 %: its last three sentences."""
-    rows = table(spark, d, "documents").where(F.length("text") > 0)
-    heard = X.simple_sentences(F.expr("substring(text, 1, cast(ceil(length(text) * 0.4) as int))"))
-    s = rows.select("doc_id", heard.alias("h")).where(F.size("h") > 0)
-    last = F.slice("h", F.greatest(F.lit(1), F.size("h") - 2), F.lit(3))
-    return s.select("doc_id", F.size("h").cast("long").alias("heard"), F.md5(F.array_join(last, " ").cast("binary")).alias("asked"))
+    """What was missed at a buzz at 40 % of each document, or of its last two sentences, or without a buzz."""
+    docs = table(spark, d, "documents").select("doc_id", X.simple_sentences(F.col("text")).alias("h"), F.when(F.col("n_chars") % 3 != 2, 0.4).alias("bf"), F.when(F.col("n_chars") % 3 == 1, 2).alias("sent"))
+    found = V.missed(docs.where(F.size("h") > 0), sentences="h", depth="bf", read="sent")
+    return found.select("doc_id", "last_heard", F.array_join(F.transform("asked", lambda q: q.cast("string")), ",").alias("asked"))
 
 
 @query(r"""
