@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,6 +57,24 @@ def drill_key_udf(s: pd.Series) -> pd.Series:
     return s.map(drill_key)
 
 
+def _ascii_apart(c: Column | str, plain: Callable[[Column], Column], other: Callable[[Column], Column]) -> Column:
+    """ASCII texts by built-ins; only others reach Python, the rest go there as nulls."""
+    c = F.col(c) if isinstance(c, str) else c
+    ascii_only = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(ascii_only, plain(c)).otherwise(other(F.when(~ascii_only, c)))
+
+
+def key(c: Column | str) -> Column:
+    """Match key of any text."""
+    return _ascii_apart(c, ascii_key, match_key_udf)
+
+
+def answer_drill_key(c: Column | str) -> Column:
+    """Key of any answer, with underscores as blanks."""
+    plain = lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")), ARTICLE, "")
+    return _ascii_apart(c, plain, drill_key_udf)
+
+
 def clean_answerline(c: Column) -> Column:
     """Display form: tags stripped, cut at the first bracket, round brackets dropped, blanks collapsed, edges trimmed."""
     c = F.regexp_replace(c, r"<[^>]*>", "")

@@ -25,6 +25,6 @@ def bonus_clues(bonuses: DataFrame, *, id_col: str, leadin_col: str, parts_col:
 def alternative_keys(answers: DataFrame, *, id_col: str, answer_col: str) -> DataFrame:
     """(id, place, key): match keys of an answer line, the primary one first, each key once."""
     rows = answers.select(id_col, F.posexplode(X.alternatives(F.col(answer_col))).alias("at", "name"))
-    keys = rows.select(id_col, "at", X.match_key_udf("name").alias("key")).where("key <> ''")
+    keys = rows.select(id_col, "at", X.key("name").alias("key")).where("key <> ''")
     first = keys.groupBy(id_col, "key").agg(F.min("at").alias("at"))
     return first.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("at")) - 1).cast("int").alias("place"), "key")

@@ -17,7 +17,7 @@ from corpusloom.sources.tables import table
 
 @query(f"SELECT p_partkey, {KEY_SQL.format('p_name')} AS key, {KEY_SQL.format('p_type')} AS type_key FROM part", rows="H1")
 def key_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", X.match_key_udf("p_name").alias("key"), X.match_key_udf("p_type").alias("type_key"))
+    return table(spark, d, "part").select("p_partkey", X.key("p_name").alias("key"), X.key("p_type").alias("type_key"))
 
 
 @query(f"SELECT c_custkey, {KEY_SQL.format('c_name')} AS key, {KEY_SQL.format('c_mktsegment')} AS segment_key FROM customer", rows="H1")
@@ -27,7 +27,7 @@ def key_ascii(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS key FROM supplier", rows="H3")
 def drill_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select("s_suppkey", X.drill_key_udf("s_name").alias("key"))
+    return table(spark, d, "supplier").select("s_suppkey", X.answer_drill_key("s_name").alias("key"))
 
 
 @query(r"""

@@ -40,6 +40,13 @@ def test_ascii_names_stay_out_of_python(session):
     assert [r.key for r in df.collect()] == ["bee", "e"]
 
 
+def test_keys_of_any_text(session):
+    names = [*NAMES, "a\tb\x1fc", "__A__", "the", "an  Ox", "A1b2"]
+    df = session.createDataFrame([(n,) for n in names], "name string")
+    got = df.select(text.key("name").alias("key"), text.answer_drill_key("name").alias("drill")).collect()
+    assert [(r.key, r.drill) for r in got] == [(text.match_key(n), text.drill_key(n)) for n in names]
+
+
 def test_judge_in_sql(session):
     line = "<b><u>Moby Dick</u></b> [prompt on whale]"
     for given in ("moby dick", "whale", "cow", None):
