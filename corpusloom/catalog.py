@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusloom.plans import (  # noqa: F401
     aggregations,
+    builds,
     clues,
     curation,
     filters,

@@ -174,7 +174,7 @@ def edge_degrees(spark: SparkSession, d: str) -> DataFrame:
 WITH rem AS (SELECT o_custkey, count(*) AS left_ FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
 SELECT o_orderkey, o_custkey, left_ FROM orders LEFT JOIN rem USING (o_custkey)
 WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY) ORDER BY left_, o_custkey, o_orderkey LIMIT 100
-""", rows="C22 I6 J5")
+""", rows="C22")
 def lease_claim(spark: SparkSession, d: str) -> DataFrame:
     """The first hundred open or expired items, sets with fewest items left first; the limit is the claim's size."""
     orders = table(spark, d, "orders")
