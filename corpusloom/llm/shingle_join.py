@@ -10,9 +10,10 @@ checked against the texts' whole sets:
 2. texts that share a rare shingle follow.  Shingles have one order for all texts,
    those that a sample holds often last; the smallest common shingle of two similar
    texts lies among the first n - ceil(0.8 n) + 1 of each (prefix filter).  Under
-   every shingle a text is compared with its neighbour by size and with the smallest
-   text, if they lie in different components yet.
-3. Texts of different components that still share such a shingle are compared.
+   every shingle a text is compared with the smallest text, and then with its neighbour
+   by size, if they lie in different components yet.
+3. Texts of different components that still share such a shingle are compared if their
+   parity bits, folded to half, allow it, which is decided before a pair is made.
 
 The sample decides the order alone, which any order would serve.  A shingle that
 the sample holds often is split over several tasks in step 2.
@@ -168,15 +169,26 @@ class Verifier:
         over, under = LEAST
         both = F.col("n_a") + F.col("n_b")
         bits = self.wanted(pairs, self.distinct.select("key", "n", F.col("bits").alias("held")))
-        differ = F.aggregate(F.zip_with("held_a", "held_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        # of n_a + n_b shingles, counted in each set, at most this share can be in one set alone
-        pairs = cut(self.both(pairs, bits).where(differ * (over + under) <= (under - over) * both).select("a", "b"))
+        pairs = cut(self.both(pairs, bits).where(bits_allow(F.col("held_a"), F.col("held_b"), PARITY, both)).select("a", "b"))
         if not pairs.limit(1).count():
             return pairs
         similar = F.size(F.array_intersect("held_a", "held_b")) * (over + under) >= over * both
         return cut(self.both(pairs, self.sets(pairs)).where(similar).select("a", "b"))
 
 
+def folded(bits):
+    """The parity bits of half as many classes."""
+    half = PARITY // 2
+    return F.array(*(F.get(bits, F.lit(k)).bitwiseXOR(F.get(bits, F.lit(k + half))) for k in range(half)))
+
+
+def bits_allow(x, y, words: int, both):
+    """Whether sets of ``both`` shingles in all, counted in each, can be similar by parity bits of ``words`` words."""
+    over, under = LEAST
+    differ = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(words)), F.lit(0))
+    return differ * (over + under) <= (under - over) * both
+
+
 def ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
@@ -216,11 +228,13 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame
     shared = written(near.where("before is not null or more or split").drop("more"), "shared")
     firsts = shared.where("split and before is null").select("token", "me", F.first("me").over(Window.partitionBy("token").orderBy("me")).alias("first"))
 
-    roots = cut(components(edges)).withColumnRenamed("node", "key")
     later = shared.where("before is not null")
-    seen = pairs_of(later, "me", "before").unionByName(pairs_of(later, "me", "first")).unionByName(pairs_of(firsts, "me", "first")).distinct()
-    seen = cut(placed(placed(seen, "a"), "b").where("root_a <> root_b").select("a", "b"))
-    edges = edges.unionByName(verified(seen))
+    seen = None
+    for found in (pairs_of(later, "me", "first").unionByName(pairs_of(firsts, "me", "first")), pairs_of(later, "me", "before")):
+        roots = cut(components(edges)).withColumnRenamed("node", "key")
+        new = cut(placed(placed(found.distinct(), "a"), "b").where("root_a <> root_b").select("a", "b"))
+        edges = edges.unionByName(verified(new))
+        seen = new if seen is None else seen.unionByName(new)
 
     roots = cut(components(edges)).withColumnRenamed("node", "key")
     held = shared.select("token", "me", F.col("me.key").alias("key"))
@@ -229,8 +243,11 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame
     mine = cut(mine.join(torn, "token", "left_semi"))
     groups = mine.select("token", "root").distinct()
     cross = groups.withColumnRenamed("root", "root_x").join(groups.withColumnRenamed("root", "root_y"), "token").where("root_x < root_y")
+    bits = distinct.select("key", folded(F.col("bits")).alias("bits"))
+    mine = mine.withColumn("key", F.col("me.key")).join(bits, "key").select("token", "root", F.struct("me.n", "me.key", "me.place", "bits").alias("me"))
     x, y = (mine.select("token", F.col("root").alias(f"root_{k}"), F.col("me").alias(k)) for k in "xy")
-    other = pairs_of(cross.join(x, ["token", "root_x"]).join(y, ["token", "root_y"]), "x", "y").distinct()
+    met = cross.join(x, ["token", "root_x"]).join(y, ["token", "root_y"]).where(bits_allow(F.col("x.bits"), F.col("y.bits"), PARITY // 2, F.col("x.n") + F.col("y.n")))
+    other = pairs_of(met, "x", "y").distinct()
     return edges.unionByName(verified(cut(other.join(seen, ["a", "b"], "left_anti"))))
 
 
