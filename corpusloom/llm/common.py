@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -52,6 +53,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcasts of frames that are no longer referred to.
+
+    It does so when the driver's JVM collects its garbage, which with little driver work may be
+    long after; a job of many steps would keep the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents_of(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text (string), whatever else the frame holds."""
     return df.select(

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents_of, map_batches, release, slices, written
+from .common import cut, documents_of, free_shuffles, map_batches, release, slices, written
 from .simhash import components, keep_first, links, majority, shingle_hashes, with_class
 
 WORDS = 5
@@ -208,6 +208,7 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame
     over, under = LEAST
     verified = Verifier(docs, distinct, words)
     edges = verified(trie_pairs(distinct))
+    free_shuffles(docs.sparkSession)
 
     def placed(rows: DataFrame, on: str) -> DataFrame:
         """``rows`` with the component so far of the key ``on``."""
@@ -226,6 +227,7 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame
     by = Window.partitionBy("token", "part").orderBy("me")
     near = tokens.select("*", F.lag("me").over(by).alias("before"), F.lead("token").over(by).isNotNull().alias("more"), F.first("me").over(by).alias("first"))
     shared = written(near.where("before is not null or more or split").drop("more"), "shared")
+    free_shuffles(docs.sparkSession)
     firsts = shared.where("split and before is null").select("token", "me", F.first("me").over(Window.partitionBy("token").orderBy("me")).alias("first"))
 
     later = shared.where("before is not null")
@@ -235,12 +237,14 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame
         new = cut(placed(placed(found.distinct(), "a"), "b").where("root_a <> root_b").select("a", "b"))
         edges = edges.unionByName(verified(new))
         seen = new if seen is None else seen.unionByName(new)
+        free_shuffles(docs.sparkSession)
 
     roots = cut(components(edges)).withColumnRenamed("node", "key")
     held = shared.select("token", "me", F.col("me.key").alias("key"))
     mine = held.join(roots, "key", "left").select("token", F.coalesce("root", "key").alias("root"), "me")
     torn = mine.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     mine = cut(mine.join(torn, "token", "left_semi"))
+    free_shuffles(docs.sparkSession)
     groups = mine.select("token", "root").distinct()
     cross = groups.withColumnRenamed("root", "root_x").join(groups.withColumnRenamed("root", "root_y"), "token").where("root_x < root_y")
     bits = distinct.select("key", folded(F.col("bits")).alias("bits"))
