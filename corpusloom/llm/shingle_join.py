@@ -9,11 +9,15 @@ checked against the texts' whole sets:
    differ by about ten of 64 bits, which no trie walk can reach, so
 2. texts that share a rare shingle follow.  Shingles have one order for all texts,
    those that a sample holds often last; the smallest common shingle of two similar
-   texts lies among the first n - ceil(0.8 n) + 1 of each (prefix filter).  Under
-   every shingle a text is compared with the smallest text, and then with its neighbour
-   by size, if they lie in different components yet.
-3. Texts of different components that still share such a shingle are compared if their
-   parity bits, folded to half, allow it, which is decided before a pair is made.
+   texts lies among the first n - ceil(0.8 n) + 1 of each (prefix filter), and among the
+   first n / 9 + 1 of the smaller.  Under every shingle a text is compared with the text
+   in which it comes earliest, as that has fewest shingles of its own, and then with its
+   neighbour by size, if they lie in different components yet.
+3. Of different components that still share such a shingle, early in the smaller text and
+   in two texts of near sizes, those are compared whose sizes and places, and then whose
+   parity bits, folded to half, allow it; all that is decided before a pair is made.  Texts
+   that changed too much of a common original to be similar keep its shingles behind their
+   own ones, and so don't meet.
 
 The sample decides the order alone, which any order would serve.  A shingle that
 the sample holds often is split over several tasks in step 2.
@@ -32,6 +36,8 @@ whatever their names, are carried by ``keep_one`` and ignored elsewhere.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,6 +52,8 @@ WORDS = 5
 LEAST = (4, 5)
 #: 64-bit words of a set's parity bits.
 PARITY = 16
+#: How much wider a class of sizes is than similar texts differ, so that rounding can't part them.
+CLASS = 1.01
 SAMPLE_ROWS = 20_000
 MOST_HEAVY = 200_000
 #: Texts that share a shingle and are compared in one task, about.
@@ -222,17 +230,25 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame
         return possible.select(*ordered(f"{x}.key", f"{y}.key"))
 
     me = F.struct("n", "key", "place")
+    leads = F.col("me.place") * (over + under) <= (under - over) * F.col("me.n")  # the place that the smaller of two texts can have
     tokens = distinct.select("key", "n", "parts", F.posexplode("prefix").alias("place", "token"))
     tokens = tokens.select("token", F.pmod("key", F.element_at("parts", F.col("place") + 1)).cast("int").alias("part"), (F.element_at("parts", F.col("place") + 1) > 1).alias("split"), me.alias("me"))
     by = Window.partitionBy("token", "part").orderBy("me")
-    near = tokens.select("*", F.lag("me").over(by).alias("before"), F.lead("token").over(by).isNotNull().alias("more"), F.first("me").over(by).alias("first"))
-    shared = written(near.where("before is not null or more or split").drop("more"), "shared")
+    near = tokens.select(
+        "*",
+        F.lag("me").over(by).alias("before"),
+        F.lead("me.n").over(by).alias("next"),
+        F.last(F.when(leads, F.col("me.n")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("least"),
+    )
+    near = near.withColumn("hub", F.min(F.struct("me.place", "me.n", "me.key")).over(Window.partitionBy("token", "part")))
+    above = F.coalesce(F.col("least") * under >= F.col("me.n") * over, F.lit(False))
+    below = F.coalesce(leads & (F.col("next") * over <= F.col("me.n") * under), F.lit(False))
+    shared = written(near.where(above | below | F.col("split")).select("token", "split", "me", "before", "hub"), "shared")
     free_shuffles(docs.sparkSession)
-    firsts = shared.where("split and before is null").select("token", "me", F.first("me").over(Window.partitionBy("token").orderBy("me")).alias("first"))
+    hubs = shared.where(F.col("split") & (F.col("hub.key") == F.col("me.key"))).select("token", "me", F.min("hub").over(Window.partitionBy("token")).alias("hub"))
 
-    later = shared.where("before is not null")
     seen = None
-    for found in (pairs_of(later, "me", "first").unionByName(pairs_of(firsts, "me", "first")), pairs_of(later, "me", "before")):
+    for found in (pairs_of(shared, "me", "hub").unionByName(pairs_of(hubs, "me", "hub")), pairs_of(shared.where("before is not null"), "me", "before")):
         roots = cut(components(edges)).withColumnRenamed("node", "key")
         new = cut(placed(placed(found.distinct(), "a"), "b").where("root_a <> root_b").select("a", "b"))
         edges = edges.unionByName(verified(new))
@@ -242,15 +258,29 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame
     roots = cut(components(edges)).withColumnRenamed("node", "key")
     held = shared.select("token", "me", F.col("me.key").alias("key"))
     mine = held.join(roots, "key", "left").select("token", F.coalesce("root", "key").alias("root"), "me")
-    torn = mine.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    mine = cut(mine.join(torn, "token", "left_semi"))
+    # the larger of two similar texts lies in the size class of the smaller one or in the next
+    size = F.floor(F.log("me.n") / math.log(CLASS * under / over)).cast("int")
+    sides = mine.select("token", "root", "me", F.inline(F.array_compact(F.array(
+        F.when(leads, F.struct(size.alias("size"), F.lit(True).alias("lead"))),
+        F.struct(size.alias("size"), F.lit(False).alias("lead")),
+        F.struct((size - 1).alias("size"), F.lit(False).alias("lead")),
+    ))))
+    torn = sides.groupBy("token", "size").agg(F.min(F.when(F.col("lead"), F.col("root"))).alias("led"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("led is not null and lo < hi").select("token", "size")
+    sides = cut(sides.join(torn, ["token", "size"], "left_semi"))
     free_shuffles(docs.sparkSession)
-    groups = mine.select("token", "root").distinct()
-    cross = groups.withColumnRenamed("root", "root_x").join(groups.withColumnRenamed("root", "root_y"), "token").where("root_x < root_y")
+    # what a group's texts can reach as one: four times the size of the largest other text, and its own sizes
+    reach = (over + under) * (F.col("me.n") - F.col("me.place")) - over * F.col("me.n")
+    rank = F.struct("me.n", "me.key")
+    groups = sides.groupBy("token", "size", "root", "lead").agg(F.max(reach).alias("reach"), F.min(rank).alias("lo"), F.max(rank).alias("hi"))
+    of = lambda rows, lead, k, *more: rows.where("lead" if lead else "not lead").select("token", "size", F.col("root").alias(f"root_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
+    cross = of(groups, True, "x", "reach", "lo", "hi").join(of(groups, False, "y", "reach", "lo", "hi"), ["token", "size"])
+    cross = cross.where(
+        f"root_x <> root_y and lo_x < hi_y and hi_x.n * {under} >= lo_y.n * {over} and reach_x >= {over} * lo_y.n and reach_y >= {over} * lo_x.n"
+    ).select("token", "size", "root_x", "root_y")
     bits = distinct.select("key", folded(F.col("bits")).alias("bits"))
-    mine = mine.withColumn("key", F.col("me.key")).join(bits, "key").select("token", "root", F.struct("me.n", "me.key", "me.place", "bits").alias("me"))
-    x, y = (mine.select("token", F.col("root").alias(f"root_{k}"), F.col("me").alias(k)) for k in "xy")
-    met = cross.join(x, ["token", "root_x"]).join(y, ["token", "root_y"]).where(bits_allow(F.col("x.bits"), F.col("y.bits"), PARITY // 2, F.col("x.n") + F.col("y.n")))
+    sides = sides.withColumn("key", F.col("me.key")).join(bits, "key").select("token", "size", "root", "lead", F.struct("me.n", "me.key", "me.place", "bits").alias("me"))
+    met = cross.join(of(sides, True, "x", "me").withColumnRenamed("me_x", "x"), ["token", "size", "root_x"]).join(of(sides, False, "y", "me").withColumnRenamed("me_y", "y"), ["token", "size", "root_y"])
+    met = met.where((F.struct("x.n", "x.key") < F.struct("y.n", "y.key")) & bits_allow(F.col("x.bits"), F.col("y.bits"), PARITY // 2, F.col("x.n") + F.col("y.n")))
     other = pairs_of(met, "x", "y").distinct()
     return edges.unionByName(verified(cut(other.join(seen, ["a", "b"], "left_anti"))))
 

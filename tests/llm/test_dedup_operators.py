@@ -400,3 +400,29 @@ def test_stages_on_odd_rows_against_plain_results(spark, sf):
         assert [x for _, part in sorted(pieces[i]) for x in part] == [*library.encode(text or "", add_special_tokens=False).ids, 1]
     for name, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_texts_that_changed_too_much_of_one_original_do_not_meet(spark, monkeypatch):
+    from corpusloom.llm import shingle_join
+
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(40):
+        words = list(base)
+        for at in (5 + k % 7, 35 + k % 11, 65 + k % 13, 95 + k % 17):  # 20 of 116 shingles each
+            words[at] = f"own{k}_{at}"
+        texts.append(" ".join(words))
+    held = []
+
+    def counted(df):
+        out = real(df)
+        if "token" in out.columns:
+            held.append(out.count())
+        return out
+
+    real = shingle_join.cut
+    monkeypatch.setattr(shingle_join, "cut", counted)
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:2], texts[3] + " more"])), "doc_id long, text string")
+    found = dict(shingle_join.near_duplicates(docs).collect())
+    assert found == {**{k: k for k in range(40)}, 40: 0, 41: 1, 42: 3}
+    assert held == [0]
