@@ -5,9 +5,10 @@ a half give ``words * words`` cells; what is left of a vector is kept as a byte
 each of ``PARTS`` parts of it.  A query walks centroid pairs in the order of their
 summed squared distances, from a heap, until the cells hold a share of all entries.
 Entries of these cells, and no others, are ranked by their codes with tables of one number
-for each code, and the ``shortlist`` best, about the fourth root of the table in number, are
-reranked by the exact distance.  Sums run in the same order in every task, so equal vectors
-have equal ranks wherever they lie, and the smaller ids come first.
+for each code.  Of each bucket the ``shortlist`` best, at least a quarter of those ranked, are
+reranked by the exact distance in the same task: where vectors lie much closer together than
+their codes can tell, few best codes don't hold the nearest.  Only a bucket's nearest leave
+the task.
 
 The codebooks are fitted on a bounded sample (``SAMPLE`` rows, chosen by a hash); the
 share to walk is the one at which sampled queries meet ``target`` of their nearest
@@ -49,6 +50,8 @@ TRIES = 256
 TARGET = 0.96
 #: Entries of a bucket, about.
 BUCKET_ROWS = 200_000
+#: One in so many of a bucket's ranked entries is reranked at least.
+RERANKED = 4
 #: Components are clipped here, in units of the table's scale, before they are quantised.
 REACH = 1e12
 
@@ -97,7 +100,7 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         odd = np.flatnonzero(~((total > 1e-280) & (total < 1e280)))
         out = np.sqrt(total)
         if len(odd):
-            half = x[odd] / 2 - y[odd] / 2
+            half = x[odd] / 2 - (y if y.ndim == 1 else y[odd]) / 2
             most = np.abs(half).max(1)
             unit = half / np.where(most > 0, most, 1.0)[:, None]
             out[odd] = 2 * most * np.sqrt((unit * unit).sum(1))
@@ -231,7 +234,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found to each row of ``vectors`` that ``is_query`` marks.
 
-    ``shortlist`` entries a query are reranked; by default ``shortlist_size`` of the number of rows.
+    ``shortlist`` entries a query and bucket, or a quarter of them if that is more, are reranked; by default ``shortlist_size`` of the number of rows.
     ``touched`` counts the entries whose codes are compared.
     """
     spark = vectors.sparkSession
@@ -266,14 +269,14 @@ def search(
     buckets = max(shuffle_partitions(spark), -(-int(counts.sum()) // BUCKET_ROWS))
     in_order = np.lexsort((np.tile(along(book.c2), len(book.c1)), np.repeat(along(book.c1), len(book.c2))))
     parts, first, of_part = deal(counts, in_order, buckets)
-    names = ["bucket", "asks", "row", "vec_id", "cell", "part", "codes", "rest", "probes"]
+    names = ["bucket", "asks", "row", "vec_id", "cell", "part", "codes", "rest", "probes", "v"]
 
     def entries():
         def step(batch: pa.RecordBatch):
             cell = np.asarray(batch.column(2))
             part = first[cell] + (np.asarray(batch.column(0)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[cell]
             none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
-            cols = [pa.array(of_part[part].astype(np.int32)), pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), batch.column(1), batch.column(2), pa.array(part), batch.column(3), batch.column(4), none]
+            cols = [pa.array(of_part[part].astype(np.int32)), pa.array(np.zeros(batch.num_rows, np.int8)), batch.column(0), batch.column(1), batch.column(2), pa.array(part), batch.column(3), batch.column(4), none, batch.column(5)]
             yield pa.record_batch(cols, names=names)
 
         return step
@@ -293,12 +296,12 @@ def search(
                     probes.append(np.sort(p[group]))
             at, n = pa.array(np.array(who)), len(who)
             raw = pa.array([v.tobytes() for v in x], pa.binary())
-            cols = [pa.array(np.array(where, np.int32)), pa.array(np.ones(n, np.int8)), batch.column(0).take(at), batch.column(1).take(at), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), raw.take(at), pa.nulls(n, pa.float64()), pa.array(probes, pa.list_(pa.int64()))]
+            cols = [pa.array(np.array(where, np.int32)), pa.array(np.ones(n, np.int8)), batch.column(0).take(at), batch.column(1).take(at), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), raw.take(at), pa.nulls(n, pa.float64()), pa.array(probes, pa.list_(pa.int64())), batch.column(2).take(at)]
             yield pa.record_batch(cols, names=names)
 
         return step
 
-    def rank_codes(batches):
+    def rank(batches):
         """The entries of a bucket come first; then its queries, batch by batch, each compared with its probes."""
         held, ready = [], False
         for batch in batches:
@@ -306,21 +309,21 @@ def search(
             n = int((~asking).sum())
             if n:
                 e = batch.slice(0, n)
-                held.append((*(np.asarray(e.column(c)) for c in (2, 3, 4, 5, 7)), np.frombuffer(b"".join(e.column(6).to_pylist()), np.uint8).reshape(n, -1)))
+                held.append((*(np.asarray(e.column(c)) for c in (2, 3, 4, 5, 7)), np.frombuffer(b"".join(e.column(6).to_pylist()), np.uint8).reshape(n, -1), matrix(e.column(9))))
             q = batch.slice(n)
             if not q.num_rows or not (held or ready):
                 continue
             if not ready:
-                row, ids, cell, part, rest, codes = (np.concatenate(c) for c in zip(*held))
+                row, ids, cell, part, rest, codes, x = (np.concatenate(c) for c in zip(*held))
                 order = np.lexsort((row, ids, part))
-                row, ids, cell, part, rest = row[order], ids[order], cell[order], part[order], rest[order]
+                row, ids, cell, part, rest, x = row[order], ids[order], cell[order], part[order], rest[order], x[order]
                 codes, ready, held = np.ascontiguousarray(codes[order].T), True, []
             for at in range(0, q.num_rows, 64):
                 some = q.slice(at, 64)
                 v = np.frombuffer(b"".join(some.column(6).to_pylist()), np.float64).reshape(some.num_rows, -1)
                 (d1, d2), tables = book.to_words(v), book.tables(v)
-                whole = some.column(2).to_pylist()
-                found, roughs = [], []
+                whole, asked = some.column(2).to_pylist(), matrix(some.column(9))
+                found, scores = [], []
                 for k, probes in enumerate(some.column(8)):
                     probes = np.asarray(probes.values)
                     a, b = np.searchsorted(part, probes), np.searchsorted(part, probes, side="right")
@@ -331,33 +334,24 @@ def search(
                         rough -= table[k][own[idx]]
                     if touched is not None:
                         touched.add(len(idx))
-                    if len(idx) > keep:
-                        near = np.flatnonzero(rough <= np.partition(rough, keep - 1)[keep - 1])
-                        near = near[np.lexsort((row[idx[near]], ids[idx[near]], rough[near]))[:keep]]
-                        idx, rough = idx[near], rough[near]
-                    found.append(idx)
-                    roughs.append(rough)
+                    most = max(keep, -(-len(idx) // RERANKED))
+                    if len(idx) > most:
+                        near = np.flatnonzero(rough <= np.partition(rough, most - 1)[most - 1])
+                        idx = idx[near[np.lexsort((row[idx[near]], ids[idx[near]], rough[near]))[:most]]]
+                    score = distances(x[idx], asked[k])
+                    near = np.lexsort((row[idx], ids[idx], score))[:k_nearest]
+                    found.append(idx[near])
+                    scores.append(score[near])
                 of, idx = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
                 yield pa.record_batch(
-                    [some.column(2).take(pa.array(of)), some.column(3).take(pa.array(of)), pa.array(row[idx]), pa.array(ids[idx]), pa.array(np.concatenate(roughs))],
-                    names=["query", "query_id", "row", "vec_id", "rough"],
+                    [some.column(2).take(pa.array(of)), some.column(3).take(pa.array(of)), pa.array(row[idx]), pa.array(ids[idx]), pa.array(np.concatenate(scores))],
+                    names=["query", "query_id", "row", "vec_id", "score"],
                 )
 
-    def exact():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            score = distances(matrix(batch.column(4)), matrix(batch.column(5)))
-            return pa.record_batch([*batch.columns[:4], pa.array(score)], names=["query", "query_id", "row", "vec_id", "score"])
-
-        return step
-
-    kinds = "bucket int, asks byte, row long, vec_id long, cell long, part long, codes binary, rest double, probes array<long>"
-    spread = map_batches(index.select("row", "vec_id", "cell", "codes", "rest"), entries, kinds).unionByName(
+    kinds = "bucket int, asks byte, row long, vec_id long, cell long, part long, codes binary, rest double, probes array<long>, v array<double>"
+    spread = map_batches(index.select("row", "vec_id", "cell", "codes", "rest", "v"), entries, kinds).unionByName(
         map_batches(index.where("is_query").select("row", "vec_id", "v"), asks, kinds)
     )
-    local = spread.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("asks").mapInArrow(rank_codes, "query long, query_id long, row long, vec_id long, rough double")
-    by_codes = Window.partitionBy("query").orderBy("rough", "vec_id", "row")
-    best = local.withColumn("place", F.row_number().over(by_codes)).where(F.col("place") <= keep).select("query", "query_id", "row", "vec_id")
-    pairs = best.join(index.select("row", "v"), "row").join(index.where("is_query").select(F.col("row").alias("query"), F.col("v").alias("q")), "query")
-    scored = map_batches(pairs.select("query", "query_id", "row", "vec_id", "v", "q"), exact, "query long, query_id long, row long, vec_id long, score double")
+    found = spread.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("asks").mapInArrow(rank, "query long, query_id long, row long, vec_id long, score double")
     order = Window.partitionBy("query").orderBy("score", "vec_id", "row")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k_nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k_nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -426,3 +426,17 @@ def test_texts_that_changed_too_much_of_one_original_do_not_meet(spark, monkeypa
     found = dict(shingle_join.near_duplicates(docs).collect())
     assert found == {**{k: k for k in range(40)}, 40: 0, 41: 1, 42: 3}
     assert held == [0]
+
+
+def test_multi_index_recall_of_vectors_of_many_lengths(spark):
+    """Short vectors lie closer together than codes made for long ones can tell."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 64))
+    x *= 10.0 ** rng.uniform(-5, 3, size=(6000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    hits = 0
+    for r in multi_index.search(df, F.col("vec_id") % 100 == 0).collect():
+        far = np.sqrt(((x - x[r.query_id]) ** 2).sum(1))
+        far[r.query_id] = np.inf
+        hits += r.score <= np.sort(far)[9] * (1 + 1e-12)
+    assert hits >= 0.9 * 600
