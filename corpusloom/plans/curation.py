@@ -58,14 +58,34 @@ def work_tiers(spark: SparkSession, d: str) -> DataFrame:
     return o.select("l_orderkey", F.when(F.col("n") == 1, "single").when((F.col("n") <= 3) & (F.col("q") >= 40), "thin").otherwise("rich").alias("tier"))
 
 
+def nearest_of_group(rows: DataFrame, k: int) -> DataFrame:
+    """(a, b, rank): the ``k`` others of the group ``s_nationkey`` with the nearest ``x``, ties to the smaller id; without a distance last.
+
+    Of one value only its first k + 1 ids can count, and of other values the k on either side.
+    """
+    first = lambda *by: F.row_number().over(Window.partitionBy("s_nationkey", *by).orderBy("id")) <= k + 1
+    listed = lambda df, *by: df.groupBy("s_nationkey", *by).agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("same"))
+    values = listed(rows.where("x is not null").withColumn("first", first("x")).where("first"), "x")
+    order = Window.partitionBy("s_nationkey").orderBy("x")
+    beside = [f("same", n).over(order) for f in (F.lag, F.lead) for n in range(1, k + 1)]
+    values = values.select("s_nationkey", "x", F.flatten(F.array_compact(F.array("same", *beside))).alias("near"))
+    # those without a balance, and the first of all for them
+    ends = listed(rows.withColumn("first", first(F.col("x").isNull())).where("first")).withColumnRenamed("same", "ends")
+    unlike = F.isnull("x") | F.isnan("x")
+    found = rows.join(values, ["s_nationkey", "x"], "left").join(ends, "s_nationkey")
+    ends_of = F.when(unlike, F.col("ends")).otherwise(F.filter("ends", lambda e: e["x"].isNull()))
+    every = F.array_distinct(F.concat(F.coalesce("near", F.array().cast("array<struct<id:bigint,x:double>>")), ends_of))
+    pairs = found.select(F.col("id").alias("a"), "x", F.explode(F.transform(every, lambda e: F.struct(e["id"].alias("b"), e["x"].alias("y")))).alias("e")).select("a", "x", "e.*").where("a <> b")
+    return top_k(pairs, "a", [F.asc_nulls_last(F.abs(F.col("x") - F.col("y"))), F.col("b")], k)
+
+
 @query("""
 SELECT a.s_suppkey AS a, b.s_suppkey AS b, CAST(row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS INTEGER) AS rank FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey QUALIFY rank <= 5
 """, rows="B26")
 def same_category_related(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier")
-    a, b = s.select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x"), "s_nationkey"), s.select(F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"), "s_nationkey")
-    pairs = a.join(b, "s_nationkey").where("a <> b")
-    return top_k(pairs, "a", [F.abs(F.col("x") - F.col("y")), F.col("b")], 5).select("a", "b", "rank")
+    """The five nearest balances of the same nation, from those next to one's own in their order; no pairs of a whole nation are made."""
+    s = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x")).where("s_nationkey is not null and id is not null")
+    return nearest_of_group(s, 5).select("a", "b", "rank")
 
 
 @query("SELECT CAST(pos AS BIGINT) AS pos, p_partkey FROM (SELECT row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos, * FROM part) WHERE p_size = 10", rows="B27")
