@@ -139,9 +139,12 @@ def zip_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, array_to_string(list_distinct_in_order, ',') AS years FROM (SELECT doc_id, list_filter(y, lambda x, i: list_position(y, x) = i) AS list_distinct_in_order FROM (SELECT doc_id, regexp_extract_all(text, '\b(1[0-9]{3}|20[0-9]{2})\b', 1) AS y FROM documents WHERE text IS NOT NULL)) WHERE len(list_distinct_in_order) > 0
+WITH t AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F\PL]|[^\x00-\x7F\P{Nd}]', '_', 'g') AS t FROM documents WHERE text IS NOT NULL),
+ y AS (SELECT doc_id, list_transform(regexp_extract_all(t, '\b(1[0-9]{3}|20[0-2][0-9])\b', 1), lambda v: CAST(v AS INTEGER)) || list_transform(regexp_extract_all(t, '(?i)\b([0-9]{1,4})[\s\x0B]*(?:BCE?|B\.C\.?)\b', 1), lambda v: -CAST(v AS INTEGER)) AS y FROM t)
+SELECT doc_id, array_to_string(list_filter(y, lambda x, i: list_position(y, x) = i), ',') AS years FROM y WHERE len(y) > 0
 """, rows="I5")
 def year_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Years that a text names, 1000 to 2029 and BC ones, as whole words in letters of any alphabet."""
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", X.years(F.col("text")).alias("y"))
     return rows.where(F.size("y") > 0).select("doc_id", F.array_join("y", ",").alias("years"))
 
