@@ -18,3 +18,32 @@ def test_nearest_balances_without_all_pairs(spark):
     assert {tuple(r) for r in found.select("a", "b", "rank").collect()} == want
     joins = found._jdf.queryExecution().optimizedPlan().toString().count("Join")
     assert joins == 2  # rows meet the lists of their value and of their group, not each other
+
+
+def test_nearest_codes_of_a_key_by_blocks(spark, monkeypatch):
+    from corpusloom.operators import vector
+
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, None]), n, [rng.getrandbits(6), rng.getrandbits(4)]) for n in range(500)]
+    df = spark.createDataFrame(rows, "label int, vec_id long, code array<long>")
+    asks = df.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "code as q", "label")
+    sent = spark.sparkContext.accumulator(0)
+    real = vector.gridded
+
+    def small(left, right, run, *args, **options):
+        def counted(key, left, right):
+            out = run(key, left, right)
+            sent.add(out.num_rows)
+            return out
+
+        return real(left, right, counted, *args, **options, rows=100)
+
+    monkeypatch.setattr(vector, "gridded", small)
+    got = {tuple(r) for r in vector.nearest_codes(df, asks, 7, key="label").collect()}
+    want = set()
+    for g, q, code in rows[::10]:
+        if g is not None:
+            far = sorted((sum((x ^ y).bit_count() for x, y in zip(code, c)), i) for h, i, c in rows if h == g and i != q)
+            want |= {(q, i, bits) for bits, i in far[:7]}
+    assert got == want
+    assert sent.value <= 50 * 7 * 4  # a block sends a query's nearest, not all its rows
