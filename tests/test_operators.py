@@ -248,6 +248,30 @@ def test_written_index_is_read_by_partition(spark, tmp_path):
         assert len(set(best) & {r["vec_id"] for r in found.collect() if r["query_id"] == q}) >= 8
 
 
+def test_search_ranks_in_its_blocks(spark, monkeypatch):
+    """Ties at the last candidate go by id over all blocks, and of a block only a query's best leave the task."""
+    x, df = clustered(spark, 1_000, 10, dims=8)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 150)
+    ivf = ann.train(df)
+    idx, probe = ann.index(df, ivf), ann.asked(df.where("vec_id % 50 = 0"), ivf, probes=max(1, ivf.parts // 2))
+    rows, asks = idx.orderBy("vec_id").collect(), probe.collect()
+    code = np.array([r.code for r in rows]).view(np.uint64)
+    grid = ann.Grid(idx, probe, "vec_id")
+    assert len(grid.edges) > 3
+    for candidates in (7, 90, 5_000):
+        got = {(r.query_id, r.vec_id): (r["rank"], r.score, r.h) for r in ann.search(idx, probe, ivf, candidates=candidates).collect()}
+        want = {}
+        for q in asks:
+            base = dict(zip(q.parts, q.bases))
+            h = np.bitwise_count(code ^ np.array(q.q_code).view(np.uint64)).sum(1)
+            near = sorted((int(h[k]), r.vec_id, k) for k, r in enumerate(rows) if r.part in base and r.vec_id != q.query_id)[:candidates]
+            scored = sorted((-(base[rows[k].part] + rows[k].scale * np.dot(rows[k].codes, q.q)), i, n) for n, i, k in near)[:10]
+            want |= {(q.query_id, i): (at + 1, -s, n) for at, (s, i, n) in enumerate(scored)}
+        assert got.keys() == want.keys()
+        assert all(got[k][2] == want[k][2] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert ann.shortlisted(grid, probe, ann.cuts(grid, probe, 500), 10).count() <= len(asks) * (len(grid.edges) + 1) * 10
+
+
 def test_index_of_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (None, [1.0, 1.0]), (5, [0.0, 2.0]), (6, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
