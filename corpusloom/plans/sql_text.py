@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.functions import sql
 from corpusloom.plans.joins import KEY_SQL
 from corpusloom.plans.registry import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 
 @query(f"""
@@ -25,7 +25,7 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
         SELECT p_partkey, loom_key(p_name) AS key, loom_slug(p_type, '-') AS slug, loom_clean(concat('<i>', p_brand, '</i> (', p_name, ') x; [', p_type, ']')) AS display,
           loom_judge(line, given).directive AS verdict, loom_years(concat('made in ', 1000 + p_size, ' or 44 BC'))[0] AS first_year
         FROM answers
-    """, part=table(spark, d, "part"))
+    """, part=spread(table(spark, d, "part"), "p_name", "p_brand", "p_size"))
 
 
 @query("""
