@@ -7,6 +7,8 @@ the watermark) and on the clock (``processingTime``).
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -104,7 +106,9 @@ def debounced(log: DataFrame, key: str, *, quiet_s: float = QUIET_S, interval_s:
 class Leases(StatefulProcessor):
     """A work queue: items are added, claimed for a time and completed; a claim that runs out is served again.
 
-    Todo, held and done items are maps of their own, so a timer looks at held items alone.
+    Todo, held and done items are maps of their own, so a timer looks at held items alone.  A
+    batch reads the open items once, plays its operations on them in memory and writes what
+    changed; of done items, which only grow, it reads those that it touches.
     """
 
     def __init__(self, key: str, lease: int, by_clock: bool):
@@ -112,62 +116,97 @@ class Leases(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.todo = handle.getMapState("todo", "item string", "team string")
-        self.held = handle.getMapState("held", "item string", "team string, worker string, until long")
-        self.done = handle.getMapState("done", "item string", "worker string")
+        self.stored = {
+            "todo": handle.getMapState("todo", "item string", "team string"),
+            "held": handle.getMapState("held", "item string", "team string, worker string, until long"),
+            "done": handle.getMapState("done", "item string", "worker string"),
+        }
+
+    def _read(self, *names: str) -> None:
+        """Take the state of the key at hand into memory."""
+        for name in ("todo", "held"):
+            setattr(self, name, {k[0]: tuple(v) for k, v in self.stored[name].iterator()} if name in names else {})
+        self.before = {"todo": dict(self.todo), "held": dict(self.held), "done": {}}
+        self.done: dict[str, tuple] = {}
+        self.undone: set[str] = set()  # items known not to be done
+        self.first = min((v[2] for v in self.held.values()), default=None)
+
+    def _write(self) -> None:
+        for name, was in self.before.items():
+            now = getattr(self, name)
+            for item in was.keys() - now.keys():
+                self.stored[name].removeKey((item,))
+            for item, value in now.items():
+                if was.get(item) != value:
+                    self.stored[name].updateValue((item,), value)
+
+    def _is_done(self, item: str) -> bool:
+        if item not in self.done and item not in self.undone:
+            if self.stored["done"].containsKey((item,)):
+                self.done[item] = self.before["done"][item] = tuple(self.stored["done"].getValue((item,)))
+            else:
+                self.undone.add(item)
+        return item in self.done
 
     def _row(self, key, at: int, what: str, item: str, worker: str | None) -> Row:
         return Row(**{self.key: key[0], "at_us": at, "what": what, "item": item, "worker": worker})
 
     def _expired(self, key, now: int) -> Iterator[Row]:
         """Claims that ran out before ``now`` go back, in the order of their ends."""
-        ended = sorted((v[2], k[0], v[0], v[1]) for k, v in self.held.iterator() if v[2] < now)
+        if self.first is None or self.first >= now:
+            return
+        ended = sorted((v[2], k, v[0], v[1]) for k, v in self.held.items() if v[2] < now)
         for until, item, team, worker in ended:
-            self.held.removeKey((item,))
-            self.todo.updateValue((item,), (team,))
+            del self.held[item]
+            self.todo[item] = (team,)
             yield self._row(key, until, "expired", item, worker)
+        self.first = min((v[2] for v in self.held.values()), default=None)
 
     def _served(self, key, at: int, worker: str, n: int) -> Iterator[Row]:
         """Up to ``n`` items: of the team with the fewest left first, then by team and item; items without a team last."""
-        todo = [(v[0], k[0]) for k, v in self.todo.iterator()]
-        left: dict[str, int] = {}
-        for team in [t for t, _ in todo] + [v[0] for v in self.held.values()]:
-            left[team] = left.get(team, 0) + 1
-        todo.sort(key=lambda x: (x[0] is None, left[x[0]] if x[0] is not None else 0, x[0] or "", x[1]))
-        for team, item in todo[:n]:
-            self.todo.removeKey((item,))
-            self.held.updateValue((item,), (team, worker, at + self.lease))
+        if not self.todo:
+            return
+        left = Counter(v[0] for d in (self.todo, self.held) for v in d.values())
+        order = lambda x: (x[0] is None, left[x[0]] if x[0] is not None else 0, x[0] or "", x[1])
+        for team, item in heapq.nsmallest(len(self.todo) if n is None else n, ((v[0], k) for k, v in self.todo.items()), key=order):
+            del self.todo[item]
+            self.held[item] = (team, worker, at + self.lease)
+            self.first = at + self.lease if self.first is None else min(self.first, at + self.lease)
             yield self._row(key, at, "served", item, worker)
-        if todo[:n]:
-            self.handle.registerTimer(to_ms(at + self.lease))
 
     def _completed(self, key, at: int, item: str, worker: str | None) -> Iterator[Row]:
-        if self.done.containsKey((item,)):
-            return
-        held = self.held.getValue((item,))
-        if held is None and not self.todo.containsKey((item,)):
+        held = self.held.get(item)
+        if (held is None and item not in self.todo) or self._is_done(item):
             return
         own = held is not None and (worker is None or held[1] == worker)
-        self.held.removeKey((item,))
-        self.todo.removeKey((item,))
-        self.done.updateValue((item,), (worker,))
+        self.held.pop(item, None)
+        self.todo.pop(item, None)
+        self.done[item] = (worker,)
         yield self._row(key, at, "done" if own else "late", item, worker)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         clock = 1000 * timerValues.getCurrentProcessingTimeInMs()
+        self._read("todo", "held")
         for r in sorted(rows, key=lambda r: (0 if self.by_clock else r.at_us, r.seq)):
             at = clock if self.by_clock else r.at_us
             yield from self._expired(key, at)
             if r.op == "add":
-                if not any(m.containsKey((r.item,)) for m in (self.todo, self.held, self.done)):
-                    self.todo.updateValue((r.item,), (r.team,))
+                if r.item not in self.todo and r.item not in self.held and not self._is_done(r.item):
+                    self.todo[r.item] = (r.team,)
             elif r.op == "claim":
                 yield from self._served(key, at, r.worker, r.n)
             elif r.op == "complete":
                 yield from self._completed(key, at, r.item, r.worker)
+        # claims that ended within the batch need no timer
+        was = self.before["held"]
+        for until in {v[2] for item, v in self.held.items() if was.get(item) != v}:
+            self.handle.registerTimer(to_ms(until))
+        self._write()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._read("held")
         yield from self._expired(key, 1000 * expiredTimerInfo.getExpiryTimeInMs())
+        self._write()
 
     def close(self) -> None:
         pass

@@ -147,3 +147,53 @@ def test_replay_writes_the_touched_items_alone(spark, tmp_path, n_items):
     assert out.where("_batch = 2 and k = 3").count() == 1
     # a later batch with one attempt updates a fixed number of rows, however many items there are
     assert progress[2]["stateOperators"][0]["numRowsUpdated"] <= 8
+
+
+class CountedMap(dict):
+    """A state map in memory that counts how often it is asked."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("containsKey", "getValue", "updateValue", "removeKey", "iterator", "values", "exists"):
+            CountedMap.calls += 1
+        return super().__getattribute__(name)
+
+    containsKey, getValue, updateValue = dict.__contains__, dict.get, dict.__setitem__
+    exists = dict.__len__
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class Held:
+    """What a processor asks of its handle, for one key."""
+
+    def __init__(self):
+        self.timers = []
+
+    def getMapState(self, *_):
+        return CountedMap()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    getCurrentProcessingTimeInMs = getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+
+def test_a_batch_of_operations_asks_the_state_for_what_it_changes():
+    from types import SimpleNamespace as Op
+
+    one, CountedMap.calls = S.Leases("queue", 1_000, False), 0
+    one.init(Held())
+    ops = [Op(at_us=k, seq=k, op=("add", "claim", "complete")[k % 3], item=f"i{k % 5}", team="t", worker="w", n=1) for k in range(3_000)]
+    plain = plain_leases([dict(vars(o), at=o.at_us) for o in ops], 1_000, 0)
+    got = list(one.handleInputRows(("q",), ops, Clock))
+    assert sorted((r.at_us, r.what, r.item, r.worker) for r in got) == sorted(plain) and len(got) > 5
+    assert CountedMap.calls < 50  # two maps, and the five items
+    assert len(one.handle.timers) <= 5
