@@ -11,7 +11,7 @@ from corpusloom.functions import text as X
 from corpusloom.functions import reveal as R
 from corpusloom.operators import verdicts as V
 from corpusloom.plans.registry import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 
 @query("""
@@ -97,7 +97,7 @@ SELECT doc_id, CAST(len(u) AS BIGINT) AS n_units, CAST(10 AS INTEGER) AS power,
 """, rows="H16")
 def reveal_units(spark: SparkSession, d: str) -> DataFrame:
     """Units of every document behind a sentence of notes with a power mark."""
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "doc_id")
     rows = docs.select("doc_id", R.units(F.concat(F.lit(MUSIC), "text")).alias("u"))
     u = F.col("u")
     return rows.select("doc_id", F.size(u).cast("long").alias("n_units"), R.first_unit(u, R.POWER).alias("power"), R.first_unit(u, R.SUPERPOWER).alias("superpower"), F.size(F.filter(u, lambda x: x["slow"])).cast("long").alias("n_slow"))
