@@ -54,7 +54,7 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None, rows="H7 H10")
 def clue_sentences(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "doc_id")
     rows = docs.select("doc_id", F.posexplode(X.sentences_udf("text")).alias("pos", "sentence"))
     return rows.where(F.length("sentence") >= 15)
 
@@ -62,7 +62,7 @@ def clue_sentences(spark: SparkSession, d: str) -> DataFrame:
 @query(None, rows="H10")
 def clue_extraction(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every document as clues; its first 300 characters are taken as the bold, earlier part."""
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text", "source"), "doc_id")
     html = F.concat(F.lit("<b>"), F.substring("text", 1, 300), F.lit("</b> (*) "), F.substring("text", 301, 1 << 30))
     clues = Q.tossup_clues(docs.select("doc_id", "text", "source", html.alias("html")), id_col="doc_id", text_col="text", html_col="html", carry=("source",))
     return clues.select("doc_id", "pos", F.length("text").alias("n_chars"), "in_power", "is_giveaway", "source")

@@ -8,7 +8,7 @@ from __spark_entry__ import queries
 from corpusloom.functions import answers
 
 
-@pytest.mark.parametrize("name", ["sql_functions", "answer_judge"])
+@pytest.mark.parametrize("name", ["sql_functions", "answer_judge", "reveal_units", "clue_sentences", "clue_extraction"])
 def test_rows_of_one_file_go_to_many_tasks(spark, sf, name):
     found = queries()[name](spark, sf)
     assert found.select(F.spark_partition_id().alias("task")).distinct().count() > 4
