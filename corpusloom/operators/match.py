@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import sized
+
+#: Rows whose groups are paired in one task, about.
+PAIRED_ROWS = 250_000
+
 
 def unique_alias(aliases: DataFrame, exact: DataFrame) -> DataFrame:
     """(key, slug) of aliases that name one slug only and aren't exact keys themselves."""
@@ -53,8 +58,11 @@ def first_by_precedence(rows: DataFrame, layers: list[tuple[DataFrame, list[str]
 
 
 def co_occurrence(rows: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
-    """(a, b, n): in how many groups two items meet, a < b."""
-    pairs = rows.select(group, item).distinct()
+    """(a, b, n): in how many groups two items meet, a < b.
+
+    A task sorts, joins and counts the groups of about ``PAIRED_ROWS`` rows before pairs are shuffled.
+    """
+    pairs = sized(rows.select(group, item), PAIRED_ROWS, group).distinct()
     left, right = pairs.withColumnRenamed(item, "a"), pairs.withColumnRenamed(item, "b")
     return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
