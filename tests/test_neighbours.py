@@ -47,3 +47,36 @@ def test_nearest_codes_of_a_key_by_blocks(spark, monkeypatch):
             want |= {(q, i, bits) for bits, i in far[:7]}
     assert got == want
     assert sent.value <= 50 * 7 * 4  # a block sends a query's nearest, not all its rows
+
+
+def test_exact_search_sends_few_rows_of_many_equal_ones(spark, monkeypatch):
+    from corpusloom.operators import vector
+
+    rng = random.Random(7)
+    some = [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(3)]
+    df = spark.createDataFrame([(n, some[n % 3]) for n in range(600)], "vec_id long, embedding array<double>")
+    sent = spark.sparkContext.accumulator(0)
+    real = vector.gridded
+
+    def counting(left, right, run, *args, **options):
+        def counted(key, left, right):
+            out = run(key, left, right)
+            sent.add(out.num_rows)
+            return out
+
+        return real(left, right, counted, *args, **options)
+
+    monkeypatch.setattr(vector, "gridded", counting)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vector.exact(df, df.where("vec_id % 50 = 0"), 4).collect()}
+    for q in range(0, 600, 50):
+        equal = [n for n in range(600) if n % 3 == q % 3 and n != q]
+        assert [got[q, r] for r in range(1, 5)] == equal[:4]
+    assert sent.value <= 12 * 4  # before: every equal row
+
+
+def test_scores_are_rounded_as_spark_does(spark):
+    from corpusloom.operators import vector
+
+    values = [0.1234565, -0.1234565, 0.1234575, 1.0, -1.0, 0.0, 0.0000005, 0.9999995, 0.99999949999999] + [random.Random(8).uniform(-1, 1) for _ in range(50)]
+    want = [round(r[0] * 1e6) for r in spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 6)").collect()]
+    assert vector.millionths(vector.np.array(values)).tolist() == want
