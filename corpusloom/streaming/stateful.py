@@ -242,6 +242,7 @@ class Replay(StatefulProcessor):
 
     Attempts behind the watermark are settled; later ones are kept in a list, in order, and
     played on top of what is settled, so each batch gives the state of the whole log so far.
+    Of a user without settled attempts, whose clock hasn't begun, no item is asked for.
     """
 
     def init(self, handle) -> None:
@@ -253,9 +254,10 @@ class Replay(StatefulProcessor):
         mark = 1000 * timerValues.getCurrentWatermarkInMs()
         before = [tuple(r) for r in self.open.get()]
         new = [(r.at_us, r.event_id, r.k, r.res, r.bf) for r in rows]
-        clock = self.clock.get()[0] if self.clock.exists() else 0
+        began = self.clock.get()
+        clock = start = began[0] if began else 0
         settled = {}
-        for k in {a[2] for a in before + new} - {None}:
+        for k in {a[2] for a in before + new} - {None} if start else ():
             held = self.items.getValue((k,))
             if held is not None:
                 settled[k] = list(held)
@@ -267,8 +269,10 @@ class Replay(StatefulProcessor):
         clock = played(now, clock, attempts[:n])
         for k in {a[2] for a in attempts[:n]} - {None}:
             self.items.updateValue((k,), tuple(now[k]))
-        self.clock.update((clock,))
-        self.open.put(attempts[n:]) if attempts[n:] else self.open.clear()
+        if clock != start:
+            self.clock.update((clock,))
+        if attempts[n:] != before:
+            self.open.put(attempts[n:]) if attempts[n:] else self.open.clear()
         played(now, clock, attempts[n:])
         for k in sorted(now):
             if now[k] != was.get(k):

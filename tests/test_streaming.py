@@ -197,3 +197,56 @@ def test_a_batch_of_operations_asks_the_state_for_what_it_changes():
     assert sorted((r.at_us, r.what, r.item, r.worker) for r in got) == sorted(plain) and len(got) > 5
     assert CountedMap.calls < 50  # two maps, and the five items
     assert len(one.handle.timers) <= 5
+
+
+def test_first_attempts_of_a_user_ask_for_no_item():
+    from types import SimpleNamespace
+
+    class Asked:
+        """State values and maps in memory that count how often they are asked."""
+
+        calls = 0
+
+        def __init__(self, empty=None):
+            self.empty = self.value = empty
+            self.kept = {}
+
+        def get(self):
+            Asked.calls += 1
+            return self.value
+
+        def exists(self):
+            Asked.calls += 1
+            return bool(self.value)
+
+        def update(self, value):
+            Asked.calls, self.value = Asked.calls + 1, value
+
+        def clear(self):
+            self.update(self.empty)
+
+        put = update
+
+        def getValue(self, key):
+            Asked.calls += 1
+            return self.kept.get(key)
+
+        def updateValue(self, key, value):
+            Asked.calls += 1
+            self.kept[key] = value
+
+    handle = SimpleNamespace(getMapState=lambda *_: Asked(), getValueState=lambda *_: Asked(), getListState=lambda *_: Asked(()))
+    clock, one = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0), S.Replay()
+    one.init(handle)
+    row = lambda k: S.Row(uid=1, at_us=k, event_id=k, k=k % 50 if k % 7 else None, res="CWD"[k % 3], bf=None if k % 2 else 0.2)
+    states: dict = {}
+    list(one.handleInputRows((1,), map(row, range(100)), clock))
+    assert Asked.calls <= 3  # before: also once for each of the items
+    got = list(one.handleInputRows((1,), [row(100)], clock))
+    assert [r.k for r in got] == [0] and got[0].last == 100 and Asked.calls <= 6  # nothing is settled yet
+    clock.getCurrentWatermarkInMs = lambda: 1  # all is settled
+    list(one.handleInputRows((1,), [row(2000)], clock))
+    got = list(one.handleInputRows((1,), [row(3000)], clock))
+    S.played(states, 0, [tuple(row(k))[1:] for k in [*range(101), 2000, 3000]])
+    k = 3000 % 50
+    assert [[r.stab, r.diff, r.reps, r.lapses, r.last] for r in got if r.k == k] == [states[k]]
