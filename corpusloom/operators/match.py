@@ -101,6 +101,18 @@ def longer_name(text: str, start: int, end: int) -> bool:
     return any(m and m[1] not in NOT_NAMES for m in (before, after))
 
 
+def whole_words(text: str, surface: str) -> list[int]:
+    """Where ``surface`` stands between word boundaries, leftmost first and without overlaps, as a pattern ``\\b...\\b`` finds it."""
+    word = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+    n, found, at = len(surface), [], text.find(surface)
+    while at >= 0:
+        whole = word(at - 1) != word(at) and word(at + n - 1) != word(at + n)
+        if whole:
+            found.append(at)
+        at = text.find(surface, at + (max(n, 1) if whole else 1))
+    return found
+
+
 def linked(text: str, surfaces: dict[str, list[tuple[str, str]]], own: str | None, own_name: str | None, guard: bool = True) -> list[tuple[str, str, int, str, str | None]]:
     """(target, surface, position, tier, snippet) of one text.
 
@@ -112,12 +124,13 @@ def linked(text: str, surfaces: dict[str, list[tuple[str, str]]], own: str | Non
     """
     masked, seen, out = text, set(), []
     for surface in sorted(surfaces, key=lambda x: (-len(x), x)):
-        pattern = re.compile(r"\b" + re.escape(surface) + r"\b")
-        hit = pattern.search(masked)
-        if not hit:
+        hits = whole_words(masked, surface)
+        if not hits:
             continue
-        part = guard and len(surface.split()) == 1 and longer_name(masked, hit.start(), hit.end())
-        masked = pattern.sub(" " * len(surface), masked)
+        start, end = hits[0], hits[0] + len(surface)
+        part = guard and len(surface.split()) == 1 and longer_name(masked, start, end)
+        ends = [0, *(h + len(surface) for h in hits)]
+        masked = (" " * len(surface)).join([masked[a:b] for a, b in zip(ends, [*hits, len(masked)])])
         if part or (own_name and surface in own_name):
             continue
         sure = [t for t, tier in surfaces[surface] if tier == "auto"][:1]
@@ -126,8 +139,8 @@ def linked(text: str, surfaces: dict[str, list[tuple[str, str]]], own: str | Non
                 continue
             if sure:
                 seen.add(target)
-            around = None if sure else text[max(0, hit.start() - SNIPPET) : hit.end() + SNIPPET].replace("\n", " ").strip()
-            out.append((target, surface, hit.start(), "auto" if sure else "gated", around))
+            around = None if sure else text[max(0, start - SNIPPET) : end + SNIPPET].replace("\n", " ").strip()
+            out.append((target, surface, start, "auto" if sure else "gated", around))
     return out
 
 

@@ -304,3 +304,18 @@ def test_links_of_a_lexicon(spark):
         surfaces.setdefault(s, []).append((t, tier))
     want = sorted((i, *x[:4]) for i, t in texts if t for x in match.linked(t, {k: sorted(v) for k, v in surfaces.items()}, None, None))
     assert got == want and got
+
+
+def test_surfaces_are_found_without_patterns_as_patterns_find_them(monkeypatch):
+    import random
+    import re
+
+    rng = random.Random(4)
+    for _ in range(20_000):
+        text, surface = ("".join(rng.choices("aé_ .-1²", k=rng.randrange(low, 14))) for low in (0, 1))
+        surface = surface[: rng.randrange(1, 4)]
+        assert match.whole_words(text, surface) == [m.start() for m in re.finditer(r"\b" + re.escape(surface) + r"\b", text)], (text, surface)
+    # no pattern is compiled for each surface of each text
+    monkeypatch.setattr(match.re, "compile", None)
+    names = {f"Name{k} x": [(str(k), "auto")] for k in range(600)}
+    assert [x[:3] for x in match.linked("a Name7 x, Name7 x", names, None, None)] == [("7", "Name7 x", 2)]
