@@ -44,6 +44,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,9 @@ OTHER_BASE = 0xD1342543DE82EF95
 #: Bytes of text of a chunk, about, and suffixes that the splitters are sampled from.
 CHUNK_BYTES = 64 << 20
 SAMPLE = 100_000
+#: Bytes of blocks, and documents, that a chunk turns into rows at a time.
+SENT_BYTES = 4 << 20
+KEPT_ROWS = 256
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -158,6 +162,8 @@ class Chunk:
         if isinstance(text, pa.ChunkedArray):
             text = pa.concat_arrays(text.chunks)
         self.buf, self.offsets = flat_bytes(text)
+        del text
+        release()
 
     def pieces(self, window: int, gram: int):
         """(first place, blocks, document of each block), with whole windows only."""
@@ -263,6 +269,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
 
     def ask(batches):
         """Step 2: a chunk's distinct anchor hashes by range, and which of them two of its documents share."""
+        release()
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
@@ -318,7 +325,17 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
 
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Step 3: a chunk's distinct blocks at shared anchors, by range."""
-        out = {k: [] for k in ("bucket", "chunk", "size", "left", "shift", "least", "most", "mark", "check", "bytes")}
+        kinds = {"bucket": pa.int32(), "chunk": pa.int32()}
+        names = ("bucket", "chunk", "size", "left", "shift", "least", "most", "mark", "check", "bytes")
+        out, parts = {k: [] for k in names}, []
+
+        def cut_off():
+            """Turns what ``out`` holds into rows, so that bytes are there once."""
+            parts.append(pa.table({k: pa.array(out[k], kinds.get(k, pa.binary())) for k in names}))
+            for held in out.values():
+                held.clear()
+
+        release()
         if right.num_rows and left.num_rows:
             told_ = [from_planes(h) for h in right.column("hashes").to_pylist()]
             heat = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(right.column("hot").to_pylist(), told_)]).astype(bool)
@@ -327,7 +344,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
             wanted, heat = wanted[order], heat[order]
             whole = Chunk(left)
             held = []
-            for _, blocks, of in whole.pieces(window, gram):
+            for base, blocks, of in whole.pieces(window, gram):
                 at = np.minimum(np.searchsorted(wanted, blocks.gram_hash), len(wanted) - 1)
                 pick = np.flatnonzero(wanted[at] == blocks.gram_hash)
                 if not len(pick):
@@ -350,36 +367,42 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (sh[1:] != sh[:-1]) | (ch[1:] != ch[:-1]))))
                 last = np.append(first[1:], len(m)) - 1
                 k = order[first]
-                length = size[k] + window - 1
-                idx = np.repeat(start[k] - np.cumsum(length) + length, length) + np.arange(length.sum())
-                held.append((place[k], m[first], ch[first], sh[first], ids[k], ids[order[last]], size[k], lefts[k], blocks.buf[idx]))
+                small = (x.astype(np.uint8) for x in (sh[first], size[k], lefts[k]))
+                held.append((place[k].astype(np.int32), m[first], ch[first], ids[k], ids[order[last]], base + start[k], *small))
             if held:
-                bucket, mark, check, shift, least, most, size, lefts, raw = (np.concatenate(x) for x in zip(*held))
-                length = size + window - 1
-                begin = np.cumsum(length) - length
+                columns = list(zip(*held))
+                held.clear()
+                bucket, mark, check, least, most, start, shift, size, lefts = (np.concatenate(columns.pop(0)) for _ in range(9))
+                waits = 0
                 for b, rows in _split(bucket):
                     # the same block may come from several pieces of the chunk
                     order = rows[np.lexsort((shift[rows], mark[rows]))]
                     m, sh, ch = mark[order], shift[order], check[order]
                     first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (sh[1:] != sh[:-1]) | (ch[1:] != ch[:-1]))))
                     k = order[first]
-                    text = raw[np.repeat(begin[k] - np.cumsum(length[k]) + length[k], length[k]) + np.arange(length[k].sum())]
+                    length = size[k].astype(np.int64) + window - 1
+                    text = whole.buf[np.repeat(start[k] - np.cumsum(length) + length, length) + np.arange(length.sum())]
                     out["bucket"].append(b)
                     out["chunk"].append(key[0].as_py())
-                    out["size"].append(size[k].astype(np.uint8).tobytes())
-                    out["left"].append(lefts[k].astype(np.uint8).tobytes())
-                    out["shift"].append(sh[first].astype(np.uint8).tobytes())
+                    out["size"].append(size[k].tobytes())
+                    out["left"].append(lefts[k].tobytes())
+                    out["shift"].append(sh[first].tobytes())
                     out["least"].append(np.minimum.reduceat(least[order], first).astype("<i8").tobytes())
                     out["most"].append(np.maximum.reduceat(most[order], first).astype("<i8").tobytes())
                     out["mark"].append(m[first].astype("<u8").tobytes())
                     out["check"].append(ch[first].astype("<u4").tobytes())
                     out["bytes"].append(text.tobytes())
-        kinds = {"bucket": pa.int32(), "chunk": pa.int32()}
+                    waits += len(text)
+                    if waits >= SENT_BYTES:
+                        cut_off()
+                        waits = 0
+        cut_off()
         release()
-        return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
+        return pa.concat_tables(parts)
 
     def compare(batches):
         """Step 4: sort the suffixes and windows of each range; answer with the smallest document of every window."""
+        release()
         by: dict[int, list] = {}
         for batch in batches:
             for row in batch.to_pylist():
@@ -389,13 +412,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
             size, left, shift = (get(x, np.uint8).astype(np.int64) for x in ("size", "left", "shift"))
             least, most, mark, check = get("least", "<i8"), get("most", "<i8"), get("mark", "<u8"), get("check", "<u4")
             chunk = np.repeat([r["chunk"] for r in rows], [len(r["size"]) for r in rows])
-            raw = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-            for r in rows:
-                r["bytes"] = None
+            padded = b"".join([*(r["bytes"] for r in rows), bytes(window + 8)])
+            rows.clear()
             length = size + window - 1
             begin = np.cumsum(length) - length
-            padded = np.concatenate((raw, np.zeros(window + 8, np.uint8)))
-            eight = np.ndarray((len(raw) + window,), ">u8", padded.data, strides=(1,))
+            eight = np.ndarray((len(padded) - 8,), ">u8", padded, strides=(1,))
             word = lambda at: eight[at].astype(np.uint64)
             steps = [*range(0, gram - 7, 8), gram - 8] if gram >= 8 else [0]
             anchor = begin + left
@@ -409,6 +430,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
             order = order[(lo < hi)[group]]
             group = group[(lo < hi)[group]]
             n_windows = np.cumsum(size[order])
+            del heads, same, anchor, length
+            release()
             answers: dict[int, list] = {}
 
             def weigh(rec, first, last):
@@ -460,13 +483,20 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
 
     def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Step 5: remove what the answers say, and describe what is left."""
+        release()
         whole = Chunk(left)
-        gone = np.zeros(len(whole.buf) + 1, np.int16)  # at most one run starts or ends at a place, and under 200 overlap
+        removed = np.zeros(len(whole.buf), bool)
         if right.num_rows:
             get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in right.column(name).to_pylist()])
             mark, check, offset, run, found = get("mark", "<u8"), get("check", "<u4"), get("offset", np.uint8), get("run", np.uint8), get("found", "<i8")
             order = np.argsort(mark, kind="stable")
-            mark, check, offset, run, found = mark[order], check[order], offset[order], run[order], found[order]
+            mark = mark[order]
+            check = check[order]
+            offset = offset[order]
+            run = run[order]
+            found = found[order]
+            del order
+            release()
             for base, blocks, of in whole.pieces(window, gram):
                 own, own_check = blocks.fingerprints()
                 a, b = np.searchsorted(mark, own), np.searchsorted(mark, own, side="right")
@@ -479,12 +509,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 first = blocks.start[which] + offset[idx]
                 ends = first + run[idx]
                 smaller = (found[idx] < whole.ids[of[which]]) & (check[idx] == own_check[which])
-                np.add.at(gone, base + first[smaller], 1)
-                np.add.at(gone, base + ends[smaller] + window - 1, -1)
-        np.cumsum(gone, out=gone)
-        removed = gone[:-1] > 0
-        del gone
-        rise = np.flatnonzero(removed & ~np.concatenate(([False], removed[:-1])) if len(removed) else removed)
+                gone = np.zeros(len(blocks.buf) + 1, np.int16)  # at most one run starts or ends at a place, and under 200 overlap
+                np.add.at(gone, first[smaller], 1)
+                np.add.at(gone, ends[smaller] + window - 1, -1)
+                removed[base : base + len(blocks.buf)] |= np.cumsum(gone, dtype=np.int16)[:-1] > 0
+        rise = np.concatenate((np.flatnonzero(removed[:1]), np.flatnonzero(removed[1:] > removed[:-1]) + 1))
         starts, sizes = whole.offsets[:-1], np.diff(whole.offsets)
         inner = starts[(starts > 0) & (sizes > 0)]
         rise = np.union1d(rise, inner[removed[inner]])  # a document's first byte opens a run of its own
@@ -493,14 +522,21 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         full = np.flatnonzero(sizes > 0)
         if len(full):
             n_removed[full] = np.add.reduceat(removed, starts[full], dtype=np.int64)
-        kept = whole.buf[~removed]
         at = whole.offsets - np.concatenate(([0], np.cumsum(n_removed)))
-        texts = [kept[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        digests, kept_texts = [], []
+        for k in range(0, len(sizes), KEPT_ROWS):  # a text is there a few times at once, as array, bytes and string
+            ends = at[k : k + KEPT_ROWS + 1] - at[k]
+            part = slice(whole.offsets[k], whole.offsets[k + len(ends) - 1])
+            kept = whole.buf[part][~removed[part]]
+            texts = [kept[a:b].tobytes() for a, b in pairwise(ends.tolist())]
+            digests += [hashlib.sha256(t).hexdigest() for t in texts]
+            if with_text:
+                kept_texts.append(pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string()))
+        del removed
         ids = pa.array(whole.ids, mask=whole.null_id)
-        cols = [ids, pa.array(np.diff(whole.offsets)), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+        cols = [ids, pa.array(np.diff(whole.offsets)), pa.array(n_removed.astype(np.int64)), pa.array(n_spans.astype(np.int64)), pa.array(digests, pa.string())]
         if with_text:
-            cols.append(pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string()))
-        del texts, kept, removed
+            cols.append(pa.chunked_array(kept_texts, pa.string()))
         cols += [left.column(c).take(pa.array(whole.order)) for c in carry]
         release()
         return pa.Table.from_arrays(cols, names=[f[0] for f in fields] + list(carry))

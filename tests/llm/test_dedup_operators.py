@@ -60,6 +60,18 @@ def test_repeats(spark, rows):
     assert sorted(removed(spark, rows), key=str) == sorted(repeats(rows), key=str)
 
 
+def test_repeats_in_small_parts(spark, monkeypatch):
+    """A chunk's blocks and texts become rows a few at a time, with the same result."""
+    monkeypatch.setattr(suffix_dedup, "SENT_BYTES", 1)
+    monkeypatch.setattr(suffix_dedup, "KEPT_ROWS", 3)
+    rows = [*mosaic(3, 150), (2000, None), (2001, ""), (2002, "é" * 60), (2003, "é" * 60)]
+    assert sorted(removed(spark, rows), key=str) == sorted(repeats(rows), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs).collect()}
+    digests = {i: digest for i, *_, digest in repeats(rows)}
+    assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()} == digests
+
+
 @pytest.mark.parametrize("gram", [1, 7, 20, 50])
 def test_any_gram_gives_the_same(spark, gram):
     rows = mosaic(3, 60)
