@@ -45,6 +45,34 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def _stable_order(key: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order of numbers of ``bits`` bits: they are sorted with their places, which is faster than by index."""
+    low = max(1, len(key) - 1).bit_length()
+    if bits + low > 64:
+        return np.argsort(key, kind="stable")
+    whole = key.astype(np.uint64) << np.uint64(low) | np.arange(len(key), dtype=np.uint64)
+    whole.sort()
+    return (whole & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
+def _same_before(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose key occurs at an earlier place, and the last such place of each.
+
+    Leading bits of the keys are sorted with the places; only where different keys agree in
+    them, which hardly happens, the order is made from whole keys.
+    """
+    low = max(1, len(key) - 1).bit_length()
+    mask = np.uint64((1 << low) - 1)
+    whole = key & ~mask | np.arange(len(key), dtype=np.uint64)
+    whole.sort()
+    order = (whole & mask).astype(np.int64)
+    same = np.flatnonzero(whole[1:] >> np.uint64(low) == whole[:-1] >> np.uint64(low))
+    if (key[order[same + 1]] != key[order[same]]).any():
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    return order[same + 1], order[same]
+
+
 def plain_ones(px: list[np.ndarray]) -> np.ndarray:
     """Which pictures are best without a transform and without a palette."""
     rows = np.array([len(p) for p in px])
@@ -53,17 +81,18 @@ def plain_ones(px: list[np.ndarray]) -> np.ndarray:
     first = np.cumsum(rows) - rows
     of = np.repeat(np.arange(len(px), dtype=np.int32), n)
     x = x8.reshape(-1, 3)
-    signed = x.view(np.int8).astype(np.int32)
-    mean = np.stack([np.bincount(of, signed[:, k], len(px)) / n for k in range(3)], 1)
+    signed = [np.ascontiguousarray(x.view(np.int8)[:, k]).astype(np.int32) for k in range(3)]
 
-    def slope(a: int, b: int) -> np.ndarray:
-        d = signed[:, a] - mean[of, a]
+    def slopes(a: int, *others: int) -> list[np.ndarray]:
+        d = signed[a] - np.repeat(np.bincount(of, signed[a], len(px)) / n, n)
         scale = np.bincount(of, d * d, len(px))
-        return np.where(scale > 0, np.clip(np.round(32 * np.bincount(of, d * signed[:, b], len(px)) / np.where(scale > 0, scale, 1)), -128, 127), 0).astype(np.int32)[of]
+        found = [32 * np.bincount(of, d * signed[b], len(px)) / np.where(scale > 0, scale, 1) for b in others]
+        return [np.repeat(np.where(scale > 0, np.clip(np.round(f), -128, 127), 0).astype(np.int32), n) for f in found]
 
+    (by_green, blue_green), (blue_red,) = slopes(1, 0, 2), slopes(0, 2)
     cross = x.copy()
-    cross[:, 0] -= (slope(1, 0) * signed[:, 1] >> 5).astype(np.uint8)
-    cross[:, 2] -= ((slope(1, 2) * signed[:, 1] >> 5) + (slope(0, 2) * signed[:, 0] >> 5)).astype(np.uint8)
+    cross[:, 0] -= (by_green * signed[1] >> 5).astype(np.uint8)
+    cross[:, 2] -= ((blue_green * signed[1] >> 5) + (blue_red * signed[0] >> 5)).astype(np.uint8)
     green = x.copy()
     green[:, 0] -= x[:, 1]
     green[:, 2] -= x[:, 1]
@@ -98,9 +127,7 @@ def copies(v: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     key = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + (wide[2:] << np.uint64(31)))
     key += of[:-2].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     inside = np.flatnonzero(of[:-2] == of[2:])
-    order = inside[np.argsort(key[inside], kind="stable")]
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    now, then = order[same + 1], order[same]
+    now, then = (inside[x] for x in _same_before(key[inside]))
     real = (v[now] == v[then]) & (v[now + 1] == v[then + 1]) & (v[now + 2] == v[then + 2]) & (of[now] == of[then])
     back = np.zeros(len(v), np.int64)
     back[now[real]] = (now - then)[real]
@@ -130,8 +157,10 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     n = n[busy]
     big = np.iinfo(np.int64).max // 4
     wide = int(n.max())
-    order = np.argsort(np.where(counts[busy] > 0, counts[busy], big), axis=1, kind="stable")[:, :wide]
-    leaf = np.take_along_axis(np.where(counts[busy] > 0, counts[busy], big), order, 1)
+    weight = np.where(counts[busy] > 0, counts[busy] << 10 | np.arange(width), big)
+    weight.sort(axis=1)
+    order = weight[:, :wide] & 1023
+    leaf = np.where(np.arange(wide) < n[:, None], weight[:, :wide] >> 10, big)
     leaf = np.concatenate([leaf, np.full((len(busy), 1), big)], 1)
     node = np.full((len(busy), wide + 1), big)
     above_leaf, above_node = np.zeros((len(busy), wide + 1), np.int32), np.zeros((len(busy), wide + 1), np.int32)
@@ -244,20 +273,23 @@ def encode_plain(px: list[np.ndarray]) -> list[bytes]:
     l_sym, l_extra, l_more = W._prefixes(size)
     d_sym, d_extra, d_more = W._prefixes(np.where(near[at] == back, near_code[at], back + 120))
     slot = (v * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - bits_of_cache)
-    order = np.argsort(of << bits_of_cache | slot, kind="stable")
+    order = _stable_order(of << bits_of_cache | slot, docs.bit_length() + bits_of_cache)
     kept = np.zeros(len(v), bool)
     kept[order[1:]] = (v[order[1:]] == v[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
     hit = kept[literal]
 
-    def counted(hit: np.ndarray) -> np.ndarray:
-        lit, ent = literal[~hit], literal[hit]
-        base = of * ROW_AT[-1]
-        parts = [base[lit] + x[lit, 1], base[start] + 256 + l_sym, base[ent] + 280 + slot[ent]]
-        parts += [base[lit] + ROW_AT[k] + s for k, s in ((1, x[lit, 0]), (2, x[lit, 2]))] + [base[lit] + ROW_AT[3] + 255, base[start] + ROW_AT[4] + d_sym]
+    def counted(at: np.ndarray, *more: np.ndarray) -> np.ndarray:
+        """Symbols of the literals at ``at``, and ``more``."""
+        base = of[at] * ROW_AT[-1]
+        parts = [base + x[at, 1], *more, base + (ROW_AT[1] + x[at, 0]), base + (ROW_AT[2] + x[at, 2]), base + (ROW_AT[3] + 255)]
         return np.bincount(np.concatenate(parts), minlength=docs * ROW_AT[-1]).reshape(docs, -1)
 
     rows = lambda c: [c[:, a:b] for a, b in zip(ROW_AT[:-1], ROW_AT[1:])]
-    without, with_ = counted(np.zeros(len(literal), bool)), counted(hit)
+    base = of[start] * ROW_AT[-1]
+    without = counted(literal, base + 256 + l_sym, base + ROW_AT[4] + d_sym)
+    ent = literal[hit]
+    entries = np.bincount(of[ent] * ROW_AT[-1] + 280 + slot[ent], minlength=docs * ROW_AT[-1]).reshape(docs, -1)
+    with_ = without - counted(ent) + entries
     cached = sum(map(_sizes, rows(with_))) < sum(map(_sizes, rows(without)))
     hit &= cached[of[literal]]
     counts = np.where(cached[:, None], with_, without)
@@ -394,10 +426,15 @@ def read_together(jobs: list[tuple]) -> list[np.ndarray]:
         sizes.append(len(chain) - before)
     token = np.array(chain)
     doc = np.repeat(np.arange(len(jobs)), sizes)
+    sizes = np.array(sizes)
     g, q = (green[token] >> 8).astype(np.int64), end[token]
     channels = []
+    at = base[token]
     for k in (1, 2, 3):
-        e = at_all(k, q, base[token])
+        if all(codes[k].single is not None for _, codes, *_ in jobs):  # as that of alpha is, it has no bits
+            channels.append(np.repeat([codes[k].single for _, codes, *_ in jobs], sizes))
+            continue
+        e = at_all(k, q, at)
         channels.append((e >> 8).astype(np.int64))
         q = q + (e & 255)
     final = np.where(g < 256, q, end[token])
@@ -449,9 +486,10 @@ def _from_caches(value: np.ndarray, to: np.ndarray, entry: np.ndarray, of: np.nd
             break
         root = further
     slot = np.where(entry >= 0, entry, (value * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits[of]))[root]
-    order = np.argsort(of << 12 | slot & 4095, kind="stable")
     # pictures without a cache have no entries, so their slots don't matter
-    key, is_entry = (of << 12 | slot & 4095)[order], entry[order] >= 0
+    key = of << 12 | slot & 4095
+    order = _stable_order(key, len(cache_bits).bit_length() + 12)
+    key, is_entry = key[order], entry[order] >= 0
     new = np.ones(len(order), bool)
     new[1:] = key[1:] != key[:-1]
     last = np.maximum.accumulate(np.where(new | ~is_entry, np.arange(len(order)), 0))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import webp as V
+from corpusloom.llm import webp_batch
 
 
 def code_lengths(counts):
@@ -370,3 +371,20 @@ def test_media_query(spark):
         back = np.concatenate(V.pictures(r["media"]))[:, :, :3].tobytes()
         assert r["payload_bytes"] == len(back) and r["media_bytes"] == len(r["media"])
     assert V.media_features(df.limit(0)).count() == 0
+
+
+def test_orders_of_a_batch():
+    """Sorting keys with their places gives the stable order, and copies are found where keys agree in their leading bits only."""
+    rng = np.random.default_rng(5)
+    for n, bits in ((1, 8), (2, 8), (5_000, 11), (70_000, 20), (300, 63)):
+        key = rng.integers(0, 1 << bits, n)
+        assert (webp_batch._stable_order(key, bits) == np.argsort(key, kind="stable")).all()
+    alike = np.uint64(7 << 40) + rng.integers(0, 40, 4_000).astype(np.uint64)  # low bits that the places displace
+    for key in (alike, rng.integers(0, 900, 4_000).astype(np.uint64) << np.uint64(50), np.zeros(0, np.uint64), np.zeros(1, np.uint64)):
+        last, found = {}, {}
+        for k, x in enumerate(key.tolist()):
+            if x in last:
+                found[k] = last[x]
+            last[x] = k
+        now, then = webp_batch._same_before(key)
+        assert dict(zip(now.tolist(), then.tolist())) == found and len(now) == len(found)
