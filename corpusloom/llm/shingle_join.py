@@ -13,18 +13,20 @@ checked against the texts' whole sets:
    first n / 9 + 1 of the smaller.  Under every shingle a text is compared with the text
    in which it comes earliest, as that has fewest shingles of its own, and then with its
    neighbour by size, if they lie in different components yet.
-3. Of different components that still share such a shingle, early in the smaller text and
-   in two texts of near sizes, those are compared whose sizes and places, and then whose
-   parity bits, folded to half, allow it; all that is decided before a pair is made.  Texts
-   that changed too much of a common original to be similar keep its shingles behind their
-   own ones, and so don't meet.
+3. Texts of different components that still share such a shingle, early in the smaller text,
+   are sent to one task with their parity bits, folded to half, and compared there: a row
+   leaves it only for a pair whose sizes and bits allow it.  So what is shuffled grows with the
+   texts, whereas the pairs of a group grow with its square.  Shingles that the same texts
+   share count as one, and a large group is dealt in blocks to several tasks.  Texts that
+   changed too much of a common original to be similar keep its shingles behind their own
+   ones, and so don't meet.
 
 The sample decides the order alone, which any order would serve.  A shingle that
 the sample holds often is split over several tasks in step 2.
 
-Each set also has 1,024 parity bits, one for each class of hashes.  At least as many
-shingles differ as parity bits do, so pairs over the limit are dropped before their
-shingles are moved.
+Each set also has parity bits, one for each class of hashes and at least as many as shingles.
+At least as many shingles differ as parity bits do, so pairs well over the limit are dropped
+before their shingles are moved.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null and blank
 texts are equal to each other and to no other; equal sets are linked; a text of any
@@ -36,28 +38,30 @@ whatever their names, are carried by ``keep_one`` and ignored elsewhere.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents_of, free_shuffles, map_batches, release, slices, written
+from .common import cut, documents_of, free_shuffles, map_batches, release, shuffle_partitions, slices, written
 from .simhash import components, keep_first, links, majority, shingle_hashes, with_class
 
 WORDS = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-#: 64-bit words of a set's parity bits.
-PARITY = 16
-#: How much wider a class of sizes is than similar texts differ, so that rounding can't part them.
-CLASS = 1.01
+#: 64-bit words of a set's parity bits at least.
+PARITY = 4
 SAMPLE_ROWS = 20_000
 MOST_HEAVY = 200_000
 #: Texts that share a shingle and are compared in one task, about.
 SHARE_ROWS = 20_000
+#: Texts that share a shingle and lie in one block of a group; 64-bit words that are compared at once.
+GROUP_ROWS, COMPARED = 4_096, 1 << 20
+#: Texts of one component in a group from which on they aren't compared with each other.
+SAME_ROOT = 64
+#: Shingles in all of the texts whose sets meet in one task, about.
+FAMILY = 1 << 20
 #: Ids of compared texts that are sent to all tasks rather than the texts be shuffled.
 MOST_SENT = 500_000
 
@@ -67,9 +71,18 @@ def shingles(text: str | None, words_per_shingle: int = WORDS, seed: int = 42) -
     return np.unique(shingle_hashes(text, words_per_shingle, seed).view(np.int64))
 
 
+def key_of(s: np.ndarray) -> int:
+    """The signed number that stands for a set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).astype(np.int64))
+
+
 def parity(s: np.ndarray) -> np.ndarray:
-    """Whether the hashes of each class are odd in number, as 64-bit words; the class is the middle bits of a hash."""
-    odd = np.bincount((s >> 24) & (PARITY * 64 - 1), minlength=PARITY * 64) & 1
+    """Whether the hashes of each class are odd in number, as 64-bit words; the class is the middle bits of a hash.
+
+    There are as many classes as hashes, or up to twice as many, so the bits of large sets tell as much.
+    """
+    classes = max(PARITY * 64, 1 << max(len(s) - 1, 0).bit_length())
+    odd = np.bincount((s >> 24) & (classes - 1), minlength=classes) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -120,7 +133,7 @@ def text_facts(docs: DataFrame, words: int) -> DataFrame:
                 sets = [np.unique(h.view(np.int64)) for h in hashes]
                 firsts = [prefix(s) for s in sets]
                 cols = [
-                    pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)),
+                    pa.array([key_of(s) for s in sets], pa.int64()),
                     pa.array(np.fromiter(map(len, sets), np.int32, len(sets))),
                     pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64)),
                     lists_of([parity(s) for s in sets]),
@@ -149,22 +162,52 @@ class Verifier:
     def wanted(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
         return rows.join(sent(cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())), "key", "left_semi")
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """(key, n, held): the whole sets of the texts of ``pairs``, made from the texts once more."""
-        ids = cut(self.wanted(pairs, self.distinct.select("key", "n", "doc_id")))
-        words = self.words
-
-        def make():
-            def step(batch: pa.RecordBatch):
-                for part in slices(batch, 2):
-                    yield pa.record_batch([part.column(0), part.column(1), lists_of([shingles(t.as_py(), words) for t in part.column(2)])], names=["key", "n", "held"])
-
-            return step
-
-        texts = self.docs.join(sent(ids), "doc_id").select("key", "n", "text")
-        rows = map_batches(texts, make, "key long, n int, held array<long>")
-        # a repeated doc_id may bring other texts; both sides of a join read this one exchange
-        return rows.where(F.size("held") == F.col("n")).groupBy("key").agg(F.first("n").alias("n"), F.first("held").alias("held"))
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` by whose whole sets all similar ones are connected.
+
+        Texts that pairs connect go to one task, each once, and their sets are made there; a large family of them is dealt in blocks,
+        and each pair of blocks that has pairs is a task's work.  So texts, not pairs, are shuffled.
+        """
+        member = cut(components(pairs).withColumnRenamed("node", "key"))
+        texts = cut(self.distinct.select("key", "n", "doc_id").join(sent(member), "key"))
+        sizes = texts.groupBy("root").agg(F.sum(F.col("n").cast("long")).alias("n"))
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        blocks = sizes.where(F.col("n") > FAMILY).select("root", F.ceil(F.col("n") / FAMILY).cast("int").alias("blocks"))
+        texts = texts.join(blocks, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        texts = cut(texts.select("key", "doc_id", "root", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")))
+        for k in "ab":
+            pairs = pairs.join(texts.select(F.col("key").alias(k), F.col("block").alias(f"block_{k}"), *(["root", "blocks"] if k == "a" else [])), k)
+        tasks = max(shuffle_partitions(pairs.sparkSession), -(-total // FAMILY))
+        cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")))
+        pairs = cut(pairs.select(cell.alias("cell"), "a", "b"))
+        rows = pairs.select("cell", F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id"), "key")
+        rows = self.docs.join(sent(cut(rows)), "doc_id").select("cell", "key", "text")
+        words, (over, under) = self.words, LEAST
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            sets: dict[int, np.ndarray] = {}
+            for batch in left.to_batches():
+                for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
+                    s = shingles(text.as_py(), words)
+                    if key_of(s) == key:  # a repeated doc_id may bring other texts
+                        sets[key] = s
+            root = {k: k for k in sets}
+
+            def up(k: int) -> int:
+                while root[k] != k:
+                    root[k] = k = root[root[k]]
+                return k
+
+            found = []
+            for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist()):
+                x, y = sets[a], sets[b]
+                if up(a) != up(b) and len(np.intersect1d(x, y, assume_unique=True)) * (over + under) >= over * (len(x) + len(y)):
+                    root[up(a)] = up(b)
+                    found.append((a, b))
+            return pa.table({k: pa.array([pair[i] for pair in found], pa.int64()) for i, k in enumerate("ab")})
+
+        met = pairs.select(F.col("cell").alias("of"), "a", "b")  # another name, as both sides come from one frame
+        return rows.groupBy("cell").cogroup(met.groupBy("of")).applyInArrow(run, "a long, b long")
 
     def both(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
         for k in "ab":
@@ -174,27 +217,27 @@ class Verifier:
     def __call__(self, pairs: DataFrame) -> DataFrame:
         if not pairs.limit(1).count():
             return pairs
-        over, under = LEAST
-        both = F.col("n_a") + F.col("n_b")
         bits = self.wanted(pairs, self.distinct.select("key", "n", F.col("bits").alias("held")))
-        pairs = cut(self.both(pairs, bits).where(bits_allow(F.col("held_a"), F.col("held_b"), PARITY, both)).select("a", "b"))
+        pairs = cut(self.both(pairs, bits).where(bits_allow("a", "b")).select("a", "b"))
         if not pairs.limit(1).count():
             return pairs
-        similar = F.size(F.array_intersect("held_a", "held_b")) * (over + under) >= over * both
-        return cut(self.both(pairs, self.sets(pairs)).where(similar).select("a", "b"))
+        return cut(self.similar(pairs))
 
 
-def folded(bits):
-    """The parity bits of half as many classes."""
-    half = PARITY // 2
-    return F.array(*(F.get(bits, F.lit(k)).bitwiseXOR(F.get(bits, F.lit(k + half))) for k in range(half)))
+def folded(bits, words):
+    """The parity bits of half as many classes, ``words`` 64-bit words."""
+    return F.zip_with(F.slice(bits, 1, words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))
 
 
-def bits_allow(x, y, words: int, both):
-    """Whether sets of ``both`` shingles in all, counted in each, can be similar by parity bits of ``words`` words."""
+def bits_allow(x: str, y: str):
+    """Whether the sets n_x and n_y, with parity bits held_x and held_y, can be similar by their sizes and bits."""
     over, under = LEAST
-    differ = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(words)), F.lit(0))
-    return differ * (over + under) <= (under - over) * both
+    n, held = ([F.col(f"{c}_{k}") for k in (x, y)] for c in ("n", "held"))
+    words = F.least(*map(F.size, held))  # near sizes have as many words or twice as many
+    p, q = (F.when(F.size(h) > words, folded(h, words)).otherwise(h) for h in held)
+    differ = F.aggregate(F.zip_with(p, q, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, k: s + k)
+    near = F.greatest(*n) * over <= F.least(*n) * under
+    return F.when(near, differ * (over + under) <= (under - over) * (n[0] + n[1])).otherwise(False)
 
 
 def ordered(x, y):
@@ -256,35 +299,105 @@ def similar_links(docs: DataFrame, distinct: DataFrame, words: int) -> DataFrame
         free_shuffles(docs.sparkSession)
 
     roots = cut(components(edges)).withColumnRenamed("node", "key")
-    held = shared.select("token", "me", F.col("me.key").alias("key"))
-    mine = held.join(roots, "key", "left").select("token", F.coalesce("root", "key").alias("root"), "me")
-    # the larger of two similar texts lies in the size class of the smaller one or in the next
-    size = F.floor(F.log("me.n") / math.log(CLASS * under / over)).cast("int")
-    sides = mine.select("token", "root", "me", F.inline(F.array_compact(F.array(
-        F.when(leads, F.struct(size.alias("size"), F.lit(True).alias("lead"))),
-        F.struct(size.alias("size"), F.lit(False).alias("lead")),
-        F.struct((size - 1).alias("size"), F.lit(False).alias("lead")),
-    ))))
-    torn = sides.groupBy("token", "size").agg(F.min(F.when(F.col("lead"), F.col("root"))).alias("led"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("led is not null and lo < hi").select("token", "size")
-    sides = cut(sides.join(torn, ["token", "size"], "left_semi"))
+    held = shared.select("token", F.col("me.key").alias("key"), leads.alias("lead")).join(sent(roots), "key", "left").select("token", "key", F.coalesce("root", "key").alias("root"), "lead")
+    groups = held.groupBy("token").agg(
+        F.max("lead").alias("led"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("texts"), *(F.bit_xor(F.xxhash64(F.lit(k), "key", "lead")).alias(f"held_{k}") for k in range(2))
+    )
+    groups = groups.where("led and lo < hi").groupBy("texts", "held_0", "held_1").agg(F.min("token").alias("token"))
+    met = cut(held.join(groups.select("token", "texts"), "token"))
     free_shuffles(docs.sparkSession)
-    # what a group's texts can reach as one: four times the size of the largest other text, and its own sizes
-    reach = (over + under) * (F.col("me.n") - F.col("me.place")) - over * F.col("me.n")
-    rank = F.struct("me.n", "me.key")
-    groups = sides.groupBy("token", "size", "root", "lead").agg(F.max(reach).alias("reach"), F.min(rank).alias("lo"), F.max(rank).alias("hi"))
-    of = lambda rows, lead, k, *more: rows.where("lead" if lead else "not lead").select("token", "size", F.col("root").alias(f"root_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
-    cross = of(groups, True, "x", "reach", "lo", "hi").join(of(groups, False, "y", "reach", "lo", "hi"), ["token", "size"])
-    cross = cross.where(
-        f"root_x <> root_y and lo_x < hi_y and hi_x.n * {under} >= lo_y.n * {over} and reach_x >= {over} * lo_y.n and reach_y >= {over} * lo_x.n"
-    ).select("token", "size", "root_x", "root_y")
-    bits = distinct.select("key", folded(F.col("bits")).alias("bits"))
-    sides = sides.withColumn("key", F.col("me.key")).join(bits, "key").select("token", "size", "root", "lead", F.struct("me.n", "me.key", "me.place", "bits").alias("me"))
-    met = cross.join(of(sides, True, "x", "me").withColumnRenamed("me_x", "x"), ["token", "size", "root_x"]).join(of(sides, False, "y", "me").withColumnRenamed("me_y", "y"), ["token", "size", "root_y"])
-    met = met.where((F.struct("x.n", "x.key") < F.struct("y.n", "y.key")) & bits_allow(F.col("x.bits"), F.col("y.bits"), PARITY // 2, F.col("x.n") + F.col("y.n")))
-    other = pairs_of(met, "x", "y").distinct()
+    words = (F.size("bits") / 2).cast("int")
+    bits = distinct.select("key", "n", F.when(F.size("bits") > PARITY, folded(F.col("bits"), words)).otherwise(F.col("bits")).alias("bits"))
+    other = close_pairs(met.join(bits, "key"), GROUP_ROWS).distinct()
     return edges.unionByName(verified(cut(other.join(seen, ["a", "b"], "left_anti"))))
 
 
+def close_pairs(met: DataFrame, group_rows: int) -> DataFrame:
+    """Pairs (a, b) of texts of a group ``token`` that lie in different components and can be similar by sizes and bits, ``lead`` in the smaller.
+
+    ``met`` has a row (token, texts, key, n, root, lead, bits) for each text; a group of many ``texts`` is dealt in blocks, each
+    pair of which is a task's work.  A pair that several groups hold may come several times.
+    """
+    blocks = F.ceil(F.col("texts") / group_rows).cast("int")
+    block, each = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    cell = lambda i, j, left, right: F.struct((i * F.col("blocks") + j).alias("cell"), left.alias("left"), right.alias("right"))
+    lead = F.transform(each, lambda j: cell(F.col("block"), j, F.col("lead"), j == F.col("block")))
+    others = F.filter(F.transform(each, lambda i: cell(i, F.col("block"), F.lit(False), i != F.col("block"))), lambda c: c["right"])
+    rows = met.withColumn("blocks", blocks).withColumn("block", block).select("token", "key", "n", "root", "bits", F.inline(F.concat(lead, others))).where(F.col("left") | F.col("right"))
+    dealt = rows.repartition(shuffle_partitions(met.sparkSession), "token", "cell").sortWithinPartitions("token", "cell")
+
+    def compared(batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        token, key, n, root, cells = (np.asarray(table.column(c)) for c in ("token", "key", "n", "root", "cell"))
+        left, right = (table.column(c).to_numpy() for c in ("left", "right"))
+        bits = table.column("bits").chunk(0)
+        ends, flat = np.asarray(bits.offsets), np.asarray(bits.values).view(np.uint64)
+        edges = np.flatnonzero((token[1:] != token[:-1]) | (cells[1:] != cells[:-1])) + 1
+        found = []
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(token)]):
+            if hi - lo > 1:
+                found += [(lo + i, lo + j) for i, j in close_rows(*(c[lo:hi] for c in (key, n, root, left, right, ends[:-1], np.diff(ends))), flat)]
+        if found:
+            i, j = (np.concatenate(c) for c in zip(*found))
+            both = np.unique(np.stack((np.minimum(key[i], key[j]), np.maximum(key[i], key[j]))), axis=1)
+            yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    def run(batches):
+        group: list[pa.RecordBatch] = []  # the last one so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("token", "cell")])
+            begins = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
+            if group and all(group[0].column(c)[0].as_py() == x for c, x in zip(("token", "cell"), ids[:, 0])):
+                begins = begins.tolist()
+            else:
+                begins = [0, *begins.tolist()]
+            if begins:
+                whole = [*group, batch.slice(0, begins[-1])]
+                if sum(b.num_rows for b in whole):
+                    yield from compared(whole)
+                group = []
+            group.append(batch.slice(begins[-1] if begins else 0))
+        if group:
+            yield from compared(group)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def close_rows(key, n, root, left, right, start, words, flat):
+    """Pairs of places (i, j), i ``left`` and the smaller, j ``right``, in different components, whose sizes and parity bits allow similarity.
+
+    The bits of a row are its number of ``words`` of ``flat`` from ``start`` on; the products of a few rows are held at a time.
+    """
+    over, under = LEAST
+    for w in np.unique(words[left]).tolist():
+        at = np.arange(w)
+        mine = np.flatnonzero(left & (words == w))
+        theirs = np.flatnonzero(right & ((words == w) | (words == 2 * w)))
+        theirs = theirs[np.argsort(n[theirs], kind="stable")]
+        bits = flat[start[theirs, None] + at]
+        wide = words[theirs] > w
+        bits[wide] ^= flat[start[theirs[wide], None] + w + at]
+        roots, many = np.unique(root[mine], return_counts=True)
+        large = roots[many >= SAME_ROOT].tolist()
+        parts = [(mine[root[mine] == r], root[theirs] != r) for r in large] + [(mine[~np.isin(root[mine], large)], slice(None))]
+        for rows, of in parts:
+            rows, to, held = rows[np.argsort(n[rows], kind="stable")], theirs[of], bits[of]
+            step = max(1, COMPARED // max(1, w * len(to)))
+            for k in range(0, len(rows), step):
+                i = rows[k : k + step]
+                lo, hi = np.searchsorted(n[to], (n[i[0]], n[i[-1]] * under // over + 1))
+                j = to[lo:hi]
+                if len(j):
+                    differ = np.bitwise_count(flat[start[i, None] + at][:, None] ^ held[lo:hi]).sum(2, dtype=np.int64)
+                    x, y = n[i, None].astype(np.int64), n[j].astype(np.int64)
+                    good = (differ * (over + under) <= (under - over) * (x + y)) & (root[i, None] != root[j]) & ((x < y) | ((x == y) & (key[i, None] < key[j]))) & (y * over <= x * under)
+                    p, q = np.nonzero(good)
+                    if len(p):
+                        yield i[p], j[q]
+
+
 def near_duplicates(docs: DataFrame, *, words_per_shingle: int = WORDS) -> DataFrame:
     """(doc_id, component_id) of each row with a doc_id: the smallest doc_id that links reach, itself included."""
     docs = documents_of(docs).where("doc_id is not null")

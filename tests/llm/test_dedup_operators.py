@@ -452,3 +452,44 @@ def test_multi_index_recall_of_vectors_of_many_lengths(spark):
         far[r.query_id] = np.inf
         hits += r.score <= np.sort(far)[9] * (1 + 1e-12)
     assert hits >= 0.9 * 600
+
+
+def rows_made(spark, first):
+    """The most rows that a join, a generator or a Python step made in the plans from the ``first`` on."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for k in range(first, runs.size()):
+        at = runs.apply(k).executionId()
+        values = {int(i): v for i, v in dict(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionMetrics(at))).items()}
+        nodes = store.planGraph(at).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if any(x in node.name() for x in ("Join", "Generate", "Arrow")):
+                for m in map(node.metrics().apply, range(node.metrics().size())):
+                    if m.name() == "number of output rows":
+                        most = max(most, int(values.get(m.accumulatorId(), "0").replace(",", "") or 0))
+    return most
+
+
+def test_pairs_of_a_group_stay_in_its_task(spark, monkeypatch):
+    """Mosaics of the same passages share their first shingles with many others and are similar to few."""
+    from corpusloom.llm import shingle_join
+
+    rnd = random.Random(8)
+    passages = [[f"p{k}w{i}" for i in range(10)] for k in range(16)]
+    texts = [" ".join(w for k in sorted(rnd.sample(range(16), 8)) for w in passages[k]) for _ in range(700)]
+    texts = list(dict.fromkeys(texts))
+    texts += [texts[k] + f" more{k}" for k in range(0, 40, 2)]
+    sets = [five_word_sets(t) for t in texts]
+    comp = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if comp[i] != comp[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    first = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    assert dict(shingle_join.near_duplicates(docs).collect()) == dict(enumerate(comp))
+    assert rows_made(spark, first) <= sum(map(len, sets))  # as many as the texts have shingles
+    monkeypatch.setattr(shingle_join, "GROUP_ROWS", 7)  # in blocks
+    monkeypatch.setattr(shingle_join, "FAMILY", 300)
+    assert dict(shingle_join.near_duplicates(docs).collect()) == dict(enumerate(comp))
